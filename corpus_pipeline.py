@@ -1,22 +1,65 @@
-"""The corpus pipeline: STAGES, each a function (spark, docs, sf_dir) that returns a DataFrame."""
+"""The corpus pipeline: STAGES, each a function (spark, docs, sf_dir) that returns a DataFrame.
+
+All but the last return the columns of documents: doc_id, text, lang, source, n_chars. Where a stage changes
+texts, n_chars is counted anew.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import classifier, linededup, minhash, mixing, packing
+from siltstone.llm.common import table
+from siltstone.llm.queries import tokenizer_path
+
 
-from siltstone.llm import linededup
+def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    machine = classifier.learn(docs, table(spark, sf_dir, "labels"))
+    scored = classifier.classify(docs.withColumn("_whole", F.col("text")), machine, columns=[c if c != "text" else "_whole" for c in docs.columns])
+    return scored.where("predicted = 1").withColumnRenamed("_whole", "text").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(docs).drop("n_lines", "n_removed", "removed").select(*docs.columns)
+    """Repeated three-line windows leave the texts; texts that had words and have none left go."""
+    clean = linededup.dedup_lines(docs)
+    return _counted(clean.where("n_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'"), docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the least id."""
+    gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a document stands in it once for each pass that takes of it."""
+    return _counted(mixing.mixed_texts(docs), docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens, by piece."""
+    return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("line dedup", line_dedup)]
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("source mix", mixture),
+    ("packing", packed),
+]
+#: Classifier, sketches, draws and tokens are not SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

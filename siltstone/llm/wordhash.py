@@ -21,11 +21,12 @@ _powers = np.ones(1, U)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of MurmurHash3 on 64-bit words."""
-    x = x ^ (x >> U(33))
-    x = x * U(0xFF51AFD7ED558CCD)
-    x ^= x >> U(33)
-    x = x * U(0xC4CEB9FE1A85EC53)
-    x ^= x >> U(33)
+    with np.errstate(over="ignore"):
+        x = x ^ (x >> U(33))
+        x = x * U(0xFF51AFD7ED558CCD)
+        x ^= x >> U(33)
+        x = x * U(0xC4CEB9FE1A85EC53)
+        x ^= x >> U(33)
     return x
 
 
