@@ -7,11 +7,12 @@ once all bins are full, after about t ln t throws. Two sketches agree in a coord
 equal to the similarity of the sets, and the agreements are concentrated as if coordinates were independent.
 
 Sketches are banded; rows and bands are chosen so that a pair at the threshold shares no band with a
-probability of 1e-5 at most. Equal sets are first joined to one representative. Representatives that share
-a bucket are then compared with the bucket's pivots only (the least ids of its salted parts), on full
-sets; pivots leave the bucket once compared with every member of another component, buckets within one component are
-done, and the number of pivots grows eightfold by round. So a large group of near copies costs a few
-comparisons a member rather than all pairs, while no candidate pair between different components goes untested.
+probability of 1e-5 at most. Equal sets are first joined to one representative. Representatives that share a
+bucket are compared with the bucket's least id on full sets, which connects most groups of near copies at one comparison
+a member. Buckets that still hold several components are finished exactly: their members, grouped by the
+component of that least id and cut into blocks of bounded size, are compared block by block with products of
+incidence matrices, and only links that connect something new leave a block. No pairs are listed, no group is
+held in one task, and no candidate pair between different components goes untested.
 
 Defined results: texts without words have an empty set and are linked with nothing; texts with fewer words
 than a shingle have the whole sequence as their one shingle; rows with the same id count as one document, linked
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut
+from siltstone.llm.common import cut, partitions
 from siltstone.llm.wordhash import U, Words, mix, slices, windows
 
 _EMPTY = np.iinfo(np.uint64).max
@@ -180,37 +181,100 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
 
 
-def _links(docs: DataFrame, sigs: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """Verified links between representatives, enough of them to connect what the candidates connect."""
+def _compare(percent: int):
+    """Links between blocks of sets, by products of their incidence matrices; rows are sorted by (g, i, j)."""
+
+    def intersections(sets: list[np.ndarray]) -> np.ndarray:
+        sizes = [len(s) for s in sets]
+        owner, items = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+        values, inverse, count = np.unique(items, return_inverse=True, return_counts=True)
+        shared = count > 1
+        column = (np.cumsum(shared) - 1)[inverse]
+        owner, column = owner[shared[inverse]], column[shared[inverse]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        out = np.zeros((len(sets), len(sets)))
+        for at in range(0, int(shared.sum()), 4096):
+            lo, hi = np.searchsorted(column, (at, at + 4096))
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[owner[lo:hi], column[lo:hi] - at] = 1
+            out += part @ part.T
+        return out
+
+    def links(nodes: list[int], labels: list[int], sides: list[int], sets: list[np.ndarray], i: int, j: int) -> list[tuple[int, int]]:
+        both = intersections(sets)
+        n = np.array([len(s) for s in sets])
+        label, side = np.array(labels), np.array(sides)
+        good = (100 * both >= percent * (n[:, None] + n[None] - both)) & (label[:, None] != label[None])
+        if i != j:
+            good &= side[:, None] != side[None]
+        root = {x: x for x in labels}
+        out = []
+        for x, y in zip(*np.nonzero(np.triu(good, 1)), strict=True):
+            p, q = labels[x], labels[y]
+            while root[p] != p:
+                p = root[p]
+            while root[q] != q:
+                q = root[q]
+            if p != q:  # a link inside what is connected already adds nothing
+                root[max(p, q)] = min(p, q)
+                out.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [], [], [])
+
+        def done() -> pa.RecordBatch:
+            found = links(*held, key[1], key[2]) if key and len(held[0]) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            c = {n: batch.column(n).to_pylist() for n in ("g", "i", "j", "node", "label", "side")}
+            for r, item in enumerate(batch.column("items")):
+                now = (c["g"][r], c["i"][r], c["j"][r])
+                if now != key:
+                    if len(held[0]) > 1:
+                        yield done()
+                    key, held = now, ([], [], [], [])
+                for to, x in zip(held, (c["node"][r], c["label"][r], c["side"][r], np.frombuffer(item.as_buffer(), U)), strict=True):
+                    to.append(x)
+        yield done()
+
+    return run
+
+
+def _links(docs: DataFrame, sigs: DataFrame, size: int, percent: int, block: int = 128) -> DataFrame | None:
+    """Labels of representatives by verified links, enough of them to connect what all candidates connect."""
     reps = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("r"))
     rows = reps.select(F.explode("r.keys").alias("key"), F.col("r.doc_id").alias("node"), F.col("r.n_shingles").alias("n"))
-    shared = cut(rows.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key"))
-    members = cut(rows.join(shared, "key").distinct().withColumn("label", F.col("node")))
+    shared = cut(rows.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("y"), F.min(F.struct("node", "n")).alias("f")).where("p < y").select("key", "p", F.col("f.n").alias("pn")))
+    members = cut(rows.join(shared, "key").where("node <> p"))
     if members.isEmpty():
         return None
-    sets = cut(_sets(docs, members.select("node").distinct(), size))
-    links = failed = None
-    parts = 1
-    while True:
-        salt = F.pmod(F.xxhash64("node", "key"), F.lit(parts))
-        pivots = cut(members.groupBy("key", salt.alias("_s")).agg(F.min(F.struct("node", "n", "label")).alias("p")).select("key", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl")))
-        near = (F.col("p") != F.col("node")) & (F.col("pl") != F.col("label")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-        pairs = members.join(pivots, "key").where(near).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        if failed is not None:
-            pairs = pairs.join(failed, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        good = cut(verify(pairs, sets, percent))
-        bad = pairs.join(good, ["a", "b"], "left_anti")
-        links, failed = (good, bad) if links is None else (links.union(good), failed.union(bad))
-        labels = components(links)
-        left = members.join(pivots.select("key", F.col("p").alias("node")), ["key", "node"], "left_anti").drop("label")
-        left = left.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        left = cut(left)
-        open_keys = cut(left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key"))
-        if open_keys.isEmpty():
-            return labels
-        members = cut(left.join(open_keys, "key"))
-        parts *= 8
+    nodes = members.select("node").union(members.select("p")).distinct()
+    sets = cut(_sets(docs, nodes, size))
+    # First every member against the pivot of its bucket.
+    alike = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+    pairs = members.where(alike).select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
+    links = cut(verify(pairs, sets, percent))
+    labels = cut(components(links))
+    named = members.select("key", "p", "node").join(labels, "node", "left").select("key", "p", "node", F.coalesce("label", "node").alias("label"))
+    named = cut(named)
+    # Then, where a bucket holds several components, its members against each other, in blocks.
+    opened = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    around = named.join(cut(opened), "key").select("p", "node", "label").distinct()
+    around = around.join(labels.select(F.col("node").alias("p"), F.col("label").alias("g")), "p", "left").select(F.coalesce("g", "p").alias("g"), "node", "label").distinct()
+    around = cut(around)
+    sizes = around.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+    parts = cut(sizes.select("g", F.ceil(F.col("m") / block).cast("int").alias("parts")))
+    if parts.isEmpty():
+        return labels
+    dealt = around.join(parts, "g").withColumn("side", F.pmod(F.xxhash64("node"), "parts").cast("int")).join(sets, "node")
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = spread.select("g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "label", "side", "items")
+    n = partitions(docs)
+    more = spread.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_compare(percent), "a long, b long")
+    return components(links.union(cut(more)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
