@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.wordhash import U, Words, slices
 
-_CLASSES = np.zeros((256, 9), np.float64)
-for _c, _set in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".,;:", "!?", "|", "#*$%&<>@_=+~^", "\n")):
-    _CLASSES[[ord(x) for x in _set], _c] = 1
-_CLASSES[0x80:, 8] = 1
+_KINDS = np.full(256, 9, np.int64)
+for _k, _set in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".,;:", "!?", "|", "#*$%&<>@_=+~^", "\n")):
+    _KINDS[[ord(x) for x in _set]] = _k
+_KINDS[0x80:] = 8
 N_STATS = 18
 
 
@@ -51,9 +51,8 @@ def features(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray, np.nd
     value = np.sqrt(count.astype(np.float64))
     norm = np.sqrt(np.bincount(row, value**2, n))
     value /= np.maximum(norm, 1e-12)[row]
-    lead = np.concatenate((np.zeros((1, 9)), np.cumsum(_CLASSES[words.raw], axis=0)))
-    kinds = lead[words.at[1:]] - lead[words.at[:-1]]
     size = np.diff(words.at)
+    kinds = np.bincount(np.repeat(np.arange(n) * 10, size) + _KINDS[words.raw], minlength=10 * n).reshape(n, 10)[:, :9]
     many = np.maximum(size, 1)
     nw = np.maximum(per_text, 1)
     length = (words.end - words.start).astype(np.float64)
@@ -162,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, dims: int = 1 << 13, rank: int = 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_t"):
+            for batch in slices(whole, "_t", 1 << 20):
                 starts, index, value, stats = features(batch.column("_t"), dims)
                 lists = lambda flat: pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), lists(index), lists(value), pa.array(list(stats))], ["id", "y", "i", "x", "s"])
@@ -179,7 +178,7 @@ def classify(docs: DataFrame, machine: Machine, threshold: float = 0.7, doc_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_t"):
+            for batch in slices(whole, "_t", 1 << 20):
                 p = 1 / (1 + np.exp(-np.clip(machine.logits(*features(batch.column("_t"), dims)), -30, 30)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
 
