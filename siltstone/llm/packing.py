@@ -17,6 +17,7 @@ null; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import deque
@@ -40,6 +41,8 @@ class Encoder:
 
     Fit for tokenizers that drop white space and never merge across it: a text's ids are those of the pieces
     between its blanks and line ends, one after the other. What a piece encodes to is kept for up to ``most`` pieces.
+    Words of letters alone are one token run each, so they are learned many at a time, joined by blanks and
+    parted where tokens end words; a word in other case, or with a stop behind it, is put together from its parts.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -47,6 +50,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {"": b""}
+        whole = json.loads(self.tokenizer.to_str())
+        suffix = whole["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.lowers = "Lowercase" in json.dumps(whole["normalizer"])
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -55,34 +64,49 @@ class Encoder:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > self.most:
-            self.known = {"": b""}
-        pieces = [p for p in pieces if p not in self.known]
+    def _each(self, pieces: list[str], known: dict[str, bytes]) -> None:
         for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, np.uint32).tobytes()
+            known[p] = np.array(e.ids, np.uint32).tobytes()
+
+    def _words(self, words: list[str], known: dict[str, bytes]) -> None:
+        """Learn words of letters alone."""
+        if not self.ends.any():
+            return self._each(words, known)
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or len(ids) != cuts[-1]:
+                self._each(part, known)
+                continue
+            data, lo = ids.tobytes(), 0
+            for p, hi in zip(part, (4 * cuts).tolist(), strict=True):
+                known[p] = data[lo:hi]
+                lo = hi
+
+    def _learn(self, missing: set[str], known: dict[str, bytes]) -> None:
+        stem: dict[str, str] = {}
+        for p in missing:
+            q = p[:-1] if p[-1] in ".," else p
+            if q.isalpha():
+                # Up to U+017F lower case is one character for one, whoever lowers it.
+                stem[p] = q.lower() if self.lowers and max(q) < "\u0180" else q
+        self._words(sorted(set(stem.values()).difference(known)), known)
+        self._each([p for p in (".", ",") if p not in known], known)
+        self._each([p for p in missing if p not in stem and p not in known], known)
+        for p, q in stem.items():
+            known[p] = known[q] + known[p[-1]] if p[-1] in ".," else known[q]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         missing = set().union(*split).difference(self.known)
-        kept = dict(self.known) if len(self.known) + len(missing) > self.most else None
+        if len(self.known) + len(missing) > self.most:
+            self.known = {"": b""}
+            missing = set().union(*split).difference(self.known)
         if missing:
-            # A word with a stop behind it, or in capitals, mostly has a known form.
-            plain = {p[:-1] for p in missing if p[-1] in ".," and p[:-1].isascii() and p[:-1].isalpha()}
-            self._learn([*plain.difference(self.known), ".", ","])
-            simple = [p for p in missing if p[-1] in ".," and p[:-1] in plain and p[:-1] in self.known]
-            for p in simple:
-                self.known[p] = self.known[p[:-1]] + self.known[p[-1]]
-            self._learn(list(missing.difference(self.known)))
-        known = self.known
-        if kept is not None:
-            known = kept | known
-            short = set().union(*split).difference(known)
-            if short:
-                self._learn(list(short))
-                known = known | self.known
-        get = known.__getitem__
+            self._learn(missing, self.known)
+        get = self.known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 
