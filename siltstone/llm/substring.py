@@ -20,8 +20,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,19 +131,21 @@ def dedup_substrings(docs: DataFrame, least: int = 8, window: int = 25, guard: i
     keyed = docs.select(*row_key(doc_id, text), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     spans = removed_spans(keyed.select("_k1", "_k2", F.coalesce("text", F.lit("")).alias("text")), least, window, guard)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = [_cut(t, s) for t, s in zip(pdf["text"], pdf["spans"], strict=True)]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "text": [r[0] for r in rows],
-                    "removed": [",".join(f"{a}:{b}" for a, b in r[1]) for r in rows],
-                    "n_removed_chars": [sum(b - a for a, b in r[1]) for r in rows],
-                    "kept_in": [r[2] for r in rows],
-                }
-            )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                texts, rows = batch.column("text"), [(None, [], [])] * batch.num_rows
+                cut_rows = np.flatnonzero(batch.column("spans").is_valid().to_numpy(zero_copy_only=False))
+                for i in cut_rows:
+                    rows[i] = _cut(texts[i].as_py(), batch.column("spans")[i].as_py())
+                if len(cut_rows):
+                    changed = np.zeros(batch.num_rows, bool)
+                    changed[cut_rows] = True
+                    texts = pc.if_else(pa.array(changed), pa.array([r[0] for r in rows], texts.type), texts)
+                removed = pa.array([",".join(f"{a}:{b}" for a, b in r[1]) for r in rows], pa.string())
+                count = pa.array([sum(b - a for a, b in r[1]) for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, removed, count, pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["doc_id", "text", "removed", "n_removed_chars", "kept_in"])
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
     joined = keyed.join(spans, ["_k1", "_k2"], "left").select("doc_id", "text", "spans")
-    return joined.mapInPandas(run, f"doc_id {kind}, text string, removed string, n_removed_chars long, kept_in array<long>")
+    return joined.mapInArrow(run, f"doc_id {kind}, text string, removed string, n_removed_chars long, kept_in array<long>")
