@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from siltstone.plans import corpus, relational, retrieval, scalars, segments
+from siltstone.plans.registry import ORACLES, QUERIES
 
+FLAGSHIP = QUERIES[retrieval.FLAGSHIP]
 
-def FLAGSHIP(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "corpus", "relational", "retrieval", "scalars", "segments"]

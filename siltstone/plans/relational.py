@@ -151,17 +151,17 @@ add("a29_grouped_lists", lambda t: t.nation.groupBy("n_regionkey").agg(F.array_j
 # Windows, sorting, sets
 add("w12_latest_version", lambda t: R.latest(t.orders, ["o_custkey"], [c("o_orderdate").desc(), c("o_orderkey").desc()]).select("o_custkey", "o_orderkey"), "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 add("w04_token_budget", lambda t: t.documents.withColumn("run", F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))).where(c("run") <= 0.97 * 20000).select("source", "doc_id"), "SELECT source, doc_id FROM (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM documents) WHERE run <= 0.97 * 20000")
-add("w08_islands", lambda t: _islands(t), "WITH f AS (SELECT *, CASE WHEN l_returnflag IS DISTINCT FROM lag(l_returnflag) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) THEN 1 ELSE 0 END AS new FROM lineitem), g AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS island FROM f) SELECT l_suppkey, island::BIGINT AS island, any_value(l_returnflag) AS flag, count(*) AS n FROM g GROUP BY 1, 2")
+add("w08_islands", lambda t: _islands(t), "WITH f AS (SELECT *, CASE WHEN l_returnflag IS DISTINCT FROM lag(l_returnflag) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) THEN 1 ELSE 0 END AS new FROM lineitem), g AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS island FROM f) SELECT l_suppkey, island::BIGINT AS island, any_value(l_returnflag) AS flag, count(*) AS n FROM g GROUP BY 1, 2")
 
 
 def _islands(t):
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     new = F.when(F.lag("l_returnflag").over(w).eqNullSafe(c("l_returnflag")), 0).otherwise(1)
     return t.lineitem.withColumn("new", new).withColumn("island", F.sum("new").over(w)).groupBy("l_suppkey", "island").agg(F.first("l_returnflag").alias("flag"), F.count("*").alias("n"))
 
 
 add("w09_part_numbers", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", F.row_number().over(Window.partitionBy("l_suppkey", "l_returnflag").orderBy("l_orderkey", "l_linenumber")).alias("part")), "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber)::INT AS part FROM lineitem")
-add("w10_section_prefix", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", F.when(F.lag("l_returnflag").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")).eqNullSafe(c("l_returnflag")), "").otherwise(F.concat(F.lit("§"), "l_returnflag")).alias("prefix")), "SELECT l_orderkey, l_linenumber, CASE WHEN lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) IS NOT DISTINCT FROM l_returnflag THEN '' ELSE '§' || l_returnflag END AS prefix FROM lineitem")
+add("w10_section_prefix", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", F.when(F.lag("l_returnflag").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")).eqNullSafe(c("l_returnflag")), "").otherwise(F.concat(F.lit("§"), "l_returnflag")).alias("prefix")), "SELECT l_orderkey, l_linenumber, CASE WHEN lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) IS NOT DISTINCT FROM l_returnflag THEN '' ELSE '§' || l_returnflag END AS prefix FROM lineitem")
 add("t1_multi_key_order", lambda t: t.orders.orderBy(c("o_orderstatus").asc(), c("o_totalprice").desc(), "o_orderkey").limit(25).select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey LIMIT 25")
 add("t2_array_order", lambda t: t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q")).orderBy(R.array_mean(c("q")).asc_nulls_last(), "l_orderkey").limit(30).select("l_orderkey"), "SELECT l_orderkey FROM lineitem GROUP BY 1 ORDER BY avg(l_quantity), l_orderkey LIMIT 30")
 add("t3_offset_page", lambda t: t.orders.orderBy("o_orderkey").offset(40).limit(20).select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 40")
