@@ -19,15 +19,20 @@ other columns pass through ``mixed_texts`` and are ignored by ``mix``; an empty
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import cut, partitions, words
-from siltstone.llm.wordhash import U, mix as mixed
+from siltstone.llm.wordhash import U, slices
+from siltstone.llm.wordhash import mix as mixed
+
+_WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
 def targets(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[float]:
@@ -137,7 +142,8 @@ class Mix:
             "_row", "si", "b", F.greatest(F.lit(0), F.col("b") * block - F.col("off")).alias("start"), F.least("size", (F.col("b") + 1) * block - F.col("off")).alias("end")
         )
         slots = _slots(_plan(spark, table, block, cap, shards, seed), seed)
-        self.picks = slots.join(pieces, ["si", "b"]).select("_row", "turn", "shard", "start", "end")
+        # The planner takes the slots for as few as the plan's rows; there are as many as blocks.
+        self.picks = slots.hint("merge").join(pieces, ["si", "b"]).select("_row", "turn", "shard", "start", "end")
 
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", block: int = 128, cap: float = 3.0, shards: int = 64, seed: int = 5, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
@@ -161,21 +167,25 @@ def mixed_texts(docs: DataFrame, source: str = "source", text: str = "text", doc
         return docs.limit(0)
     ranges = m.rows.select("_row", "_at").join(m.picks, "_row").groupBy("_at", "turn").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_ranges"))
 
-    @F.pandas_udf("string")
-    def cut_words(texts: pd.Series, ranges: pd.Series) -> pd.Series:
-        import re
-
-        out = []
-        for t, rs in zip(texts, ranges, strict=True):
-            spans = [w.span() for w in re.finditer("[^\x20\x09-\x0d]+", t)]
-            runs: list[list[int]] = []
-            for r in rs:
-                if runs and runs[-1][1] == r["start"]:
-                    runs[-1][1] = r["end"]
-                else:
-                    runs.append([r["start"], r["end"]])
-            out.append(t if runs == [[0, len(spans)]] else "\n".join(t[spans[a][0] : spans[b - 1][1]] for a, b in runs))
-        return pd.Series(out)
-
-    columns = [F.col(f"`{c}`") if c != text else cut_words(F.col(f"`{text}`"), F.col("_ranges")).alias(text) for c in docs.columns]
-    return whole.join(ranges, "_at").select(*columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text, 1 << 20):
+                at = part.schema.get_field_index(text)
+                cut_texts = [cut_words(t, r) for t, r in zip(part.column(text).to_pylist(), part.column("_ranges").to_pylist(), strict=True)]
+                columns = [pa.array(cut_texts, pa.string()) if i == at else c for i, c in enumerate(part.columns[:-1])]
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
+
+    named = whole.join(ranges, "_at").select(*[F.col(f"`{c}`") for c in docs.columns], "_ranges")
+    return named.mapInArrow(run, docs.schema)
+
+
+def cut_words(text: str, ranges: list[dict]) -> str:
+    """The words of the ranges, as they stand; adjoining ranges in one piece, others parted by a line end."""
+    spans = [w.span() for w in _WORD.finditer(text)]
+    runs: list[list[int]] = []
+    for r in ranges:
+        if runs and runs[-1][1] == r["start"]:
+            runs[-1][1] = r["end"]
+        else:
+            runs.append([r["start"], r["end"]])
+    return text if runs == [[0, len(spans)]] else "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in runs)
