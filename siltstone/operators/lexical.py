@@ -16,18 +16,37 @@ K1, B = 1.2, 0.75
 FREQ_TOTAL, DF_TOTAL = 1e7, 1e9
 
 
-def postings(chunks: DataFrame, fields: dict[str, Column], chunk_id: str = "chunk_id") -> DataFrame:
-    """One row per chunk, field and distinct token with its count and the field's length."""
+#: Question tokens up to this many are broadcast (about 50 bytes each); more are joined by a shuffle.
+BROADCAST_TOKENS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The frame, marked for broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_TOKENS else df
+
+
+def _fields(chunks: DataFrame, fields: dict[str, Column], chunk_id: str) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), c.alias("tokens")) for n, c in fields.items()])).alias("f")
-    flat = chunks.select(chunk_id, each).select(chunk_id, "f.field", F.size("f.tokens").alias("length"), F.explode("f.tokens").alias("token"))
+    return chunks.select(chunk_id, each).select(chunk_id, "f.field", "f.tokens", F.size("f.tokens").alias("length"))
+
+
+def postings(chunks: DataFrame, fields: dict[str, Column], chunk_id: str = "chunk_id", tokens: DataFrame | None = None) -> DataFrame:
+    """One row per chunk, field and distinct token with its count and the field's length.
+
+    With ``tokens`` (token, distinct) only postings of these are made: tokens are looked up where the chunks are read,
+    before anything is shuffled, so a batch of questions moves its own postings and no others.
+    """
+    flat = _fields(chunks, fields, chunk_id).select(chunk_id, "field", "length", F.explode("tokens").alias("token"))
+    if tokens is not None:
+        flat = flat.join(small(tokens.select("token").distinct()), "token", "left_semi")
     return flat.groupBy(chunk_id, "field", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
-def frequencies(index: DataFrame, n_chunks: DataFrame) -> DataFrame:
-    """df, mean field length and number of chunks for each (field, token); ``n_chunks`` is one row (n)."""
+def frequencies(index: DataFrame, chunks: DataFrame, fields: dict[str, Column], chunk_id: str = "chunk_id") -> DataFrame:
+    """df, mean field length and number of chunks for each (field, token) of the index; lengths need no token."""
     df = index.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
-    lengths = index.groupBy("field", "chunk_id").agg(F.first("length").alias("l")).groupBy("field").agg(F.sum("l").alias("total"))
-    return df.join(F.broadcast(lengths), "field").crossJoin(F.broadcast(n_chunks)).select("field", "token", "df", (F.col("total") / F.col("n")).alias("avgdl"), "n")
+    lengths = _fields(chunks, fields, chunk_id).groupBy("field").agg(F.avg("length").alias("avgdl"), F.count(F.lit(1)).alias("n"))
+    return df.join(F.broadcast(lengths), "field")
 
 
 def bm25(tf: Column, df: Column, n: Column, length: Column, avgdl: Column) -> Column:
@@ -45,7 +64,7 @@ def field_scores(index: DataFrame, stats: DataFrame, terms: DataFrame, similarit
     boosts = boosts or {}
     boost = F.coalesce(*[F.when(F.col("field") == f, F.lit(b)) for f, b in boosts.items()], F.lit(1.0))
     s = {"bm25": bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("avgdl")), "idf": scaled_idf(F.col("tf"), F.col("df"), F.col("n")), "boolean": F.lit(1.0)}[similarity]
-    hits = index.join(terms, "token").join(stats, ["field", "token"])
+    hits = index.join(small(stats), ["field", "token"]).join(small(terms), "token")
     return hits.groupBy("query_id", "chunk_id", "field").agg(F.sum(boost * F.col("weight") * s).alias("score"), F.collect_set("token").alias("matched"))
 
 
@@ -125,12 +144,19 @@ def similarity_terms(texts: DataFrame, tokens: Column, key: str) -> DataFrame:
     return wide.select("key", F.explode(F.array_compact(both)).alias("e")).groupBy("key", F.col("e.t").alias("term")).agg(F.sum("e.w").alias("weight"))
 
 
+def similarity_keys(texts: DataFrame, tokens: Column, key: str) -> DataFrame:
+    """The distinct terms of each text, without weights: (key, term)."""
+    flat = texts.select(F.col(key).alias("key"), tokens.alias("_t"))
+    pairs = F.zip_with(F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))), F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+    return flat.select("key", F.explode(F.array_distinct(F.concat("_t", pairs))).alias("term"))
+
+
 def token_similarity(query: DataFrame, docs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Asymmetric coverage of the query's terms by a document's: query_id, chunk_id, tksim, for pairs with a common term."""
     total = query.groupBy("key").agg(F.sum("weight").alias("total"))
     q = query.select(F.col("key").alias("query_id"), "term", "weight")
     d = docs.select(F.col("key").alias("chunk_id"), "term")
-    hit = q.join(d, "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("m"))
+    hit = d.join(small(q), "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("m"))
     if pairs is not None:
         hit = pairs.select("query_id", "chunk_id").distinct().join(hit, ["query_id", "chunk_id"], "left")
     return hit.join(F.broadcast(total.withColumnRenamed("key", "query_id")), "query_id").select("query_id", "chunk_id", ((F.coalesce("m", F.lit(0.0)) + 1e-9) / (F.col("total") + 1e-9)).alias("tksim"))

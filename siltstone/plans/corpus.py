@@ -120,18 +120,21 @@ add("a24_section_scores", lambda t: t.events.where("value >= 0.3").groupBy("user
 add("a25_cosine_summary", lambda t: scored(t).agg(F.round(F.avg("cosine"), 5).alias("mean"), F.min("cosine").alias("low"), F.max("cosine").alias("high"), (F.avg("cosine") > 0.9).alias("passed")), f"SELECT round(avg(cosine), 5) AS mean, min(cosine) AS low, max(cosine) AS high, avg(cosine) > 0.9 AS passed FROM {SCORED}")
 
 # Memory
+def size():
+    return F.octet_length("text")
+
+
 def messages(t):
     return t.conversations.select(c("conv_id").alias("memory_id"), c("turn").alias("message_id"), "role", "text", F.when(c("turn") % 3 == 1, c("turn")).alias("forget_at"), F.concat_ws("_", c("conv_id").cast("string"), c("turn").cast("string")).alias("id"))
 
 
 MSG = "(SELECT conv_id AS memory_id, turn AS message_id, role, text, CASE WHEN turn % 3 = 1 THEN turn END AS forget_at, conv_id || '_' || turn AS id, strlen(text) AS size FROM conversations)"
-SIZE = F.octet_length("text")
 add("k06_message_rows", lambda t: M.message_rows(t.conversations.withColumn("status", c("role") == "user"), "conv_id", "turn").select("id", "status_int"), "SELECT conv_id || '_' || turn AS id, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS status_int FROM conversations")
 add("k07_message_update", lambda t: K.update(messages(t), c("message_id") == 0, {"role": "first"}).groupBy("role").agg(F.count("*").alias("n")), f"SELECT CASE WHEN message_id = 0 THEN 'first' ELSE role END AS role, count(*) AS n FROM {MSG} GROUP BY 1")
 add("a20_memory_sizes", lambda t: M.sizes(messages(t), "memory_id", "text"), f"SELECT memory_id, sum(size)::BIGINT AS bytes FROM {MSG} GROUP BY 1")
 EVICT = "(SELECT *, coalesce(sum(size) OVER (PARTITION BY memory_id ORDER BY forget_at IS NULL, forget_at, message_id, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM " + MSG + ")"
-add("w06_fifo_eviction", lambda t: M.evictions(messages(t), messages(t).select("memory_id").distinct().withColumn("need", F.lit(900)), "memory_id", SIZE, "forget_at", "message_id", "id").select("id"), f"SELECT id FROM {EVICT} WHERE freed < 900")
-add("g10_insert_with_eviction", lambda t: M.insert_with_eviction(messages(t).where("message_id > 0"), messages(t).where("message_id = 0"), "memory_id", SIZE, 2000, "forget_at", "message_id", "id").select("id"), f"""WITH n AS (SELECT memory_id, sum(size) FILTER (message_id = 0) AS new, coalesce(sum(size) FILTER (message_id > 0), 0) AS old FROM {MSG} GROUP BY 1),
+add("w06_fifo_eviction", lambda t: M.evictions(messages(t), messages(t).select("memory_id").distinct().withColumn("need", F.lit(900)), "memory_id", size(), "forget_at", "message_id", "id").select("id"), f"SELECT id FROM {EVICT} WHERE freed < 900")
+add("g10_insert_with_eviction", lambda t: M.insert_with_eviction(messages(t).where("message_id > 0"), messages(t).where("message_id = 0"), "memory_id", size(), 2000, "forget_at", "message_id", "id").select("id"), f"""WITH n AS (SELECT memory_id, sum(size) FILTER (message_id = 0) AS new, coalesce(sum(size) FILTER (message_id > 0), 0) AS old FROM {MSG} GROUP BY 1),
 e AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY memory_id ORDER BY forget_at IS NULL, forget_at, message_id, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM {MSG} WHERE message_id > 0)
 SELECT id FROM e LEFT JOIN n USING (memory_id) WHERE new IS NULL OR new > 2000 OR new + old <= 2000 OR freed >= new + old - 2000 UNION ALL SELECT id FROM {MSG} m JOIN n USING (memory_id) WHERE message_id = 0 AND new <= 2000""")
 add("j15_nested_messages", lambda t: M.nested(t.conversations.select((c("conv_id") * 100 + c("turn")).alias("message_id"), F.when(c("turn") == 0, "raw").otherwise(c("role")).alias("message_type"), (c("conv_id") * 100).alias("source_id"))).select("message_id", F.coalesce(F.size("extracted"), F.lit(0)).cast("long").alias("n")), "SELECT conv_id * 100 AS message_id, count(*) - 1 AS n FROM conversations GROUP BY conv_id HAVING min(turn) = 0")

@@ -142,8 +142,13 @@ add("a14_document_hits", lambda t: t.lineitem.groupBy("l_suppkey").agg(F.count("
 add("a18_source_totals", lambda t: t.documents.agg(F.countDistinct("source").alias("sources"), F.sum("n_chars").alias("chars"), F.count("*").alias("rows")), "SELECT count(DISTINCT source) AS sources, sum(n_chars)::BIGINT AS chars, count(*) AS rows FROM documents")
 add("a19_field_values", lambda t: chunks(t).select(F.explode("tag_kwd").alias("v")).select(F.trim("v").alias("v")).where("v <> ''").groupBy("v").agg(F.count("*").alias("n")), f"SELECT trim(v) AS v, count(*) AS n FROM (SELECT unnest(tag_kwd) AS v FROM {CHUNKS}) GROUP BY 1")
 add("a21_max_id", lambda t: t.conversations.groupBy("conv_id").agg(F.coalesce(F.max("turn"), F.lit(1)).alias("last")), "SELECT conv_id, coalesce(max(turn), 1) AS last FROM conversations GROUP BY 1")
-PROGRESS = F.when(c("l_linenumber") % 5 == 0, -1.0).when(c("l_returnflag") == "N", c("l_discount") * 10).otherwise(1.0)
-add("a22_progress", lambda t: R.progress_of(t.lineitem.withColumn("p", PROGRESS), "l_orderkey", "p").withColumn("progress", F.round("progress", 6)), "SELECT l_orderkey, round(CASE WHEN bool_and(p >= 1 OR p < 0) AND min(p) = -1 THEN -1.0 WHEN bool_and(p >= 1 OR p < 0) THEN 1.0 ELSE avg(greatest(p, 0)) END, 6)::DOUBLE AS progress, CASE WHEN bool_and(p >= 1 OR p < 0) AND min(p) = -1 THEN '4' WHEN bool_and(p >= 1 OR p < 0) THEN '3' ELSE '1' END AS run FROM (SELECT l_orderkey, CASE WHEN l_linenumber % 5 = 0 THEN -1.0 WHEN l_returnflag = 'N' THEN l_discount * 10 ELSE 1.0 END::DOUBLE AS p FROM lineitem) GROUP BY 1")
+
+
+def task_progress():
+    return F.when(c("l_linenumber") % 5 == 0, -1.0).when(c("l_returnflag") == "N", c("l_discount") * 10).otherwise(1.0)
+
+
+add("a22_progress", lambda t: R.progress_of(t.lineitem.withColumn("p", task_progress()), "l_orderkey", "p").withColumn("progress", F.round("progress", 6)), "SELECT l_orderkey, round(CASE WHEN bool_and(p >= 1 OR p < 0) AND min(p) = -1 THEN -1.0 WHEN bool_and(p >= 1 OR p < 0) THEN 1.0 ELSE avg(greatest(p, 0)) END, 6)::DOUBLE AS progress, CASE WHEN bool_and(p >= 1 OR p < 0) AND min(p) = -1 THEN '4' WHEN bool_and(p >= 1 OR p < 0) THEN '3' ELSE '1' END AS run FROM (SELECT l_orderkey, CASE WHEN l_linenumber % 5 = 0 THEN -1.0 WHEN l_returnflag = 'N' THEN l_discount * 10 ELSE 1.0 END::DOUBLE AS p FROM lineitem) GROUP BY 1")
 add("a26_latency_summary", lambda t: t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), *[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)").alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.95)]), "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 add("a27_request_rate", lambda t: t.events.agg(F.round(F.count("*") / ((F.max(F.unix_millis(c("ts").cast("timestamp"))) - F.min(F.unix_millis(c("ts").cast("timestamp")))) / 1000), 6).alias("qps")), "SELECT round(count(*) / ((max(epoch_us(ts)) // 1000 - min(epoch_us(ts)) // 1000) / 1000), 6) AS qps FROM events")
 add("a29_grouped_lists", lambda t: t.nation.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("names")), "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY 1")

@@ -14,13 +14,25 @@ c = F.col
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 
+def chunks_of(t):
+    return t.documents.select(c("doc_id").alias("chunk_id"), "text", "source")
+
+
+def fields():
+    return {"content_ltks": text.tokens("text"), "title_tks": F.array("source")}
+
+
+def full_index(t):
+    return L.postings(chunks_of(t), fields())
+
+
 def index(t):
-    docs = t.documents.select(c("doc_id").alias("chunk_id"), "text", "source")
-    return L.postings(docs, {"content_ltks": text.tokens("text"), "title_tks": F.array("source")})
+    """The postings of the questions' tokens."""
+    return L.postings(chunks_of(t), fields(), tokens=questions(t))
 
 
 def stats(t):
-    return L.frequencies(index(t), t.documents.agg(F.count(F.lit(1)).alias("n")))
+    return L.frequencies(index(t), chunks_of(t), fields())
 
 
 def questions(t):
@@ -54,7 +66,7 @@ def _msm(p: float) -> str:
 TOP10 = f"SELECT query_id, chunk_id, score, n_matched::INT AS n_matched, n_terms, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM b WHERE {_msm(0.3)} QUALIFY rank <= 10"
 add("v06_bm25_top10", lambda t: bm25_top(t), f"WITH {BASE}, {BEST} {TOP10}")
 add("v06_bm25_facets", lambda t: bm25_top(t).join(t.documents.select(c("doc_id").alias("chunk_id"), "source", "lang"), "chunk_id").groupingSets([["query_id", "source"], ["query_id", "lang"]], "query_id", "source", "lang").agg(F.count("*").alias("n")), f"WITH {BASE}, {BEST}, r AS ({TOP10}) SELECT query_id, source, lang, count(*) AS n FROM r JOIN documents d ON d.doc_id = r.chunk_id GROUP BY GROUPING SETS ((query_id, source), (query_id, lang))")
-add("v01_postings", lambda t: index(t).groupBy("field", "token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")), f"WITH {BASE} SELECT field, token, count(*) AS df, sum(tf)::BIGINT AS tf FROM f GROUP BY 1, 2")
+add("v01_postings", lambda t: full_index(t).groupBy("field", "token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")), f"WITH {BASE} SELECT field, token, count(*) AS df, sum(tf)::BIGINT AS tf FROM f GROUP BY 1, 2")
 add("v05_scaled_idf", lambda t: L.field_scores(index(t), stats(t), questions(t), "idf").select("query_id", "chunk_id", "field", F.round("score", 6).alias("score")), f"WITH {BASE} SELECT query_id, chunk_id, field, round(sum({IDF}), 6) AS score FROM h GROUP BY 1, 2, 3")
 add("v06_boolean", lambda t: L.field_scores(index(t), stats(t), questions(t), "boolean", {"content_ltks": 2.0, "title_tks": 10.0}).select("query_id", "chunk_id", "field", "score"), f"WITH {BASE} SELECT query_id, chunk_id, field, sum({BOOST})::DOUBLE AS score FROM h GROUP BY 1, 2, 3")
 add("v07_best_fields", lambda t: L.best_fields(L.field_scores(index(t), stats(t), questions(t), "bm25", {"content_ltks": 2.0, "title_tks": 10.0}), questions(t), 0.0).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max(F.round("score", 6)), 5).alias("best")), f"WITH {BASE}, {BEST} SELECT query_id, count(*) AS n, round(max(score), 5) AS best FROM b GROUP BY 1")
@@ -86,7 +98,7 @@ add("v25_synonyms", lambda t: L.expand_synonyms(questions(t), t.nation.select(F.
 
 def similar(t):
     q = L.similarity_terms(t.benchmark, text.tokens("text"), "item_id")
-    d = L.similarity_terms(t.documents, F.slice(text.tokens("text"), 1, 100000), "doc_id")
+    d = L.similarity_keys(t.documents, text.tokens("text"), "doc_id")
     return L.token_similarity(q, d)
 
 

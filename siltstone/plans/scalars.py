@@ -10,8 +10,8 @@ from siltstone.plans.registry import add
 WS = r"'[\s\x{3000}\x{00A0}\x{0085}]+'"
 
 
-def _docs(**columns):
-    return lambda t: t.documents.select("doc_id", *[c.alias(n) for n, c in columns.items()])
+def _docs(t, **columns):
+    return t.documents.select("doc_id", *[c.alias(n) for n, c in columns.items()])
 
 
 def _sql(table: str = "documents", key: str = "doc_id", **columns: str) -> str:
@@ -19,8 +19,8 @@ def _sql(table: str = "documents", key: str = "doc_id", **columns: str) -> str:
 
 
 COLLAPSED = f"trim(regexp_replace(coalesce(text, ''), {WS}, ' ', 'g'))"
-add("x01_collapse_space", _docs(v=text.collapse("text")), _sql(v=COLLAPSED))
-add("x02_collapse_wide_space", _docs(v=text.collapse_wide(F.concat(F.lit("　"), F.col("text")))), _sql(v=f"trim(regexp_replace(chr(12288) || text, {WS}, ' ', 'g'))"))
+add("x01_collapse_space", lambda t: _docs(t, v=text.collapse("text")), _sql(v=COLLAPSED))
+add("x02_collapse_wide_space", lambda t: _docs(t, v=text.collapse_wide(F.concat(F.lit("　"), F.col("text")))), _sql(v=f"trim(regexp_replace(chr(12288) || text, {WS}, ' ', 'g'))"))
 SAFE = r"""regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace({x}, '[\s\x{{3000}}]+', ' ', 'g')), '[\\/:*?"<>|]+', '_', 'g'), '\s+', '', 'g'), '_+', '_', 'g')"""
 add("x03_safe_name", lambda t: t.pages.select("page_id", text.safe_name("url").alias("v")), f"SELECT page_id, coalesce(nullif(left(trim({SAFE.format(x='url')}, '_'), 40), ''), 'untitled') AS v FROM pages")
 add(
@@ -33,9 +33,9 @@ add(
     lambda t: t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", text.heading_text(F.array(F.col("r_name"), F.lit("  "), F.concat(F.lit(" "), "n_name"))).alias("path")),
     "SELECT n_nationkey, trim(r_name) || ' > ' || trim(n_name) AS path FROM nation JOIN region ON n_regionkey = r_regionkey",
 )
-add("x06_stable_ids", _docs(id=text.stable_id("source", "doc_id")), _sql(id="md5(source || ':' || doc_id)"))
+add("x06_stable_ids", lambda t: _docs(t, id=text.stable_id("source", "doc_id")), _sql(id="md5(source || ':' || doc_id)"))
 add("x06_chunk_ids", lambda t: t.documents.select("doc_id", identifiers.xxh64_id(F.concat_ws("\n", F.col("doc_id").cast("string"), "text")).alias("chunk_id")))
-add("x07_content_md5", _docs(md5=F.md5("text"), bytes=F.octet_length("text").cast("long")), _sql(md5="md5(text)", bytes="strlen(text)::BIGINT"))
+add("x07_content_md5", lambda t: _docs(t, md5=F.md5("text"), bytes=F.octet_length("text").cast("long")), _sql(md5="md5(text)", bytes="strlen(text)::BIGINT"))
 add(
     "x08_shard_names",
     lambda t: t.documents.select("doc_id", text.shard_name("source", "lang", (F.col("doc_id") % 1000)).alias("name")).withColumn("path", text.shard_path("name")),
@@ -46,8 +46,8 @@ add(
     lambda t: t.documents.select("doc_id", text.major(F.concat("source", F.lit("_part.json")), ["src1", "src2"]).alias("major")),
     "SELECT doc_id, CASE WHEN starts_with(source, 'src1') THEN 'src1' WHEN starts_with(source, 'src2') THEN 'src2' ELSE source || '_part' END AS major FROM documents",
 )
-add("x10_tighten_spaces", _docs(v=text.tighten("text")), _sql(v=r"regexp_replace(regexp_replace(text, '([^a-zA-Z0-9.,\)>]) +([^ ])', '\1\2', 'g'), '([^ ]) +([^a-zA-Z0-9.,\(<])', '\1\2', 'g')"))
-add("x11_strip_fence", _docs(v=text.strip_fence(F.concat(F.lit("```markdown\n"), "text", F.lit("\n```\n")))), _sql(v=r"regexp_replace(text, '^\s+|\s+$', '', 'g')"))
+add("x10_tighten_spaces", lambda t: _docs(t, v=text.tighten("text")), _sql(v=r"regexp_replace(regexp_replace(text, '([^a-zA-Z0-9.,\)>]) +([^ ])', '\1\2', 'g'), '([^ ]) +([^a-zA-Z0-9.,\(<])', '\1\2', 'g')"))
+add("x11_strip_fence", lambda t: _docs(t, v=text.strip_fence(F.concat(F.lit("```markdown\n"), "text", F.lit("\n```\n")))), _sql(v=r"regexp_replace(text, '^\s+|\s+$', '', 'g')"))
 add(
     "x12_floats",
     lambda t: t.events.select("event_id", text.to_float(F.get_json_object("props", "$.k")).alias("k"), F.array_max(text.tab_floats(F.concat_ws("\t", F.col("value").cast("int").cast("string"), F.lit("x")))).alias("best")),
@@ -56,7 +56,7 @@ add(
 add("x13_clamp_percent", lambda t: t.part.select("p_partkey", text.clamp_percent(F.col("p_size") * 3 - 10).alias("v")), "SELECT p_partkey, least(90, greatest(0, p_size * 3 - 10)) AS v FROM part")
 add(
     "x14_language_tests",
-    _docs(english=text.is_english("text"), chinese=text.is_chinese("text"), query=text.is_chinese_query("text")),
+    lambda t: _docs(t, english=text.is_english("text"), chinese=text.is_chinese("text"), query=text.is_chinese_query("text")),
     _sql(
         english=r"""length(regexp_replace(text, '[`a-zA-Z0-9\s.,'':;/"?<>!()\-]', '', 'g')) < 0.2 * length(text)""",
         chinese=r"(length(text) - length(regexp_replace(text, '[\x{4e00}-\x{9fff}]', '', 'g'))) > 0.2 * length(text)",
@@ -79,9 +79,9 @@ add(
 )
 add("x19_strip_table_tags", lambda t: t.pages.select("page_id", text.strip_table_tags("html").alias("v")), r"SELECT page_id, regexp_replace(html, '(?i)</?(table|td|caption|tr|th)( [^<>]{0,12})?>', ' ', 'g') AS v FROM pages")
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
-add("x20_tokens", _docs(n=F.size(text.tokens("text")).cast("long"), first=F.get(text.tokens("text"), 0), uniq=F.size(F.array_distinct(text.tokens("text"))).cast("long")), _sql(n=f"len({TOK})::BIGINT", first=f"{TOK}[1]", uniq=f"list_unique({TOK})::BIGINT"))
+add("x20_tokens", lambda t: _docs(t, n=F.size(text.tokens("text")).cast("long"), first=F.get(text.tokens("text"), 0), uniq=F.size(F.array_distinct(text.tokens("text"))).cast("long")), _sql(n=f"len({TOK})::BIGINT", first=f"{TOK}[1]", uniq=f"list_unique({TOK})::BIGINT"))
 add("x20_half_width", lambda t: t.part.select("p_partkey", text.half_width(F.concat(F.lit("ＡＢ１　"), "p_brand")).alias("v"), F.array_join(text.fine_tokens(F.concat(F.lit("儿科门诊 "), "p_brand")), " ").alias("fine")), r"SELECT p_partkey, 'AB1 ' || p_brand AS v, '儿科 科门 门诊 ' || array_to_string(regexp_extract_all(lower(p_brand), '[\p{L}\p{N}_]+'), ' ') AS fine FROM part")
-add("x21_token_count", _docs(n=text.token_count("text").cast("long")), _sql(n=r"len(regexp_extract_all(text, '[A-Za-z0-9_\x{00C0}-\x{024F}]+|[^\sA-Za-z0-9_\x{00C0}-\x{024F}]'))::BIGINT"))
+add("x21_token_count", lambda t: _docs(t, n=text.token_count("text").cast("long")), _sql(n=r"len(regexp_extract_all(text, '[A-Za-z0-9_\x{00C0}-\x{024F}]+|[^\sA-Za-z0-9_\x{00C0}-\x{024F}]'))::BIGINT"))
 add("x22_ordinals", lambda t: t.part.select("p_partkey", identifiers.ordinal_number(F.element_at(F.array(*[F.lit(x) for x in ("7", "twenty one", "二十三", "xiv", "?")]), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("n")), "SELECT p_partkey, [7, 21, 23, 14, -1][p_partkey % 5 + 1]::INT AS n FROM part")
 add("x23_split_values", lambda t: t.part.select("p_partkey", F.array_join(text.split_values(F.concat_ws("、", "p_brand", F.lit(" a , b;a "), "p_brand")), "/").alias("v")), "SELECT p_partkey, p_brand || '/a/b' AS v FROM part")
 add(
@@ -98,20 +98,20 @@ add(
     "SELECT event_id, epoch_us(ts) // 1000 AS ms, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text, date_trunc('second', ts) AS sec, floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 1000000)::BIGINT AS since FROM events",
 )
 add("x30_day_bounds", lambda t: t.events.select("event_id", F.date_trunc("day", "ts").alias("first"), (F.date_trunc("day", "ts") + F.expr("INTERVAL '1' DAY") - F.expr("INTERVAL '1' SECOND")).alias("last")), "SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS first, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY - INTERVAL 1 SECOND AS last FROM events")
-add("x31_tail_lines", _docs(v=text.tail_lines("text", 300)), _sql(v="CASE WHEN length(text) <= 300 THEN text WHEN strpos(right(text, 300), chr(10)) > 0 THEN substr(right(text, 300), strpos(right(text, 300), chr(10)) + 1) ELSE right(text, 300) END"))
+add("x31_tail_lines", lambda t: _docs(t, v=text.tail_lines("text", 300)), _sql(v="CASE WHEN length(text) <= 300 THEN text WHEN strpos(right(text, 300), chr(10)) > 0 THEN substr(right(text, 300), strpos(right(text, 300), chr(10)) + 1) ELSE right(text, 300) END"))
 add("x32_deep_merge", lambda t: t.events.select("event_id", identifiers.deep_merge(F.col("props"), F.to_json(F.struct(F.struct(F.col("event_type").alias("type")).alias("extra")))).alias("merged")))
 add("x33_first_json", lambda t: t.events.select("event_id", F.get_json_object(text.first_json(F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\ndone"))), "$.k").alias("k")), "SELECT event_id, props::JSON ->> '$.k' AS k FROM events")
 add("x34_latin_digits", lambda t: t.part.select("p_partkey", text.latin_digits(F.translate(F.col("p_size").cast("string"), "0123456789", "٠١٢٣٤٥٦٧٨٩")).alias("v"), identifiers.nfkc(F.concat(F.lit("ﬁ"), "p_brand")).alias("n")), "SELECT p_partkey, p_size::VARCHAR AS v, 'fi' || p_brand AS n FROM part")
 add("x37_split_model_name", lambda t: t.part.select("p_partkey", F.substring_index(F.concat("p_name", F.lit("@"), "p_brand"), "@", 1).alias("model"), F.substring_index(F.concat("p_name", F.lit("@"), "p_brand"), "@", -1).alias("factory")), "SELECT p_partkey, p_name AS model, p_brand AS factory FROM part")
-add("x38_bullets", _docs(not_bullet=F.col("text").rlike(text.NOT_BULLET), heading=F.col("text").rlike(r"(?m)^#+ ")), _sql(not_bullet=r"regexp_matches(text, '^(0|[0-9]+ +[0-9~个只-]|[0-9]+\.{2,})')", heading=r"regexp_matches(text, '(?m)^#+ ')"))
-add("x39_first_term", _docs(v=text.first_term("text", ["password", "license", "the", "der"])), _sql(v="CASE WHEN contains(text, 'password') THEN 'password' WHEN contains(text, 'license') THEN 'license' WHEN contains(text, 'the') THEN 'the' WHEN contains(text, 'der') THEN 'der' ELSE 'other' END"))
+add("x38_bullets", lambda t: _docs(t, not_bullet=F.col("text").rlike(text.NOT_BULLET), heading=F.col("text").rlike(r"(?m)^#+ ")), _sql(not_bullet=r"regexp_matches(text, '^(0|[0-9]+ +[0-9~个只-]|[0-9]+\.{2,})')", heading=r"regexp_matches(text, '(?m)^#+ ')"))
+add("x39_first_term", lambda t: _docs(t, v=text.first_term("text", ["password", "license", "the", "der"])), _sql(v="CASE WHEN contains(text, 'password') THEN 'password' WHEN contains(text, 'license') THEN 'license' WHEN contains(text, 'the') THEN 'the' WHEN contains(text, 'der') THEN 'der' ELSE 'other' END"))
 add("x40_markdown_rows", lambda t: t.orders.select("o_orderkey", text.markdown_row("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("F")), F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00")).alias("row")), "SELECT o_orderkey, '|' || o_orderkey || '|' || coalesce(nullif(o_orderstatus, 'F'), ' ') || '|' || strftime(o_orderdate, '%Y-%m-%d') || '|' AS row FROM orders")
-add("x42_qa_text", _docs(v=text.qa_text("source", "lang", "text")), _sql(v=f"'标题：' || source || chr(10) || '问题：' || lang || chr(10) || '回答：' || {COLLAPSED}"))
+add("x42_qa_text", lambda t: _docs(t, v=text.qa_text("source", "lang", "text")), _sql(v=f"'标题：' || source || chr(10) || '问题：' || lang || chr(10) || '回答：' || {COLLAPSED}"))
 add("v26_escape_query", lambda t: t.benchmark.select("item_id", text.escape_query(F.concat(F.lit("a-b (c)? "), "text")).alias("v")), r"""SELECT item_id, trim(regexp_replace(replace('a-b (c)? ' || text, '''', ''), '([:{}/\[\]\-*?"()|+~^])', '\\\1', 'g')) AS v FROM benchmark""")
 add("v26_strip_question_words", lambda t: t.benchmark.select("item_id", text.strip_question_words(F.concat(F.lit("what is the "), "item_id")).alias("v"), text.space_scripts(F.concat(F.lit("MRI检查"), "item_id")).alias("s")), "SELECT item_id, ' the ' || item_id AS v, 'MRI 检查' || item_id AS s FROM benchmark")
 add("v28_emphasise", lambda t: t.part.select("p_partkey", text.emphasise(F.concat("p_brand", F.lit(" is a Brand, brand!")), F.array(F.lit("brand"))).alias("v")), "SELECT p_partkey, p_brand || ' is a <em>Brand</em>, <em>brand</em>!' AS v FROM part WHERE p_brand NOT LIKE '%brand%'")
 add("v29_highlight", lambda t: t.part.select("p_partkey", text.highlight(F.concat(F.lit("No word here. The cat "), "p_brand", F.lit(" sat? Dogs; cat.")), F.array(F.lit("cat"))).alias("v")), "SELECT p_partkey, 'The <em>cat</em> ' || p_brand || ' sat...<em>cat</em>' AS v FROM part")
-add("c25_sentences", _docs(n=F.size(text.sentences("text")).cast("long"), longest=F.array_max(F.transform(text.sentences("text"), F.length)).cast("long")), _sql(n=r"len(list_filter(regexp_extract_all(text, '[^。？！!?;；:\n]*[。？！!?;；:\n]?'), lambda x: x <> ''))::BIGINT", longest=r"list_max(list_transform(regexp_extract_all(text, '[^。？！!?;；:\n]*[。？！!?;；:\n]?'), lambda x: length(x)))::BIGINT"))
+add("c25_sentences", lambda t: _docs(t, n=F.size(text.sentences("text")).cast("long"), longest=F.array_max(F.transform(text.sentences("text"), F.length)).cast("long")), _sql(n=r"len(list_filter(regexp_extract_all(text, '[^。？！!?;；:\n]*[。？！!?;；:\n]?'), lambda x: x <> ''))::BIGINT", longest=r"list_max(list_transform(regexp_extract_all(text, '[^。？！!?;；:\n]*[。？！!?;；:\n]?'), lambda x: length(x)))::BIGINT"))
 add(
     "x35_vector_and_set_scores",
     lambda t: t.embeddings.alias("a").join(t.embeddings.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select(F.col("a.vec_id"), F.round(vectors.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cos"), F.round(vectors.jaccard(F.array("a.label", "b.label"), F.array("b.label")), 6).alias("jac"), F.round(vectors.token_f1(F.array("a.label", "b.label"), F.array("b.label")), 6).alias("f1")),
