@@ -40,12 +40,13 @@ class Encoder:
     """Ids of whole texts, remembered by word.
 
     Fit for tokenizers that drop white space and never merge across it: a text's ids are those of the pieces
-    between its blanks and line ends, one after the other. What a piece encodes to is kept for up to ``most`` pieces.
+    between its blanks and line ends, one after the other. What a piece encodes to is kept for up to ``most`` pieces,
+    while a task lasts: workers outlive tasks, and hold the tokenizer only between them.
     Words of letters alone are one token run each, so they are learned many at a time, joined by blanks and
     parted where tokens end words; a word in other case, or with a stop behind it, is put together from its parts.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -97,6 +98,9 @@ class Encoder:
         for p, q in stem.items():
             known[p] = known[q] + known[p[-1]] if p[-1] in ".," else known[q]
 
+    def forget(self) -> None:
+        self.known = {"": b""}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -226,6 +230,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, step_tokens: int = 1 << 16
                         place(window)
                 if len(rows) > 10_000:
                     yield flush()
+        encoder.forget()
         for window in packer.finish():
             place(window)
         if rows:
