@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import classifier, linededup, minhash, mixing, packing
-from siltstone.llm.common import table
+from siltstone.llm.common import table, unused
 from siltstone.llm.queries import tokenizer_path
 
 
@@ -21,14 +21,16 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     machine = classifier.learn(docs, table(spark, sf_dir, "labels"))
-    scored = classifier.classify(docs.withColumn("_whole", F.col("text")), machine, columns=[c if c != "text" else "_whole" for c in docs.columns])
-    return scored.where("predicted = 1").withColumnRenamed("_whole", "text").select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = unused("quality_", docs.columns)
+    scored = classifier.classify(docs, machine, columns=docs.columns, prefix=prefix)
+    return scored.where(f"{prefix}predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated three-line windows leave the texts; texts that had words and have none left go."""
-    clean = linededup.dedup_lines(docs)
-    return _counted(clean.where("n_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'"), docs.columns)
+    prefix = unused("lines_", docs.columns)
+    clean = linededup.dedup_lines(docs, prefix=prefix)
+    return _counted(clean.where(f"{prefix}n_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

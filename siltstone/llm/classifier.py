@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import unused
 from siltstone.llm.wordhash import U, Words, slices
 
 _KINDS = np.full(256, 9, np.int64)
@@ -172,16 +173,16 @@ def learn(docs: DataFrame, labels: DataFrame, dims: int = 1 << 13, rank: int = 6
     return fit(rows, np.array(table.column("y").to_pylist(), float), dims, rank)
 
 
-def classify(docs: DataFrame, machine: Machine, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """score and predicted (1 from the threshold on) behind ``columns`` (the id) of every row of ``docs``."""
-    dims = machine.dims
+def classify(docs: DataFrame, machine: Machine, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text", columns: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """score and predicted (1 from the threshold on), their names behind a prefix, after ``columns`` (the id) of every row."""
+    dims, name = machine.dims, unused("_text", columns or [doc_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_t", 1 << 20):
-                p = 1 / (1 + np.exp(-np.clip(machine.logits(*features(batch.column("_t"), dims)), -30, 30)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
+            for batch in slices(whole, name, 1 << 20):
+                p = 1 / (1 + np.exp(-np.clip(machine.logits(*features(batch.column(name), dims)), -30, 30)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names[:-1], f"{prefix}score", f"{prefix}predicted"])
 
-    kept = docs.select(*[F.col(f"`{c}`") for c in columns or [doc_id]], F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    kept = docs.select(*[F.col(f"`{c}`") for c in columns or [doc_id]], F.coalesce(F.col(text), F.lit("")).alias(name))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{shape}, score double, predicted int")
+    return kept.mapInArrow(run, f"{shape}, `{prefix}score` double, `{prefix}predicted` int")

@@ -49,3 +49,10 @@ def words(text: Column) -> Column:
     """Array of the maximal runs of characters outside ``SPACE``; empty for null and blank texts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(_TRIM))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A name made from this one that no column starts with."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name = "_" + name
+    return name

@@ -63,8 +63,11 @@ def covered_lines(docs: DataFrame, size: int = 3, doc_id: str = "doc_id", text:
     )
 
 
-def dedup_lines(docs: DataFrame, size: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the cleaned text, ``n_lines`` and ``n_removed`` (counting and not) and ``removed``, runs of line numbers."""
+def dedup_lines(docs: DataFrame, size: int = 3, doc_id: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with the cleaned text, ``n_lines`` (all lines), ``n_removed`` and ``removed``, runs of line numbers.
+
+    The three names stand behind ``prefix``; columns of ``docs`` with the same names give way to them.
+    """
     gone, lines = F.col("_gone"), F.col("_l")
     begins = F.filter(gone, lambda x, i: (i == 0) | (F.get(gone, i - 1) < x - 1))
     ends = F.filter(gone, lambda x, i: F.coalesce(F.get(gone, i + 1) > x + 1, F.lit(True)))
@@ -72,7 +75,8 @@ def dedup_lines(docs: DataFrame, size: int = 3, doc_id: str = "doc_id", text: st
     keep_to = F.concat(F.col("_begins"), F.array(F.size(lines)))
     kept = F.flatten(F.zip_with(keep_from, keep_to, lambda a, b: F.slice(lines, a + 1, b - a)))
     runs = F.zip_with("_begins", "_ends", lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string")))
-    columns = [c for c in docs.columns if c != text]
+    added = [f"{prefix}{c}" for c in ("n_lines", "n_removed", "removed")]
+    columns = [c for c in docs.columns if c != text and c not in added]
     keyed = docs.select(*row_key(doc_id, text), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_rest"), F.col(text).alias("_text"))
     return (
         keyed.join(covered_lines(docs, size, doc_id, text), _K, "left")
@@ -81,9 +85,9 @@ def dedup_lines(docs: DataFrame, size: int = 3, doc_id: str = "doc_id", text: st
         .select(
             "_rest.*",
             F.when(F.size("_gone") == 0, F.col("_text")).otherwise(F.array_join(kept, "\n")).alias(text),
-            F.coalesce(F.size("_l"), F.lit(0)).cast("long").alias("n_lines"),
-            F.size("_gone").cast("long").alias("n_removed"),
-            F.array_join(runs, ",").alias("removed"),
+            F.coalesce(F.size("_l"), F.lit(0)).cast("long").alias(added[0]),
+            F.size("_gone").cast("long").alias(added[1]),
+            F.array_join(runs, ",").alias(added[2]),
         )
     )
 

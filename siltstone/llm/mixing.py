@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, partitions, words
+from siltstone.llm.common import cut, partitions, unused, words
 from siltstone.llm.wordhash import U, slices
 from siltstone.llm.wordhash import mix as mixed
 
@@ -148,8 +148,9 @@ class Mix:
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", block: int = 128, cap: float = 3.0, shards: int = 64, seed: int = 5, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
     """doc_id, size, source_size, target and taken (words, repeats counted) for every row of ``docs``."""
-    m = Mix(docs.withColumn("_id", F.col(doc_id)), ["_id"], source, text, doc_id, block, cap, shards, seed, weights)
-    columns = [F.col("_id").alias("doc_id"), "size", "source_size", "target"]
+    name = unused("_id", docs.columns)
+    m = Mix(docs.withColumn(name, F.col(doc_id)), [name], source, text, doc_id, block, cap, shards, seed, weights)
+    columns = [F.col(name).alias("doc_id"), "size", "source_size", "target"]
     if m.picks is None:
         return m.rows.select(*columns, F.lit(0).cast("long").alias("taken"))
     taken = m.picks.groupBy("_row").agg(F.sum(F.col("end") - F.col("start")).alias("taken"))
@@ -161,21 +162,22 @@ def mixed_texts(docs: DataFrame, source: str = "source", text: str = "text", doc
 
     Its text has the words the pass takes, as they stand: adjoining blocks in one piece, others parted by a line end.
     """
-    whole = cut(docs.withColumn("_at", F.monotonically_increasing_id()))
-    m = Mix(whole, ["_at"], source, text, doc_id, block, cap, shards, seed, weights)
+    at, picked = unused("_at", docs.columns), unused("_ranges", docs.columns)
+    whole = cut(docs.withColumn(at, F.monotonically_increasing_id()))
+    m = Mix(whole, [at], source, text, doc_id, block, cap, shards, seed, weights)
     if m.picks is None:
         return docs.limit(0)
-    ranges = m.rows.select("_row", "_at").join(m.picks, "_row").groupBy("_at", "turn").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_ranges"))
+    ranges = m.rows.select("_row", at).join(m.picks, "_row").groupBy(at, "turn").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(picked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, 1 << 20):
-                at = part.schema.get_field_index(text)
-                cut_texts = [cut_words(t, r) for t, r in zip(part.column(text).to_pylist(), part.column("_ranges").to_pylist(), strict=True)]
-                columns = [pa.array(cut_texts, pa.string()) if i == at else c for i, c in enumerate(part.columns[:-1])]
+                place = part.schema.get_field_index(text)
+                cut_texts = [cut_words(t, r) for t, r in zip(part.column(text).to_pylist(), part.column(picked).to_pylist(), strict=True)]
+                columns = [pa.array(cut_texts, pa.string()) if i == place else c for i, c in enumerate(part.columns[:-1])]
                 yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
 
-    named = whole.join(ranges, "_at").select(*[F.col(f"`{c}`") for c in docs.columns], "_ranges")
+    named = whole.join(ranges, at).select(*[F.col(f"`{c}`") for c in docs.columns], picked)
     return named.mapInArrow(run, docs.schema)
 
 
