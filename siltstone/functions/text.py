@@ -216,7 +216,7 @@ def human_bytes(c: Column | str) -> Column:
     unit = F.least(F.lit(5), F.floor(F.log(1024.0, F.greatest(n, F.lit(1.0))) + 1e-12)).cast("int")
     x = n / F.pow(F.lit(1024.0), unit)
     name = F.element_at(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB", "TB", "PB")]), unit + 1)
-    number = F.when((unit == 0) | (x >= 100), F.format_string("%.0f", x)).when(x >= 10, F.format_string("%.1f", x)).otherwise(F.format_string("%.2f", x))
+    number = F.when((unit == 0) | (x >= 100), F.format_string("%.0f", F.bround(x, 0))).when(x >= 10, F.format_string("%.1f", F.bround(x, 1))).otherwise(F.format_string("%.2f", F.bround(x, 2)))
     return F.concat(number, F.lit(" "), name)
 
 

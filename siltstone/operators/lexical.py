@@ -174,3 +174,49 @@ def content_query(docs: DataFrame, tokens: Column, key: str, most: int = 30) ->
     w = Window.partitionBy("query_id").orderBy(F.desc("weight"), "token")
     kept = flat.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
     return kept.withColumn("min_match", F.least(F.lit(3), F.round(F.count(F.lit(1)).over(Window.partitionBy("query_id")) / 10)).cast("int")).drop("rn")
+
+
+def without_noise(tokens: Column, stop_words: list[str]) -> Column:
+    """Tokens without stop words, punctuation and single digits."""
+    return F.filter(tokens, lambda t: ~t.isin(stop_words) & t.rlike(r"[\p{L}\p{N}]") & ~t.rlike(r"^[0-9]$"))
+
+
+def merged_singles(tokens: Column) -> Column:
+    """Runs of tokens of one character: two to four are joined, longer ones are joined by pairs."""
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("run"))
+
+    def flush(a: Column) -> Column:
+        run = a["run"]
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(run), F.lit(1)), F.lit(2)), lambda i: F.array_join(F.slice(run, i, 2), ""))
+        joined = F.when(F.size(run) == 0, F.array().cast("array<string>")).when(F.size(run) <= 4, F.array(F.array_join(run, ""))).otherwise(pairs)
+        return F.concat(a["out"], joined)
+
+    def step(a: Column, t: Column) -> Column:
+        longer = F.struct(a["out"].alias("out"), F.concat(a["run"], F.array(t)).alias("run"))
+        closed = F.struct(F.concat(flush(a), F.array(t)).alias("out"), F.array().cast("array<string>").alias("run"))
+        return F.when(F.length(t) == 1, longer).otherwise(closed)
+
+    return F.aggregate(tokens, start, step, flush)
+
+
+def joined_latin(words: Column) -> Column:
+    """Neighbouring words that end and begin with Latin letters count as one term."""
+    start = F.array().cast("array<string>")
+
+    def step(a: Column, w: Column) -> Column:
+        last = F.element_at(a, -1)
+        fits = (F.size(a) > 0) & F.coalesce(last.rlike(r"[a-zA-Z]$"), F.lit(False)) & w.rlike(r"^[a-zA-Z]")
+        return F.when(fits, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(last, F.lit(" "), w)))).otherwise(F.concat(a, F.array(w)))
+
+    return F.aggregate(words, start, step)
+
+
+def segmented_terms(questions: DataFrame, segments: Column, fine: Column, query_id: str = "query_id", most: int = 256, keywords: int = 32) -> DataFrame:
+    """Terms of questions in scripts without blanks: each segment at five times its weight, its pairs at a tenth of that;
+    at most ``most`` segments, and the heaviest ``keywords`` of them."""
+    flat = questions.select(F.col(query_id).alias("query_id"), F.posexplode(F.slice(segments, 1, most)).alias("pos", "token"), fine.alias("_fine"))
+    flat = flat.withColumn("w", raw_weight(F.col("token")))
+    top = flat.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("w"), "pos"))).where(F.col("_rn") <= keywords)
+    top = top.withColumn("weight", 5 * F.col("w") / F.sum("w").over(Window.partitionBy("query_id")))
+    parts = F.array_distinct(F.concat(F.array(F.struct("token", "weight")), F.transform(F.filter("_fine", lambda x: F.col("token").contains(x) & (x != F.col("token"))), lambda x: F.struct(x.alias("token"), (F.col("weight") / 10).alias("weight")))))
+    return top.select("query_id", F.explode(parts).alias("t")).groupBy("query_id", "t.token").agg(F.sum("t.weight").alias("weight"))
