@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, classifier, linededup, minhash, mixing, packing, rules, secrets, substring, topk
+from siltstone.llm import chat, classifier, linededup, minhash, mixing, oracles, packing, rules, secrets, substring, topk
 from siltstone.llm.common import table
 
 
@@ -82,6 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {
-    "op7_line_dedup": linededup.ORACLE_SQL,
-}
+ORACLES: dict[str, str] = oracles.ORACLES

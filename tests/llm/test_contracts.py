@@ -138,14 +138,17 @@ def test_line_dedup(docs, empty):
     assert set(docs.columns) <= set(got.columns) and linededup.dedup_lines(empty).count() == 0
 
 
-def test_line_dedup_as_sql(spark, data):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_rows_as_sql(spark, data, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet')")
-    found = con.execute(linededup.ORACLE_SQL)
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
+    found = con.execute(queries.ORACLES[name])
     names = [d[0] for d in found.description]
-    mine = queries.op7_line_dedup(spark, data).select(*names).collect()
-    assert sorted(map(str, map(tuple, mine))) == sorted(map(str, found.fetchall()))
+    mine = queries.QUERIES[name](spark, data)
+    assert sorted(mine.columns) == sorted(names)
+    assert sorted(map(str, map(tuple, mine.select(*names).collect()))) == sorted(map(str, found.fetchall()))
 
 
 def test_substring_dedup(docs, empty):
