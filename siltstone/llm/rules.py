@@ -71,6 +71,17 @@ def base_columns(t: str = "_t") -> list[Column]:
     ]
 
 
+def _with_windows(docs: DataFrame, words: str = "_w") -> DataFrame:
+    """Adds ``_win``, hashes of the windows of eight words by position, instead of ``words``: hashes of one word are joined
+    to those of two, four and eight, so a word's text is hashed once and not once for each window."""
+    pair = lambda of, far: F.transform(of, lambda x, i: F.xxhash64(x, F.get(of, i + far)))
+    n = F.size("_1") - 7
+    out = docs.withColumn("_1", F.transform(words, lambda x: F.xxhash64(x))).drop(words)
+    out = out.withColumn("_2", pair(F.col("_1"), 1)).withColumn("_4", pair(F.col("_2"), 2)).withColumn("_8", pair(F.col("_4"), 4))
+    whole = F.when(n > 1, F.slice("_8", F.lit(1), F.greatest(n, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+    return out.withColumn("_win", whole).drop("_1", "_2", "_4", "_8")
+
+
 def _with_starts(docs: DataFrame) -> DataFrame:
     """Adds ``_starts``, the sorted positions of windows found twice or more; ``_win``: their hashes by position.
 
@@ -97,8 +108,6 @@ def quality_rules(
     text: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: its id, the base statistics, ``score`` and the verdict ``kept``."""
-    w = F.col("_w")
-    window = F.transform(F.sequence(F.lit(0), F.size(w) - 8), lambda i: F.xxhash64(F.slice(w, i + 1, 8)))
     starts = F.col("_starts")
     covered = F.aggregate(F.transform(starts, lambda x, i: F.least(F.lit(8), F.coalesce(F.get(starts, i + 1) - x, F.lit(8)))), F.lit(0), lambda a, x: (a + x).cast("int"))
     counted = (
@@ -110,13 +119,13 @@ def quality_rules(
             F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
             "n_symbols",
             "n_dup_lines",
-            F.when(F.size("_w") > 8, window).otherwise(F.array().cast("array<bigint>")).alias("_win"),
+            "_w",
             _buckets(F.col("_h"), buckets).alias("_g"),
         )
     )
     # Each start covers the words up to the next one, eight at most.
     return (
-        _with_starts(counted)
+        _with_starts(_with_windows(counted))
         .withColumn("n_repeat_words", covered.cast("long"))
         # The optimizer moves the subquery into the lambda, so the table is no column of the rows.
         .withColumn("_table", weights.scalar())
