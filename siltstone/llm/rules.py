@@ -21,7 +21,7 @@ from siltstone.llm.common import SPACE, cut, words
 SYMBOLS = "#*$%&|<>"
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
 #: Ids up to this many are broadcast (16 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def _tokens(text: Column) -> Column:
