@@ -81,10 +81,10 @@ def top(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def relaxed(scores: DataFrame, terms: DataFrame, first: float = 0.3, second: float = 0.1) -> DataFrame:
+def relaxed(matches: DataFrame, terms: DataFrame, first: float = 0.3, second: float = 0.1) -> DataFrame:
     """Questions without any hit at the first share of matched terms are asked again at the second."""
-    strict = best_fields(scores, terms, first).withColumn("phase", F.lit(1))
-    loose = best_fields(scores, terms, second).join(strict.select("query_id").distinct(), "query_id", "left_anti").withColumn("phase", F.lit(2))
+    strict = enough(matches, terms, first).withColumn("phase", F.lit(1))
+    loose = enough(matches, terms, second).join(strict.select("query_id").distinct(), "query_id", "left_anti").withColumn("phase", F.lit(2))
     return strict.unionByName(loose)
 
 
@@ -220,3 +220,33 @@ def segmented_terms(questions: DataFrame, segments: Column, fine: Column, query_
     top = top.withColumn("weight", 5 * F.col("w") / F.sum("w").over(Window.partitionBy("query_id")))
     parts = F.array_distinct(F.concat(F.array(F.struct("token", "weight")), F.transform(F.filter("_fine", lambda x: F.col("token").contains(x) & (x != F.col("token"))), lambda x: F.struct(x.alias("token"), (F.col("weight") / 10).alias("weight")))))
     return top.select("query_id", F.explode(parts).alias("t")).groupBy("query_id", "t.token").agg(F.sum("t.weight").alias("weight"))
+
+
+def match_scores(chunks: DataFrame, fields: dict[str, Column], terms: DataFrame, boosts: dict[str, float] | None = None, chunk_id: str = "chunk_id") -> DataFrame:
+    """V6-V8 for a batch of questions: query_id, chunk_id, the best field's BM25 score and the number of terms matched.
+
+    Postings of the questions' tokens are dealt by chunk once; counting, scoring and summing then stay where they are,
+    and only document frequencies, one row a token, are shuffled besides. A posting is scored before it meets the questions
+    that ask for it.
+    """
+    boosts = boosts or {}
+    terms = terms.select("query_id", "token", "weight")
+    flat = _fields(chunks, fields, chunk_id).select(F.col(chunk_id).alias("chunk_id"), "field", "length", F.explode("tokens").alias("token"))
+    flat = flat.join(small(terms.select("token").distinct()), "token", "left_semi")
+    # A stated number: what is read back grows with the questions, so few small partitions would be too few.
+    flat = flat.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
+    here = {f: F.col("field") == f for f in fields}
+    wide = flat.groupBy("chunk_id", "token").agg(*[F.count_if(w).alias(f"tf_{f}") for f, w in here.items()], *[F.max(F.when(w, F.col("length"))).alias(f"len_{f}") for f, w in here.items()])
+    df = wide.groupBy("token").agg(*[F.count_if(F.col(f"tf_{f}") > 0).alias(f"df_{f}") for f in fields])
+    means = _fields(chunks, fields, chunk_id).groupBy().agg(*[F.avg(F.when(w, F.col("length"))).alias(f"avg_{f}") for f, w in here.items()], F.count_if(next(iter(here.values()))).alias("n"))
+    score = lambda f: F.when(F.col(f"tf_{f}") > 0, F.lit(boosts.get(f, 1.0)) * bm25(F.col(f"tf_{f}"), F.col(f"df_{f}"), F.col("n"), F.col(f"len_{f}"), F.col(f"avg_{f}"))).otherwise(0.0)
+    scored = wide.join(small(df), "token").crossJoin(F.broadcast(means)).select("chunk_id", "token", *[score(f).alias(f"s_{f}") for f in fields])
+    met = scored.join(small(terms), "token").groupBy("query_id", "chunk_id").agg(*[F.sum(F.col("weight") * F.col(f"s_{f}")).alias(f"s_{f}") for f in fields], F.count(F.lit(1)).cast("int").alias("n_matched"))
+    best = F.greatest(*[F.col(f"s_{f}") for f in fields]) if len(fields) > 1 else F.col(f"s_{next(iter(fields))}")
+    return met.select("query_id", "chunk_id", best.alias("score"), "n_matched")
+
+
+def enough(matches: DataFrame, terms: DataFrame, min_match: float) -> DataFrame:
+    """V8: the matches with enough of their question's distinct terms."""
+    wanted = terms.groupBy("query_id").agg(F.countDistinct("token").alias("n_terms"))
+    return matches.join(small(wanted), "query_id").where(F.col("n_matched") >= F.greatest(F.lit(1), F.floor(F.lit(min_match) * F.col("n_terms"))))

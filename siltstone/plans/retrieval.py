@@ -40,9 +40,12 @@ def questions(t):
     return flat.withColumn("weight", F.lit(1.0))
 
 
+def matches(t):
+    return L.match_scores(chunks_of(t), fields(), questions(t), {"content_ltks": 2.0, "title_tks": 10.0})
+
+
 def bm25_top(t, k=10, msm=0.3):
-    scores = L.field_scores(index(t), stats(t), questions(t), "bm25", {"content_ltks": 2.0, "title_tks": 10.0})
-    return L.top(L.best_fields(scores, questions(t), msm).withColumn("score", F.round("score", 6)), k)
+    return L.top(L.enough(matches(t), questions(t), msm).withColumn("score", F.round("score", 6)), k)
 
 
 BASE = rf"""
@@ -69,9 +72,9 @@ add("v06_bm25_facets", lambda t: bm25_top(t).join(t.documents.select(c("doc_id")
 add("v01_postings", lambda t: full_index(t).groupBy("field", "token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")), f"WITH {BASE} SELECT field, token, count(*) AS df, sum(tf)::BIGINT AS tf FROM f GROUP BY 1, 2")
 add("v05_scaled_idf", lambda t: L.field_scores(index(t), stats(t), questions(t), "idf").select("query_id", "chunk_id", "field", F.round("score", 6).alias("score")), f"WITH {BASE} SELECT query_id, chunk_id, field, round(sum({IDF}), 6) AS score FROM h GROUP BY 1, 2, 3")
 add("v06_boolean", lambda t: L.field_scores(index(t), stats(t), questions(t), "boolean", {"content_ltks": 2.0, "title_tks": 10.0}).select("query_id", "chunk_id", "field", "score"), f"WITH {BASE} SELECT query_id, chunk_id, field, sum({BOOST})::DOUBLE AS score FROM h GROUP BY 1, 2, 3")
-add("v07_best_fields", lambda t: L.best_fields(L.field_scores(index(t), stats(t), questions(t), "bm25", {"content_ltks": 2.0, "title_tks": 10.0}), questions(t), 0.0).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max(F.round("score", 6)), 5).alias("best")), f"WITH {BASE}, {BEST} SELECT query_id, count(*) AS n, round(max(score), 5) AS best FROM b GROUP BY 1")
-add("v08_min_should_match", lambda t: L.best_fields(L.field_scores(index(t), stats(t), questions(t)), questions(t), 0.6).groupBy("query_id").agg(F.count("*").alias("n")), f"WITH {BASE}, {BEST} SELECT query_id, count(*) AS n FROM b WHERE {_msm(0.6)} GROUP BY 1")
-add("v11_relaxed_search", lambda t: L.relaxed(L.field_scores(index(t), stats(t), questions(t)), questions(t), 0.95, 0.4).groupBy("query_id", "phase").agg(F.count("*").alias("n")), f"WITH {BASE}, {BEST}, a AS (SELECT query_id, chunk_id FROM b WHERE {_msm(0.95)}) SELECT query_id, 1 AS phase, count(*) AS n FROM a GROUP BY 1 UNION ALL SELECT query_id, 2, count(*) FROM b WHERE {_msm(0.4)} AND query_id NOT IN (SELECT query_id FROM a) GROUP BY 1")
+add("v07_best_fields", lambda t: L.enough(matches(t), questions(t), 0.0).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max(F.round("score", 6)), 5).alias("best")), f"WITH {BASE}, {BEST} SELECT query_id, count(*) AS n, round(max(score), 5) AS best FROM b GROUP BY 1")
+add("v08_min_should_match", lambda t: L.enough(matches(t), questions(t), 0.6).groupBy("query_id").agg(F.count("*").alias("n")), f"WITH {BASE}, {BEST} SELECT query_id, count(*) AS n FROM b WHERE {_msm(0.6)} GROUP BY 1")
+add("v11_relaxed_search", lambda t: L.relaxed(matches(t), questions(t), 0.95, 0.4).groupBy("query_id", "phase").agg(F.count("*").alias("n")), f"WITH {BASE}, {BEST}, a AS (SELECT query_id, chunk_id FROM b WHERE {_msm(0.95)}) SELECT query_id, 1 AS phase, count(*) AS n FROM a GROUP BY 1 UNION ALL SELECT query_id, 2, count(*) FROM b WHERE {_msm(0.4)} AND query_id NOT IN (SELECT query_id FROM a) GROUP BY 1")
 add("v12_listing", lambda t: t.documents.where("source = 'src4'").orderBy("lang", c("n_chars").desc(), "doc_id").select("doc_id").limit(64), "SELECT doc_id FROM documents WHERE source = 'src4' ORDER BY lang, n_chars DESC, doc_id LIMIT 64")
 
 
@@ -126,8 +129,7 @@ add("v02_vector_threshold", lambda t: V.nearest(asked(t), indexed(t), 30, 0.3).g
 
 
 def text_scores(t):
-    scores = L.field_scores(index(t), stats(t), questions(t), "bm25", {"content_ltks": 2.0, "title_tks": 10.0})
-    return L.best_fields(scores, questions(t), 0.3).withColumn("score", F.round("score", 6))
+    return L.enough(matches(t), questions(t), 0.3).withColumn("score", F.round("score", 6))
 
 
 add("v04_fused_within_text", lambda t: V.fuse(text_scores(t), V.nearest(asked(t), indexed(t), 30), 0.95).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 4).alias("score")), f"WITH {BASE}, {BEST}, d AS ({NEAR}) SELECT query_id, count(*) AS n, round(max(0.05 * score + 0.95 * coalesce((1 + cosine) / 2, 0)), 4) AS score FROM (SELECT query_id, chunk_id, score FROM b WHERE {_msm(0.3)}) LEFT JOIN d USING (query_id, chunk_id) GROUP BY 1")
