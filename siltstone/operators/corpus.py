@@ -98,3 +98,14 @@ def stratified(rows: DataFrame, bucket: str, order: str, total: int, seed: int =
     ranked = ranked.crossJoin(F.broadcast(n_buckets)).withColumn("_top", F.col("_rn") <= F.greatest(F.lit(1), F.floor(F.lit(total) / F.col("_b"))))
     picked = ranked.orderBy(F.desc("_top"), "_h", order).limit(total)
     return picked.withColumn("id", F.format_string("qa_%04d", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(bucket, order)))).drop("_h", "_rn", "_b", "_top")
+
+
+def numbered(rows: DataFrame, order: str, base: Column, chunks: int = 64) -> DataFrame:
+    """Adds ``id``, base + 1, base + 2 ... by a number column, without one task that sees all rows: ranges between
+    approximate quantiles are counted first, and rows are numbered inside their range."""
+    bounds = sorted(set(rows.approxQuantile(order, [i / chunks for i in range(1, chunks)], 0.005)))
+    dealt = rows.withColumn("_p", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b < F.col(order))))
+    counts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(order))
+    return dealt.join(F.broadcast(counts.select("_p", before.alias("_b"))), "_p").withColumn("id", base + F.col("_b") + inside).drop("_p", "_b")

@@ -8,15 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
-    """One page and the total of all rows, by one scan; size 0 gives all rows."""
-    counted = df.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
-    counted = counted.orderBy(*order)
-    return counted.offset((number - 1) * size).limit(size) if size else counted
-
-
 def page_with_total(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
-    """As ``page``; the total is an aggregate of its own, so no task sees all rows."""
+    """One page and the total of all rows; the total is an aggregate of its own, so no task sees all rows."""
     total = df.agg(F.count(F.lit(1)).alias("total"))
     return df.orderBy(*order).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(total))
 

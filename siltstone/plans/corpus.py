@@ -71,7 +71,7 @@ add("k20_retention", lambda t: K.keep_latest(t.events, "user_id", "event_id", 5)
 add("k21_pagerank_set", lambda t: K.update(chunks(t).withColumn("pagerank_fea", F.lit(None).cast("double")), c("kb_id") == "src5", {"pagerank_fea": 7.0}).groupBy("kb_id").agg(F.max("pagerank_fea").alias("p")), "SELECT source AS kb_id, CASE WHEN source = 'src5' THEN 7.0 END::DOUBLE AS p FROM documents GROUP BY 1")
 add("q12_enqueue_guard", lambda t: t.orders.select("o_orderkey", "o_custkey").join(t.orders.where("o_orderstatus = 'P'").select("o_custkey").distinct(), "o_custkey", "left_anti").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 add("q13_task_fan_out", lambda t: t.region.join(t.benchmark.select("item_id")).groupBy("r_regionkey").agg(F.count("*").alias("n")), "SELECT r_regionkey, count(*) AS n FROM region, benchmark GROUP BY 1")
-add("g04_new_ids", lambda t: t.benchmark.select("item_id", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("item_id")) + t.documents.agg(F.max("doc_id")).scalar()).alias("id")), "SELECT item_id, row_number() OVER (ORDER BY item_id) + (SELECT max(doc_id) FROM documents) AS id FROM benchmark")
+add("g04_new_ids", lambda t: C.numbered(t.benchmark.select("item_id"), "item_id", t.documents.agg(F.max("doc_id")).scalar()).select("item_id", "id"), "SELECT item_id, row_number() OVER (ORDER BY item_id) + (SELECT max(doc_id) FROM documents) AS id FROM benchmark")
 add("g07_progress_fold", lambda t: t.lineitem.groupBy("l_orderkey").agg(F.when(F.max("l_discount") >= 0.1, 1.0).when(F.min(F.when(c("l_linenumber") == 5, -1.0).otherwise(0.0)) < 0, -1.0).otherwise(F.max("l_discount")).alias("p")), "SELECT l_orderkey, CASE WHEN max(l_discount) >= 0.1 THEN 1.0 WHEN bool_or(l_linenumber = 5) THEN -1.0 ELSE max(l_discount) END::DOUBLE AS p FROM lineitem GROUP BY 1")
 add("g13_cancelled", lambda t: t.lineitem.join(t.orders.where("o_orderstatus = 'P'").select(c("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti").agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
 

@@ -173,6 +173,12 @@ def test_shards_and_summary(spark):
     assert tuple(evaluation.summary(first, []).first()) == (3, 0.666667, 0.416667, 0.333333, 0.333333, 0.666667, 0.666667)
 
 
+def test_numbers_follow_the_order(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
+    got = corpus.numbered(df, "k", F.lit(50), 8).orderBy("k").collect()
+    assert [r["id"] for r in got] == list(range(51, 1051))
+
+
 def test_folder_tree(spark):
     nodes = spark.createDataFrame([("r", "r", 1), ("a", "r", 2), ("b", "a", 4)], "id string, parent_id string, size long")
     assert {r["id"]: r["size"] for r in relational.subtree_sizes(nodes, "size").collect()} == {"r": 7, "a": 6, "b": 4}
