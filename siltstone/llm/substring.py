@@ -1,7 +1,7 @@
 """Substring dedup (3): hashed units, grouped by digest; the earliest occurrence stays, offsets are kept.
 
 Units are of two kinds. Lines of ``least`` words or more are hashed with their words lower-cased and their white
-space ignored. Passages that repeat inside longer lines share no line, so runs of ``window`` words are units as
+space ignored; shorter ones, such as licence lines, stay, so that documents which share no more than those are left alone. Passages that repeat inside longer lines share no line, so runs of ``window`` words are units as
 well: of each ``guard`` consecutive starts the run of the least digest is taken (winnowing), so two texts that share
 ``window + guard - 1`` words (50) or more share such a unit, wherever lines end.
 
@@ -125,7 +125,7 @@ def _cut(text: str | None, spans) -> tuple[str | None, list[tuple[int, int]], li
     return "".join(text[a:b] for a, b in zip(ends, starts, strict=True)), merged, sorted(homes)
 
 
-def dedup_substrings(docs: DataFrame, least: int = 8, window: int = 25, guard: int = 26, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, least: int = 25, window: int = 25, guard: int = 26, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, the cut text, ``removed`` (spans start:end of the original text), n_removed_chars and ``kept_in``, the
     ids of documents where the removed units stay."""
     keyed = docs.select(*row_key(doc_id, text), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

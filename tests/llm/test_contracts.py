@@ -153,7 +153,7 @@ def test_same_rows_as_sql(spark, data, name):
 
 def test_substring_dedup(docs, empty):
     got = {}
-    for r in substring.dedup_substrings(docs).collect():
+    for r in substring.dedup_substrings(docs, least=8).collect():
         got.setdefault(r["doc_id"], r)
     text = dict((i, t) for i, t in texts_of(docs) if i is not None)
     passage = text[10].split()[40:100]
@@ -168,6 +168,8 @@ def test_substring_dedup(docs, empty):
             keep = "".join(text[i][a:b] for a, b in zip([0, *[e for _, e in spans]], [*[s for s, _ in spans], len(text[i])], strict=True))
             assert keep == r["text"] and sum(b - a for a, b in spans) == r["n_removed_chars"]
     assert substring.dedup_substrings(empty).count() == 0
+    wide = {r["doc_id"]: r for r in substring.dedup_substrings(docs).collect()}
+    assert wide[13]["removed"] == "" and wide[11]["kept_in"] == [10] and wide[2]["text"].strip() == ""
 
 
 @pytest.mark.parametrize("size,percent", [(3, 85), (5, 80), (1, 50)])
