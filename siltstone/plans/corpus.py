@@ -13,6 +13,7 @@ from siltstone.operators import mutations as K
 from siltstone.operators import retrieval as V
 from siltstone.plans.registry import add
 from siltstone.plans.relational import CHUNKS, chunks
+from siltstone.plans.retrieval import asked
 
 c = F.col
 NORM = r"trim(regexp_replace(text, '[\s\x{3000}\x{00A0}\x{0085}]+', ' ', 'g'))"
@@ -77,9 +78,8 @@ add("g13_cancelled", lambda t: t.lineitem.join(t.orders.where("o_orderstatus = '
 
 # Evaluation
 def scored(t):
-    q = t.embeddings.where("vec_id < 40").select(c("vec_id").alias("query_id"), "embedding")
     d = t.embeddings.select(c("vec_id").alias("chunk_id"), "embedding", "label")
-    near = V.nearest(q, d, 50).where("query_id <> chunk_id").join(d.select("chunk_id", "label"), "chunk_id").join(d.select(c("chunk_id").alias("query_id"), c("label").alias("ql")), "query_id")
+    near = V.nearest(asked(t), d, 50).where("query_id <> chunk_id").join(d.select("chunk_id", "label"), "chunk_id").join(d.select(c("chunk_id").alias("query_id"), c("label").alias("ql")), "query_id")
     return near.select("query_id", "chunk_id", F.round("cosine", 6).alias("cosine"), ((c("chunk_id") % 7) / 7.0).alias("tokens"), (c("label") == c("ql")).alias("relevant"))
 
 

@@ -115,7 +115,8 @@ add("v16_token_similarity", lambda t: similar(t).select("query_id", "chunk_id",
 
 
 def asked(t):
-    return t.embeddings.where("vec_id < 40").select(c("vec_id").alias("query_id"), "embedding")
+    """The vectors of all benchmark questions."""
+    return t.embeddings.select(c("vec_id").alias("query_id"), "embedding").join(t.benchmark.select(c("item_id").alias("query_id")), "query_id", "left_semi")
 
 
 def indexed(t):
