@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.vectors import dot, norm
+
 #: Questions of one batch whose vectors go to the executors with the function; more are asked in batches.
 QUERY_BATCH = 4096
 
@@ -55,6 +57,16 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_cosine: float =
     return out.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") <= k) & (F.col("cosine") >= min_cosine)).drop("_rn")
 
 
+def pair_cosines(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, vector: str = "embedding") -> DataFrame:
+    """``pairs`` with the cosine of each (query_id, chunk_id); 0 where the question or the chunk has no vector."""
+    q = queries.select("query_id", F.col(vector).alias("_q"), norm(F.col(vector)).alias("_nq"))
+    d = vectors.select("chunk_id", F.col(vector).alias("_d"), norm(F.col(vector)).alias("_nd"))
+    few = F.broadcast(q) if q.count() <= QUERY_BATCH else q
+    both = pairs.join(d, "chunk_id", "left").join(few, "query_id", "left")
+    found = F.try_divide(dot(F.col("_q"), F.col("_d")), F.col("_nq") * F.col("_nd"))
+    return both.withColumn("cosine", F.coalesce(found, F.lit(0.0))).drop("_q", "_nq", "_d", "_nd")
+
+
 def _top(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     pdf = pdf.assign(_r=-pdf["cosine"].round(9)).sort_values(["query_id", "_r", "chunk_id"])
     return pdf.groupby("query_id").head(k).drop(columns="_r")

@@ -141,8 +141,7 @@ add("v18_tag_similarity", lambda t: t.part.select("p_partkey", F.round(V.tag_sim
 
 def reranked(t):
     """Token similarity and a cosine of chunk vectors for pairs with a common term."""
-    cos = V.nearest(asked(t), indexed(t), 500)
-    pairs = similar(t).join(cos, ["query_id", "chunk_id"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+    pairs = V.pair_cosines(similar(t), asked(t), indexed(t))
     return pairs.withColumn("sim", V.hybrid(c("cosine"), c("tksim"), 0.3)).withColumn("score", c("tksim"))
 
 

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 
 import __spark_entry__
+from siltstone import plans
+from siltstone.plans.registry import Tables
 
 N_QUESTIONS, N_VECTORS = 50, 560
 
@@ -45,3 +47,12 @@ def test_all_questions_are_searched(spark, wide, cosines):
     want = {(q, int(k)): cosines[q, k] for q in range(N_QUESTIONS) for k in np.lexsort((np.arange(N_VECTORS), -cosines[q].round(9)))[:30]}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in got)
     assert run(spark, "d06_summary", wide).first()["questions"] == N_QUESTIONS
+
+
+def test_all_pairs_have_their_cosine(spark, wide, cosines):
+    t = Tables(spark, wide)
+    got = {(r["query_id"], r["chunk_id"]): (r["cosine"], r["sim"], r["tksim"]) for r in plans.retrieval.reranked(t).collect()}
+    assert len(got) > 0.8 * N_QUESTIONS * N_VECTORS
+    for (q, d), (cosine, sim, tokens) in got.items():
+        want = cosines[q, d] if d < N_VECTORS else 0.0
+        assert abs(cosine - want) < 1e-9 and abs(sim - (0.3 * want + 0.7 * tokens)) < 1e-9
