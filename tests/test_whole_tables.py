@@ -56,3 +56,28 @@ def test_all_pairs_have_their_cosine(spark, wide, cosines):
     for (q, d), (cosine, sim, tokens) in got.items():
         want = cosines[q, d] if d < N_VECTORS else 0.0
         assert abs(cosine - want) < 1e-9 and abs(sim - (0.3 * want + 0.7 * tokens)) < 1e-9
+
+
+def longest(toc, sections):
+    """Length of the longest common subsequence, by the table."""
+    row = [0] * (len(sections) + 1)
+    for t in toc:
+        new = [0]
+        for j, s in enumerate(sections):
+            new.append(row[j] + 1 if t == s else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_contents_of_long_texts_are_aligned(spark, tmp_path):
+    rng = random.Random(2)
+    texts = [[f"line {rng.randrange(m):03}" for _ in range(n)] for n, m in ((150, 900), (120, 20), (60, 900), (3, 2))] + [[f"line {i:03}" for i in range(130)]]
+    spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in run(spark, "c28_toc_alignment", str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], []).append((r["entry"], r["section"]))
+    for i, lines in enumerate(texts):
+        path, toc = sorted(got[i]), sorted(lines)
+        assert all(toc[a] == lines[b] for a, b in path) and all(a < c and b < d for (a, b), (c, d) in zip(path, path[1:]))
+        assert len(path) == longest(toc, lines)
+    assert len(got[4]) == 130
