@@ -81,3 +81,9 @@ def test_contents_of_long_texts_are_aligned(spark, tmp_path):
         assert all(toc[a] == lines[b] for a, b in path) and all(a < c and b < d for (a, b), (c, d) in zip(path, path[1:]))
         assert len(path) == longest(toc, lines)
     assert len(got[4]) == 130
+
+
+def test_whole_task_list_is_ordered(spark, tmp_path):
+    rows = [(k, n) for k in (1, 150, 199, 200, 201, 5000) for n in (1, 2, 3)]
+    spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in run(spark, "r9_task_order", str(tmp_path)).collect()] == sorted(rows, key=lambda r: (r[0], -r[1]))
