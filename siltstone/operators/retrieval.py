@@ -14,10 +14,12 @@ from siltstone.functions.vectors import dot, norm
 
 #: Questions of one batch whose vectors go to the executors with the function; more are asked in batches.
 QUERY_BATCH = 4096
+#: Questions of one matrix product.
+QUERY_BLOCK = 512
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_cosine: float = -1.0, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """Exact k nearest by cosine: query_id, chunk_id, cosine.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_cosine: float = -1.0, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", digits: int = 9) -> DataFrame:
+    """Exact k nearest by cosine rounded to ``digits``, ties by id: query_id, chunk_id, cosine.
 
     Each partition of vectors is scored against a batch of questions by matrix products and keeps its own k best, so
     only partitions * questions * k rows are shuffled.
@@ -40,20 +42,24 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_cosine: float =
                     continue
                 x = np.stack(pdf["v"].map(np.asarray)).astype(float)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                c, s = pdf["c"].to_numpy(), q @ x.T
-                for i, row in enumerate(s):
-                    at = np.lexsort((c, -np.round(row, 9)))[:k] if len(row) > k else np.arange(len(row))
-                    best.append(pd.DataFrame({"query_id": ids[i], "chunk_id": c[at], "cosine": row[at]}))
-                if len(best) > 4 * len(ids):
-                    best = [_top(pd.concat(best), k)]
+                c, lists = pdf["c"].to_numpy(), []
+                for first in range(0, len(q), QUERY_BLOCK):
+                    for i, row in enumerate(q[first : first + QUERY_BLOCK] @ x.T, first):
+                        near = np.round(row, digits)
+                        at = np.flatnonzero(near >= np.partition(near, -k)[-k]) if len(row) > k else np.arange(len(row))
+                        at = at[np.lexsort((c[at], -near[at]))[:k]]
+                        lists.append((np.full(len(at), ids[i]), c[at], row[at]))
+                best.append(pd.DataFrame({n: np.concatenate(v) for n, v in zip(("query_id", "chunk_id", "cosine"), zip(*lists, strict=True), strict=True)}))
+                if len(best) > 4:
+                    best = [_top(pd.concat(best), k, digits)]
             if best:
-                yield _top(pd.concat(best), k)
+                yield _top(pd.concat(best), k, digits)
 
         found = vectors.select(F.col(chunk_id).cast("long").alias("c"), F.col(vector).alias("v")).where("v IS NOT NULL").mapInPandas(score, "query_id long, chunk_id long, cosine double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, cosine double")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "chunk_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", digits)), "chunk_id")
     return out.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") <= k) & (F.col("cosine") >= min_cosine)).drop("_rn")
 
 
@@ -67,8 +73,8 @@ def pair_cosines(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, vecto
     return both.withColumn("cosine", F.coalesce(found, F.lit(0.0))).drop("_q", "_nq", "_d", "_nd")
 
 
-def _top(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    pdf = pdf.assign(_r=-pdf["cosine"].round(9)).sort_values(["query_id", "_r", "chunk_id"])
+def _top(pdf: pd.DataFrame, k: int, digits: int) -> pd.DataFrame:
+    pdf = pdf.assign(_r=-pdf["cosine"].round(digits)).sort_values(["query_id", "_r", "chunk_id"])
     return pdf.groupby("query_id").head(k).drop(columns="_r")
 
 

@@ -183,19 +183,26 @@ def tag_matches(t):
 
 add("v31_tag_priors", lambda t: V.tag_priors(tags(t)).withColumn("prior", F.round("prior", 9)), f"WITH {TAGS} SELECT tag, n, round(prior, 9) AS prior FROM pr")
 add("v32_tag_scores", lambda t: V.tag_scores(tag_matches(t), V.tag_priors(tags(t))), f"WITH {BASE}, {BEST}, {TAGS}, tp AS (SELECT query_id, chunk_id FROM b WHERE {_msm(0.3)} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 100), m AS (SELECT query_id, source AS tag, count(*) AS c FROM tp JOIN documents ON doc_id = chunk_id GROUP BY 1, 2), l AS (SELECT query_id, tag, 0.1 * (c + 1) / (sum(c) OVER (PARTITION BY query_id) + 1000) / greatest(prior, 0.0001) AS lift FROM m JOIN pr USING (tag)) SELECT query_id, tag, greatest(1, round_even(lift, 0))::INT AS score FROM l QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(lift, 9) DESC, tag) <= 3")
-add("v35_citations", lambda t: V.citations(t.embeddings.where("vec_id < 60").select((c("vec_id") % 6).alias("answer_id"), c("vec_id").alias("sentence"), c("embedding").alias("a")).join(t.embeddings.where("vec_id >= 60").select(c("vec_id").alias("chunk"), c("embedding").alias("b"))).select("answer_id", "sentence", "chunk", F.round(_cosine(c("a"), c("b")), 6).alias("sim"))), """
+ANSWER = 10
+
+
+def sentence_pairs(t):
+    """Every vector is a sentence of the answer of ten that it belongs to; the chunks are the vectors of other answers.
+
+    Of each sentence the four chunks it can cite are enough, and as many more as its own answer may displace.
+    """
+    sentences, answer = t.embeddings.select(c("vec_id").alias("query_id"), "embedding"), lambda x: F.floor(c(x) / ANSWER)
+    near = V.nearest(sentences, indexed(t), 4 + ANSWER, digits=6).where(answer("query_id") != answer("chunk_id"))
+    return near.select(answer("query_id").alias("answer_id"), c("query_id").alias("sentence"), c("chunk_id").alias("chunk"), F.round("cosine", 6).alias("sim"))
+
+
+add("v35_citations", lambda t: V.citations(sentence_pairs(t)), """
 WITH p AS (SELECT a.vec_id % 6 AS answer_id, a.vec_id AS sentence, b.vec_id AS chunk, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id < 60 AND b.vec_id >= 60),
 m AS (SELECT *, max(sim) OVER (PARTITION BY answer_id, sentence) * 0.99 AS mx FROM p), t AS (SELECT *, max(mx) OVER (PARTITION BY answer_id) AS top FROM m),
 l AS (SELECT * FROM t WHERE mx >= CASE WHEN top >= 0.63 THEN 0.63 WHEN top >= 0.504 THEN 0.504 WHEN top >= 0.4032 THEN 0.4032 WHEN top >= 0.32256 THEN 0.32256 ELSE 1e9 END AND sim > mx QUALIFY row_number() OVER (PARTITION BY answer_id, sentence ORDER BY sim DESC, chunk) <= 4)
 SELECT answer_id, min(sentence) AS sentence, chunk FROM l GROUP BY answer_id, chunk""")
 
 
-def _cosine(a, b):
-    from siltstone.functions.vectors import cosine
-
-    return cosine(a, b)
-
-
 add("v36_citation_repair", lambda t: t.part.select("p_partkey", V.repair_citations(F.concat(F.lit("see (ID: "), (c("p_partkey") % 12).cast("string"), F.lit(") and 【ID: 3】 ref 99")), 10).alias("v")), "SELECT p_partkey, 'see ' || CASE WHEN p_partkey % 12 < 10 THEN '[ID:' || p_partkey % 12 || ']' ELSE '' END || ' and [ID:3] ' AS v FROM part")
 add("v38_evaluator_rerank", lambda t: V.nearest(asked(t), indexed(t), 30).join(indexed(t).select("chunk_id", "label"), "chunk_id").join(indexed(t).select(c("chunk_id").alias("query_id"), c("label").alias("ql")), "query_id").withColumn("sim", F.round(0.3 * c("cosine") + 0.7 * (c("label") == c("ql")).cast("double"), 6)).where("sim >= 0.2").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "chunk_id"))).select("query_id", "chunk_id", "sim", "rank"), f"SELECT n.query_id, n.chunk_id, round(0.3 * cosine + 0.7 * (n.label = q.label)::INT, 6) AS sim, row_number() OVER (PARTITION BY n.query_id ORDER BY round(0.3 * cosine + 0.7 * (n.label = q.label)::INT, 6) DESC, n.chunk_id)::INT AS rank FROM ({NEAR}) n JOIN embeddings q ON q.vec_id = n.query_id WHERE round(0.3 * cosine + 0.7 * (n.label = q.label)::INT, 6) >= 0.2")
 add("v30_keyword_expansion", lambda t: t.benchmark.select("item_id", F.size(F.array_distinct(F.filter(F.concat(text.tokens("text"), text.fine_tokens("text")), lambda x: F.length(x) >= 2))).cast("long").alias("n")), rf"SELECT item_id, len(list_distinct(list_filter({TOK}, lambda x: length(x) >= 2)))::BIGINT AS n FROM benchmark")

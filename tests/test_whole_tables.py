@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__
 from siltstone import plans
+from siltstone.operators import retrieval
 from siltstone.plans.registry import Tables
 
 N_QUESTIONS, N_VECTORS = 50, 560
@@ -87,3 +88,19 @@ def test_whole_task_list_is_ordered(spark, tmp_path):
     rows = [(k, n) for k in (1, 150, 199, 200, 201, 5000) for n in (1, 2, 3)]
     spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [tuple(r) for r in run(spark, "r9_task_order", str(tmp_path)).collect()] == sorted(rows, key=lambda r: (r[0], -r[1]))
+
+
+def test_every_sentence_is_cited(spark, wide, cosines):
+    sim, want = cosines.round(6), set()
+    for answer in range(N_VECTORS // 10):
+        own = range(10 * answer, 10 * answer + 10)
+        others = [d for d in range(N_VECTORS) if d not in own]
+        best = {s: 0.99 * max(sim[s, d] for d in others) for s in own}
+        level = next((x for x in retrieval.CITATION_LEVELS if max(best.values()) >= x), np.inf)
+        seen = set()
+        for s in own:
+            cited = sorted((d for d in others if sim[s, d] > best[s] >= level), key=lambda d: (-sim[s, d], d))[:4]
+            want |= {(answer, s, d) for d in cited if d not in seen}
+            seen |= set(cited)
+    got = {(r["answer_id"], r["sentence"], r["chunk"]) for r in run(spark, "v35_citations", wide).collect()}
+    assert got == want and len({a for a, _, _ in got}) == N_VECTORS // 10
