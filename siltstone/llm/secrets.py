@@ -108,7 +108,7 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sc
     weak = parts.where("kind > 2").select("_row", "start", "end", "kind", "role", bins(F.greatest(F.lit(0), F.col("start") - scope), F.col("end") + scope))
     other = parts.select("_row", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("kind").alias("k2"), F.col("role").alias("r2"), bins(F.col("start"), F.col("end")))
     pairs = weak.join(other, ["_row", "_bin"]).where("s2 <= end + %d AND e2 >= start - %d" % (scope, scope))
-    inside = F.max((F.col("k2") < 3) & (F.col("s2") < F.col("end")) & (F.col("e2") > F.col("start")))
+    inside = F.max((F.col("k2") < 3) & (F.col("s2") <= F.col("start")) & (F.col("e2") >= F.col("end")))
     partner = F.expr("role = 'i' AND r2 = 's' OR role = 's' AND r2 IN ('i', 'e') OR role = 'e' AND r2 = 's'")
     apart = (F.col("s2") >= F.col("end")) | (F.col("e2") <= F.col("start"))
     linked = (
