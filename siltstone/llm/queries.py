@@ -29,7 +29,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup_substrings(table(spark, sf_dir, "documents"), least=1)
+    return substring.dedup_substrings(table(spark, sf_dir, "documents"), least=1, guard=25)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Units are of two kinds. Lines of ``least`` words or more are hashed with their words lower-cased and their white
 space ignored. The query takes every line (``least`` = 1), which covers paragraphs and short texts too, as all their
 lines repeat. Passages that repeat inside longer lines share no line, so runs of ``window`` words are units as well: of each ``guard`` consecutive starts the run of the least digest is taken (winnowing), so two texts that share
-``window + guard - 1`` words (50) or more share such a unit, wherever lines end.
+``window + guard - 1`` words (50) or more share such a unit, wherever lines end. The query's ``guard`` is no larger than
+``window``, so neighbouring runs of a shared passage touch and no word between them stays.
 
 Digests have 128 bits. A pre-aggregated count finds those that occur more than once, with the least id that has them;
 only occurrences of those are ranked, by (id, row digest, offset). All but the earliest are removed: their
