@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +18,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None, per_file: int = 1 << 18) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session has none, which is the case in local tests.
+    ``rows``, if given, is a bound of the rows, which then go to files of ``per_file`` rows instead of one for each
+    shuffle partition. A folder of our own is set only in local sessions that have none, as in tests; on a cluster
+    it would be one machine's.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    if rows is not None:
+        df = df.coalesce(max(1, min(partitions(df), -(-rows // per_file))))
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Hold what several plans read on the executors' disks. The lineage stays: parts that go with an executor are made anew.
+
+    ``spark.catalog.clearCache()`` frees them. Held data should not stem from other held data, as plans then repeat
+    each other's text; loops and long chains use ``cut``.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def partitions(df: DataFrame, factor: int = 1) -> int:
     """The session's number of shuffle partitions, for ``repartition`` before Python stages."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * factor)

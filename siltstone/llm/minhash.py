@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, partitions
+from siltstone.llm.common import cut, keep, partitions
 from siltstone.llm.wordhash import U, Words, mix, slices, windows
 
 _EMPTY = np.iinfo(np.uint64).max
@@ -131,49 +131,64 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").mapInArrow(run, "node long, items binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= percent * union holds on full sets."""
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 4096) -> DataFrame:
+    """The pairs (a, b) of which 100 * intersection >= percent * union holds on full sets.
+
+    Pairs meet by their pivot ``a`` in blocks of about ``block``: its set is sent once to each block, and the others
+    stream past it, so a task holds one set and one batch whatever the size of the group.
+    """
+
+    def alike(p: np.ndarray, q: np.ndarray) -> bool:
+        place = np.searchsorted(q, p)
+        place[place == len(q)] = 0
+        both = int((q[place] == p).sum())
+        return 100 * both >= percent * (len(p) + len(q) - both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, sets, opening = None, [], False  # an id with several texts is a pivot with several sets
         for batch in batches:
-            a, b = batch.column("a").to_numpy(zero_copy_only=False), batch.column("b").to_numpy(zero_copy_only=False)
             good = []
-            for i, (x, y) in enumerate(zip(batch.column("_x"), batch.column("_y"), strict=True)):
-                p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                both = int((q[at] == p).sum()) if len(q) else 0
-                if both and 100 * both >= percent * (len(p) + len(q) - both):
+            at, nodes = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            for i, item in enumerate(batch.column("items")):
+                p = np.frombuffer(item.as_buffer(), U)
+                if nodes[i] is None:
+                    sets = [*(sets if opening and at[i] == pivot else ()), p.copy()]
+                    pivot, opening = at[i], True
+                    continue
+                opening = False
+                if any(alike(p, q) for q in sets):
                     good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(a[good], pa.int64()), pa.array(b[good], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
-    one = sets.select(F.col("node").alias("a"), F.col("items").alias("_x"))
-    two = sets.select(F.col("node").alias("b"), F.col("items").alias("_y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / block)).alias("part"))
+    ones = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("node", "a"), "a")
+    others = dealt.join(sets.withColumnRenamed("node", "b"), "b")
+    rows = ones.select("a", "part", F.lit(None).cast("long").alias("b"), "items").unionByName(others.select("a", "part", "b", "items"))
+    # Nulls, the pivots, sort first.
+    return rows.repartition(partitions(pairs), "a", "part").sortWithinPartitions("a", "part", "b").select("a", "b", "items").mapInArrow(run, "a long, b long")
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and label, the least node of its component, for every node of ``links`` (a, b).
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
+    """node and label, the least node of its component, for every node of ``links`` (a, b), of which there are ``most`` at most.
 
     Large-star and small-star steps in turn until nothing changes: each step moves only edges, combines the
     least neighbours before its shuffle, and a hub with very many edges is a skewed join, which is split.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), most)
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(moved.union(least.select("u", "m")).distinct())
+        # A step makes two edges at most of each.
+        edges = cut(moved.union(least.select("u", "m")).distinct(), 2 * before[0])
         after = _state(edges)
         if after == before:
             break
@@ -236,53 +251,56 @@ def _compare(percent: int):
                     if len(held[0]) > 1:
                         yield done()
                     key, held = now, ([], [], [], [])
-                for to, x in zip(held, (c["node"][r], c["label"][r], c["side"][r], np.frombuffer(item.as_buffer(), U)), strict=True):
+                for to, x in zip(held, (c["node"][r], c["label"][r], c["side"][r], np.frombuffer(item.as_buffer(), U).copy()), strict=True):
                     to.append(x)
         yield done()
 
     return run
 
 
-def _links(docs: DataFrame, sigs: DataFrame, size: int, percent: int, block: int = 128) -> DataFrame | None:
-    """Labels of representatives by verified links, enough of them to connect what all candidates connect."""
+def _links(docs: DataFrame, sigs: DataFrame, size: int, percent: int, block: int = 128, elements: int = 1 << 18) -> DataFrame | None:
+    """Labels of representatives by verified links, enough of them to connect what all candidates connect.
+
+    Blocks hold ``block`` sets or ``elements`` elements, whichever is less, one set at least.
+    """
     reps = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("r"))
     rows = reps.select(F.explode("r.keys").alias("key"), F.col("r.doc_id").alias("node"), F.col("r.n_shingles").alias("n"))
-    shared = cut(rows.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("y"), F.min(F.struct("node", "n")).alias("f")).where("p < y").select("key", "p", F.col("f.n").alias("pn")))
+    shared = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("f"), F.max("node").alias("y")).where("f.node < y").select("key", F.col("f.node").alias("p"), F.col("f.n").alias("pn"))
     members = cut(rows.join(shared, "key").where("node <> p"))
-    if members.isEmpty():
+    most = members.count()
+    if not most:
         return None
     nodes = members.select("node").union(members.select("p")).distinct()
-    sets = cut(_sets(docs, nodes, size))
+    sets = keep(_sets(docs, nodes, size))
     # First every member against the pivot of its bucket.
     alike = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-    pairs = members.where(alike).select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(verify(pairs, sets, percent))
-    labels = cut(components(links))
-    named = members.select("key", "p", "node").join(labels, "node", "left").select("key", "p", "node", F.coalesce("label", "node").alias("label"))
-    named = cut(named)
+    pairs = cut(members.where(alike).select(F.col("p").alias("a"), F.col("node").alias("b")).distinct(), most)
+    labels = components(verify(pairs, sets, percent), most)
+    named = cut(members.join(labels, "node", "left").select("key", "p", "node", "n", F.coalesce("label", "node").alias("label")), most)
     # Then, where a bucket holds several components, its members against each other, in blocks.
     opened = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    around = named.join(cut(opened), "key").select("p", "node", "label").distinct()
-    around = around.join(labels.select(F.col("node").alias("p"), F.col("label").alias("g")), "p", "left").select(F.coalesce("g", "p").alias("g"), "node", "label").distinct()
-    around = cut(around)
-    sizes = around.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-    parts = cut(sizes.select("g", F.ceil(F.col("m") / block).cast("int").alias("parts")))
+    around = named.join(opened, "key").select("p", "node", "n", "label").distinct()
+    around = around.join(labels.select(F.col("node").alias("p"), F.col("label").alias("g")), "p", "left").select(F.coalesce("g", "p").alias("g"), "node", "n", "label").distinct()
+    around = cut(around, most)
+    sizes = around.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("e"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+    parts = sizes.select("g", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("e") / elements)).cast("int").alias("parts"))
     if parts.isEmpty():
         return labels
-    dealt = around.join(parts, "g").withColumn("side", F.pmod(F.xxhash64("node"), "parts").cast("int")).join(sets, "node")
+    dealt = around.join(parts, "g").withColumn("side", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "label", "side", "items")
+    spread = spread.select("g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "label", "side").join(sets, "node")
     n = partitions(docs)
     more = spread.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_compare(percent), "a long, b long")
-    return components(links.union(cut(more)))
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (least id reachable) and kept."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sigs = cut(signatures(docs, size, percent / 100))
-    exact = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    same = cut(sigs.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "d1", "d2").join(cut(exact), ["d1", "d2"]).select("doc_id", "rep").distinct())
+    some = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "d1", "d2")
+    exact = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    same = keep(some.join(exact, ["d1", "d2"]).select("doc_id", "rep").distinct())
     labels = _links(docs, sigs, size, percent)
     # An id with several texts links their groups; such ids are few.
     several = same.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("doc_id")
