@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, row_key
+from siltstone.llm.common import keep, row_key
 from siltstone.llm.wordhash import U, Words, mix, powers, slices, windows
 
 _UNITS = "_k1 long, _k2 long, start int, end int, h1 long, h2 long"
@@ -102,9 +102,9 @@ def removed_spans(docs: DataFrame, least: int, window: int, guard: int) -> DataF
     found = units(docs, least, window, guard)
     keys = ["h1", "h2"]
     groups = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_k2").alias("home")).where("n > 1").select(*keys, "home")
-    twice = cut(found.join(cut(groups), keys))
+    twice = keep(found.join(groups, keys))
     place = F.struct("_k1", "start")
-    earliest = cut(twice.where("_k2 = home").groupBy(*keys).agg(F.min(place).alias("p"), F.max(place).alias("q")))
+    earliest = twice.where("_k2 = home").groupBy(*keys).agg(F.min(place).alias("p"), F.max(place).alias("q"))
     at_home = twice.where("_k2 = home").join(earliest.where("p < q").select(*keys, "p"), keys).where(place > F.col("p"))
     gone = twice.where("_k2 <> home").unionByName(at_home.drop("p"))
     return gone.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set(F.struct("start", "end", "home"))).alias("spans"))
@@ -126,7 +126,7 @@ def _cut(text: str | None, spans) -> tuple[str | None, list[tuple[int, int]], li
     return "".join(text[a:b] for a, b in zip(ends, starts, strict=True)), merged, sorted(homes)
 
 
-def dedup_substrings(docs: DataFrame, least: int = 25, window: int = 25, guard: int = 26, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, least: int = 1, window: int = 25, guard: int = 25, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, the cut text, ``removed`` (spans start:end of the original text), n_removed_chars and ``kept_in``, the
     ids of documents where the removed units stay."""
     keyed = docs.select(*row_key(doc_id, text), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
