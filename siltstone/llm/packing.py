@@ -5,11 +5,12 @@ tokens; longer ones give whole windows of 4096 and route the rest). Each tier is
 a document opens a window, and the gap behind it is filled from shorter tiers, whole documents first, the last
 one cut where the window ends. So every window is full; at the end of a partition the last, open window is cut
 into smaller tiers, and at most 255 tokens a partition stand in a padded window. Windows of a tier are dealt
-to step groups of equal token budgets: ``step`` numbers the groups of each tier.
+to step groups of equal token budgets over all partitions, so that only the last group of a tier may be short: ``step``
+numbers the groups of each tier.
 
-Packing needs no shuffle and no state beyond the partition: documents wait in tiers up to ``buffer`` tokens, so
+Texts are not shuffled and no state goes beyond the partition: documents wait in tiers up to ``buffer`` tokens, so
 the memory of a task is bounded, and a lost task is packed again from its own input alone. Sequence numbers carry the
-partition in their upper bits.
+partition in their upper bits. Step groups come from counts of windows by partition and tier, summed in their order.
 
 Defined results: null and empty texts give the end token alone; repeated rows are packed each; null ids stay
 null; other columns are ignored; an empty table gives an empty result.
@@ -19,34 +20,40 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import compress
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import keep
 from siltstone.llm.wordhash import slices
 
 TIERS = (4096, 2048, 1024, 512, 256)
-_FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step long"
+_FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, number long"
 _loaded: dict[str, Encoder] = {}
+_STOP = re.compile(r"[.,]$", re.M)
 
 
 class Encoder:
     """Ids of whole texts, remembered by word.
 
     Fit for tokenizers that drop white space and never merge across it: a text's ids are those of the pieces
-    between its blanks and line ends, one after the other. What a piece encodes to is kept for up to ``most`` pieces,
-    while a task lasts: workers outlive tasks, and hold the tokenizer only between them.
+    between its blanks and line ends, one after the other. For other tokenizers whole texts are encoded.
+    What a piece encodes to is kept for up to ``most`` pieces (about 200 MB) and outlives tasks, as workers do; beyond
+    that all is forgotten and learned anew.
     Words of letters alone are one token run each, so they are learned many at a time, joined by blanks and
     parted where tokens end words; a word in other case, or with a stop behind it, is put together from its parts.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,6 +64,7 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.lowers = "Lowercase" in json.dumps(whole["normalizer"])
+        self.by_piece = self._splits_at_blanks()
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -65,6 +73,11 @@ class Encoder:
             _loaded[path] = cls(path)
         return _loaded[path]
 
+    def _splits_at_blanks(self) -> bool:
+        """Whether blanks and line ends leave nothing behind in ids: tried on texts that other tokenizers join or mark."""
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        return all(ids(t) == [i for p in t.replace("\n", " ").split(" ") if p for i in ids(p)] for t in ("a b", " the  of\nThe, 12 a.\n\nb ", "é x\ny", "don't it 's"))
+
     def _each(self, pieces: list[str], known: dict[str, bytes]) -> None:
         for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
             known[p] = np.array(e.ids, np.uint32).tobytes()
@@ -85,31 +98,40 @@ class Encoder:
                 known[p] = data[lo:hi]
                 lo = hi
 
-    def _learn(self, missing: set[str], known: dict[str, bytes]) -> None:
-        stem: dict[str, str] = {}
-        for p in missing:
-            q = p[:-1] if p[-1] in ".," else p
-            if q.isalpha():
-                # Up to U+017F lower case is one character for one, whoever lowers it.
-                stem[p] = q.lower() if self.lowers and max(q) < "\u0180" else q
-        self._words(sorted(set(stem.values()).difference(known)), known)
+    def _learn(self, missing: list[str], known: dict[str, bytes]) -> None:
+        """Learn pieces: the plain ones from their stems, others whole.
+
+        Plain are letters below U+0180 with a stop behind them or none: there a letter is lower-cased to one letter,
+        whoever does it. Not so U+0130, which leaves a mark that isn't a letter and joins what follows.
+        """
+        joined = "\n".join(missing)
+        if max(joined) >= "\u0180" or "\u0130" in joined:
+            odd = {p for p in missing if max(p) >= "\u0180" or "\u0130" in p}
+            self._each(list(odd), known)
+            missing = [p for p in missing if p not in odd]
+            joined = "\n".join(missing)
+        if self.lowers:
+            joined = joined.lower()
+        stems = _STOP.sub("", joined).split("\n")
+        plain = list(map(str.isalpha, stems))
+        self._words(list(set(compress(stems, plain)).difference(known)), known)
+        self._each([p for p, good in zip(missing, plain, strict=True) if not good], known)
         self._each([p for p in (".", ",") if p not in known], known)
-        self._each([p for p in missing if p not in stem and p not in known], known)
-        for p, q in stem.items():
-            known[p] = known[q] + known[p[-1]] if p[-1] in ".," else known[q]
-
-    def forget(self) -> None:
-        self.known = {"": b""}
+        tails = {".": known["."], ",": known[","]}
+        whole, stems = list(compress(missing, plain)), compress(stems, plain)
+        known.update(zip(whole, map(add, map(known.__getitem__, stems), [tails.get(p[-1], b"") for p in whole]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.by_piece:
+            return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
         missing = set().union(*split).difference(self.known)
         if len(self.known) + len(missing) > self.most:
             self.known = {"": b""}
             missing = set().union(*split).difference(self.known)
         if missing:
-            self._learn(missing, self.known)
+            self._learn(list(missing), self.known)
         get = self.known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
@@ -176,7 +198,7 @@ class Packer:
         """The pieces of a window that can't be filled, in full windows of smaller tiers and a last one below the least."""
         left = sum(len(p[2]) for p in window)
         queue = deque(window)
-        for size in [*(t for t in self.tiers for _ in range(1)), None]:
+        for size in [*self.tiers, None]:
             while left and (size is None or left >= size):
                 need, out = min(left, size or left), []
                 left -= need
@@ -209,10 +231,10 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, step_tokens: int = 1 << 16
             nonlocal count
             total, offset = sum(len(p[2]) for p in window), 0
             tier = total if total & (total - 1) == 0 else TIERS[0]
-            group = at + per_tier.get(tier, 0) // max(1, step_tokens // tier)
-            per_tier[tier] = per_tier.get(tier, 0) + 1
+            number = per_tier.get(tier, 0)
+            per_tier[tier] = number + 1
             for (doc, n), start, ids in window:
-                rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), n, count, offset, tier, group))
+                rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), n, count, offset, tier, number))
                 offset += len(ids)
             count += 1
 
@@ -230,10 +252,21 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, step_tokens: int = 1 << 16
                         place(window)
                 if len(rows) > 10_000:
                     yield flush()
-        encoder.forget()
         for window in packer.finish():
             place(window)
         if rows:
             yield flush()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, _FIELDS)
+    pieces = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, _FIELDS)
+    return with_steps(keep(pieces), step_tokens)
+
+
+def with_steps(pieces: DataFrame, step_tokens: int) -> DataFrame:
+    """``pieces`` with ``step`` instead of ``number``, the window's number in its partition and tier."""
+    part = F.shiftright("sequence_id", 40).alias("_part")
+    before = Window.partitionBy("tier").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = pieces.groupBy(part, "tier").agg((F.max("number") + 1).alias("n"))
+    base = counts.select("_part", F.col("tier").alias("_tier"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    joined = pieces.join(base, (part == base["_part"]) & (F.col("tier") == base["_tier"]))
+    step = F.floor((F.col("_base") + F.col("number")) / F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("tier")))).cast("long")
+    return joined.select(*[c for c in pieces.columns if c != "number"], step.alias("step"))
