@@ -1,10 +1,11 @@
 """Chat formatting (1): schema fingerprints select declarative mappings to canonical turns.
 
-A record's layout is the set of its nested field paths with the kinds of their leaves (``messages[].role:str``);
-the fingerprint is a digest of the sorted paths. ``LAYOUTS`` declares, for each known layout, where turns come from:
-``turns`` names an array and the fields of role and text in its elements, ``fields`` lists (role, path) pairs of
-single fields in order. Optional fields and extra ones make layouts of their own, so a layout is looked up first by
-its fingerprint and, if that is unknown, by the one mapping whose required paths the record has.
+A record's layout is the set of its nested field paths (``messages[].content[].text``); the fingerprint is a digest of
+the sorted paths. ``LAYOUTS`` declares, for each known layout, where turns come from: ``turns`` names an array and the
+fields of role and text in its elements, ``fields`` lists (role, path) pairs of single fields in order; all are paths,
+whose steps are parted by dots. Optional fields and extra ones make layouts of their own, so a layout is looked up first
+by its fingerprint and, if that is unknown, by the one mapping whose required paths the record has. A text given as
+a list of parts is the parts' texts, one to a line.
 
 Template: each turn is ``<turn role>`` and a line end, the escaped text, ``</turn>`` and a line end. Escaping doubles
 every backslash and writes ``\\l`` for the ``<`` of anything that looks like a turn's mark, so no control string
@@ -27,17 +28,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Mappings by name. ``turns``: array path, role field, text field. ``fields``: (role, path), in order.
+#: Names of roles that mappings with ``roles`` put into canonical ones.
+ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Mappings by name. ``turns``: array path, role path, text path. ``fields``: (role, path), in order.
 LAYOUTS: dict[str, dict] = {
     "messages": {"turns": ("messages", "role", "content")},
     "rows": {"turns": ("turns", "role", "text")},
-    "shares": {"turns": ("conversations", "from", "value")},
+    "shares": {"turns": ("conversations", "from", "value"), "roles": ROLES},
+    "authored": {"turns": ("conversation.messages", "author.role", "content.parts"), "roles": ROLES},
     "prompt_completion": {"fields": [("user", "prompt"), ("assistant", "completion")]},
     "prompt_response": {"fields": [("user", "prompt"), ("assistant", "response")]},
     "instruction": {"fields": [("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")], "optional": ["system", "input"]},
+    "input_output": {"fields": [("system", "input.system"), ("user", "input.prompt"), ("assistant", "output.text")], "optional": ["input.system"]},
     "question": {"fields": [("user", "question"), ("assistant", "answer")]},
 }
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 _MARK = re.compile(r"<(?=/?turn)")
 _TURN = re.compile(r"<turn ((?:[^>\\]|\\.)*)>\n(.*?)</turn>\n", re.S)
 
@@ -67,17 +71,34 @@ def known_fingerprints(layouts: dict[str, dict] = LAYOUTS) -> dict[str, str]:
     return {hashlib.sha256("\n".join(sorted(_required(m))).encode()).hexdigest()[:16]: name for name, m in layouts.items()}
 
 
-def select_layout(value, known: dict[str, str], layouts: dict[str, dict] = LAYOUTS) -> str | None:
-    """By fingerprint; else the fitting mapping with the most required paths, the first of equals. Found ones are remembered."""
+def _has(have: set[str], required: str) -> bool:
+    """Whether a path is there, as a leaf or with something below it."""
+    return required in have or any(p.startswith((f"{required}[]", f"{required}.")) for p in have)
+
+
+def select_layout(value, known: dict[str, str], layouts: dict[str, dict] = LAYOUTS, most: int = 10_000) -> str | None:
+    """By fingerprint; else the fitting mapping with the most required paths, the first of equals. Up to ``most`` found ones are remembered."""
     mark = fingerprint(value)
     if mark not in known:
         have = paths(value)
-        fitting = [n for n, m in layouts.items() if _required(m) <= have]
-        known[mark] = max(fitting, key=lambda n: len(_required(layouts[n])), default=None)
+        fitting = [n for n, m in layouts.items() if all(_has(have, p) for p in _required(m))]
+        found = max(fitting, key=lambda n: len(_required(layouts[n])), default=None)
+        if len(known) >= most:
+            return found
+        known[mark] = found
     return known[mark]
 
 
+def _at(value, path: str):
+    """What stands at a path; null where a step is missing."""
+    for step in path.split("."):
+        value = value.get(step) if isinstance(value, dict) else None
+    return value
+
+
 def _string(x) -> str:
+    if isinstance(x, list):
+        return "\n".join(_string(p["text"] if isinstance(p, dict) and isinstance(p.get("text"), str) else p) for p in x)
     return "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
 
 
@@ -88,9 +109,11 @@ def canonical_turns(value, layout: str | None, layouts: dict[str, dict] = LAYOUT
     mapping = layouts[layout]
     if "turns" in mapping:
         array, role, text = mapping["turns"]
-        found = [(_string(t.get(role)), _string(t.get(text))) for t in value.get(array) or [] if isinstance(t, dict)]
-        return [(ROLES.get(r, r), t) for r, t in found] if role == "from" else found
-    return [(r, _string(value.get(p))) for r, p in mapping["fields"] if value.get(p) not in (None, "") or p not in mapping.get("optional", ())]
+        turns = _at(value, array)
+        found = [(_string(_at(t, role)), _string(_at(t, text))) for t in (turns if isinstance(turns, list) else []) if isinstance(t, dict)]
+        return [(mapping.get("roles", {}).get(r, r), t) for r, t in found]
+    said = [(r, p, _at(value, p)) for r, p in mapping["fields"]]
+    return [(r, _string(x)) for r, p, x in said if x not in (None, "") or p not in mapping.get("optional", ())]
 
 
 def escape(text: str) -> str:
