@@ -156,7 +156,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
 
 
 def learn(docs: DataFrame, labels: DataFrame, dims: int = 1 << 13, rank: int = 6, sample: int = 6000, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Machine:
-    """Fit on at most ``sample`` of the labelled documents outside the held-out fold."""
+    """Fit on at most ``sample`` of the labelled documents outside the held-out fold, one row of each.
+
+    Of several texts of one id the one of the least hash counts. What reaches the driver is bounded by ``sample`` rows of
+    ``dims`` words each.
+    """
     marked = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)").where(~held_out(F.col("_id")))
     chosen = marked.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
 
@@ -167,10 +171,15 @@ def learn(docs: DataFrame, labels: DataFrame, dims: int = 1 << 13, rank: int = 6
                 lists = lambda flat: pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), lists(index), lists(value), pa.array(list(stats))], ["id", "y", "i", "x", "s"])
 
-    picked = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_t")
-    table = picked.mapInArrow(run, "id long, y int, i array<int>, x array<double>, s array<double>").toArrow().sort_by([("id", "ascending")])
-    rows = [(np.array(i, np.int32), np.array(x), np.array(s)) for i, x, s in zip(*(table.column(c).to_pylist() for c in "ixs"), strict=True)]
-    return fit(rows, np.array(table.column("y").to_pylist(), float), dims, rank)
+    marked = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_id")
+    picked = marked.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_t"), "_t")).alias("m")).select("_id", "_y", "m._t")
+    table = picked.mapInArrow(run, "id long, y int, i array<int>, x array<double>, s array<double>").toArrow().sort_by([("id", "ascending")]).combine_chunks()
+    lists = [table.column(c).combine_chunks() for c in "ixs"]
+    starts = lists[0].offsets.to_numpy() if len(table) else np.zeros(1, np.int32)
+    i, x, s = (a.flatten().to_numpy() for a in lists)
+    s, at = s.reshape(len(table), N_STATS), starts - starts[0]
+    rows = [(i[a:b], x[a:b], s[n]) for n, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
+    return fit(rows, table.column("y").to_numpy().astype(float), dims, rank)
 
 
 def classify(docs: DataFrame, machine: Machine, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text", columns: list[str] | None = None, prefix: str = "") -> DataFrame:
