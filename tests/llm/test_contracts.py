@@ -168,7 +168,7 @@ def test_substring_dedup(docs, empty):
             keep = "".join(text[i][a:b] for a, b in zip([0, *[e for _, e in spans]], [*[s for s, _ in spans], len(text[i])], strict=True))
             assert keep == r["text"] and sum(b - a for a, b in spans) == r["n_removed_chars"]
     assert substring.dedup_substrings(empty).count() == 0
-    wide = {r["doc_id"]: r for r in substring.dedup_substrings(docs).collect()}
+    wide = {r["doc_id"]: r for r in substring.dedup_substrings(docs, least=25, guard=26).collect()}
     assert wide[13]["removed"] == "" and wide[11]["kept_in"] == [10] and wide[2]["text"].strip() == ""
 
 
