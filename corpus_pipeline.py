@@ -40,8 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a document stands in it once for each pass that takes of it."""
-    return _counted(mixing.mixed_texts(docs), docs.columns)
+    """Sources at their target weights; a document stands in it once for each of 16 shards and each pass that takes of it."""
+    return _counted(mixing.mixed_texts(docs, shards=16), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
