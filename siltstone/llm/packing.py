@@ -47,8 +47,8 @@ class Encoder:
 
     Fit for tokenizers that drop white space and never merge across it: a text's ids are those of the pieces
     between its blanks and line ends, one after the other. For other tokenizers whole texts are encoded.
-    What a piece encodes to is kept for up to ``most`` pieces (about 200 MB) and outlives tasks, as workers do; beyond
-    that all is forgotten and learned anew.
+    What a piece encodes to is kept for up to ``most`` pieces (about 200 bytes each) and outlives tasks, as workers do;
+    beyond that all is forgotten but what the texts at hand need.
     Words of letters alone are one token run each, so they are learned many at a time, joined by blanks and
     parted where tokens end words; a word in other case, or with a stop behind it, is put together from its parts.
     """
@@ -67,10 +67,11 @@ class Encoder:
         self.by_piece = self._splits_at_blanks()
 
     @classmethod
-    def at(cls, path: str) -> Encoder:
+    def at(cls, path: str, most: int) -> Encoder:
         """The worker's encoder of this file; loading takes longer than many tasks."""
         if path not in _loaded:
             _loaded[path] = cls(path)
+        _loaded[path].most = most
         return _loaded[path]
 
     def _splits_at_blanks(self) -> bool:
@@ -126,10 +127,12 @@ class Encoder:
         if not self.by_piece:
             return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*split).difference(self.known)
+        met = set().union(*split)
+        missing = met.difference(self.known)
         if len(self.known) + len(missing) > self.most:
-            self.known = {"": b""}
-            missing = set().union(*split).difference(self.known)
+            # What this batch needs stays, and so the frequent pieces do.
+            kept = met.difference(missing)
+            self.known = dict(zip(kept, map(self.known.__getitem__, kept), strict=True)) | {"": b""}
         if missing:
             self._learn(list(missing), self.known)
         get = self.known.__getitem__
@@ -215,14 +218,15 @@ class Packer:
         yield from self._drain(0)
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, step_tokens: int = 1 << 16, buffer: int = 1 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 2, step_tokens: int = 1 << 16, buffer: int = 1 << 20, remember: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: the document, the piece's place in it, its ids' CRC-32, and its place in a sequence.
 
     ``tier`` is the length of the sequence with its padding, and ``step`` the step group among those of its tier.
+    ``remember`` is how many pieces of texts a worker keeps the ids of; fewer take less memory and more time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder.at(path), Packer(buffer=buffer)
+        encoder, packer = Encoder.at(path, remember), Packer(buffer=buffer)
         at = TaskContext.get().partitionId() << 40
         count, per_tier, rows = at, dict.fromkeys(TIERS, 0), []
         tail = np.array([end_id], "<u4").tobytes()
