@@ -46,7 +46,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens, by piece."""
-    return packing.pack(docs, tokenizer_path())
+    # Workers that other stages use as well remember fewer words.
+    return packing.pack(docs, tokenizer_path(), remember=200_000)
 
 
 STAGES = [
