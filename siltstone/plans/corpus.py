@@ -83,7 +83,7 @@ def scored(t):
     return near.select("query_id", "chunk_id", F.round("cosine", 6).alias("cosine"), ((c("chunk_id") % 7) / 7.0).alias("tokens"), (c("label") == c("ql")).alias("relevant"))
 
 
-SCORED = "(SELECT query_id, chunk_id, round(cosine, 6) AS cosine, (chunk_id % 7) / 7.0 AS tokens, label = ql AS relevant FROM (SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[]))) AS cosine, d.label, q.label AS ql FROM embeddings q, embeddings d WHERE q.vec_id < 40 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(cosine, 9) DESC, d.vec_id) <= 50) WHERE query_id <> chunk_id)"
+SCORED = "(SELECT query_id, chunk_id, round(cosine, 6) AS cosine, (chunk_id % 7) / 7.0 AS tokens, label = ql AS relevant FROM (SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[]))) AS cosine, d.label, q.label AS ql FROM embeddings q, embeddings d WHERE q.vec_id IN (SELECT item_id FROM benchmark) QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(cosine, 9) DESC, d.vec_id) <= 50) WHERE query_id <> chunk_id)"
 RANK = f"r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS rank FROM {SCORED}), f AS (SELECT query_id, min(rank) FILTER (relevant) AS first_hit FROM r GROUP BY 1)"
 
 

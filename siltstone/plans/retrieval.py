@@ -123,7 +123,7 @@ def indexed(t):
     return t.embeddings.select(c("vec_id").alias("chunk_id"), "embedding", "label")
 
 
-COS = "(SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[]))) AS cosine, d.label FROM embeddings q, embeddings d WHERE q.vec_id < 40)"
+COS = "(SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[]))) AS cosine, d.label FROM embeddings q, embeddings d WHERE q.vec_id IN (SELECT item_id FROM benchmark))"
 NEAR = f"SELECT query_id, chunk_id, cosine, label FROM {COS} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, chunk_id) <= 30"
 add("v02_vector_top_k", lambda t: V.nearest(asked(t), indexed(t), 30).select("query_id", "chunk_id", F.round("cosine", 6).alias("cosine")), f"SELECT query_id, chunk_id, round(cosine, 6) AS cosine FROM ({NEAR})")
 add("v02_vector_threshold", lambda t: V.nearest(asked(t), indexed(t), 30, 0.3).groupBy("query_id").agg(F.count("*").alias("n")), f"SELECT query_id, count(*) AS n FROM ({NEAR}) WHERE cosine >= 0.3 GROUP BY 1")
@@ -145,7 +145,7 @@ def reranked(t):
     return pairs.withColumn("sim", V.hybrid(c("cosine"), c("tksim"), 0.3)).withColumn("score", c("tksim"))
 
 
-ALLCOS = f"SELECT query_id, chunk_id, cosine FROM {COS} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, chunk_id) <= 500"
+ALLCOS = f"SELECT query_id, chunk_id, cosine FROM {COS}"
 HYB = f"{SIM}, cs AS ({ALLCOS}), hy AS (SELECT query_id, chunk_id, tksim, coalesce(cosine, 0) AS cosine FROM ts LEFT JOIN cs USING (query_id, chunk_id)), hs AS (SELECT *, CASE WHEN sum(abs(cosine)) OVER (PARTITION BY query_id) = 0 THEN tksim ELSE 0.3 * cosine + 0.7 * tksim END AS sim FROM hy)"
 add("v17_hybrid_similarity", lambda t: reranked(t).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("sim"), 4).alias("s")), f"WITH {HYB} SELECT query_id, count(*) AS n, round(sum(sim), 4) AS s FROM hs GROUP BY 1")
 PAGE = "pg AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(tksim, 6) DESC, chunk_id) AS w FROM hs QUALIFY w <= 70), pk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, chunk_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM pg WHERE round(sim, 6) >= 0.2)"
@@ -197,7 +197,7 @@ def sentence_pairs(t):
 
 
 add("v35_citations", lambda t: V.citations(sentence_pairs(t)), """
-WITH p AS (SELECT a.vec_id % 6 AS answer_id, a.vec_id AS sentence, b.vec_id AS chunk, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id < 60 AND b.vec_id >= 60),
+WITH p AS (SELECT a.vec_id // 10 AS answer_id, a.vec_id AS sentence, b.vec_id AS chunk, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id // 10 <> b.vec_id // 10),
 m AS (SELECT *, max(sim) OVER (PARTITION BY answer_id, sentence) * 0.99 AS mx FROM p), t AS (SELECT *, max(mx) OVER (PARTITION BY answer_id) AS top FROM m),
 l AS (SELECT * FROM t WHERE mx >= CASE WHEN top >= 0.63 THEN 0.63 WHEN top >= 0.504 THEN 0.504 WHEN top >= 0.4032 THEN 0.4032 WHEN top >= 0.32256 THEN 0.32256 ELSE 1e9 END AND sim > mx QUALIFY row_number() OVER (PARTITION BY answer_id, sentence ORDER BY sim DESC, chunk) <= 4)
 SELECT answer_id, min(sentence) AS sentence, chunk FROM l GROUP BY answer_id, chunk""")
