@@ -42,7 +42,7 @@ p AS (SELECT * FROM a WHERE long AND (kind <> 4 OR (regexp_matches(m, '[a-z]') A
 w AS (SELECT * FROM p WHERE kind > 2),
 x AS (SELECT w.doc_id, w.kind, w.name, w.s, w.e FROM w JOIN p ON p.doc_id = w.doc_id AND p.s <= w.e + 256 AND p.e >= w.s - 256 GROUP BY ALL
   HAVING bool_or((p.s >= w.e OR p.e <= w.s) AND ((w.kind = 3 AND p.kind IN (0, 2, 4)) OR (w.kind = 4 AND p.kind IN (1, 3, 5)) OR (w.kind = 5 AND p.kind IN (0, 2, 4))))
-  AND NOT bool_or(p.kind < 3 AND p.s < w.e AND p.e > w.s)),
+  AND NOT bool_or(p.kind < 3 AND p.s <= w.s AND p.e >= w.e)),
 u AS (SELECT doc_id, kind, name, s, e, 0 AS linked FROM p WHERE kind < 3 UNION ALL SELECT doc_id, kind, name, s, e, 1 FROM x)
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   sha256(coalesce(string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (linked = 0), '')) AS base_sha256,
