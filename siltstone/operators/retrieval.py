@@ -199,9 +199,31 @@ def citations(pairs: DataFrame, most: int = 4) -> DataFrame:
     return kept.groupBy("answer_id", "chunk").agg(F.min("sentence").alias("sentence")).select("answer_id", "sentence", "chunk")
 
 
-def repair_citations(answer: Column, n_chunks: int) -> Column:
-    """Misshapen citation marks become [ID:n]; numbers beyond the chunks are dropped."""
-    digits = F.translate(answer, "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "0123456789" * 2)
-    marks = F.regexp_replace(digits, r"(?i)\(\s*ID\s*[: ]+\s*([0-9]+)\s*\)|【\s*ID\s*[: ]+\s*([0-9]+)\s*】|\[\s*ID\s*[: ]*\s*([0-9]+)\s*\]|ref\s*([0-9]+)", "[ID:$1$2$3$4]")
-    beyond = "|".join(str(i) for i in range(n_chunks)) if n_chunks <= 64 else None
-    return F.regexp_replace(marks, rf"\[ID:(?!(?:{beyond})\])[0-9]+\]", "") if beyond else marks
+# Misshapen marks of citations, in the order in which they are mended.
+CITATION_MARKS = [r"\(\s*ID\s*[: ]*\s*(\d+)\s*\)", r"\[\s*ID\s*[: ]*\s*(\d+)\s*\]", r"【\s*ID\s*[: ]*\s*(\d+)\s*】", r"(?i)ref\s*(\d+)"]
+#: The decimal digits of all scripts, ten by ten.
+DIGITS = "".join(chr(i) for i in range(0x10000) if chr(i).isdecimal())
+
+
+def _number(digits: Column) -> Column:
+    """The number that digits of any script write; null from 10^9 on."""
+    plain = F.ltrim(F.translate(digits, DIGITS, "0123456789" * (len(DIGITS) // 10)), F.lit("0"))
+    return F.when(plain == "", F.lit(0)).when(plain.rlike("^[0-9]{1,9}$"), plain.cast("int"))
+
+
+def repair_citations(answer: Column, n_chunks: int | Column) -> Column:
+    """Misshapen marks of the chunks 0 to ``n_chunks`` - 1 become [ID:n], their digits as they were written; marks of
+    other numbers stay as they are."""
+    for mark in CITATION_MARKS:
+        pattern = F.lit(f"(?U){mark}")
+        found, digits = F.regexp_extract_all(answer, pattern, F.lit(0)), F.regexp_extract_all(answer, pattern, F.lit(1))
+        good = lambda m, d: F.when(F.coalesce(_number(d) < n_chunks, F.lit(False)), F.concat(F.lit("[ID:"), d, F.lit("]"))).otherwise(m)
+        mended = F.concat(F.zip_with(found, digits, good), F.array(F.lit("")))
+        answer = F.array_join(F.flatten(F.zip_with(F.split(answer, pattern, -1), mended, lambda a, b: F.array(a, b))), "")
+    return answer
+
+
+def cited_chunks(repaired: Column, n_chunks: int | Column) -> Column:
+    """The distinct chunk numbers that a repaired answer cites, in order."""
+    numbers = F.transform(F.regexp_extract_all(repaired, F.lit(r"(?U)\[ID:(\d+)\]"), F.lit(1)), _number)
+    return F.array_sort(F.array_distinct(F.filter(numbers, lambda n: n < n_chunks)))

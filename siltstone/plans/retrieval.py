@@ -203,7 +203,20 @@ l AS (SELECT * FROM t WHERE mx >= CASE WHEN top >= 0.63 THEN 0.63 WHEN top >= 0.
 SELECT answer_id, min(sentence) AS sentence, chunk FROM l GROUP BY answer_id, chunk""")
 
 
-add("v36_citation_repair", lambda t: t.part.select("p_partkey", V.repair_citations(F.concat(F.lit("see (ID: "), (c("p_partkey") % 12).cast("string"), F.lit(") and 【ID: 3】 ref 99")), 10).alias("v")), "SELECT p_partkey, 'see ' || CASE WHEN p_partkey % 12 < 10 THEN '[ID:' || p_partkey % 12 || ']' ELSE '' END || ' and [ID:3] ' AS v FROM part")
+def marked_answers(t):
+    """One answer for each form of mark, well shaped or not, around the number p_size."""
+    n = c("p_size").cast("string")
+    eastern = F.translate(n, "0123456789", "٠١٢٣٤٥٦٧٨٩")
+    forms = [("(ID", n, ")"), ("( ID : ", n, " )"), ("【ID: ", n, "】"), ("[ ID", n, "]"), ("see REF ", n, "."), ("ref", n, ""), ("(id: ", n, ")"), ("[", n, "]"), ("(ID:", eastern, ")")]
+    return t.part.select("p_partkey", F.explode(F.array(*[F.struct(F.lit(i).alias("form"), F.concat(F.lit("so "), F.lit(a), x, F.lit(b)).alias("answer")) for i, (a, x, b) in enumerate(forms)])).alias("m")).select("p_partkey", "m.*")
+
+
+REPAIRED = """WITH p AS (SELECT p_partkey, p_size < 25 AS good, p_size::VARCHAR AS n, translate(p_size::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') AS e FROM part),
+f AS (SELECT p_partkey, good, unnest([{'form': 0, 'raw': '(ID' || n || ')', 'ok': '[ID:' || n || ']'}, {'form': 1, 'raw': '( ID : ' || n || ' )', 'ok': '[ID:' || n || ']'}, {'form': 2, 'raw': '【ID: ' || n || '】', 'ok': '[ID:' || n || ']'},
+ {'form': 3, 'raw': '[ ID' || n || ']', 'ok': '[ID:' || n || ']'}, {'form': 4, 'raw': 'see REF ' || n || '.', 'ok': 'see [ID:' || n || '].'}, {'form': 5, 'raw': 'ref' || n, 'ok': '[ID:' || n || ']'},
+ {'form': 6, 'raw': '(id: ' || n || ')', 'ok': '(id: ' || n || ')'}, {'form': 7, 'raw': '[' || n || ']', 'ok': '[' || n || ']'}, {'form': 8, 'raw': '(ID:' || e || ')', 'ok': '[ID:' || e || ']'}]) AS x, n FROM p)
+SELECT p_partkey, x.form, 'so ' || CASE WHEN good THEN x.ok ELSE x.raw END AS v, CASE WHEN good AND x.form NOT IN (6, 7) THEN [n::INT] ELSE [] END AS cited FROM f"""
+add("v36_citation_repair", lambda t: marked_answers(t).select("p_partkey", "form", V.repair_citations(c("answer"), 25).alias("v")).withColumn("cited", V.cited_chunks(c("v"), 25)), REPAIRED)
 add("v38_evaluator_rerank", lambda t: V.nearest(asked(t), indexed(t), 30).join(indexed(t).select("chunk_id", "label"), "chunk_id").join(indexed(t).select(c("chunk_id").alias("query_id"), c("label").alias("ql")), "query_id").withColumn("sim", F.round(0.3 * c("cosine") + 0.7 * (c("label") == c("ql")).cast("double"), 6)).where("sim >= 0.2").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "chunk_id"))).select("query_id", "chunk_id", "sim", "rank"), f"SELECT n.query_id, n.chunk_id, round(0.3 * cosine + 0.7 * (n.label = q.label)::INT, 6) AS sim, row_number() OVER (PARTITION BY n.query_id ORDER BY round(0.3 * cosine + 0.7 * (n.label = q.label)::INT, 6) DESC, n.chunk_id)::INT AS rank FROM ({NEAR}) n JOIN embeddings q ON q.vec_id = n.query_id WHERE round(0.3 * cosine + 0.7 * (n.label = q.label)::INT, 6) >= 0.2")
 add("v30_keyword_expansion", lambda t: t.benchmark.select("item_id", F.size(F.array_distinct(F.filter(F.concat(text.tokens("text"), text.fine_tokens("text")), lambda x: F.length(x) >= 2))).cast("long").alias("n")), rf"SELECT item_id, len(list_distinct(list_filter({TOK}, lambda x: length(x) >= 2)))::BIGINT AS n FROM benchmark")
 FLAGSHIP = "v06_bm25_top10"

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from siltstone.functions import identifiers, text, vectors
 from siltstone.plans.registry import add
 
+c = F.col
+
 WS = r"'[\s\x{3000}\x{00A0}\x{0085}]+'"
 
 
@@ -108,7 +110,23 @@ add("x39_first_term", lambda t: _docs(t, v=text.first_term("text", ["password",
 add("x40_markdown_rows", lambda t: t.orders.select("o_orderkey", text.markdown_row("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("F")), F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00")).alias("row")), "SELECT o_orderkey, '|' || o_orderkey || '|' || coalesce(nullif(o_orderstatus, 'F'), ' ') || '|' || strftime(o_orderdate, '%Y-%m-%d') || '|' AS row FROM orders")
 add("x42_qa_text", lambda t: _docs(t, v=text.qa_text("source", "lang", "text")), _sql(v=f"'标题：' || source || chr(10) || '问题：' || lang || chr(10) || '回答：' || {COLLAPSED}"))
 add("v26_escape_query", lambda t: t.benchmark.select("item_id", text.escape_query(F.concat(F.lit("a-b (c)? "), "text")).alias("v")), r"""SELECT item_id, trim(regexp_replace(replace('a-b (c)? ' || text, '''', ''), '([:{}/\[\]\-*?"()|+~^])', '\\\1', 'g')) AS v FROM benchmark""")
-add("v26_strip_question_words", lambda t: t.benchmark.select("item_id", text.strip_question_words(F.concat(F.lit("what is the "), "item_id")).alias("v"), text.space_scripts(F.concat(F.lit("MRI检查"), "item_id")).alias("s")), "SELECT item_id, ' the ' || item_id AS v, 'MRI 检查' || item_id AS s FROM benchmark")
+def asked(t):
+    """Benchmark texts as questions of many kinds, and questions of nothing but noise."""
+    around = [("what is the ", ""), ("Who're you? ", " by the way "), ("请问", "怎么办"), ("阿司匹林是什么 ", " 哪些"), ("it's on and off ", " of them"), ("", ""), ("please tell me if ", " may be done ")]
+    each = [F.struct(F.lit(i).alias("kind"), F.concat(F.lit(a), c("text"), F.lit(b)).alias("q")) for i, (a, b) in enumerate(around)]
+    noise = [F.struct(F.lit(len(around) + i).alias("kind"), F.lit(q).alias("q")) for i, q in enumerate(("怎么办", "请问什么", "by the ", "in the "))]
+    return t.benchmark.select("item_id", F.explode(F.array(*each, *noise)).alias("x")).select("item_id", "x.*")
+
+
+_NOISE = [(p.replace("'", "''"), i) for p, i in text.QUESTION_NOISE]
+_LEFT = f"regexp_replace(regexp_replace(regexp_replace(q, '{_NOISE[0][0]}', '', 'gi'), '{_NOISE[1][0]}', ' ', 'gi'), '{_NOISE[2][0]}', ' ', 'gi')"
+add(
+    "v26_strip_question_words",
+    lambda t: asked(t).select("item_id", "kind", text.strip_question_words("q").alias("v"), text.space_scripts(F.concat(F.lit("MRI检查"), "item_id")).alias("s")),
+    f"""WITH k AS (SELECT item_id, unnest([{{'kind': 0, 'q': 'what is the ' || text}}, {{'kind': 1, 'q': 'Who''re you? ' || text || ' by the way '}}, {{'kind': 2, 'q': '请问' || text || '怎么办'}}, {{'kind': 3, 'q': '阿司匹林是什么 ' || text || ' 哪些'}},
+ {{'kind': 4, 'q': 'it''s on and off ' || text || ' of them'}}, {{'kind': 5, 'q': text}}, {{'kind': 6, 'q': 'please tell me if ' || text || ' may be done '}}, {{'kind': 7, 'q': '怎么办'}}, {{'kind': 8, 'q': '请问什么'}}, {{'kind': 9, 'q': 'by the '}}, {{'kind': 10, 'q': 'in the '}}]) AS x FROM benchmark),
+ l AS (SELECT item_id, x.kind AS kind, x.q AS q FROM k) SELECT item_id, kind, CASE WHEN {_LEFT} = '' THEN q ELSE {_LEFT} END AS v, 'MRI 检查' || item_id AS s FROM l""",
+)
 add("v28_emphasise", lambda t: t.part.select("p_partkey", text.emphasise(F.concat("p_brand", F.lit(" is a Brand, brand!")), F.array(F.lit("brand"))).alias("v")), "SELECT p_partkey, p_brand || ' is a <em>Brand</em>, <em>brand</em>!' AS v FROM part WHERE p_brand NOT LIKE '%brand%'")
 add("v29_highlight", lambda t: t.part.select("p_partkey", text.highlight(F.concat(F.lit("No word here. The cat "), "p_brand", F.lit(" sat? Dogs; cat.")), F.array(F.lit("cat"))).alias("v")), "SELECT p_partkey, 'The <em>cat</em> ' || p_brand || ' sat...<em>cat</em>' AS v FROM part")
 add("c25_sentences", lambda t: _docs(t, n=F.size(text.sentences("text")).cast("long"), longest=F.array_max(F.transform(text.sentences("text"), F.length)).cast("long")), _sql(n=r"len(list_filter(regexp_extract_all(text, '[^。？！!?;；:\n]*[。？！!?;；:\n]?'), lambda x: x <> ''))::BIGINT", longest=r"list_max(list_transform(regexp_extract_all(text, '[^。？！!?;；:\n]*[。？！!?;；:\n]?'), lambda x: length(x)))::BIGINT"))

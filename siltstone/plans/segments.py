@@ -25,10 +25,14 @@ add("c06_table_batches", lambda t: S.table_batches(t.part.select("p_brand", "p_p
 add("c07_markdown_blocks", lambda t: S.per_document(markdown(t), S.markdown_blocks, S.BLOCK_SCHEMA))
 add("c08_units", lambda t: S.units(S.per_document(markdown(t), S.markdown_blocks, S.BLOCK_SCHEMA), c("doc_id").cast("string")).select("doc_id", "pos", "section", "chapter", "tokens", "tables"))
 add("c09_c11_markdown_chunks", lambda t: S.per_document(markdown(t), S.markdown_chunks, "chapter string, chunk string, tokens int, units int, shard int"))
-add("c12_hierarchical_chunks", lambda t: S.per_document(t.documents, S.hierarchical_chunks, "chunk string, tokens int"))
+add("c12_hierarchical_chunks", lambda t: S.per_document(markdown(t), S.hierarchical_chunks, "chunk string, tokens int"))
 add("c13_outline", lambda t: S.per_document(markdown(t), S.tree_paths, "chunk string, depth int"))
 add("c14_bullets_category", lambda t: S.per_document(t.documents, lambda x: iter([(S.bullets_category(x.split("\n")),)]), "family int"))
-add("c15_without_contents", lambda t: S.per_document(t.documents, S.without_contents, "line string"))
+add(
+    "c15_without_contents",
+    lambda t: S.per_document(t.documents.select("doc_id", F.concat(F.lit("intro\n目　录\n\n第一章 甲\n第二章 乙\n第一章 "), "source", F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text")), S.without_contents, "line string"),
+    "SELECT doc_id, (n - 1)::INT AS pos, line FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, list_concat(['intro', '第一章 ' || source], string_split(coalesce(text, ''), chr(10))) AS l FROM documents))",
+)
 add("c16_colon_titles", lambda t: S.per_document(t.documents, S.colon_titles, "kind string, body string"))
 add("c19_positions", lambda t: t.part.select("p_partkey", F.to_json(S.positions(F.array(F.array(F.lit(0), "p_size", F.lit(9), F.lit(2), F.lit(3))))).alias("p")), "SELECT p_partkey, '[[1,' || p_size || ',9,2,3]]' AS p FROM part")
 add("c20_markdown_tables", lambda t: S.per_document(t.pages.select(c("page_id").alias("doc_id"), c("html").alias("text")), S.markdown_tables, "kind string, body string"))
