@@ -20,9 +20,9 @@ FREQ_TOTAL, DF_TOTAL = 1e7, 1e9
 BROADCAST_TOKENS = 500_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """The frame, marked for broadcast if it has few enough rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_TOKENS else df
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The frame, marked for broadcast if it has few enough rows; ``rows`` is a bound of them where one is known."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_TOKENS else df
 
 
 def _fields(chunks: DataFrame, fields: dict[str, Column], chunk_id: str) -> DataFrame:
@@ -64,7 +64,10 @@ def field_scores(index: DataFrame, stats: DataFrame, terms: DataFrame, similarit
     boosts = boosts or {}
     boost = F.coalesce(*[F.when(F.col("field") == f, F.lit(b)) for f, b in boosts.items()], F.lit(1.0))
     s = {"bm25": bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("avgdl")), "idf": scaled_idf(F.col("tf"), F.col("df"), F.col("n")), "boolean": F.lit(1.0)}[similarity]
-    hits = index.join(small(stats), ["field", "token"]).join(small(terms), "token")
+    # Statistics have a row for each field and token at most; only those of the questions' tokens are joined.
+    asked = terms.select("token").distinct()
+    n_tokens = asked.count()
+    hits = index.join(small(stats.join(small(asked, n_tokens), "token", "left_semi"), 8 * n_tokens), ["field", "token"]).join(small(terms), "token")
     return hits.groupBy("query_id", "chunk_id", "field").agg(F.sum(boost * F.col("weight") * s).alias("score"), F.collect_set("token").alias("matched"))
 
 
@@ -72,7 +75,7 @@ def best_fields(scores: DataFrame, terms: DataFrame, min_match: float = 0.3) ->
     """V7, V8: the best field's score of each (query, chunk) that matches enough distinct terms in all fields together."""
     wanted = terms.groupBy("query_id").agg(F.countDistinct("token").alias("n_terms"))
     merged = scores.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.size(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("n_matched"))
-    return merged.join(F.broadcast(wanted), "query_id").where(F.col("n_matched") >= F.greatest(F.lit(1), F.floor(F.lit(min_match) * F.col("n_terms"))))
+    return merged.join(small(wanted), "query_id").where(F.col("n_matched") >= F.greatest(F.lit(1), F.floor(F.lit(min_match) * F.col("n_terms"))))
 
 
 def top(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -159,12 +162,12 @@ def token_similarity(query: DataFrame, docs: DataFrame, pairs: DataFrame | None
     hit = d.join(small(q), "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("m"))
     if pairs is not None:
         hit = pairs.select("query_id", "chunk_id").distinct().join(hit, ["query_id", "chunk_id"], "left")
-    return hit.join(F.broadcast(total.withColumnRenamed("key", "query_id")), "query_id").select("query_id", "chunk_id", ((F.coalesce("m", F.lit(0.0)) + 1e-9) / (F.col("total") + 1e-9)).alias("tksim"))
+    return hit.join(small(total.withColumnRenamed("key", "query_id")), "query_id").select("query_id", "chunk_id", ((F.coalesce("m", F.lit(0.0)) + 1e-9) / (F.col("total") + 1e-9)).alias("tksim"))
 
 
 def expand_synonyms(terms: DataFrame, synonyms: DataFrame, most: int = 8, share: float = 0.25) -> DataFrame:
     """Up to ``most`` synonyms of each term at a share of its weight; ``synonyms``: token, synonym, rank."""
-    found = terms.join(F.broadcast(synonyms.where(F.col("rank") <= most)), "token").select("query_id", F.col("synonym").alias("token"), (F.col("weight") * share).alias("weight"))
+    found = terms.join(small(synonyms.where(F.col("rank") <= most)), "token").select("query_id", F.col("synonym").alias("token"), (F.col("weight") * share).alias("weight"))
     return terms.select("query_id", "token", "weight").unionByName(found)
 
 
@@ -231,16 +234,22 @@ def match_scores(chunks: DataFrame, fields: dict[str, Column], terms: DataFrame,
     """
     boosts = boosts or {}
     terms = terms.select("query_id", "token", "weight")
-    flat = _fields(chunks, fields, chunk_id).select(F.col(chunk_id).alias("chunk_id"), "field", "length", F.explode("tokens").alias("token"))
-    flat = flat.join(small(terms.select("token").distinct()), "token", "left_semi")
+    wanted = terms.select("token").distinct()
+    n_tokens = wanted.count()
+    # A field's length travels as a posting of the empty token, which no text has, so texts are read and tokenised once.
+    flat = _fields(chunks, fields, chunk_id).select(F.col(chunk_id).alias("chunk_id"), "field", "length", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token"))
+    lengths = chunks.sparkSession.createDataFrame([("",)], "token string")
+    flat = flat.join(small(wanted.unionByName(lengths), n_tokens + 1), "token", "left_semi")
     # A stated number: what is read back grows with the questions, so few small partitions would be too few.
     flat = flat.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
     here = {f: F.col("field") == f for f in fields}
     wide = flat.groupBy("chunk_id", "token").agg(*[F.count_if(w).alias(f"tf_{f}") for f, w in here.items()], *[F.max(F.when(w, F.col("length"))).alias(f"len_{f}") for f, w in here.items()])
-    df = wide.groupBy("token").agg(*[F.count_if(F.col(f"tf_{f}") > 0).alias(f"df_{f}") for f in fields])
-    means = _fields(chunks, fields, chunk_id).groupBy().agg(*[F.avg(F.when(w, F.col("length"))).alias(f"avg_{f}") for f, w in here.items()], F.count_if(next(iter(here.values()))).alias("n"))
+    # All that stands on the postings reads the same columns of them, so that they are made once and read again.
+    is_length = F.col("token") == ""
+    df = wide.groupBy("token").agg(*[F.count_if((F.col(f"tf_{f}") > 0) & F.col(f"len_{f}").isNotNull()).alias(f"df_{f}") for f in fields])
+    means = wide.agg(*[F.avg(F.when(is_length & (F.col(f"tf_{f}") > 0), F.col(f"len_{f}"))).alias(f"avg_{f}") for f in fields], F.count_if(is_length).alias("n"))
     score = lambda f: F.when(F.col(f"tf_{f}") > 0, F.lit(boosts.get(f, 1.0)) * bm25(F.col(f"tf_{f}"), F.col(f"df_{f}"), F.col("n"), F.col(f"len_{f}"), F.col(f"avg_{f}"))).otherwise(0.0)
-    scored = wide.join(small(df), "token").crossJoin(F.broadcast(means)).select("chunk_id", "token", *[score(f).alias(f"s_{f}") for f in fields])
+    scored = wide.join(small(df, n_tokens + 1), "token").crossJoin(F.broadcast(means)).select("chunk_id", "token", *[score(f).alias(f"s_{f}") for f in fields])
     met = scored.join(small(terms), "token").groupBy("query_id", "chunk_id").agg(*[F.sum(F.col("weight") * F.col(f"s_{f}")).alias(f"s_{f}") for f in fields], F.count(F.lit(1)).cast("int").alias("n_matched"))
     best = F.greatest(*[F.col(f"s_{f}") for f in fields]) if len(fields) > 1 else F.col(f"s_{next(iter(fields))}")
     return met.select("query_id", "chunk_id", best.alias("score"), "n_matched")
