@@ -18,11 +18,18 @@ def content_key(ask: Column, answer: Column) -> Column:
 
 
 def first_occurrences(rows: DataFrame, key: Column, file: str, order: str) -> DataFrame:
-    """Adds ``local_dup`` and ``global_dup``: whether an earlier row of the file, or of any file, has the key."""
+    """Adds ``local_dup`` and ``global_dup``: whether an earlier row of the file, or of any file, has the key.
+
+    ``order`` tells the rows of a file apart. First rows are combined per task and joined back, so a key or a file with very
+    many rows is a skewed join, which is split, and no window over them.
+    """
     keyed = rows.withColumn("_key", key)
-    local = F.row_number().over(Window.partitionBy(file, "_key").orderBy(order))
-    whole = F.row_number().over(Window.partitionBy("_key").orderBy(file, order))
-    return keyed.withColumn("local_dup", local > 1).withColumn("global_dup", whole > 1).drop("_key")
+    local = keyed.groupBy("_key", file).agg(F.min(order).alias("_local"))
+    whole = local.groupBy("_key").agg(F.min(F.struct(file, "_local")).alias("_whole"))
+    firsts = local.join(whole, "_key").select("_key", F.col(file).alias("_file"), "_local", "_whole")
+    joined = keyed.join(firsts, (keyed["_key"] == firsts["_key"]) & keyed[file].eqNullSafe(firsts["_file"])).drop("_key", "_file")
+    here = F.struct(F.col(file), F.col(order).alias("_local"))
+    return joined.withColumn("local_dup", F.col(order) > F.col("_local")).withColumn("global_dup", here > F.col("_whole")).drop("_local", "_whole")
 
 
 def distinct_rows(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -38,7 +45,7 @@ def bucketed(rows: DataFrame, major: str, label: str, default: int, overrides: d
     if clean is not None:
         counts = counts.withColumn("_n", F.when(clean, F.col("_n")).otherwise(0))
     named = counts.select(major, label, F.when(F.col("_n") >= limit, F.col(label)).otherwise(F.lit(MISC)).alias("bucket"))
-    return rows.join(F.broadcast(named), [major, label])
+    return rows.join(named, [major, label])
 
 
 def sharded(rows: DataFrame, by: list[str], order: list[str], size: int = SHARD_ROWS) -> DataFrame:
@@ -52,7 +59,7 @@ def sharded(rows: DataFrame, by: list[str], order: list[str], size: int = SHARD_
     counts = dealt.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select(*by, "_c", before.alias("_b"))
-    numbered = dealt.join(F.broadcast(bases), [*by, "_c"]).withColumn("_i", F.col("_b") + F.row_number().over(Window.partitionBy(*by, "_c").orderBy(*order)))
+    numbered = dealt.join(bases, [*by, "_c"]).withColumn("_i", F.col("_b") + F.row_number().over(Window.partitionBy(*by, "_c").orderBy(*order)))
     return numbered.withColumn("part_index", (F.floor((F.col("_i") - 1) / size) + 1).cast("int")).drop("_c", "_b", "_i")
 
 
@@ -68,7 +75,10 @@ def plan_mismatches(plan: DataFrame, actual: DataFrame, on: list[str]) -> DataFr
 
 
 def shard_digests(rows: DataFrame, by: list[str], line: Column, order: list[str]) -> DataFrame:
-    """Rows, bytes and digest of each shard's lines in order."""
+    """Rows, bytes and digest of each shard's lines in order.
+
+    A shard's lines are one string, as its digest is of its file; ``by`` has to hold a part number that bounds the shard (``sharded``).
+    """
     lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("_line")))), lambda x: x["_line"])
     joined = F.concat(F.array_join(lines, "\n"), F.lit("\n"))
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("written"), F.octet_length(joined).cast("long").alias("bytes"), F.md5(joined).alias("md5"))
@@ -91,15 +101,27 @@ def pending(plans: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def stratified(rows: DataFrame, bucket: str, order: str, total: int, seed: int = 42) -> DataFrame:
-    """An equal share of each bucket by a seeded hash, topped up from the rest, renumbered qa_0001 ..."""
-    h = F.xxhash64(order, F.lit(seed))
-    ranked = rows.withColumn("_h", h).withColumn("_rn", F.row_number().over(Window.partitionBy(bucket).orderBy("_h", order)))
+    """An equal share of each bucket by a seeded digest, topped up from the rest, renumbered qa_0001 ...
+
+    No more than ``total`` rows of a bucket can be picked, so only so many of each task are ranked.
+    """
+    ranked = rows.withColumn("_h", seeded(order, seed)).withColumn("_rn", F.row_number().over(Window.partitionBy(bucket).orderBy("_h", order))).where(F.col("_rn") <= total)
     n_buckets = rows.select(bucket).distinct().agg(F.count(F.lit(1)).alias("_b"))
     ranked = ranked.crossJoin(F.broadcast(n_buckets)).withColumn("_top", F.col("_rn") <= F.greatest(F.lit(1), F.floor(F.lit(total) / F.col("_b"))))
     picked = ranked.orderBy(F.desc("_top"), "_h", order).limit(total)
     return picked.withColumn("id", F.format_string("qa_%04d", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(bucket, order)))).drop("_h", "_rn", "_b", "_top")
 
 
+def seeded(key: str, seed: int) -> Column:
+    """A digest that puts keys into an order of their own for each seed."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col(key)))
+
+
+def sampled(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """N rows without replacement, those of the least seeded digests."""
+    return rows.orderBy(seeded(key, seed), key).limit(n)
+
+
 def numbered(rows: DataFrame, order: str, base: Column, chunks: int = 64) -> DataFrame:
     """Adds ``id``, base + 1, base + 2 ... by a number column, without one task that sees all rows: ranges between
     approximate quantiles are counted first, and rows are numbered inside their range."""

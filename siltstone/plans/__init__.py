@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import corpus, relational, retrieval, scalars, segments, services
+from siltstone.plans import corpus, files, relational, retrieval, scalars, segments, services
 from siltstone.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = QUERIES[retrieval.FLAGSHIP]
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "corpus", "relational", "retrieval", "scalars", "segments", "services"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "corpus", "files", "relational", "retrieval", "scalars", "segments", "services"]

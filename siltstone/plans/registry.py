@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.session import shared_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -16,6 +19,10 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self._dir = spark, sf_dir
 
+    def scratch(self) -> str:
+        """A new folder that the driver and all executors share, for queries on files and streams."""
+        return f"{shared_folder(self.spark)}/queries-{uuid.uuid4().hex}"
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from siltstone.operators import corpus as C
 from siltstone.operators import predicates as P
 from siltstone.operators import relational as R
 from siltstone.plans.registry import add
@@ -175,7 +176,7 @@ add("t5_chunk_list", lambda t: t.lineitem.where("l_suppkey = 3").orderBy("l_orde
 add("t6_page_with_total", lambda t: R.page_with_total(t.customer, [c("c_acctbal").desc(), c("c_custkey")], 3, 10).select("c_custkey", "total"), "SELECT c_custkey, (SELECT count(*) FROM customer) AS total FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10 OFFSET 20")
 add("t10_bucket_order", lambda t: t.part.groupBy("p_type").agg(F.count("*").alias("n")).withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(c("p_type") == "misc", c("n").desc(), "p_type"))), "SELECT p_type, count(*) AS n, row_number() OVER (ORDER BY p_type = 'misc', count(*) DESC, p_type)::INT AS pos FROM part GROUP BY p_type")
 add("t12_most_common", lambda t: t.part.groupBy("p_brand").agg(F.count("*").alias("n")).orderBy(c("n").desc(), "p_brand").limit(20), "SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 20")
-add("t13_sample", lambda t: t.documents.orderBy(F.xxhash64("doc_id", F.lit(42))).limit(25).select("doc_id"))
+add("t13_sample", lambda t: C.sampled(t.documents, "doc_id", 25).select("doc_id"), "SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 25")
 add("t14_sample_with_replacement", lambda t: t.documents.sample(True, 0.1, 42).select("doc_id"))
 add("u1_set_algebra", lambda t: t.orders.where("o_orderstatus = 'O'").select("o_custkey").intersect(t.orders.where("o_orderstatus = 'F'").select("o_custkey")).union(t.customer.where("c_custkey < 5").select("c_custkey")).distinct(), "SELECT * FROM ((SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') UNION SELECT c_custkey FROM customer WHERE c_custkey < 5)")
 add("u2_union_all", lambda t: t.nation.select(c("n_name").alias("name")).unionAll(t.region.select("r_name")), "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")

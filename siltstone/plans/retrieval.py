@@ -152,7 +152,7 @@ PAGE = "pg AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round
 add("v13_retrieval_page", lambda t: V.result_page(reranked(t).withColumn("score", F.round("score", 6)).withColumn("sim", F.round("sim", 6)), 2, 10).select("query_id", "chunk_id", "rank", "total", F.round("sim", 5).alias("sim")), f"WITH {HYB}, {PAGE} SELECT query_id, chunk_id, rank::INT AS rank, total, round(round(sim, 6), 5) AS sim FROM pk WHERE rank BETWEEN 11 AND 20")
 add("a14_document_facets", lambda t: V.document_hits(V.result_page(reranked(t).withColumn("score", F.round("score", 6)).withColumn("sim", F.round("sim", 6)), 1, 10).join(t.documents.select(c("doc_id").alias("chunk_id"), "source"), "chunk_id"), "source"), f"WITH {HYB}, {PAGE} SELECT query_id, source, count(*) AS n FROM pk JOIN documents ON doc_id = chunk_id WHERE rank <= 10 GROUP BY 1, 2")
 add("v14_rule_rerank_tokens", lambda t: t.documents.select("doc_id", F.size(V.rerank_tokens(text.tokens("text"), F.array("source"), F.array("lang", "lang"), F.array("source"))).cast("long").alias("n")), f"SELECT doc_id, list_unique({TOK})::BIGINT + 2 + 10 + 6 AS n FROM documents")
-add("v15_model_rerank", lambda t: _model_rerank(t))
+add("v15_model_rerank", lambda t: _model_rerank(t), rf"WITH n AS (SELECT query_id, chunk_id, cosine FROM {COS} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, chunk_id) <= 10), p AS (SELECT query_id, chunk_id, cosine, list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}_]+')) AS q, regexp_extract_all(lower(d.text), '[\p{{L}}\p{{N}}_]+') AS w FROM n JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = chunk_id) SELECT query_id, chunk_id, round(0.3 * len(list_intersect(q, w)) / greatest(1, len(q)) + 0.7 * cosine, 6) AS sim FROM p")
 
 
 def _model_rerank(t):

@@ -92,7 +92,7 @@ add(
     "SELECT p_partkey, p_brand || ',new' AS brand, p_size::VARCHAR AS size, p_type AS type FROM part",
 )
 add("x26_value_types", lambda t: t.orders.select("o_orderkey", text.value_type(F.col("o_orderkey").cast("string")).alias("a"), text.value_type(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("b"), text.value_type("o_orderpriority").alias("c")), "SELECT o_orderkey, 'number' AS a, 'time' AS b, 'string' AS c FROM orders")
-add("x27_hash_mod", lambda t: t.part.select("p_partkey", identifiers.sha1_mod(F.col("p_name"), 1_000_000).alias("v")))
+add("x27_hash_mod", lambda t: t.part.select("p_partkey", identifiers.sha1_mod(F.col("p_name"), 1_000_000).alias("v")), "SELECT p_partkey, list_reduce([('0x' || sha1(p_name)[8 * i + 1:8 * i + 8])::BIGINT::HUGEINT FOR i IN range(0, 5)], lambda a, x: (a * 4294967296 + x) % 1000000)::BIGINT AS v FROM part")
 add("x28_human_bytes", lambda t: t.documents.groupBy("source").agg(F.sum("n_chars").alias("n")).select("source", text.human_bytes("n").alias("v")), "SELECT source, CASE WHEN n < 1024 THEN printf('%.0f', n::DOUBLE) || ' B' WHEN n < 1048576 THEN CASE WHEN n / 1024.0 >= 100 THEN printf('%.0f', n / 1024.0) WHEN n / 1024.0 >= 10 THEN printf('%.1f', n / 1024.0) ELSE printf('%.2f', n / 1024.0) END || ' KB' ELSE CASE WHEN n / 1048576.0 >= 100 THEN printf('%.0f', n / 1048576.0) WHEN n / 1048576.0 >= 10 THEN printf('%.1f', n / 1048576.0) ELSE printf('%.2f', n / 1048576.0) END || ' MB' END AS v FROM (SELECT source, sum(n_chars)::BIGINT AS n FROM documents GROUP BY source)")
 add(
     "x29_dates",
@@ -101,7 +101,11 @@ add(
 )
 add("x30_day_bounds", lambda t: t.events.select("event_id", F.date_trunc("day", "ts").alias("first"), (F.date_trunc("day", "ts") + F.expr("INTERVAL '1' DAY") - F.expr("INTERVAL '1' SECOND")).alias("last")), "SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS first, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY - INTERVAL 1 SECOND AS last FROM events")
 add("x31_tail_lines", lambda t: _docs(t, v=text.tail_lines("text", 300)), _sql(v="CASE WHEN length(text) <= 300 THEN text WHEN strpos(right(text, 300), chr(10)) > 0 THEN substr(right(text, 300), strpos(right(text, 300), chr(10)) + 1) ELSE right(text, 300) END"))
-add("x32_deep_merge", lambda t: t.events.select("event_id", identifiers.deep_merge(F.col("props"), F.to_json(F.struct(F.struct(F.col("event_type").alias("type")).alias("extra")))).alias("merged")))
+add(
+    "x32_deep_merge",
+    lambda t: t.events.select("event_id", identifiers.deep_merge(F.to_json(F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.array("event_type", F.lit("x")).alias("tags"), F.struct("user_id", F.lit(1).alias("n")).alias("who"))), F.to_json(F.struct(F.array(F.lit("x"), F.lit("y")).alias("tags"), F.struct(F.lit(2).alias("n"), F.array("event_id").alias("ids")).alias("who")))).alias("merged")),
+    """SELECT event_id, '{"k": ' || (props->>'k') || ', "tags": ["' || event_type || '", "x", "y"], "who": {"ids": [' || event_id || '], "n": 2, "user_id": ' || user_id || '}}' AS merged FROM events""",
+)
 add("x33_first_json", lambda t: t.events.select("event_id", F.get_json_object(text.first_json(F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\ndone"))), "$.k").alias("k")), "SELECT event_id, props::JSON ->> '$.k' AS k FROM events")
 add("x34_latin_digits", lambda t: t.part.select("p_partkey", text.latin_digits(F.translate(F.col("p_size").cast("string"), "0123456789", "٠١٢٣٤٥٦٧٨٩")).alias("v"), identifiers.nfkc(F.concat(F.lit("ﬁ"), "p_brand")).alias("n")), "SELECT p_partkey, p_size::VARCHAR AS v, 'fi' || p_brand AS n FROM part")
 add("x37_split_model_name", lambda t: t.part.select("p_partkey", F.substring_index(F.concat("p_name", F.lit("@"), "p_brand"), "@", 1).alias("model"), F.substring_index(F.concat("p_name", F.lit("@"), "p_brand"), "@", -1).alias("factory")), "SELECT p_partkey, p_name AS model, p_brand AS factory FROM part")

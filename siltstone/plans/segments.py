@@ -12,6 +12,18 @@ from siltstone.sources import readers, writers
 c = F.col
 
 
+def with_colons(t):
+    """Documents between lines that end with colons."""
+    return t.documents.select("doc_id", F.concat(F.lit("Aims. The first part:\n"), F.coalesce("text", F.lit("")), F.lit("\n"), "source", F.lit("：")).alias("text"))
+
+
+def numbered(t):
+    """Documents behind headings of one family or another."""
+    heads = ["第一章 x\n第二节 y\n", "1. x\n1.2 y\n0.1 z\n", "Section 1\nChapter IV\n"]
+    head = F.coalesce(*[F.when(c("doc_id") % 4 == i, F.lit(h)) for i, h in enumerate(heads)], F.lit(""))
+    return t.documents.select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
+
+
 def markdown(t):
     """Documents as Markdown: their first line as a heading."""
     return t.documents.select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n"), "text").alias("text"))
@@ -27,21 +39,37 @@ add("c08_units", lambda t: S.units(S.per_document(markdown(t), S.markdown_blocks
 add("c09_c11_markdown_chunks", lambda t: S.per_document(markdown(t), S.markdown_chunks, "chapter string, chunk string, tokens int, units int, shard int"))
 add("c12_hierarchical_chunks", lambda t: S.per_document(markdown(t), S.hierarchical_chunks, "chunk string, tokens int"))
 add("c13_outline", lambda t: S.per_document(markdown(t), S.tree_paths, "chunk string, depth int"))
-add("c14_bullets_category", lambda t: S.per_document(t.documents, lambda x: iter([(S.bullets_category(x.split("\n")),)]), "family int"))
+_FAMILY = lambda i: "len(list_filter(string_split(text, chr(10)), lambda s: (" + " OR ".join("regexp_matches(trim(s, ' ' || chr(9) || chr(13)), '^(?:" + p.replace("{,", "{0,") + ")')" for p in S.BULLETS[i]) + ") AND NOT regexp_matches(trim(s, ' ' || chr(9) || chr(13)), '" + S.X.NOT_BULLET + "')))"
+add(
+    "c14_bullets_category",
+    lambda t: S.per_document(numbered(t), lambda x: iter([(S.bullets_category(x.split("\n")),)]), "family int"),
+    "WITH n AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '第一章 x' || chr(10) || '第二节 y' || chr(10) WHEN 1 THEN '1. x' || chr(10) || '1.2 y' || chr(10) || '0.1 z' || chr(10) WHEN 2 THEN 'Section 1' || chr(10) || 'Chapter IV' || chr(10) ELSE '' END || coalesce(text, '') AS text FROM documents), "
+    + "h AS (SELECT doc_id, [" + ", ".join(_FAMILY(i) for i in range(len(S.BULLETS))) + "] AS hits FROM n) SELECT doc_id, 0 AS pos, CASE WHEN list_max(hits) = 0 THEN -1 ELSE list_position(hits, list_max(hits)) - 1 END::INT AS family FROM h",
+)
 add(
     "c15_without_contents",
     lambda t: S.per_document(t.documents.select("doc_id", F.concat(F.lit("intro\n目　录\n\n第一章 甲\n第二章 乙\n第一章 "), "source", F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text")), S.without_contents, "line string"),
     "SELECT doc_id, (n - 1)::INT AS pos, line FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, list_concat(['intro', '第一章 ' || source], string_split(coalesce(text, ''), chr(10))) AS l FROM documents))",
 )
-add("c16_colon_titles", lambda t: S.per_document(t.documents, S.colon_titles, "kind string, body string"))
+add(
+    "c16_colon_titles",
+    lambda t: S.per_document(with_colons(t), S.colon_titles, "kind string, body string"),
+    r"""WITH d AS (SELECT doc_id, string_split('Aims. The first part:' || chr(10) || coalesce(text, '') || chr(10) || source || '：', chr(10)) AS l FROM documents),
+ l AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+ s AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS st FROM l), k AS (SELECT *, list_last(regexp_split_to_array(st, '[。？！!?;；]| \.')) AS last FROM s),
+ r AS (SELECT doc_id, i, 0 AS j, 'title' AS kind, last AS body FROM k WHERE regexp_matches(st, '[:：]$') AND length(last) BETWEEN 2 AND 32 UNION ALL SELECT doc_id, i, 1, 'text', line FROM k)
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INT AS pos, kind, body FROM r""",
+)
 add("c19_positions", lambda t: t.part.select("p_partkey", F.to_json(S.positions(F.array(F.array(F.lit(0), "p_size", F.lit(9), F.lit(2), F.lit(3))))).alias("p")), "SELECT p_partkey, '[[1,' || p_size || ',9,2,3]]' AS p FROM part")
 add("c20_markdown_tables", lambda t: S.per_document(t.pages.select(c("page_id").alias("doc_id"), c("html").alias("text")), S.markdown_tables, "kind string, body string"))
 add("c21_markdown_elements", lambda t: S.per_document(markdown(t), S.markdown_elements, "kind string, body string, first int, last int"))
 add("c22_json_split", lambda t: S.per_document(t.events.select(c("event_id").alias("doc_id"), F.to_json(F.struct("props", F.struct("event_type", "user_id").alias("who"), F.array("event_type", "event_type").alias("list"))).alias("text")), lambda x: S.split_json(x, 60), "chunk string, size int"))
 add("c24_page_ranges", lambda t: S.page_ranges(t.part.select("p_partkey", "p_size"), "p_size", 12), "SELECT p_partkey, p_size, f::INT AS from_page, least(f + 12, p_size)::INT AS to_page FROM part, range(0, 1000, 12) r(f) WHERE f <= greatest(p_size - 1, 0)")
 add("c28_toc_alignment", lambda t: S.per_document(t.documents, lambda x: iter(S.align_toc(sorted(x.split("\n")), x.split("\n"))), "entry int, section int"))
-add("c29_delimiters", lambda t: S.per_document(t.part.select(c("p_partkey").alias("doc_id"), F.concat(F.lit("`##`;"), "p_brand", F.lit("`ab`")).alias("text")), lambda x: ((d,) for d in S.delimiters(x)), "delimiter string"))
-add("w07_greedy_batches", lambda t: S.per_document(t.documents, lambda x: ((b,) for b in S.greedy_batches([len(s) for s in x.split("\n")], 500)), "batch int"))
+add("c29_delimiters", lambda t: S.per_document(t.part.select(c("p_partkey").alias("doc_id"), F.concat(F.lit("`##`;"), "p_brand", F.lit("`ab`")).alias("text")), lambda x: ((d,) for d in S.delimiters(x)), "delimiter string"), "SELECT p_partkey AS doc_id, (n - 1)::INT AS pos, d AS delimiter FROM (SELECT p_partkey, unnest(l) AS d, generate_subscripts(l, 1) AS n FROM (SELECT p_partkey, list_concat(['##', 'ab'], string_split(';' || p_brand, '')) AS l FROM part))")
+add("w07_greedy_batches", lambda t: S.per_document(t.documents, lambda x: ((b,) for b in S.greedy_batches([len(s) for s in x.split("\n")], 500)), "batch int"), """WITH RECURSIVE l AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: length(s)) AS sizes FROM documents),
+ g(doc_id, i, batch, held) AS (SELECT doc_id, 1, 0, sizes[1] FROM l UNION ALL SELECT g.doc_id, i + 1, CASE WHEN held + sizes[i + 1] > 500 THEN batch + 1 ELSE batch END, CASE WHEN held + sizes[i + 1] > 500 THEN sizes[i + 1] ELSE held + sizes[i + 1] END FROM g JOIN l USING (doc_id) WHERE i < len(sizes))
+ SELECT doc_id, (i - 1)::INT AS pos, batch::INT AS batch FROM g""")
 add("s11_text_questions", lambda t: t.part.select("p_partkey", F.inline(S.text_questions(F.split(F.concat("p_name", F.lit("\t"), "p_brand", F.lit("\nmore\nq2\ta2")), "\n")))), "SELECT p_partkey, p_name AS question, p_brand || chr(10) || 'more' AS answer FROM part UNION ALL SELECT p_partkey, 'q2', 'a2' FROM part")
 add("s13_markdown_questions", lambda t: S.per_document(markdown(t), S.markdown_questions, "question string, answer string").select("doc_id", "question", F.md5("answer").alias("answer")))
 add("s16_json_sniffing", lambda t: t.events.select("event_id", readers.looks_like_jsonl(F.concat("props", F.lit("\n"), "props", F.when(c("event_id") % 2 == 0, F.lit("\nbad")).otherwise(F.lit("")))).alias("jsonl")), "SELECT event_id, event_id % 2 <> 0 AS jsonl FROM events")

@@ -18,8 +18,9 @@ ANSWER_KEYS = ("answer", "a", "回答", "答案", "output")
 
 def json_arrays(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
     """Files that hold one JSON array each, with the file's name and the row's number in it."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("source_file", F.element_at(F.split("_metadata.file_path", "/"), -1))
-    rows = rows.withColumn("source_row_index", F.row_number().over(Window.partitionBy("source_file").orderBy(F.monotonically_increasing_id())))
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("_path", F.col("_metadata.file_path"))
+    rows = rows.withColumn("source_file", F.element_at(F.split("_path", "/"), -1))
+    rows = rows.withColumn("source_row_index", F.row_number().over(Window.partitionBy("_path").orderBy(F.monotonically_increasing_id()))).drop("_path")
     return rows if limit is None else rows.where(F.col("source_row_index") <= limit)
 
 
@@ -35,13 +36,15 @@ def qa_pairs(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
     pick = lambda keys: F.coalesce(*[F.nullif(F.trim(F.try_variant_get(value, f"$['{k}']", "string")), F.lit("")) for k in keys])
     pairs = lines.select("_n", pick(QUESTION_KEYS).alias("question"), pick(ANSWER_KEYS).alias("answer")).where("question IS NOT NULL AND answer IS NOT NULL")
     if skip:
-        pairs = pairs.withColumn("_rn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_n"))).where(F.col("_rn") > skip).drop("_rn")
-    return pairs.drop("_n")
+        # The last of the first ``skip`` records, found by a top-k and not by numbering the corpus.
+        first = pairs.select("_n").orderBy("_n").limit(skip).agg(F.max("_n").alias("_last"))
+        pairs = pairs.join(F.broadcast(first), F.col("_last").isNotNull() & (F.col("_n") > F.col("_last")))
+    return pairs.select("question", "answer")
 
 
 def csv_dialogues(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """Question and answer columns of CSV files, as text."""
-    return spark.read.option("header", True).option("sep", delimiter).option("multiLine", True).csv(path).select(F.col("question").cast("string"), F.col("answer").cast("string"))
+    """Question and answer columns of CSV files, as text; quotes in quoted fields are doubled."""
+    return spark.read.option("header", True).option("escape", '"').option("sep", delimiter).option("multiLine", True).csv(path).select(F.col("question").cast("string"), F.col("answer").cast("string"))
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*", done: DataFrame | None = None) -> DataFrame:
