@@ -33,6 +33,7 @@ def evaluate_grid(scored: DataFrame, configs: DataFrame) -> DataFrame:
 
     Configurations are few and broadcast; hits are read once for all of them.
     """
+    # Configurations are a stated grid, some hundred at most.
     sims = scored.join(F.broadcast(configs)).withColumn("sim", F.round(F.col("vt") * F.col("cosine") + (1 - F.col("vt")) * F.col("tokens"), 6))
     w = Window.partitionBy("config", "query_id").orderBy(F.desc("sim"), "chunk_id")
     ranked = sims.withColumn("rank", F.row_number().over(w)).withColumn("hit", F.col("relevant") & (F.col("sim") >= F.col("threshold")) & (F.col("rank") <= F.col("top_n")))

@@ -29,7 +29,7 @@ def evictions(messages: DataFrame, need: DataFrame, by: str, size: Column, forge
     """The messages that go: forgotten ones first, then the oldest, until at least ``need`` (by, need) bytes are freed."""
     order = [F.col(forget).isNull(), F.col(forget), F.col(created), F.col(key)]
     before = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return messages.withColumn("_s", size).withColumn("_freed", F.coalesce(F.sum("_s").over(before), F.lit(0))).join(F.broadcast(need), by).where(F.col("_freed") < F.col("need")).drop("_s", "_freed", "need")
+    return messages.withColumn("_s", size).withColumn("_freed", F.coalesce(F.sum("_s").over(before), F.lit(0))).join(need, by).where(F.col("_freed") < F.col("need")).drop("_s", "_freed", "need")
 
 
 def insert_with_eviction(existing: DataFrame, new: DataFrame, by: str, size: Column, cap: int, forget: str, created: str, key: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import cut
+
 
 def page_with_total(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
     """One page and the total of all rows; the total is an aggregate of its own, so no task sees all rows."""
@@ -58,14 +60,21 @@ def rename_repeated(df: DataFrame, name: str, order: Sequence[Column]) -> DataFr
     return df.withColumn("_n", n).withColumn(name, F.when(F.col("_n") > 0, F.concat(stem, F.lit("("), F.col("_n").cast("string"), F.lit(")"), suffix)).otherwise(F.col(name))).drop("_n")
 
 
-def ancestors(nodes: DataFrame, node: str = "id", parent: str = "parent_id", depth: int = 64) -> DataFrame:
-    """(node, ancestor, distance) for every node and each of its ancestors; self-parents are roots."""
-    view = f"_tree_{id(nodes)}"
-    nodes.select(F.col(node).alias("id"), F.when(F.col(parent) != F.col(node), F.col(parent)).alias("parent_id")).createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(
-        f"WITH RECURSIVE up(node, ancestor, distance) MAX RECURSION LEVEL {depth} AS (SELECT id, parent_id, 1 FROM {view} WHERE parent_id IS NOT NULL "
-        f"UNION ALL SELECT up.node, t.parent_id, up.distance + 1 FROM up JOIN {view} t ON t.id = up.ancestor WHERE t.parent_id IS NOT NULL) SELECT * FROM up"
-    )
+def ancestors(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
+    """(node, ancestor, distance) for every node and each of its ancestors; self-parents are roots.
+
+    Distances double with each step, so a tree of any depth takes as many steps as its depth has bits. Nodes of a cycle have
+    its other nodes as ancestors, at the least distance; of several parents each counts.
+    """
+    known = cut(nodes.select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).cast("long").alias("distance")).where("ancestor IS NOT NULL AND ancestor <> node").distinct())
+    reach, far = 1, known
+    while not far.isEmpty():
+        on = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("distance").alias("_more"))
+        longer = far.join(on, "ancestor").select("node", F.col("_next").alias("ancestor"), (F.col("distance") + F.col("_more")).alias("distance")).where("node <> ancestor")
+        known = cut(known.unionByName(longer).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
+        reach *= 2
+        far = known.where(F.col("distance") == reach)
+    return known
 
 
 def subtree_sizes(nodes: DataFrame, size: str, node: str = "id", parent: str = "parent_id") -> DataFrame:

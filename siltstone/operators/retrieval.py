@@ -14,8 +14,8 @@ from siltstone.functions.vectors import dot, norm
 
 #: Questions of one batch whose vectors go to the executors with the function; more are asked in batches.
 QUERY_BATCH = 4096
-#: Questions of one matrix product.
-QUERY_BLOCK = 512
+#: Questions and vectors of one matrix product: 16 MB.
+QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_cosine: float = -1.0, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", digits: int = 9) -> DataFrame:
@@ -37,18 +37,17 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_cosine: float =
 
         def score(pdfs: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
             best: list[pd.DataFrame] = []
-            for pdf in pdfs:
-                if not len(pdf):
-                    continue
+            for pdf in (part.iloc[at : at + VECTOR_BLOCK] for part in pdfs for at in range(0, len(part), VECTOR_BLOCK)):
                 x = np.stack(pdf["v"].map(np.asarray)).astype(float)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 c, lists = pdf["c"].to_numpy(), []
                 for first in range(0, len(q), QUERY_BLOCK):
-                    for i, row in enumerate(q[first : first + QUERY_BLOCK] @ x.T, first):
-                        near = np.round(row, digits)
-                        at = np.flatnonzero(near >= np.partition(near, -k)[-k]) if len(row) > k else np.arange(len(row))
-                        at = at[np.lexsort((c[at], -near[at]))[:k]]
-                        lists.append((np.full(len(at), ids[i]), c[at], row[at]))
+                    rows = q[first : first + QUERY_BLOCK] @ x.T
+                    near = np.round(rows, digits)
+                    # The k-th best of each question; ties with it stay until ids decide.
+                    floor = np.partition(near, -k, axis=1)[:, -k] if len(c) > k else np.full(len(near), -np.inf)
+                    i, at = np.nonzero(near >= floor[:, None])
+                    lists.append((ids[first + i], c[at], rows[i, at]))
                 best.append(pd.DataFrame({n: np.concatenate(v) for n, v in zip(("query_id", "chunk_id", "cosine"), zip(*lists, strict=True), strict=True)}))
                 if len(best) > 4:
                     best = [_top(pd.concat(best), k, digits)]
@@ -167,7 +166,8 @@ def collapse_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
 
 def tag_priors(tags: DataFrame, smoothing: int = 1000) -> DataFrame:
     """Share of each tag (tag, n) with add-one smoothing."""
-    return tags.withColumn("prior", (F.col("n") + 1) / (F.sum("n").over(Window.partitionBy()) + smoothing))
+    total = tags.agg(F.sum("n").alias("_total"))
+    return tags.crossJoin(F.broadcast(total)).withColumn("prior", (F.col("n") + 1) / (F.col("_total") + smoothing)).drop("_total")
 
 
 def tag_scores(matching: DataFrame, priors: DataFrame, keep: int = 3, smoothing: int = 1000) -> DataFrame:
@@ -176,7 +176,7 @@ def tag_scores(matching: DataFrame, priors: DataFrame, keep: int = 3, smoothing:
     ``matching``: query_id, tag, c (matching chunks with the tag), cnt (all its matching chunks).
     """
     lift = 0.1 * (F.col("c") + 1) / (F.col("cnt") + smoothing) / F.greatest(F.col("prior"), F.lit(0.0001))
-    scored = matching.join(F.broadcast(priors.select("tag", "prior")), "tag").withColumn("score", F.greatest(F.lit(1), F.bround(lift)).cast("int")).withColumn("_l", lift)
+    scored = matching.join(priors.select("tag", "prior"), "tag").withColumn("score", F.greatest(F.lit(1), F.bround(lift)).cast("int")).withColumn("_l", lift)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("_l", 9)), "tag")
     return scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep).select("query_id", F.replace("tag", F.lit("."), F.lit("_")).alias("tag"), "score")
 

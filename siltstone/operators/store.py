@@ -1,13 +1,14 @@
-"""Document store: one table in versions of parquet files behind the store's contract.
+"""Document store: one table in versions behind the store's contract.
 
-A change writes the next version in full and then moves the pointer, so readers never see half a change and a
-failed write leaves the store as it was. Tables are partitioned by knowledge base, which scans prune by.
+Each knowledge base is a folder of Parquet files. A change writes the folders of the knowledge bases it touches anew, and then
+the manifest of the next version, which names the schema and every folder; so others are neither read nor written, readers
+never see half a change, and a failed write leaves the store as it was. Scans read the folders of their scope only.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,16 +31,20 @@ class DocumentStore:
         if not fs.exists(p):
             return -1
         names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1])]
+        done = [int(n[1:]) for n in names if n[:1] == "m" and n[1:].isdigit() and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1])]
         return max(done, default=-1)
 
+    def _manifest(self, n: int) -> tuple[T.StructType, dict[str, str]]:
+        found = json.loads(self.spark.read.text(f"{self.path}/m{n}").first()[0])
+        return T.StructType.fromJson(found["schema"]), found["folders"]
+
     def exists(self) -> bool:
         return self._version() >= 0
 
     def create(self, schema: str) -> None:
         """Creates the table if it is absent."""
         if not self.exists():
-            self._write(self.spark.createDataFrame([], schema))
+            self._commit(0, self.spark.createDataFrame([], schema).schema, {})
 
     def drop(self, kb_id: str | None = None) -> None:
         """Drops the table; scoped to one knowledge base it does nothing, since others share it."""
@@ -47,41 +52,59 @@ class DocumentStore:
             fs, p = self._fs(self.path)
             fs.delete(p, True)
 
-    def _write(self, rows: DataFrame) -> None:
-        old = self._version()
-        self.spark.createDataFrame([(rows.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/s{old + 1}")
-        rows.write.mode("overwrite").partitionBy(self.partition).parquet(f"{self.path}/v{old + 1}")
-        if old > 0:  # the last version but one has no readers left that began after it
-            for name in (f"v{old - 1}", f"s{old - 1}"):
+    def _commit(self, n: int, schema: T.StructType, folders: dict[str, str]) -> None:
+        text = json.dumps({"schema": schema.jsonValue(), "folders": folders})
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/m{n}")
+        if n > 1:  # the last version but one has no readers left that began after it
+            gone = set(self._manifest(n - 2)[1].values()) - set(self._manifest(n - 1)[1].values()) - set(folders.values())
+            for name in (*gone, f"m{n - 2}"):
                 fs, p = self._fs(f"{self.path}/{name}")
                 fs.delete(p, True)
 
-    def rows(self) -> DataFrame:
-        """The rows of the last version; the schema is stored with it, so an empty table has one too."""
-        n = self._version()
-        schema = T.StructType.fromJson(json.loads(self.spark.read.text(f"{self.path}/s{n}").first()[0]))
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{n}")
+    def _change(self, kbs: Sequence[str], change: Callable[[DataFrame], DataFrame]) -> None:
+        """Writes what ``change`` makes of the rows of these knowledge bases, and no others."""
+        n = self._version() + 1
+        schema, folders = self._manifest(n - 1)
+        for i, kb in enumerate(sorted(kbs)):
+            rows = change(self.rows([kb]))
+            schema = rows.schema
+            name = f"v{n}-{i}"
+            rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+            folders = folders | {kb: name}
+        if kbs:
+            self._commit(n, schema, folders)
+
+    def rows(self, kb_ids: Sequence[str] | None = None) -> DataFrame:
+        """The rows of the last version, of all knowledge bases or of these; an empty table has its schema too."""
+        schema, folders = self._manifest(self._version())
+        wanted = [name for kb, name in folders.items() if kb_ids is None or kb in set(kb_ids)]
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}" for name in wanted]) if wanted else self.spark.createDataFrame([], schema)
 
     def search(self, select: Sequence[str], condition: Mapping, kb_ids: Sequence[str], order: Sequence[Column] = (), offset: int = 0, limit: int = 0) -> DataFrame:
         """Filters, sorts and cuts; the scope is part of every search."""
-        df = self.rows().where(F.col(self.partition).isin(list(kb_ids)))
+        df = self.rows(kb_ids)
         df = df.where(predicates.term_filter(df, condition))
         df = df.orderBy(*order, self.key) if order else df
         df = df.offset(offset) if offset else df
         return (df.limit(limit) if limit else df).select(*select)
 
     def get(self, key, kb_ids: Sequence[str]) -> DataFrame:
-        return self.rows().where(F.col(self.partition).isin(list(kb_ids)) & (F.col(self.key) == key))
+        return self.rows(kb_ids).where(F.col(self.key) == key)
 
     def insert(self, new: DataFrame, kb_id: str) -> None:
         """Upserts by key; the knowledge base is forced."""
-        self._write(mutations.upsert(self.rows(), new.withColumn(self.partition, F.lit(kb_id)), self.key))
+        self._change([kb_id], lambda rows: mutations.upsert(rows, new.withColumn(self.partition, F.lit(kb_id)), self.key))
 
     def update(self, where: Column, values: Mapping[str, object]) -> None:
-        self._write(mutations.update(self.rows(), where, values))
+        """Updates the rows of a condition; one list of the knowledge bases that have any is read first."""
+        if self.partition in values:
+            raise ValueError("rows don't move between knowledge bases")
+        touched = [r[0] for r in self.rows().where(where).select(self.partition).distinct().collect()]
+        self._change(touched, lambda rows: mutations.update(rows, where, values))
 
     def delete(self, kb_id: str, ids: list | None = None, where: Column | None = None) -> None:
-        self._write(mutations.delete(self.rows(), kb_id, self.partition, self.key, ids, where))
+        if kb_id in self._manifest(self._version())[1]:
+            self._change([kb_id], lambda rows: mutations.delete(rows, kb_id, self.partition, self.key, ids, where))
 
     @staticmethod
     def total(result: DataFrame) -> int:
@@ -97,7 +120,7 @@ class DocumentStore:
 
     def sql(self, statement: str, kb_ids: Sequence[str], name: str = "chunks") -> DataFrame:
         """A statement over a view that holds the scope's rows only."""
-        self.rows().where(F.col(self.partition).isin(list(kb_ids))).createOrReplaceTempView(name)
+        self.rows(kb_ids).createOrReplaceTempView(name)
         return self.spark.sql(statement)
 
 

@@ -19,25 +19,16 @@ def task_log(spark: SparkSession, path: str, schema: str, per_trigger: int = 1)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)
 
 
-def consume(tasks: DataFrame, handle: Callable[[DataFrame], DataFrame], store: str, checkpoint: str, key: str = "task_id"):
+def consume(tasks: DataFrame, handle: Callable[[DataFrame], DataFrame], store: str, checkpoint: str, key: str = "task_id", time: str | None = None, ttl: str = "7 days"):
     """At-least-once delivery with an idempotent sink: a batch's results are written to a folder of its own, and a
-    replayed batch overwrites it; tasks done in earlier batches are skipped."""
+    replayed batch overwrites it. Tasks that came before are known by the query's state, not by reading results: within ``ttl``
+    if ``time`` names a column of event times, else for ever."""
+    once = tasks.withWatermark(time, ttl).dropDuplicatesWithinWatermark([key]) if time else tasks.dropDuplicates([key])
 
     def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        todo = batch.dropDuplicates([key])
-        if epoch and _exists(spark, store):
-            done = spark.read.option("recursiveFileLookup", False).parquet(store).where(F.col("epoch") < epoch)
-            todo = todo.join(done.select(key), key, "left_anti")
-        handle(todo).write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
+        handle(batch).write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
 
-    return tasks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return once.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def progress(updates: DataFrame, key: str = "task_id", value: str = "progress") -> DataFrame:
