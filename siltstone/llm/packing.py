@@ -40,6 +40,7 @@ TIERS = (4096, 2048, 1024, 512, 256)
 _FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, number long"
 _loaded: dict[str, Encoder] = {}
 _STOP = re.compile(r"[.,]$", re.M)
+_MARK = "\x01"
 
 
 class Encoder:
@@ -65,6 +66,9 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.lowers = "Lowercase" in json.dumps(whole["normalizer"])
         self.by_piece = self._splits_at_blanks()
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.plain = self._plain(whole)
 
     @classmethod
     def at(cls, path: str, most: int) -> Encoder:
@@ -79,17 +83,40 @@ class Encoder:
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         return all(ids(t) == [i for p in t.replace("\n", " ").split(" ") if p for i in ids(p)] for t in ("a b", " the  of\nThe, 12 a.\n\nb ", "é x\ny", "don't it 's"))
 
+    def _plain(self, whole: dict) -> Tokenizer:
+        """The tokenizer without the steps that words of lower-case letters below U+0180 pass unchanged, if it has such steps."""
+        from tokenizers import Tokenizer
+
+        steps = (whole["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        if not self.by_piece or steps[0].get("type") != "Split":
+            return self.tokenizer
+        less = whole | {"normalizer": None, "pre_tokenizer": whole["pre_tokenizer"] | {"pretokenizers": [{"type": "WhitespaceSplit"}, *steps[1:]]}}
+        made = Tokenizer.from_str(json.dumps(less))
+        letters = [chr(i) for i in range(0x180) if chr(i).isalpha() and i != 0x130 and chr(i).lower() == chr(i)]
+        tried = [" ".join(a + b + a for a in letters) for b in letters]
+        same = all(x.ids == y.ids for x, y in zip(*(t.encode_batch_fast(tried, add_special_tokens=False) for t in (made, self.tokenizer)), strict=True))
+        return made if same else self.tokenizer
+
     def _each(self, pieces: list[str], known: dict[str, bytes]) -> None:
-        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, np.uint32).tobytes()
+        """Learn any pieces, many at a time between marks that none of them has."""
+        for at in range(0, len(pieces), 2000):
+            part = pieces[at : at + 2000]
+            joined = f" {_MARK} ".join(part)
+            if self.mark is None or joined.count(_MARK) != len(part) - 1:
+                found = [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            else:
+                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+                data, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
+                found = [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
+            known.update(zip(part, found, strict=True))
 
-    def _words(self, words: list[str], known: dict[str, bytes]) -> None:
-        """Learn words of letters alone."""
+    def _words(self, words: list[str], known: dict[str, bytes], lower: bool) -> None:
+        """Learn words of letters alone, which are lower-cased or not."""
         if not self.ends.any():
             return self._each(words, known)
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array((self.plain if lower else self.tokenizer).encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part) or len(ids) != cuts[-1]:
                 self._each(part, known)
@@ -115,7 +142,7 @@ class Encoder:
             joined = joined.lower()
         stems = _STOP.sub("", joined).split("\n")
         plain = list(map(str.isalpha, stems))
-        self._words(list(set(compress(stems, plain)).difference(known)), known)
+        self._words(list(set(compress(stems, plain)).difference(known)), known, self.lowers)
         self._each([p for p, good in zip(missing, plain, strict=True) if not good], known)
         self._each([p for p in (".", ",") if p not in known], known)
         tails = {".": known["."], ",": known[","]}
