@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions import text
+
 # Boosts of the fields, BM25's constants, weights of word kinds.
 BOOSTS = {"title_tks": 10.0, "title_sm_tks": 5.0, "important_kwd": 30.0, "important_tks": 20.0, "question_tks": 20.0, "content_ltks": 2.0, "content_sm_ltks": 1.0}
 K1, B = 1.2, 0.75
@@ -117,6 +119,43 @@ def raw_weight(token: Column) -> Column:
     return (0.3 * _idf10(freq, FREQ_TOTAL) + 0.7 * _idf10(df, DF_TOTAL)) * kind * pos
 
 
+# Weights of kinds of names and of parts of speech.
+NAME_WEIGHTS = {"toxic": 2.0, "func": 1.0, "corp": 3.0, "loca": 3.0, "sch": 3.0, "stock": 3.0, "firstnm": 1.0}
+TAG_WEIGHTS = {"r": 0.3, "c": 0.3, "d": 0.3, "ns": 3.0, "nt": 3.0, "n": 2.0}
+
+
+def corpus_lexicon(chunks: DataFrame, tokens: Column, chunk_id: str = "chunk_id") -> DataFrame:
+    """How often each token occurs, and in how many texts: token, freq, df, and null kinds of name and part of speech."""
+    each = chunks.select(F.col(chunk_id).alias("_c"), F.explode(tokens).alias("token")).groupBy("_c", "token").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("token").agg(F.sum("n").alias("freq"), F.count(F.lit(1)).alias("df")).select("token", "freq", "df", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("tag"))
+
+
+def lexicon_weights(flat: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``flat`` (query_id, pos, token) with the normalised ``weight`` of each token by a lexicon (token, freq, df, name, tag).
+
+    Tokens that the lexicon lacks and that aren't Latin count by their parts: a sixth of the rarest of two or more.
+    Only rows of the lexicon that questions ask for are joined.
+    """
+    t = F.col("token")
+    numbers, latin = t.rlike(r"^[0-9. -]{2,}$"), t.rlike(r"^[a-z. -]+$")
+    parts = F.filter(text.fine_tokens(t), lambda x: F.length(x) > 1)
+    words = flat.select("token").distinct().withColumn("parts", F.when((F.length("token") >= 4) & ~latin & ~numbers & (F.size(parts) > 1), parts))
+    asked = words.select("token").union(words.select(F.explode("parts"))).distinct()
+    found = asked.join(lexicon, "token", "left")
+    # The value of a token of its own, null where its parts are to be asked.
+    own_freq = F.when(numbers, F.lit(3.0)).when(F.col("freq") > 0, F.greatest(F.col("freq").cast("double"), F.lit(10.0))).when(latin, F.lit(300.0))
+    own_df = F.when(numbers, F.lit(5.0)).when(F.col("df").isNotNull(), F.col("df") + F.lit(3.0)).when(latin, F.lit(300.0))
+    own = found.select("token", own_freq.alias("f"), own_df.alias("d"), "name", "tag")
+    of_part = own.select(F.col("token").alias("part"), F.coalesce("f", F.lit(10.0)).alias("pf"), F.coalesce("d", F.lit(3.0)).alias("pd"))
+    by_parts = words.select("token", F.explode("parts").alias("part")).join(of_part, "part").groupBy("token").agg((F.min("pf") / 6).alias("pf"), (F.min("pd") / 6).alias("pd"))
+    freq = F.coalesce("f", F.greatest("pf", F.lit(10.0)), F.lit(10.0))
+    df = F.coalesce("d", F.greatest("pd", F.lit(3.0)), F.lit(3.0))
+    kind = F.when(t.rlike(r"^[0-9,.]{2,}$"), 2.0).when(t.rlike(r"^[a-z]{1,2}$"), 0.01).otherwise(F.coalesce(*[F.when(F.col("name") == n, F.lit(w)) for n, w in NAME_WEIGHTS.items()], F.lit(1.0)))
+    speech = F.coalesce(*[F.when(F.col("tag") == n, F.lit(w)) for n, w in TAG_WEIGHTS.items()], F.when(t.rlike("^[0-9-]+"), F.lit(2.0)), F.lit(1.0))
+    valued = own.join(by_parts, "token", "left").select("token", ((0.3 * _idf10(freq, FREQ_TOTAL) + 0.7 * _idf10(df, DF_TOTAL)) * kind * speech).alias("w"))
+    return flat.join(valued, "token").withColumn("weight", F.col("w") / F.sum("w").over(Window.partitionBy("query_id"))).select("query_id", "pos", "token", "weight")
+
+
 def weighted(tokens: Column) -> Column:
     """(token, weight) of each token in order; the weights sum to 1."""
     w = F.transform(tokens, lambda t: F.struct(t.alias("token"), raw_weight(t).alias("w")))

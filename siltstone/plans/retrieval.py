@@ -94,6 +94,27 @@ add("v09_phrases", lambda t: L.phrases(positions(t), phrase_pairs(t)).groupBy("q
 WEIGHT = r"((0.3 * log10(10 + (1e7 - fr + 0.5) / (fr + 0.5)) + 0.7 * log10(10 + (1e9 - dfq + 0.5) / (dfq + 0.5))) * kind * pk)"
 KINDS = r"""(SELECT *, CASE WHEN regexp_full_match(token, '[0-9. -]{2,}') THEN 3.0 WHEN regexp_full_match(token, '[a-z. -]+') THEN 300.0 ELSE 10.0 END::DOUBLE AS fr, CASE WHEN regexp_full_match(token, '[0-9. -]{2,}') THEN 5.0 WHEN regexp_full_match(token, '[a-z. -]+') THEN 300.0 ELSE 3.0 END::DOUBLE AS dfq, CASE WHEN regexp_full_match(token, '[0-9,.]{2,}') THEN 2.0 WHEN regexp_full_match(token, '[a-z]{1,2}') THEN 0.01 ELSE 1.0 END::DOUBLE AS kind, CASE WHEN regexp_matches(token, '^[0-9-]+') THEN 2.0 ELSE 1.0 END::DOUBLE AS pk FROM (SELECT item_id AS query_id, unnest(""" + TOK + r""") AS token, generate_subscripts(""" + TOK + r""", 1) AS pos FROM benchmark))"""
 add("v19_term_weights", lambda t: L.query_terms(t.benchmark, text.tokens("text"), "item_id").where("kind = 'term'").select("query_id", "pos", "token", F.round("weight", 9).alias("weight")), f"SELECT query_id, (pos - 1)::INT AS pos, token, round({WEIGHT} / sum({WEIGHT}) OVER (PARTITION BY query_id), 9) AS weight FROM {KINDS}")
+NAMED = [("糖尿", 6000, 900, None, None), ("尿病", 4200, 800, None, None), ("病患", 9000, 70, None, None), ("患者", 8000, 900, None, "n"), ("北京", 5000, 400, "loca", "ns"), ("和", 90000, 9000, None, "c"), ("砒霜", 20, 2, "toxic", "n")]
+
+
+def lexical_weights(t):
+    """Weights by the frequencies of the documents, with some names and parts of speech, and words known by their parts only."""
+    lexicon = L.corpus_lexicon(t.documents, text.tokens("text"), "doc_id").unionByName(t.spark.createDataFrame(NAMED, "token string, freq long, df long, name string, tag string"))
+    asked = t.benchmark.select(c("item_id").alias("query_id"), F.posexplode(F.concat(F.split(F.lit("糖尿病患者 北京 和 砒霜 未知之词 12.5 3-4 ab"), " "), text.tokens("text"))).alias("pos", "token"))
+    return L.lexicon_weights(asked, lexicon)
+
+
+LEXICON = "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in NAMED) + ") v(token, freq, df, name, tag)"
+add("v19_lexicon_weights", lambda t: lexical_weights(t).select("query_id", "pos", "token", F.round("weight", 9).alias("weight")), rf"""
+WITH o AS (SELECT doc_id, unnest({TOK}) AS token FROM documents), lx AS (SELECT token, count(*) AS freq, count(DISTINCT doc_id) AS df, NULL::VARCHAR AS name, NULL::VARCHAR AS tag FROM o GROUP BY 1 UNION ALL SELECT * FROM {LEXICON}),
+q0 AS (SELECT item_id AS query_id, list_concat(['糖尿病患者', '北京', '和', '砒霜', '未知之词', '12.5', '3-4', 'ab'], {TOK}) AS l FROM benchmark), q AS (SELECT query_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM q0),
+w AS (SELECT q.*, freq, df, name, tag, CASE token WHEN '糖尿病患者' THEN 4200 / 6.0 END AS pf, CASE token WHEN '糖尿病患者' THEN 73 / 6.0 END AS pd FROM q LEFT JOIN lx USING (token)),
+x AS (SELECT *, CASE WHEN regexp_full_match(token, '[0-9. -]{{2,}}') THEN 3.0 WHEN freq > 0 THEN greatest(freq, 10) WHEN regexp_full_match(token, '[a-z. -]+') THEN 300 ELSE coalesce(greatest(pf, 10), 10) END::DOUBLE AS f,
+ CASE WHEN regexp_full_match(token, '[0-9. -]{{2,}}') THEN 5.0 WHEN df IS NOT NULL THEN df + 3 WHEN regexp_full_match(token, '[a-z. -]+') THEN 300 ELSE coalesce(greatest(pd, 3), 3) END::DOUBLE AS d,
+ CASE WHEN regexp_full_match(token, '[0-9,.]{{2,}}') THEN 2.0 WHEN regexp_full_match(token, '[a-z]{{1,2}}') THEN 0.01 WHEN name = 'toxic' THEN 2 WHEN name = 'loca' THEN 3 ELSE 1 END::DOUBLE AS kind,
+ CASE WHEN tag = 'c' THEN 0.3 WHEN tag = 'ns' THEN 3 WHEN tag = 'n' THEN 2 WHEN regexp_matches(token, '^[0-9-]+') THEN 2 ELSE 1 END::DOUBLE AS pk FROM w),
+y AS (SELECT *, (0.3 * log10(10 + (1e7 - f + 0.5) / (f + 0.5)) + 0.7 * log10(10 + (1e9 - d + 0.5) / (d + 0.5))) * kind * pk AS v FROM x)
+SELECT query_id, pos::INT AS pos, token, round(v / sum(v) OVER (PARTITION BY query_id), 9) AS weight FROM y""")
 add("v22_query_clauses", lambda t: L.query_terms(t.benchmark, text.tokens("text"), "item_id").groupBy("query_id", "kind").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight")), f"WITH w AS (SELECT query_id, pos, {WEIGHT} / sum({WEIGHT}) OVER (PARTITION BY query_id) AS w FROM {KINDS}), p AS (SELECT *, lead(w) OVER (PARTITION BY query_id ORDER BY pos) AS nw FROM w) SELECT query_id, 'term' AS kind, count(*) AS n, round(sum(w), 6) AS weight FROM p GROUP BY 1 UNION ALL SELECT query_id, 'phrase', count(*), round(sum(2 * greatest(w, nw)), 6) FROM p WHERE nw IS NOT NULL GROUP BY 1")
 add("v24_content_query", lambda t: L.content_query(t.benchmark, text.tokens("text"), "item_id").groupBy("query_id").agg(F.count("*").alias("n"), F.first("min_match").alias("min_match"), F.round(F.sum("weight"), 5).alias("weight")), f"WITH d AS (SELECT DISTINCT query_id, token, {WEIGHT} AS w FROM {KINDS}), k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, token) <= 30) SELECT query_id, count(*) AS n, least(3, round(count(*) / 10.0))::INT AS min_match, round(sum(w), 5) AS weight FROM k GROUP BY 1")
 add("v25_synonyms", lambda t: L.expand_synonyms(questions(t), t.nation.select(F.lit("the").alias("token"), F.lower("n_name").alias("synonym"), (c("n_nationkey") + 1).alias("rank"))).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight")), rf"WITH q AS (SELECT DISTINCT item_id AS query_id, token FROM (SELECT item_id, unnest({TOK}) AS token FROM benchmark)) SELECT query_id, count(*) + 8 * count(*) FILTER (token = 'the') AS n, round(count(*) + 2.0 * count(*) FILTER (token = 'the'), 6)::DOUBLE AS weight FROM q GROUP BY 1")

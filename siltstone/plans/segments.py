@@ -74,5 +74,13 @@ add("s11_text_questions", lambda t: t.part.select("p_partkey", F.inline(S.text_q
 add("s13_markdown_questions", lambda t: S.per_document(markdown(t), S.markdown_questions, "question string, answer string").select("doc_id", "question", F.md5("answer").alias("answer")))
 add("s16_json_sniffing", lambda t: t.events.select("event_id", readers.looks_like_jsonl(F.concat("props", F.lit("\n"), "props", F.when(c("event_id") % 2 == 0, F.lit("\nbad")).otherwise(F.lit("")))).alias("jsonl")), "SELECT event_id, event_id % 2 <> 0 AS jsonl FROM events")
 add("k18_report", lambda t: writers.report(t.documents.groupBy("source").agg(F.count("*").alias("n")), "Sources"), "SELECT '# Sources' || chr(10) || chr(10) || '| source | n |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || source || ' | ' || n || ' |', chr(10) ORDER BY '| ' || source || ' | ' || n || ' |') AS report FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
-add("m1_embeddings", lambda t: t.benchmark.select("item_id", F.size(models.embed(c("text"))).cast("long").alias("dim")), "SELECT item_id, 64::BIGINT AS dim FROM benchmark")
-add("m4_int8_vectors", lambda t: t.nation.select("n_nationkey", F.aggregate(models.decode_int8(F.base64(F.unhex(F.lit("01FF7F")))), F.lit(0.0), lambda a, x: a + x).alias("s")), "SELECT n_nationkey, 127.0::DOUBLE AS s FROM nation")
+add(
+    "m1_embeddings",
+    lambda t: t.benchmark.select("item_id", models.embed(c("text")).alias("e"), models.embed(F.concat(F.lit("- "), "text", F.lit(" ."))).alias("f")).select("item_id", F.size("e").cast("long").alias("dim"), F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x), 4).alias("square"), (c("e") == c("f")).alias("same")),
+    "SELECT item_id, 64::BIGINT AS dim, 1.0::DOUBLE AS square, true AS same FROM benchmark",
+)
+add(
+    "m4_int8_vectors",
+    lambda t: t.part.select("p_partkey", models.decode_int8(F.base64(F.unhex(F.concat(F.lpad(F.hex("p_size"), 2, "0"), F.lpad(F.hex(256 - c("p_size")), 2, "0"), F.lit("7F80"))))).alias("v")),
+    "SELECT p_partkey, [p_size, -p_size, 127, -128]::FLOAT[] AS v FROM part",
+)

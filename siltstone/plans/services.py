@@ -29,8 +29,16 @@ add("t7_global_top_k", lambda t: t.orders.orderBy(c("o_totalprice").desc(), "o_o
 add("t9_top_nodes", lambda t: t.customer.orderBy(F.coalesce("c_acctbal", F.lit(0.0)).desc(), "c_custkey").limit(256).select("c_custkey"), "SELECT c_custkey FROM customer ORDER BY coalesce(c_acctbal, 0) DESC, c_custkey LIMIT 256")
 add("u6_token_sets", lambda t: t.benchmark.select("item_id", F.size(F.array_intersect(text.tokens("text"), F.array(F.lit("the"), F.lit("de"), F.lit("die")))).cast("long").alias("common")), f"SELECT item_id, len(list_intersect({TOK}, ['the', 'de', 'die']))::BIGINT AS common FROM benchmark")
 add("v20_pretokens", lambda t: t.benchmark.select("item_id", F.array_join(L.without_noise(text.tokens("text"), ["the", "de", "of"]), " ").alias("v")), rf"SELECT item_id, array_to_string(list_filter({TOK}, lambda x: x NOT IN ('the', 'de', 'of') AND regexp_matches(x, '[\p{{L}}\p{{N}}]') AND NOT regexp_full_match(x, '[0-9]')), ' ') AS v FROM benchmark")
-add("v20_merged_singles", lambda t: t.part.select("p_partkey", F.array_join(L.merged_singles(F.split(F.concat(F.lit("a b "), "p_brand", F.lit(" c d e f g x1 h")), " ")), " ").alias("v")), "SELECT p_partkey, 'ab ' || p_brand || ' cd ef g x1 h' AS v FROM part")
-add("v21_joined_latin", lambda t: t.part.select("p_partkey", F.array_join(L.joined_latin(F.split(F.lit("heart failure 心 衰 mri"), " ")), "|").alias("v")), "SELECT p_partkey, 'heart failure|心|衰|mri' AS v FROM part")
+add(
+    "v20_merged_singles",
+    lambda t: t.part.select("p_partkey", F.array_join(L.merged_singles(F.filter(F.concat(F.array("p_brand"), F.split(F.substring(F.lit("abcdefgh"), F.lit(1), (c("p_partkey") % 9).cast("int")), ""), F.array(F.lit("xx"), F.lit("y"))), lambda x: x != "")), " ").alias("v")),
+    "SELECT p_partkey, concat_ws(' ', p_brand, CASE WHEN n BETWEEN 1 AND 4 THEN s WHEN n > 4 THEN array_to_string([s[i:i + 1] FOR i IN range(1, n + 1, 2)], ' ') END, 'xx', 'y') AS v FROM (SELECT *, (p_partkey % 9)::INT AS n, left('abcdefgh', (p_partkey % 9)::INT) AS s FROM part)",
+)
+add(
+    "v21_joined_latin",
+    lambda t: t.benchmark.select("item_id", F.array_join(L.joined_latin(F.concat(F.split(F.lit("heart failure 心 衰 mri a b c 1x"), " "), text.tokens("text"))), "|").alias("v")),
+    rf"SELECT item_id, regexp_replace(regexp_replace(array_to_string(list_concat(['heart', 'failure', '心', '衰', 'mri', 'a', 'b', 'c', '1x'], {TOK}), '|'), '([a-zA-Z])\|([a-zA-Z])', '\1 \2', 'g'), '([a-zA-Z])\|([a-zA-Z])', '\1 \2', 'g') AS v FROM benchmark",
+)
 add("v23_segmented_terms", lambda t: L.segmented_terms(t.benchmark.select(c("item_id").alias("query_id"), F.concat(F.lit("儿科门诊 "), "text").alias("text")), F.array_distinct(text.tokens("text")), text.fine_tokens("text")).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("w")))
 add("v33_toc_boost", lambda t: V.boost_merge(hits(t), hits(t).join(V.best_document(hits(t), "label"), ["query_id", "label"]).select("query_id", "chunk_id", F.lit(0.1).alias("sim"))).groupBy("query_id").agg(F.round(F.sum("sim"), 5).alias("s")), f"WITH h AS ({NEAR}), b AS (SELECT query_id, label FROM (SELECT query_id, label, round(sum(cosine), 9) AS s FROM h GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, label) = 1) SELECT h.query_id, round(sum(cosine + CASE WHEN b.label IS NULL THEN 0 ELSE 0.1 END), 5) AS s FROM h LEFT JOIN b ON b.query_id = h.query_id AND b.label = h.label GROUP BY 1")
 add("v34_collapsed_tokens", lambda t: t.conversations.groupBy("conv_id").agg(F.size(F.flatten(F.collect_list(text.tokens("text")))).cast("long").alias("n")), rf"SELECT conv_id, sum(len({TOK}))::BIGINT AS n FROM conversations GROUP BY 1")
