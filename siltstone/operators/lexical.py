@@ -264,6 +264,36 @@ def segmented_terms(questions: DataFrame, segments: Column, fine: Column, query_
     return top.select("query_id", F.explode(parts).alias("t")).groupBy("query_id", "t.token").agg(F.sum("t.weight").alias("weight"))
 
 
+# Boosts of a segment's clauses in questions of scripts without blanks.
+SEGMENT_BOOST, SEGMENT_SYNONYM, TOKEN_SYNONYM, FINE_NEAR, SEGMENT_NEAR = 5.0, 0.7, 0.2, 0.5, 1.5
+
+
+def segment_clauses(segments: DataFrame, weights: DataFrame, synonyms: DataFrame, most: int = 256) -> DataFrame:
+    """The clauses of questions in scripts without blanks: query_id, seg, kind, text, weight.
+
+    ``segments``: query_id, seg, segment; ``weights``: query_id, seg, token, weight (the tokens of each segment); ``synonyms``:
+    term, synonym. Tokens weigh as they do, synonyms of a token a fifth of it; longer tokens that aren't Latin are asked for by
+    their parts too, as a phrase, and near each other at half the weight. The tokens of a segment near each other add a clause.
+    If the segment itself has synonyms, they are a clause each and everything before counts five times.
+    """
+    kept = segments.where((F.col("seg") < most) & (F.col("segment") != ""))
+    named = synonyms.select(F.col("term").alias("_term"), "synonym")
+    whole = kept.join(named, kept["segment"] == named["_term"]).select("query_id", "seg", F.lit("segment_synonym").alias("kind"), F.col("synonym").alias("text"), F.lit(SEGMENT_SYNONYM).alias("weight"))
+    raised = whole.select("query_id", "seg", F.lit(SEGMENT_BOOST).alias("_times")).distinct()
+    tokens = weights.join(kept.select("query_id", "seg"), ["query_id", "seg"], "left_semi")
+    parts = F.filter(F.transform(text.fine_tokens("token"), text.escape_query), lambda x: F.length(x) > 1)
+    fine = tokens.where((F.length("token") >= 3) & ~F.col("token").rlike(r"^[0-9a-z.+#_*-]+$")).withColumn("_p", parts).where(F.size("_p") > 0).withColumn("text", F.array_join("_p", " "))
+    clause = lambda df, kind, said, weight: df.select("query_id", "seg", F.lit(kind).alias("kind"), said.alias("text"), weight.alias("weight"))
+    w = F.col("weight")
+    inner = clause(tokens, "term", text.escape_query("token"), w).unionByName(clause(fine, "fine_phrase", F.col("text"), w)).unionByName(clause(fine, "fine_near", F.col("text"), w * FINE_NEAR))
+    inner = inner.unionByName(clause(tokens.join(named, tokens["token"] == named["_term"]), "token_synonym", text.escape_query("synonym"), w * TOKEN_SYNONYM))
+    several = tokens.groupBy("query_id", "seg").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("query_id", "seg")
+    near = kept.join(several, ["query_id", "seg"])
+    inner = inner.unionByName(clause(near, "segment_near", F.array_join(text.fine_tokens("segment"), " "), F.lit(SEGMENT_NEAR)))
+    boosted = inner.join(raised, ["query_id", "seg"], "left").withColumn("weight", w * F.coalesce("_times", F.lit(1.0))).drop("_times")
+    return boosted.where(F.trim("text") != "").unionByName(whole)
+
+
 def match_scores(chunks: DataFrame, fields: dict[str, Column], terms: DataFrame, boosts: dict[str, float] | None = None, chunk_id: str = "chunk_id") -> DataFrame:
     """V6-V8 for a batch of questions: query_id, chunk_id, the best field's BM25 score and the number of terms matched.
 

@@ -40,6 +40,27 @@ add(
     rf"SELECT item_id, regexp_replace(regexp_replace(array_to_string(list_concat(['heart', 'failure', '心', '衰', 'mri', 'a', 'b', 'c', '1x'], {TOK}), '|'), '([a-zA-Z])\|([a-zA-Z])', '\1 \2', 'g'), '([a-zA-Z])\|([a-zA-Z])', '\1 \2', 'g') AS v FROM benchmark",
 )
 add("v23_segmented_terms", lambda t: L.segmented_terms(t.benchmark.select(c("item_id").alias("query_id"), F.concat(F.lit("儿科门诊 "), "text").alias("text")), F.array_distinct(text.tokens("text")), text.fine_tokens("text")).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("w")))
+SYNONYMS = [("儿科门诊", "小儿门诊"), ("门诊", "诊室"), ("the", "der")]
+
+
+def segmented_questions(t):
+    """Questions as segments (words) and their tokens, one of them in Chinese, of two tokens."""
+    words = F.slice(F.concat(F.array(F.lit("儿科门诊")), text.tokens("text")), 1, 256)
+    segments = t.benchmark.select(c("item_id").alias("query_id"), F.posexplode(words).alias("seg", "segment"))
+    parts = F.when(c("segment") == "儿科门诊", F.array(F.struct(F.lit("儿科").alias("token"), F.lit(0.5).alias("weight")), F.struct(F.lit("门诊").alias("token"), F.lit(0.5).alias("weight")))).otherwise(F.array(F.struct(c("segment").alias("token"), F.lit(1.0).alias("weight"))))
+    weights = segments.select("query_id", "seg", F.explode(parts).alias("x")).select("query_id", "seg", "x.token", "x.weight")
+    return L.segment_clauses(segments, weights, t.spark.createDataFrame(SYNONYMS, "term string, synonym string"))
+
+
+add(
+    "v23_segment_clauses",
+    lambda t: segmented_questions(t).groupBy("query_id", "kind").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight")),
+    rf"""WITH w AS (SELECT item_id AS query_id, unnest({TOK}[1:255]) AS token FROM benchmark), k AS (SELECT query_id, 'term' AS kind, CASE WHEN token = 'the' THEN 5.0 ELSE 1.0 END AS w FROM w
+ UNION ALL SELECT query_id, unnest(['fine_phrase', 'fine_near']), unnest([1.0, 0.5]) FROM w WHERE length(token) >= 3 AND NOT regexp_full_match(token, '[0-9a-z.+#_*-]+')
+ UNION ALL SELECT query_id, unnest(['token_synonym', 'segment_synonym']), unnest([1.0, 0.7]) FROM w WHERE token = 'the'
+ UNION ALL SELECT item_id, unnest(['term', 'term', 'token_synonym', 'segment_near', 'segment_synonym']), unnest([2.5, 2.5, 0.5, 7.5, 0.7]) FROM benchmark)
+ SELECT query_id, kind, count(*) AS n, round(sum(w)::DOUBLE, 6) AS weight FROM k GROUP BY 1, 2""",
+)
 add("v33_toc_boost", lambda t: V.boost_merge(hits(t), hits(t).join(V.best_document(hits(t), "label"), ["query_id", "label"]).select("query_id", "chunk_id", F.lit(0.1).alias("sim"))).groupBy("query_id").agg(F.round(F.sum("sim"), 5).alias("s")), f"WITH h AS ({NEAR}), b AS (SELECT query_id, label FROM (SELECT query_id, label, round(sum(cosine), 9) AS s FROM h GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, label) = 1) SELECT h.query_id, round(sum(cosine + CASE WHEN b.label IS NULL THEN 0 ELSE 0.1 END), 5) AS s FROM h LEFT JOIN b ON b.query_id = h.query_id AND b.label = h.label GROUP BY 1")
 add("v34_collapsed_tokens", lambda t: t.conversations.groupBy("conv_id").agg(F.size(F.flatten(F.collect_list(text.tokens("text")))).cast("long").alias("n")), rf"SELECT conv_id, sum(len({TOK}))::BIGINT AS n FROM conversations GROUP BY 1")
 add("v40_text_match", lambda t: t.documents.where(text_sql.ts_match(c("text"), "%the of and ingest%", 0.5)).select("doc_id"), f"SELECT doc_id FROM documents WHERE len(list_intersect(list_distinct({TOK}), ['the', 'of', 'and', 'ingest'])) >= 2")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
-from siltstone.operators import retrieval, segment
+from siltstone.operators import lexical, retrieval, segment
 
 
 def test_citation_repair(spark):
@@ -87,3 +87,27 @@ def test_hierarchical_chunks():
     loose = [f"plain line {i}" for i in range(9)] + ["第一章 甲"]
     assert [t for t, _ in segment.hierarchical_chunks("\n".join(loose), 1, budget=10)] == ["\n".join(loose[i : i + 3]) for i in (0, 3, 6)]
     assert list(segment.hierarchical_chunks("no bullets")) == [] and list(segment.hierarchical_chunks("")) == []
+
+
+def test_segment_clauses(spark):
+    segments = spark.createDataFrame([(1, 0, "糖尿病患者"), (1, 1, "mri"), (1, 300, "late"), (1, 2, "")], "query_id long, seg int, segment string")
+    weights = spark.createDataFrame([(1, 0, "糖尿病", 0.75), (1, 0, "患者", 0.25), (1, 1, "mri", 1.0), (1, 300, "late", 1.0)], "query_id long, seg int, token string, weight double")
+    synonyms = spark.createDataFrame([("糖尿病患者", "消渴病人"), ("mri", "磁共振"), ("患者", "病人")], "term string, synonym string")
+    got = sorted(tuple(r)[1:] for r in lexical.segment_clauses(segments, weights, synonyms).collect())
+    assert got == sorted([
+        (0, "term", "糖尿病", 3.75), (0, "term", "患者", 1.25), (0, "fine_phrase", "糖尿 尿病", 3.75), (0, "fine_near", "糖尿 尿病", 1.875),
+        (0, "token_synonym", "病人", 0.25), (0, "segment_near", "糖尿 尿病 病患 患者", 7.5), (0, "segment_synonym", "消渴病人", 0.7),
+        (1, "term", "mri", 5.0), (1, "token_synonym", "磁共振", 1.0), (1, "segment_synonym", "磁共振", 0.7),
+    ])
+
+
+def test_lexicon_weights_of_parts(spark):
+    flat = spark.createDataFrame([(1, i, t) for i, t in enumerate(["未知之词", "ab", "北京"])], "query_id long, pos int, token string")
+    lexicon = spark.createDataFrame([("未知", 600, 60, None, None), ("知之", 1200, 120, None, None), ("之词", 900, 90, None, None), ("北京", 5, 1, "loca", "ns")], "token string, freq long, df long, name string, tag string")
+    from math import log10
+
+    idf = lambda s, n: log10(10 + (n - s + 0.5) / (s + 0.5))
+    raw = [0.3 * idf(f, 1e7) + 0.7 * idf(d, 1e9) for f, d in ((100, 63 / 6), (300, 300), (10, 4))]
+    raw = [raw[0], 0.01 * raw[1], 9 * raw[2]]
+    got = [r["weight"] for r in lexical.lexicon_weights(flat, lexicon).orderBy("pos").collect()]
+    assert got == pytest.approx([x / sum(raw) for x in raw])
