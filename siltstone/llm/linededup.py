@@ -8,7 +8,8 @@ merged into runs before the text is rebuilt from the runs between them.
 A window that a third of the rows share is one key: its count is combined before the shuffle, and the join that
 marks its occurrences is between two shuffled sides, which adaptive execution splits.
 
-Defined results: null texts stay null and count as without lines; texts with fewer than three counting lines
+Defined results: windows of one text overlap, and a later window takes its lines even where an earlier one covers them, so of four
+equal lines one stays (the second window is a copy of the first and takes lines two to four); null texts stay null and count as without lines; texts with fewer than three counting lines
 stay; rows with the same id and text get the same decision, and only their common first occurrence stays;
 null ids rank last; other columns pass through; an empty table gives an empty result.
 """
