@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from functools import reduce
 
@@ -131,7 +132,7 @@ def meta_condition(value: Column, op: str, wanted: str) -> Column:
     low, want = F.lower(value), wanted.lower()
     if op in COMPARISONS:
         compare = {"=": lambda a, b: a == b, "≠": lambda a, b: a != b, ">": lambda a, b: a > b, "<": lambda a, b: a < b, "≥": lambda a, b: a >= b, "≤": lambda a, b: a <= b}[op]
-        if _is_date(wanted.strip()):
+        if re.match(DATE, wanted.strip()):
             return F.coalesce(F.trim(value).rlike(DATE) & compare(F.trim(value), F.lit(wanted.strip())), F.lit(False))
         number = F.trim(value).try_cast("double")
         try:
@@ -153,10 +154,6 @@ def meta_condition(value: Column, op: str, wanted: str) -> Column:
     return F.coalesce(tests[op], F.lit(False))
 
 
-def _is_date(s: str) -> bool:
-    return len(s) == 10 and s[4] == s[7] == "-" and (s[:4] + s[5:7] + s[8:]).isdigit()
-
-
 def meta_filter(meta: DataFrame, filters: list[dict], logic: str = "and", strict: bool = True) -> DataFrame:
     """Ids of documents whose metadata rows (doc_id, key, value) meet the filters.
 
@@ -170,16 +167,18 @@ def meta_filter(meta: DataFrame, filters: list[dict], logic: str = "and", strict
     hits = meta.select("doc_id", F.explode(tags).alias("i")).distinct()
     if logic == "or":
         return hits.select("doc_id").distinct()
-    need = F.lit(len(filters)) if strict else F.lit(len(filters)) - F.lit(0)
     counted = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if strict:
-        return counted.where(F.col("n") == need).select("doc_id")
-    first = hits.agg(F.min("i").alias("f"))  # filters before the first with any match were replaced
-    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(first), F.col("n") == len(filters) - F.col("f"), "left_semi").select("doc_id")
+        return counted.where(F.col("n") == len(filters)).select("doc_id")
+    first = hits.agg(F.min("i").alias("f"))  # one row; filters before the first with any match were replaced
+    return counted.join(F.broadcast(first), F.col("n") == len(filters) - F.col("f"), "left_semi").select("doc_id")
 
 
 def restriction(base: DataFrame | None, matched: DataFrame, mode: str) -> DataFrame | None:
-    """a manual filter without matches restricts to the sentinel id -999; an automatic one doesn't restrict."""
-    if matched.isEmpty():
-        return base.sparkSession.createDataFrame([("-999",)], "doc_id string") if mode == "manual" and base is not None else matched.sparkSession.createDataFrame([("-999",)], "doc_id string") if mode == "manual" else base
-    return matched if base is None else base.unionAll(matched)
+    """a manual filter without matches restricts to the sentinel id -999; an automatic one doesn't restrict.
+
+    Whether there is a restriction at all is the caller's to know, so one match is looked for first.
+    """
+    if not matched.isEmpty():
+        return matched if base is None else base.unionAll(matched)
+    return matched.sparkSession.createDataFrame([("-999",)], "doc_id string") if mode == "manual" else base
