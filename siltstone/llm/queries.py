@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, classifier, linededup, minhash, mixing, oracles, packing, rules, secrets, substring, topk
+from siltstone.llm import chat, classifier, fim, linededup, minhash, mixing, oracles, packing, pieces, rules, secrets, substring, topk, whitening
 from siltstone.llm.common import table
 
 
@@ -66,6 +66,27 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(docs, machine).select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    counted = encoded.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)})
+    return pieces.decode(counted, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), prefix="")
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(fim.restored(F.col("output"), F.col("form")), 256)}
+    return cut.withColumns(digests).select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", whitening.integers().alias("x"))
+    model = whitening.fit(vectors, most=32)
+    if model is None:
+        return vectors.limit(0).selectExpr("vec_id", "1 component", "1L n", "1L deviation", "1D whitened", "1D explained", "1D identity_error")
+    return whitening.components(whitening.whiten(vectors, model), model, whitening.identity_error(vectors, model))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_top_k,
         op9_minhash_dedup,
         op10_quality_classifier,
+        op11_sentencepiece,
+        op12_fill_in_middle,
+        op13_embedding_whitening,
     )
 }
 
