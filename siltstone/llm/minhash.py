@@ -14,6 +14,9 @@ component of that least id and cut into blocks of bounded size, are compared blo
 incidence matrices, and only links that connect something new leave a block. No pairs are listed, no group is
 held in one task, and no candidate pair between different components goes untested.
 
+A shingle is 64 bits in the sets, made of the digests of its words: of two compared sets of n and m shingles, different ones
+agree with a probability of n * m / 2^64, and no order of letters or words makes them agree.
+
 Defined results: texts without words have an empty set and are linked with nothing; texts with fewer words
 than a shingle have the whole sequence as their one shingle; rows with the same id count as one document, linked
 by any of their texts; rows with a null id are in no component (null) and are kept; other columns are

@@ -6,7 +6,7 @@ lines repeat. Passages that repeat inside longer lines share no line, so runs of
 ``window + guard - 1`` words (50) or more share such a unit, wherever lines end. The query's ``guard`` is no larger than
 ``window``, so neighbouring runs of a shared passage touch and no word between them stays.
 
-Digests have 128 bits. A pre-aggregated count finds those that occur more than once, with the least id that has them;
+Digests have 128 bits: two lanes, from each word on, that are never joined. A pre-aggregated count finds those that occur more than once, with the least id that has them;
 only occurrences of those are ranked, by (id, row digest, offset). All but the earliest are removed: their
 spans, in code points of the original text, are merged, and the text is cut with the spans kept beside it. A unit
 that a third of all rows share is combined before its shuffle, and its occurrences are joined as a skewed key.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import keep, row_key
-from siltstone.llm.wordhash import U, Words, mix, powers, slices, windows
+from siltstone.llm.wordhash import U, Words, digests, slices, windows
 
 _UNITS = "_k1 long, _k2 long, start int, end int, h1 long, h2 long"
 
@@ -42,13 +42,9 @@ def _line_hashes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     line = breaks[words.start] + owner
     first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     last = np.append(first[1:], n)
-    at = np.arange(n) - np.repeat(first, last - first)
-    p = powers(int(at.max()) + 1)[at]
-    with np.errstate(over="ignore"):
-        size = (last - first).astype(U)
-        one = mix(np.add.reduceat(words.hash * p, first) + size)
-        two = mix(np.add.reduceat(mix(words.hash ^ U(0x5851F42D4C957F2D)) * p, first) + size)
-    return first, last, one, two
+    # A line is hashed as the sequence of its words' digests.
+    lanes = digests(words.lanes.view(np.uint8).ravel(), 16 * first, 16 * last)
+    return first, last, lanes[:, 0], lanes[:, 1]
 
 
 def _picked(h: np.ndarray, guard: int) -> np.ndarray:
@@ -71,8 +67,7 @@ def units(docs: DataFrame, least: int, window: int, guard: int) -> DataFrame:
                 first, last, one, two = _line_hashes(words)
                 long = last - first >= least
                 parts = [(first[long], last[long], one[long], two[long])]
-                h1 = windows(words.hash, window)
-                h2 = windows(mix(words.hash ^ U(0x5851F42D4C957F2D)), window)
+                h1, h2 = windows(words.hash, window), windows(np.ascontiguousarray(words.lanes[:, 1]), window)
                 for _, a, b in words.texts():
                     at = a + _picked(h1[a : b - window + 1], guard) if b - a >= window else np.zeros(0, np.int64)
                     if len(at):

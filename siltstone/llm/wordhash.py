@@ -1,22 +1,24 @@
-"""Vectorised word hashing over the UTF-8 buffers of Arrow string columns.
+"""Word hashing over the UTF-8 buffers of Arrow string columns.
 
-All functions work on whole batches; the bytes of a batch are looked at a fixed number of times by numpy,
-never word by word in Python.
+A word has two lanes of 64 bits. Words of up to 64 bytes are absorbed by numpy, eight bytes of all words at a time, and both lanes
+are mixed after each step, with seeds of their own; words of up to eight bytes never agree in a lane. Longer words, and
+sequences of any length, are hashed by BLAKE2b. Nothing is linear in bytes or words, so no order of them makes different ones agree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
-_powers = np.ones(1, U)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,18 +32,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTES = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
-_LOWER = _BYTES.copy()
-_LOWER[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
+_LONG = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], U)
+_ODD = np.array([0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9], U)
 
 
-def powers(n: int) -> np.ndarray:
-    """1, P, P^2 ... modulo 2^64, at least n of them."""
-    global _powers
-    if len(_powers) < n:
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two 64-bit lanes of each part ``start[i]:end[i]`` of the bytes, by BLAKE2b."""
+    view = memoryview(np.ascontiguousarray(data))
+    return np.frombuffer(b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), U).reshape(-1, 2)
+
+
+def lanes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two lanes of each word of the bytes, one row for each."""
+    size = end - start
+    out = mix(size.astype(U)[:, None] + _SEEDS)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    for at in range(0, min(int(size.max(initial=0)), _LONG), 8):
+        some = np.flatnonzero((size > at) & (size <= _LONG)) if at or size.max() > _LONG else slice(None)
+        eight = eights[start[some] + at] & _MASKS[np.minimum(size[some] - at, 8)]
         with np.errstate(over="ignore"):
-            _powers = np.concatenate(([U(1)], np.cumprod(np.full(max(n, 4096), U(_P)), dtype=U)))
-    return _powers
+            out[some] = mix((out[some] ^ eight[:, None]) * _ODD)
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        out[long] = digests(data, start[long], end[long])
+    return out
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +76,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of a batch: ``start`` and ``end`` in bytes, ``first[i]:first[i + 1]`` the words of text i, ``hash``."""
+    """The words of a batch: ``start`` and ``end`` in bytes, ``first[i]:first[i + 1]`` the words of text i, ``lanes`` their two hashes."""
 
     def __init__(self, column: pa.Array, lower: bool = False, hashes: bool = True):
         self.raw, self.at = buffers(column)
@@ -76,17 +93,8 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, self.at)
         if hashes:
-            self.hash = self._hash(inside, _LOWER if lower else _BYTES)
-
-    def _hash(self, inside: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        length = self.end - self.start
-        if not len(length):
-            return np.zeros(0, U)
-        first = np.cumsum(length) - length
-        at = np.arange(int(length.sum())) - np.repeat(first, length)
-        with np.errstate(over="ignore"):
-            terms = codes[self.raw[inside]] * powers(int(length.max()) + 1)[at]
-            return mix(np.add.reduceat(terms, first) + length.astype(U))
+            self.lanes = lanes(_LOWER[self.raw] if lower else self.raw, self.start, self.end)
+            self.hash = np.ascontiguousarray(self.lanes[:, 0])
 
     def texts(self) -> Iterator[tuple[int, int, int]]:
         """Number of each text and its range of words."""
@@ -99,16 +107,24 @@ class Words:
         return lead[byte]
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(a * U(0xBF58476D1CE4E5B9) + b)
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` consecutive hashes."""
+    """Hash of each run of ``size`` consecutive hashes, from runs of half the length."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, U)
-    with np.errstate(over="ignore"):
-        out = np.zeros(n, U)
-        for k in range(size):
-            out = out * U(0xBF58476D1CE4E5B9) + hashes[k : k + n]
-        return mix(out)
+    out, done, span, runs = np.full(n, size, U), 0, 1, hashes
+    while span <= size:
+        if size & span:
+            out = _joined(out, runs[done : done + n])
+            done += span
+        runs = _joined(runs[: len(runs) - span], runs[span:]) if 2 * span <= size else runs
+        span *= 2
+    return out
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
