@@ -5,14 +5,14 @@ of markers. A text is therefore cut there into chunks (markers and the word behi
 ids wherever it stands. The steps:
 
 1. Texts are dealt into slices of bounded size by a hash. Within a slice chunks are told apart (Arrow's dictionary), so a
-   word is one row (slice, code, chunk) there, however often it stands.
-2. These rows are dealt and sorted by chunk; each distinct chunk is segmented once, by the library, where its run begins,
-   and its ids go to all (slice, code) of the run. They travel back packed by slice.
-3. Slices meet their ids; every position of every text takes its chunk's ids.
+   word is there once, however often it stands.
+2. The slices' distinct chunks are dealt to buckets by their hash, packed: one row for each slice and bucket. A bucket tells its
+   chunks apart again, has each distinct one segmented once by the library, and answers every slice in the order it asked.
+3. Slices meet their answers, and every position of every text takes its chunk's ids.
 
-The texts are shuffled once: both plans read the same exchange. The most frequent chunk has a row for each slice, and
-runs are streamed, so no key is ever held as a group; a slice's texts and dictionary are what a task holds.
-Rows that repeat are dealt apart by the partition they come from.
+The texts are shuffled once: both plans read the same exchange. A chunk has one entry for each slice at most, also the most frequent
+one, and a task holds a slice's texts or a bucket's chunks, whose sizes follow from the number of slices and buckets and not from
+any key. Rows that repeat are dealt apart by the partition they come from.
 
 A model whose pieces do cross markers, or which rewrites texts before it segments them, has whole texts as chunks: the
 same plan, each distinct text segmented once.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import partitions, unused
-from siltstone.llm.wordhash import buffers
+from siltstone.llm.wordhash import U, buffers, lanes
 
 _MARK = "▁"
-_BLANK, _NOTHING = (pa.scalar(c, pa.large_string()) for c in (" ", ""))
-#: Rows of step 2 that are packed together before they travel back.
-_PACK = 1 << 18
 
 
 @lru_cache(maxsize=4)
@@ -64,35 +62,46 @@ def _chunks(texts: pa.Array, whole: bool) -> tuple[pa.Array, np.ndarray]:
 
     Chunks tile the texts' bytes, so they share them.
     """
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    if not whole:
+    texts = pc.fill_null(texts, "")
+    if not whole and pc.any(pc.match_substring(texts, _MARK)).as_py():
         texts = pc.replace_substring(texts, _MARK, " ")
-    full = pc.not_equal(texts, _NOTHING)
-    texts = pc.if_else(full, pc.binary_join_element_wise(_BLANK, texts, _NOTHING), texts)
-    raw, at = buffers(texts)
+    plain, ends = buffers(texts)
+    # A blank before each text that isn't empty.
+    full = ends[1:] > ends[:-1]
+    at = ends + np.concatenate([[0], np.cumsum(full)])
+    raw = np.insert(plain, ends[:-1][full], 0x20)
     if not len(raw):
         return pa.array([], pa.large_string()), np.zeros(len(at), np.int64)
     begins = np.zeros(len(raw), bool)
     if not whole:
         blank = raw == 0x20
         begins[1:] = blank[1:] & ~blank[:-1]
-    begins[at[:-1][at[:-1] < at[1:]]] = True
+    begins[at[:-1][full]] = True
     edges = np.append(np.flatnonzero(begins), len(raw)).astype(np.int64)
-    found = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.tobytes()), pa.py_buffer(raw))
+    found = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(raw))
     return found, np.searchsorted(edges[:-1], at)
 
 
-def _dictionary(texts: pa.Array, whole: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Codes by position, the first position of each text, and the distinct chunks in the order of their codes.
+def _dictionary(texts: pa.Array, whole: bool, buckets: int) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Codes by position, the first position of each text, and the distinct chunks in the order of their codes with their buckets.
 
-    Codes are ranks among the distinct chunks, so they depend on the set of texts alone.
+    Codes follow the chunks' buckets and digests, so they depend on the set of texts alone.
     """
     found, first = _chunks(texts, whole)
     coded = found.dictionary_encode()
-    order = pc.sort_indices(coded.dictionary).to_numpy()
+    raw, at = buffers(coded.dictionary)
+    hashed = lanes(raw, at[:-1], at[1:])
+    bucket = (hashed[:, 0] % U(buckets)).astype(np.int64)
+    order = np.lexsort((hashed[:, 1], hashed[:, 0], bucket))
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
-    return rank[coded.indices.to_numpy(zero_copy_only=False)] if len(order) else np.zeros(0, np.int32), first, coded.dictionary.take(pa.array(order))
+    return rank[coded.indices.to_numpy(zero_copy_only=False)], first, coded.dictionary.take(pa.array(order)), bucket[order]
+
+
+def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs ``begin[i]:begin[i] + size[i]`` of an array, one behind the other."""
+    ends = np.cumsum(size)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + size, size)]
 
 
 def _segment(model: str, chunks: list[str]) -> list[list[int]]:
@@ -103,7 +112,7 @@ def _segment(model: str, chunks: list[str]) -> list[list[int]]:
     return [i or [alone] for i in ids]
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", add_end: bool = True, slice_bytes: int = 16 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", add_end: bool = True, slice_bytes: int = 8 << 20) -> DataFrame:
     """The table with an array of ids for each text, the end id last.
 
     ``slice_bytes`` bounds the mean size of a slice's texts, which a task holds; the slices' number follows from the bytes of all texts.
@@ -112,86 +121,61 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", ad
     whole = not separable(model)
     end = [processor(model).eos_id()] if add_end else []
     part = unused("_slice", docs.columns)
+    kind = np.dtype("<u2" if processor(model).get_piece_size() <= 1 << 16 else "<i4")
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     n = max(partitions(docs), -(-total // slice_bytes))
+    buckets = max(partitions(docs), n // 16)
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.spark_partition_id(), *[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() in ("long", "integer", "string") and f.name != text])
     dealt = docs.withColumn(part, F.pmod(key, F.lit(n)).cast("int")).repartition(n, part)
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[pa.Array]] = {}
-        for batch in batches:
-            numbers = batch.column(part)
-            for number in pc.unique(numbers).to_pylist():
-                held.setdefault(number, []).append(batch.column(text).filter(pc.equal(numbers, number)))
-        for number, texts in held.items():
-            _, _, chunks = _dictionary(pa.concat_arrays(texts), whole)
-            for at in range(0, len(chunks), 1 << 16):
-                some = chunks.slice(at, 1 << 16)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number), pa.int32()), pa.array(np.arange(at, at + len(some)), pa.int32()), some.cast(pa.string())], ["slice", "code", "chunk"])
-
-    def packed(numbers: np.ndarray, codes: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
-        """A row for each slice, with the codes, lengths and ids of its chunks."""
-        order = np.argsort(numbers, kind="stable")
-        starts = np.cumsum(lengths) - lengths
-        took = lengths[order]
-        at = np.arange(int(took.sum())) - np.repeat(np.cumsum(took) - took, took) + np.repeat(starts[order], took)
-        moved, cuts = flat[at], np.flatnonzero(np.diff(numbers[order], prepend=-1))
-        ends = np.append(cuts[1:], len(order))
-        mark = np.concatenate([[0], np.cumsum(took)])
-        rows = [(int(numbers[order[i]]), codes[order[i:j]].tobytes(), took[i:j].astype(np.int32).tobytes(), moved[mark[i] : mark[j]].tobytes()) for i, j in zip(cuts, ends, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["slice", "codes", "lengths", "flat"])
-
-    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by chunk: each run is segmented once, where it begins."""
-        last, last_ids, held, size = None, [], [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            coded = pc.run_end_encode(batch.column("chunk"))
-            chunks = coded.values.to_pylist()
-            new = chunks[1:] if chunks[0] == last else chunks
-            ids = ([last_ids] if chunks[0] == last else []) + _segment(model, new)
-            last, last_ids = chunks[-1], ids[-1]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            runs = np.diff(coded.run_ends.to_numpy(), prepend=0)
-            flat = np.concatenate([np.asarray(i, np.int32) for i in ids]) if len(ids) < 64 else np.fromiter((x for i in ids for x in i), np.int32, int(lengths.sum()))
-            starts, took = np.repeat(np.cumsum(lengths) - lengths, runs), np.repeat(lengths, runs)
-            at = np.arange(int(took.sum())) - np.repeat(np.cumsum(took) - took, took) + np.repeat(starts, took)
-            held.append((batch.column("slice").to_numpy(), batch.column("code").to_numpy(), took, flat[at]))
-            size += batch.num_rows
-            if size >= _PACK:
-                yield packed(*map(np.concatenate, zip(*held, strict=True)))
-                held, size = [], 0
-        if held:
-            yield packed(*map(np.concatenate, zip(*held, strict=True)))
-
-    pairs = dealt.mapInArrow(distinct, "slice int, code int, chunk string")
-    table = pairs.repartition(partitions(docs), "chunk").sortWithinPartitions("chunk").mapInArrow(segment, "slice int, codes binary, lengths binary, flat binary")
+    def distinct(texts: pa.Table) -> pa.Table:
+        """A row for each bucket that the slice asks: its chunks, one behind the other, and their sizes."""
+        _, _, chunks, bucket = _dictionary(texts[text].combine_chunks(), whole, buckets)
+        raw, at = buffers(chunks)
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        sizes = np.diff(at).astype(np.int32)
+        number = texts[part][0].as_py() if texts.num_rows else 0
+        return pa.table({"slice": pa.array([number] * len(spans), pa.int32()), "bucket": pa.array(bucket[cuts[:-1]].astype(np.int32)), "bytes": pa.array([raw[at[i] : at[j]].tobytes() for i, j in spans], pa.binary()), "sizes": pa.array([sizes[i:j].tobytes() for i, j in spans], pa.binary())})
+
+    def segment(asked: pa.Table) -> pa.Table:
+        """A row for each slice that asked: how many ids each of its chunks has, and the ids."""
+        counts = [len(x) // 4 for x in asked["sizes"].to_pylist()]
+        sizes = np.frombuffer(b"".join(asked["sizes"].to_pylist()), np.int32).astype(np.int64)
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        coded = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(edges), pa.py_buffer(b"".join(asked["bytes"].to_pylist()))).dictionary_encode()
+        ids = _segment(model, coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), kind, int(size.sum()))
+        at, begin = coded.indices.to_numpy(zero_copy_only=False), np.cumsum(size) - size
+        ends = np.cumsum(counts)
+        mine = [at[j - c : j] for c, j in zip(counts, ends.tolist(), strict=True)]
+        return pa.table({"slice": asked["slice"], "bucket": asked["bucket"], "lengths": pa.array([size[m].astype(np.int32).tobytes() for m in mine], pa.binary()), "flat": pa.array([_gather(flat, begin[m], size[m]).tobytes() for m in mine], pa.binary())})
+
+    asked = dealt.groupBy(part).applyInArrow(distinct, "slice int, bucket int, bytes binary, sizes binary")
+    answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(segment, "slice int, bucket int, lengths binary, flat binary")
 
     def join(texts: pa.Table, known: pa.Table) -> pa.Table:
         """Each position takes the ids of its chunk."""
         if not texts.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in texts.schema if f.name != part} | {ids: pa.array([], pa.list_(pa.int32()))})
-        codes, lengths, flat = (np.frombuffer(b"".join(known[c].to_pylist()), np.int32) for c in ("codes", "lengths", "flat"))
-        at, first, chunks = _dictionary(texts[text].combine_chunks(), whole)
-        if len(codes) != len(chunks):
+        at, first, chunks, _ = _dictionary(texts[text].combine_chunks(), whole, buckets)
+        known = known.sort_by("bucket")
+        size = np.frombuffer(b"".join(known["lengths"].to_pylist()), np.int32).astype(np.int64)
+        flat = np.frombuffer(b"".join(known["flat"].to_pylist()), kind)
+        if len(size) != len(chunks):
             raise RuntimeError("the slice's chunks differ from those that were segmented: the input isn't the same when it is read again")
-        size, begin = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
-        size[codes], begin[codes] = lengths, np.cumsum(lengths, dtype=np.int64) - lengths
-        ends = np.concatenate([[0], np.cumsum(size[at])])
-        out, offsets = [], [0]
-        for i in range(len(first) - 1):
-            mine = at[first[i] : first[i + 1]]
-            took = size[mine]
-            place = np.arange(int(took.sum())) - np.repeat(np.cumsum(took) - took, took) + np.repeat(begin[mine], took)
-            out += [flat[place], end]
-            offsets.append(offsets[-1] + len(place) + len(end))
-        assert offsets[-1] == ends[-1] + len(end) * (len(first) - 1)
-        found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out).astype(np.int32)))
+        begin = np.cumsum(size) - size
+        # Positions by text, with a last one for the end id.
+        flat, begin, size = np.append(flat, end).astype(np.int32), np.append(begin, len(flat)), np.append(size, len(end))
+        places = np.insert(at, first[1:], len(chunks))
+        took = size[places]
+        offsets = np.concatenate([[0], np.cumsum(took)])[first + np.arange(len(first))]
+        found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(_gather(flat, begin[places], took)))
         return texts.drop_columns([part]).append_column(ids, found)
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{ids}` array<int>"])
-    return dealt.groupBy(part).cogroup(table.groupBy("slice")).applyInArrow(join, schema)
+    return dealt.groupBy(part).cogroup(answers.groupBy("slice")).applyInArrow(join, schema)
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
