@@ -8,9 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """K1: new rows replace those of the same key."""
-    return existing.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def last_of(new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row of each key: that of the greatest ``order``, ties and rows without one by a digest of the row."""
+    by = ([F.col(order)] if order else []) + [F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in new.columns])]
+    rest = [c for c in new.columns if c != key]
+    latest = new.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*by)).alias("_r"))
+    return latest.select(key, *[F.col(f"_r.`{c}`") for c in rest]).select(*[F.col(f"`{c}`") for c in new.columns])
+
+
+def upsert(existing: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """K1: new rows replace those of the same key; of new rows of one key the last by ``order`` counts."""
+    return existing.join(new.select(key), key, "left_anti").unionByName(last_of(new, key, order), allowMissingColumns=True)
 
 
 def upsert_latest(existing: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
