@@ -24,7 +24,7 @@ an empty one. Decoding takes null ids as none and skips control ids, as the libr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -98,6 +98,21 @@ def _dictionary(texts: pa.Array, whole: bool, buckets: int) -> tuple[np.ndarray,
     return rank[coded.indices.to_numpy(zero_copy_only=False)], first, coded.dictionary.take(pa.array(order)), bucket[order]
 
 
+def _packed(parts: Iterable[np.ndarray]) -> pa.Array:
+    """Each array's bytes, compressed: chunks and ids are told by their frequencies, which a shuffle's own codec doesn't use."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    return pa.array([press.compress(np.ascontiguousarray(x).tobytes()) for x in parts], pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    return [np.frombuffer(press.decompress(x), kind) for x in column.to_pylist()]
+
+
 def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs ``begin[i]:begin[i] + size[i]`` of an array, one behind the other."""
     ends = np.cumsum(size)
@@ -136,21 +151,21 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", ad
         spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
         sizes = np.diff(at).astype(np.int32)
         number = texts[part][0].as_py() if texts.num_rows else 0
-        return pa.table({"slice": pa.array([number] * len(spans), pa.int32()), "bucket": pa.array(bucket[cuts[:-1]].astype(np.int32)), "bytes": pa.array([raw[at[i] : at[j]].tobytes() for i, j in spans], pa.binary()), "sizes": pa.array([sizes[i:j].tobytes() for i, j in spans], pa.binary())})
+        return pa.table({"slice": pa.array([number] * len(spans), pa.int32()), "bucket": pa.array(bucket[cuts[:-1]].astype(np.int32)), "bytes": _packed(raw[at[i] : at[j]] for i, j in spans), "sizes": _packed(sizes[i:j] for i, j in spans)})
 
     def segment(asked: pa.Table) -> pa.Table:
         """A row for each slice that asked: how many ids each of its chunks has, and the ids."""
-        counts = [len(x) // 4 for x in asked["sizes"].to_pylist()]
-        sizes = np.frombuffer(b"".join(asked["sizes"].to_pylist()), np.int32).astype(np.int64)
+        by_slice = _unpacked(asked["sizes"], np.int32)
+        counts, sizes = [len(x) for x in by_slice], np.concatenate(by_slice).astype(np.int64)
         edges = np.concatenate([[0], np.cumsum(sizes)])
-        coded = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(edges), pa.py_buffer(b"".join(asked["bytes"].to_pylist()))).dictionary_encode()
+        coded = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(edges), pa.py_buffer(np.concatenate(_unpacked(asked["bytes"], np.uint8)))).dictionary_encode()
         ids = _segment(model, coded.dictionary.to_pylist())
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), kind, int(size.sum()))
         at, begin = coded.indices.to_numpy(zero_copy_only=False), np.cumsum(size) - size
         ends = np.cumsum(counts)
         mine = [at[j - c : j] for c, j in zip(counts, ends.tolist(), strict=True)]
-        return pa.table({"slice": asked["slice"], "bucket": asked["bucket"], "lengths": pa.array([size[m].astype(np.int32).tobytes() for m in mine], pa.binary()), "flat": pa.array([_gather(flat, begin[m], size[m]).tobytes() for m in mine], pa.binary())})
+        return pa.table({"slice": asked["slice"], "bucket": asked["bucket"], "lengths": _packed(size[m].astype(np.int32) for m in mine), "flat": _packed(_gather(flat, begin[m], size[m]) for m in mine)})
 
     asked = dealt.groupBy(part).applyInArrow(distinct, "slice int, bucket int, bytes binary, sizes binary")
     answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(segment, "slice int, bucket int, lengths binary, flat binary")
@@ -161,8 +176,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", ad
             return pa.table({f.name: pa.array([], f.type) for f in texts.schema if f.name != part} | {ids: pa.array([], pa.list_(pa.int32()))})
         at, first, chunks, _ = _dictionary(texts[text].combine_chunks(), whole, buckets)
         known = known.sort_by("bucket")
-        size = np.frombuffer(b"".join(known["lengths"].to_pylist()), np.int32).astype(np.int64)
-        flat = np.frombuffer(b"".join(known["flat"].to_pylist()), kind)
+        size = np.concatenate([np.zeros(0, np.int64), *_unpacked(known["lengths"], np.int32)])
+        flat = np.concatenate([np.zeros(0, kind), *_unpacked(known["flat"], kind)])
         if len(size) != len(chunks):
             raise RuntimeError("the slice's chunks differ from those that were segmented: the input isn't the same when it is read again")
         begin = np.cumsum(size) - size
