@@ -10,7 +10,7 @@ ids wherever it stands. The steps:
    chunks apart again, has each distinct one segmented once by the library, and answers every slice in the order it asked.
 3. Slices meet their answers, and every position of every text takes its chunk's ids.
 
-The texts are shuffled once: both plans read the same exchange. A chunk has one entry for each slice at most, also the most frequent
+The texts are shuffled once, compressed: both plans read the same exchange. A chunk has one entry for each slice at most, also the most frequent
 one, and a task holds a slice's texts or a bucket's chunks, whose sizes follow from the number of slices and buckets and not from
 any key. Rows that repeat are dealt apart by the partition they come from.
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +103,21 @@ def _packed(parts: Iterable[np.ndarray]) -> pa.Array:
     import zstandard
 
     press = zstandard.ZstdCompressor(level=3)
-    return pa.array([press.compress(np.ascontiguousarray(x).tobytes()) for x in parts], pa.binary())
+    return pa.array([press.compress(np.ascontiguousarray(x)) for x in parts], pa.binary())
+
+
+def _pressed(texts: pa.Array) -> pa.Array:
+    """Each text compressed; null stays null."""
+    raw, at = buffers(texts)
+    packed = _packed(raw[a:b] for a, b in pairwise(at.tolist()))
+    return pc.if_else(texts.is_null(), pa.scalar(None, pa.binary()), packed) if texts.null_count else packed
+
+
+def _texts(column: pa.ChunkedArray) -> pa.Array:
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    return pa.array([None if x is None else press.decompress(x) for x in column.to_pylist()], pa.string())
 
 
 def _unpacked(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
@@ -141,11 +155,17 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", ad
     n = max(partitions(docs), -(-total // slice_bytes))
     buckets = max(partitions(docs), n // 16)
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.spark_partition_id(), *[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() in ("long", "integer", "string") and f.name != text])
-    dealt = docs.withColumn(part, F.pmod(key, F.lit(n)).cast("int")).repartition(n, part)
+
+    def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(batch.schema.get_field_index(text), text, _pressed(batch.column(text)))
+
+    moved = ", ".join([f"`{f.name}` {'binary' if f.name == text else f.dataType.simpleString()}" for f in docs.schema] + [f"`{part}` int"])
+    dealt = docs.withColumn(part, F.pmod(key, F.lit(n)).cast("int")).mapInArrow(pressed, moved).repartition(n, part)
 
     def distinct(texts: pa.Table) -> pa.Table:
         """A row for each bucket that the slice asks: its chunks, one behind the other, and their sizes."""
-        _, _, chunks, bucket = _dictionary(texts[text].combine_chunks(), whole, buckets)
+        _, _, chunks, bucket = _dictionary(_texts(texts[text]), whole, buckets)
         raw, at = buffers(chunks)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
         spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
@@ -173,8 +193,9 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", ad
     def join(texts: pa.Table, known: pa.Table) -> pa.Table:
         """Each position takes the ids of its chunk."""
         if not texts.num_rows:
-            return pa.table({f.name: pa.array([], f.type) for f in texts.schema if f.name != part} | {ids: pa.array([], pa.list_(pa.int32()))})
-        at, first, chunks, _ = _dictionary(texts[text].combine_chunks(), whole, buckets)
+            return pa.table({f.name: pa.array([], pa.string() if f.name == text else f.type) for f in texts.schema if f.name != part} | {ids: pa.array([], pa.list_(pa.int32()))})
+        plain = _texts(texts[text])
+        at, first, chunks, _ = _dictionary(plain, whole, buckets)
         known = known.sort_by("bucket")
         size = np.concatenate([np.zeros(0, np.int64), *_unpacked(known["lengths"], np.int32)])
         flat = np.concatenate([np.zeros(0, kind), *_unpacked(known["flat"], kind)])
@@ -187,7 +208,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", ad
         took = size[places]
         offsets = np.concatenate([[0], np.cumsum(took)])[first + np.arange(len(first))]
         found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(_gather(flat, begin[places], took)))
-        return texts.drop_columns([part]).append_column(ids, found)
+        return texts.set_column(texts.schema.get_field_index(text), text, plain).drop_columns([part]).append_column(ids, found)
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{ids}` array<int>"])
     return dealt.groupBy(part).cogroup(answers.groupBy("slice")).applyInArrow(join, schema)
