@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
+from siltstone.operators import inverted
 from siltstone.operators import lexical as L
 from siltstone.operators import retrieval as V
 from siltstone.plans.registry import ORACLES, add
@@ -78,6 +79,21 @@ add("v11_relaxed_search", lambda t: L.relaxed(matches(t), questions(t), 0.95, 0.
 add("v12_listing", lambda t: t.documents.where("source = 'src4'").orderBy("lang", c("n_chars").desc(), "doc_id").select("doc_id").limit(64), "SELECT doc_id FROM documents WHERE source = 'src4' ORDER BY lang, n_chars DESC, doc_id LIMIT 64")
 
 
+def stored_index(t):
+    """An index of the documents on disk: most are added, some with other words; these give way, and chunks that don't belong leave."""
+    index = inverted.InvertedIndex(t.spark, t.scratch(), list(fields()))
+    docs = chunks_of(t)
+    index.add(docs.where("chunk_id % 7 <> 3").withColumn("text", F.when(c("chunk_id") % 11 == 5, F.lit("other words")).otherwise(c("text"))), fields())
+    index.add(docs.where("chunk_id % 7 = 3 OR chunk_id % 11 = 5").unionByName(docs.select((-c("chunk_id") - 1).alias("chunk_id"), "text", "source")), fields())
+    index.withdraw(docs.select((-c("chunk_id") - 1).alias("chunk_id")))
+    return index
+
+
+STORED_BOOSTS = {"content_ltks": 2.0, "title_tks": 10.0}
+add("v06_stored_index", lambda t: stored_index(t).search(questions(t), 10, 0.3, STORED_BOOSTS), f"WITH {BASE}, {BEST} {TOP10}")
+add("v08_stored_matches", lambda t: L.enough(stored_index(t).matches(questions(t), STORED_BOOSTS), questions(t), 0.6).groupBy("query_id").agg(F.count("*").alias("n")), f"WITH {BASE}, {BEST} SELECT query_id, count(*) AS n FROM b WHERE {_msm(0.6)} GROUP BY 1")
+
+
 def positions(t):
     return t.documents.select(c("doc_id").alias("chunk_id"), F.posexplode(text.tokens("text")).alias("pos", "token"))
 
