@@ -7,69 +7,128 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.vectors import dot, norm
 
-#: Questions of one batch whose vectors go to the executors with the function; more are asked in batches.
-QUERY_BATCH = 4096
-#: Questions and vectors of one matrix product: 16 MB.
-QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
+#: Vectors of one packed row (2 MB at 64 dimensions), and of one matrix product.
+PACK, PRODUCT = 4096, 512
+#: Packed rows of questions up to this many are broadcast; more are joined by a shuffle.
+BROADCAST_PACKS = 32
+#: Chunks and questions of a block whose pairs are looked up together.
+PAIR_BLOCK = 2048
+_PACKED = "ids binary, x binary"
+
+
+def _pack(ids: np.ndarray, x: np.ndarray) -> dict:
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    return {"ids": ids.astype("<i8").tobytes(), "x": np.ascontiguousarray(x).tobytes()}
+
+
+def _unpack(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, "<i8")
+    return ids, np.frombuffer(x).reshape(len(ids), -1)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+
+
+def packed(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """Unit vectors by the thousand as single rows (ids, x), made where they are read: nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACK):
+                part = batch.slice(at, PACK)
+                yield pa.RecordBatch.from_pylist([_pack(part.column("i").to_numpy(), _matrix(part.column("v"), part.num_rows))], pa.schema([("ids", pa.binary()), ("x", pa.binary())]))
+
+    return vectors.select(F.col(key).cast("long").alias("i"), F.col(vector).alias("v")).where("i IS NOT NULL AND v IS NOT NULL").mapInArrow(run, _PACKED)
+
+
+def grouped(vectors: DataFrame, key: str, vector: str, n: int, name: str) -> DataFrame:
+    """Unit vectors in ``n`` blocks by a hash of their ids, one row each: the block under ``name``, ids in order, x; one vector of each id."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, at = np.unique(rows["i"].to_numpy(), return_index=True)
+        return pa.Table.from_pylist([{name: rows[name][0].as_py()} | _pack(ids, _matrix(rows["v"], rows.num_rows)[at])], pa.schema([(name, pa.int64()), ("ids", pa.binary()), ("x", pa.binary())]))
+
+    rows = vectors.select(F.col(key).cast("long").alias("i"), F.col(vector).alias("v")).where("i IS NOT NULL AND v IS NOT NULL")
+    return rows.withColumn(name, F.pmod(F.xxhash64("i"), F.lit(n))).groupBy(name).applyInArrow(run, f"{name} long, {_PACKED}")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_cosine: float = -1.0, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", digits: int = 9) -> DataFrame:
     """Exact k nearest by cosine rounded to ``digits``, ties by id: query_id, chunk_id, cosine.
 
-    Each partition of vectors is scored against a batch of questions by matrix products and keeps its own k best, so
-    only partitions * questions * k rows are shuffled.
+    Vectors are packed where they are read and meet the packs of questions: by broadcast if these are few, otherwise by a
+    shuffle on the number of the pack and a share of the vectors. Matrix products score two packs, and a task keeps the k best of each
+    question, so only tasks * questions * k rows are shuffled. The plan doesn't depend on the number of questions, and none reaches
+    the driver.
     """
-    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v"))
-    n = asked.count()
-    out = None
-    for batch in range(max(1, math.ceil(n / QUERY_BATCH))):
-        part = asked if n <= QUERY_BATCH else asked.where(F.pmod(F.xxhash64("q"), F.lit(math.ceil(n / QUERY_BATCH))) == batch)
-        local = part.toPandas()
-        if not len(local):
-            continue
-        ids, q = local["q"].to_numpy(), np.stack(local["v"].map(np.asarray)).astype(float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def score(pdfs: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
-            best: list[pd.DataFrame] = []
-            for pdf in (part.iloc[at : at + VECTOR_BLOCK] for part in pdfs for at in range(0, len(part), VECTOR_BLOCK)):
-                x = np.stack(pdf["v"].map(np.asarray)).astype(float)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                c, lists = pdf["c"].to_numpy(), []
-                for first in range(0, len(q), QUERY_BLOCK):
-                    rows = q[first : first + QUERY_BLOCK] @ x.T
-                    near = np.round(rows, digits)
-                    # The k-th best of each question; ties with it stay until ids decide.
-                    floor = np.partition(near, -k, axis=1)[:, -k] if len(c) > k else np.full(len(near), -np.inf)
-                    i, at = np.nonzero(near >= floor[:, None])
-                    lists.append((ids[first + i], c[at], rows[i, at]))
-                best.append(pd.DataFrame({n: np.concatenate(v) for n, v in zip(("query_id", "chunk_id", "cosine"), zip(*lists, strict=True), strict=True)}))
-                if len(best) > 4:
-                    best = [_top(pd.concat(best), k, digits)]
-            if best:
-                yield _top(pd.concat(best), k, digits)
-
-        found = vectors.select(F.col(chunk_id).cast("long").alias("c"), F.col(vector).alias("v")).where("v IS NOT NULL").mapInPandas(score, "query_id long, chunk_id long, cosine double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, cosine double")
+    n_batches = max(1, math.ceil(queries.count() / PACK))
+    asked = grouped(queries, query_id, vector, n_batches, "batch")
+    asked = asked.select("batch", F.col("ids").alias("q_ids"), F.col("x").alias("q"))
+    batches = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_batches - 1).cast("long"))).alias("batch")
+    if n_batches <= BROADCAST_PACKS:
+        pairs = packed(vectors, chunk_id, vector).select("*", batches).join(F.broadcast(asked), "batch")
+    else:
+        shares = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        share = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
+        pairs = packed(vectors, chunk_id, vector).withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int")).select("*", batches).join(asked.select("*", share), ["batch", "share"])
+
+    def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[pd.DataFrame] = []
+        size = 0
+        for row in (r for batch in rows for r in batch.to_pylist()):
+            (ids, q), (c, x) = _unpack(row["q_ids"], row["q"]), _unpack(row["ids"], row["x"])
+            for first in range(0, len(q), PRODUCT):
+                products = q[first : first + PRODUCT] @ x.T
+                near = np.round(products, digits)
+                # The k-th best of each question; ties with it stay until ids decide.
+                floor = np.partition(near, -k, axis=1)[:, -k] if len(c) > k else np.full(len(near), -np.inf)
+                i, at = np.nonzero(near >= floor[:, None])
+                best.append(pd.DataFrame({"query_id": ids[first + i], "chunk_id": c[at], "cosine": products[i, at]}))
+                size += len(i)
+            if size > 1 << 20:
+                best = [_top(pd.concat(best), k, digits)]
+                # What is merged already stays below the bound, or it is handed on.
+                if (size := len(best[0])) > 1 << 19:
+                    yield pa.RecordBatch.from_pandas(best[0], preserve_index=False)
+                    best, size = [], 0
+        if best:
+            yield pa.RecordBatch.from_pandas(_top(pd.concat(best), k, digits), preserve_index=False)
+
+    out = pairs.select("q_ids", "q", "ids", "x").mapInArrow(score, "query_id long, chunk_id long, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", digits)), "chunk_id")
     return out.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") <= k) & (F.col("cosine") >= min_cosine)).drop("_rn")
 
 
 def pair_cosines(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-    """``pairs`` with the cosine of each (query_id, chunk_id); 0 where the question or the chunk has no vector."""
-    q = queries.select("query_id", F.col(vector).alias("_q"), norm(F.col(vector)).alias("_nq"))
-    d = vectors.select("chunk_id", F.col(vector).alias("_d"), norm(F.col(vector)).alias("_nd"))
-    few = F.broadcast(q) if q.count() <= QUERY_BATCH else q
-    both = pairs.join(d, "chunk_id", "left").join(few, "query_id", "left")
-    found = F.try_divide(dot(F.col("_q"), F.col("_d")), F.col("_nq") * F.col("_nd"))
-    return both.withColumn("cosine", F.coalesce(found, F.lit(0.0))).drop("_q", "_nq", "_d", "_nd")
+    """``pairs`` with the cosine of each (query_id, chunk_id); 0 where the question or the chunk has no vector.
+
+    Pairs are dealt by blocks of chunks and of questions; a block's vectors meet once, as two packed rows, and a matrix product has the
+    numbers of all its pairs. No vector is joined to a pair.
+    """
+    block = lambda key, n: F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(n))
+    n_c, n_q = (max(1, math.ceil(df.count() / PAIR_BLOCK)) for df in (vectors, queries))
+    asked = grouped(queries, "query_id", vector, n_q, "_bq").select("_bq", F.col("ids").alias("q_ids"), F.col("x").alias("q"))
+    met = grouped(vectors, "chunk_id", vector, n_c, "_bc").withColumn("_bq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
+    met = met.join(F.broadcast(asked) if n_q <= BROADCAST_PACKS else asked, "_bq").select("_bc", "_bq", "q_ids", "q", "ids", "x")
+    dealt = pairs.withColumns({"_bc": F.coalesce(block("chunk_id", n_c), F.lit(0).cast("long")), "_bq": F.coalesce(block("query_id", n_q), F.lit(0).cast("long")), "_q": F.col("query_id").cast("long"), "_c": F.col("chunk_id").cast("long")})
+
+    def look_up(rows: pa.Table, known: pa.Table) -> pa.Table:
+        found = np.zeros(rows.num_rows)
+        for one in known.to_pylist():
+            (q_ids, q), (c_ids, x) = _unpack(one["q_ids"], one["q"]), _unpack(one["ids"], one["x"])
+            i, at = (np.searchsorted(ids, rows[name].fill_null(-1).to_numpy()).clip(0, len(ids) - 1) for ids, name in ((q_ids, "_q"), (c_ids, "_c")))
+            both = (q_ids[i] == rows["_q"].fill_null(-1).to_numpy()) & (c_ids[at] == rows["_c"].fill_null(-1).to_numpy()) & rows["_q"].is_valid().to_numpy() & rows["_c"].is_valid().to_numpy()
+            found = np.where(both, (q @ x.T)[i, at], found)
+        return rows.drop_columns(["_bc", "_bq", "_q", "_c"]).append_column("cosine", pa.array(found, pa.float64()))
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema] + ["cosine double"])
+    return dealt.groupBy("_bc", "_bq").cogroup(met.groupBy("_bc", "_bq")).applyInArrow(look_up, schema)
 
 
 def _top(pdf: pd.DataFrame, k: int, digits: int) -> pd.DataFrame:
@@ -120,20 +179,29 @@ def window_size(page_size: int) -> int:
     return 30 if page_size <= 1 else max(30, math.ceil(64 / page_size) * page_size)
 
 
+def page_window(scored: DataFrame, page: int, page_size: int) -> DataFrame:
+    """The rows of each question by ``score`` that are reranked for a page; only these need similarities."""
+    limit = window_size(page_size)
+    block = (page - 1) // max(1, limit // page_size)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return scored.withColumn("_w", rank).where((F.col("_w") > block * limit) & (F.col("_w") <= (block + 1) * limit)).drop("_w")
+
+
 def result_page(scored: DataFrame, page: int, page_size: int, threshold: float = 0.2, vector_weight: float = 0.3, fixed_documents: bool = False) -> DataFrame:
     """One page of each question's reranked window: rows above the threshold in a stable order, with the total.
 
     ``scored``: query_id, chunk_id, score, sim. The window is cut by ``score``, the page by ``sim``.
     """
-    limit = window_size(page_size)
     floor = 0.0 if vector_weight <= 0 or fixed_documents else threshold
-    per_window = max(1, limit // page_size)
+    return ranked_page(page_window(scored, page, page_size), page, page_size, floor)
+
+
+def ranked_page(window: DataFrame, page: int, page_size: int, floor: float = 0.2) -> DataFrame:
+    """One page of the rows of a window with ``sim`` from ``floor`` on."""
     by = Window.partitionBy("query_id")
-    block = (page - 1) // per_window
-    cut = scored.withColumn("_w", F.row_number().over(by.orderBy(F.desc("score"), "chunk_id"))).where((F.col("_w") > block * limit) & (F.col("_w") <= (block + 1) * limit))
-    kept = cut.where(F.col("sim") >= floor).withColumn("rank", F.row_number().over(by.orderBy(F.desc("sim"), "chunk_id"))).withColumn("total", F.count(F.lit(1)).over(by))
-    first = ((page - 1) % per_window) * page_size
-    return kept.where((F.col("rank") > first) & (F.col("rank") <= first + page_size)).drop("_w", "score")
+    kept = window.where(F.col("sim") >= floor).withColumn("rank", F.row_number().over(by.orderBy(F.desc("sim"), "chunk_id"))).withColumn("total", F.count(F.lit(1)).over(by))
+    first = ((page - 1) % max(1, window_size(page_size) // page_size)) * page_size
+    return kept.where((F.col("rank") > first) & (F.col("rank") <= first + page_size)).drop("score")
 
 
 def document_hits(hits: DataFrame, doc: str) -> DataFrame:

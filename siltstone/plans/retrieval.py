@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
-from siltstone.operators import inverted
+from siltstone.operators import candidates, inverted
 from siltstone.operators import lexical as L
 from siltstone.operators import retrieval as V
 from siltstone.plans.registry import ORACLES, add
@@ -133,7 +133,21 @@ y AS (SELECT *, (0.3 * log10(10 + (1e7 - f + 0.5) / (f + 0.5)) + 0.7 * log10(10
 SELECT query_id, pos::INT AS pos, token, round(v / sum(v) OVER (PARTITION BY query_id), 9) AS weight FROM y""")
 add("v22_query_clauses", lambda t: L.query_terms(t.benchmark, text.tokens("text"), "item_id").groupBy("query_id", "kind").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight")), f"WITH w AS (SELECT query_id, pos, {WEIGHT} / sum({WEIGHT}) OVER (PARTITION BY query_id) AS w FROM {KINDS}), p AS (SELECT *, lead(w) OVER (PARTITION BY query_id ORDER BY pos) AS nw FROM w) SELECT query_id, 'term' AS kind, count(*) AS n, round(sum(w), 6) AS weight FROM p GROUP BY 1 UNION ALL SELECT query_id, 'phrase', count(*), round(sum(2 * greatest(w, nw)), 6) FROM p WHERE nw IS NOT NULL GROUP BY 1")
 add("v24_content_query", lambda t: L.content_query(t.benchmark, text.tokens("text"), "item_id").groupBy("query_id").agg(F.count("*").alias("n"), F.first("min_match").alias("min_match"), F.round(F.sum("weight"), 5).alias("weight")), f"WITH d AS (SELECT DISTINCT query_id, token, {WEIGHT} AS w FROM {KINDS}), k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, token) <= 30) SELECT query_id, count(*) AS n, least(3, round(count(*) / 10.0))::INT AS min_match, round(sum(w), 5) AS weight FROM k GROUP BY 1")
-add("v25_synonyms", lambda t: L.expand_synonyms(questions(t), t.nation.select(F.lit("the").alias("token"), F.lower("n_name").alias("synonym"), (c("n_nationkey") + 1).alias("rank"))).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight")), rf"WITH q AS (SELECT DISTINCT item_id AS query_id, token FROM (SELECT item_id, unnest({TOK}) AS token FROM benchmark)) SELECT query_id, count(*) + 8 * count(*) FILTER (token = 'the') AS n, round(count(*) + 2.0 * count(*) FILTER (token = 'the'), 6)::DOUBLE AS weight FROM q GROUP BY 1")
+def synonyms(t):
+    """Tokens of the documents that begin with the same four letters, by how often they occur."""
+    found = t.documents.select(F.explode(text.tokens("text")).alias("synonym")).where(F.length("synonym") > 4).groupBy("synonym").agg(F.count("*").alias("n"))
+    found = found.withColumn("stem", F.substring("synonym", 1, 4))
+    rank = F.row_number().over(Window.partitionBy("stem").orderBy(F.desc("n"), "synonym"))
+    ranked = found.withColumn("rank", rank).where("rank <= 9")
+    wanted = questions(t).select("token").distinct().withColumn("stem", F.substring("token", 1, 4))
+    return wanted.join(ranked, "stem").where("synonym <> token").select("token", "synonym", F.row_number().over(Window.partitionBy("token").orderBy("rank")).alias("rank"))
+
+
+add("v25_synonyms", lambda t: L.expand_synonyms(questions(t), synonyms(t)).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight")), rf"""
+WITH q AS (SELECT DISTINCT item_id AS query_id, token FROM (SELECT item_id, unnest({TOK}) AS token FROM benchmark)), f AS (SELECT token AS synonym, count(*) AS n FROM (SELECT unnest({TOK}) AS token FROM documents) WHERE length(token) > 4 GROUP BY 1),
+r AS (SELECT synonym, left(synonym, 4) AS stem, row_number() OVER (PARTITION BY left(synonym, 4) ORDER BY n DESC, synonym) AS rank FROM f QUALIFY rank <= 9),
+s AS (SELECT t.token, r.synonym FROM (SELECT DISTINCT token FROM q) t JOIN r ON r.stem = left(t.token, 4) AND r.synonym <> t.token QUALIFY row_number() OVER (PARTITION BY t.token ORDER BY r.rank) <= 8),
+e AS (SELECT query_id, 1.0 AS w FROM q UNION ALL SELECT query_id, 0.25 FROM q JOIN s USING (token)) SELECT query_id, count(*) AS n, round(sum(w), 6)::DOUBLE AS weight FROM e GROUP BY 1""")
 
 
 def similar(t):
@@ -166,6 +180,17 @@ add("v02_vector_top_k", lambda t: V.nearest(asked(t), indexed(t), 30).select("qu
 add("v02_vector_threshold", lambda t: V.nearest(asked(t), indexed(t), 30, 0.3).groupBy("query_id").agg(F.count("*").alias("n")), f"SELECT query_id, count(*) AS n FROM ({NEAR}) WHERE cosine >= 0.3 GROUP BY 1")
 
 
+def vector_index(t):
+    """All vectors by cells and codes, in files."""
+    index = candidates.VectorIndex(t.spark, t.scratch())
+    index.build(indexed(t), part_rows=4096)
+    return index
+
+
+add("v02_stored_candidates", lambda t: vector_index(t).search(asked(t), 30, probes=16).select("query_id", "chunk_id", F.round("cosine", 6).alias("cosine")))
+add("v02_stored_all_cells", lambda t: vector_index(t).search(asked(t), 30, probes=4096, refine=1_000_000).select("query_id", "chunk_id", F.round("cosine", 6).alias("cosine")), f"SELECT query_id, chunk_id, round(cosine, 6) AS cosine FROM ({NEAR})")
+
+
 def text_scores(t):
     return L.enough(matches(t), questions(t), 0.3).withColumn("score", F.round("score", 6))
 
@@ -182,12 +207,19 @@ def reranked(t):
     return pairs.withColumn("sim", V.hybrid(c("cosine"), c("tksim"), 0.3)).withColumn("score", c("tksim"))
 
 
+def reranked_page(t, page, size):
+    """A page of which only the rows of its window have met their vectors."""
+    window = V.page_window(similar(t).withColumn("score", F.round("tksim", 6)), page, size)
+    sim = F.round(V.hybrid(c("cosine"), c("tksim"), 0.3), 6)
+    return V.ranked_page(V.pair_cosines(window, asked(t), indexed(t)).withColumn("sim", sim), page, size)
+
+
 ALLCOS = f"SELECT query_id, chunk_id, cosine FROM {COS}"
 HYB = f"{SIM}, cs AS ({ALLCOS}), hy AS (SELECT query_id, chunk_id, tksim, coalesce(cosine, 0) AS cosine FROM ts LEFT JOIN cs USING (query_id, chunk_id)), hs AS (SELECT *, CASE WHEN sum(abs(cosine)) OVER (PARTITION BY query_id) = 0 THEN tksim ELSE 0.3 * cosine + 0.7 * tksim END AS sim FROM hy)"
 add("v17_hybrid_similarity", lambda t: reranked(t).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("sim"), 4).alias("s")), f"WITH {HYB} SELECT query_id, count(*) AS n, round(sum(sim), 4) AS s FROM hs GROUP BY 1")
 PAGE = "pg AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(tksim, 6) DESC, chunk_id) AS w FROM hs QUALIFY w <= 70), pk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, chunk_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM pg WHERE round(sim, 6) >= 0.2)"
-add("v13_retrieval_page", lambda t: V.result_page(reranked(t).withColumn("score", F.round("score", 6)).withColumn("sim", F.round("sim", 6)), 2, 10).select("query_id", "chunk_id", "rank", "total", F.round("sim", 5).alias("sim")), f"WITH {HYB}, {PAGE} SELECT query_id, chunk_id, rank::INT AS rank, total, round(round(sim, 6), 5) AS sim FROM pk WHERE rank BETWEEN 11 AND 20")
-add("a14_document_facets", lambda t: V.document_hits(V.result_page(reranked(t).withColumn("score", F.round("score", 6)).withColumn("sim", F.round("sim", 6)), 1, 10).join(t.documents.select(c("doc_id").alias("chunk_id"), "source"), "chunk_id"), "source"), f"WITH {HYB}, {PAGE} SELECT query_id, source, count(*) AS n FROM pk JOIN documents ON doc_id = chunk_id WHERE rank <= 10 GROUP BY 1, 2")
+add("v13_retrieval_page", lambda t: reranked_page(t, 2, 10).select("query_id", "chunk_id", "rank", "total", F.round("sim", 5).alias("sim")), f"WITH {HYB}, {PAGE} SELECT query_id, chunk_id, rank::INT AS rank, total, round(round(sim, 6), 5) AS sim FROM pk WHERE rank BETWEEN 11 AND 20")
+add("a14_document_facets", lambda t: V.document_hits(reranked_page(t, 1, 10).join(t.documents.select(c("doc_id").alias("chunk_id"), "source"), "chunk_id"), "source"), f"WITH {HYB}, {PAGE} SELECT query_id, source, count(*) AS n FROM pk JOIN documents ON doc_id = chunk_id WHERE rank <= 10 GROUP BY 1, 2")
 add("v14_rule_rerank_tokens", lambda t: t.documents.select("doc_id", F.size(V.rerank_tokens(text.tokens("text"), F.array("source"), F.array("lang", "lang"), F.array("source"))).cast("long").alias("n")), f"SELECT doc_id, list_unique({TOK})::BIGINT + 2 + 10 + 6 AS n FROM documents")
 add("v15_model_rerank", lambda t: _model_rerank(t), rf"WITH n AS (SELECT query_id, chunk_id, cosine FROM {COS} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, chunk_id) <= 10), p AS (SELECT query_id, chunk_id, cosine, list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}_]+')) AS q, regexp_extract_all(lower(d.text), '[\p{{L}}\p{{N}}_]+') AS w FROM n JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = chunk_id) SELECT query_id, chunk_id, round(0.3 * len(list_intersect(q, w)) / greatest(1, len(q)) + 0.7 * cosine, 6) AS sim FROM p")
 
@@ -204,7 +236,16 @@ def hits(t):
 
 
 add("a23_best_document", lambda t: V.best_document(hits(t), "label"), f"SELECT query_id, label FROM (SELECT query_id, label, round(sum(cosine), 9) AS s FROM ({NEAR}) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, label) = 1")
-add("j18_boost_merge", lambda t: V.boost_merge(hits(t), indexed(t).where("chunk_id >= 490").select(F.lit(3).cast("long").alias("query_id"), "chunk_id", F.lit(0.25).alias("sim"))).select("query_id", "chunk_id", F.round("sim", 6).alias("sim")), f"SELECT query_id, chunk_id, round(coalesce(cosine, 0) + coalesce(e, 0), 6) AS sim FROM ({NEAR}) FULL JOIN (SELECT 3::BIGINT AS query_id, vec_id AS chunk_id, 0.25 AS e FROM embeddings WHERE vec_id >= 490) USING (query_id, chunk_id)")
+EXTRA = 0.25
+
+
+def extra_hits(t):
+    """Every fiftieth vector is a hit of every question besides."""
+    every = indexed(t).where("chunk_id % 50 = 0").select("chunk_id")
+    return asked(t).select("query_id", F.lit(EXTRA).alias("sim"), F.pmod("query_id", F.lit(50)).alias("_k")).join(every.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(49)))), "_k").drop("_k")
+
+
+add("j18_boost_merge", lambda t: V.boost_merge(hits(t), extra_hits(t)).select("query_id", "chunk_id", F.round("sim", 6).alias("sim")), f"SELECT query_id, chunk_id, round(coalesce(cosine, 0) + coalesce(e, 0), 6) AS sim FROM ({NEAR}) FULL JOIN (SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, 0.25 AS e FROM embeddings q, embeddings d WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND d.vec_id % 50 = 0) USING (query_id, chunk_id)")
 add("j17_parent_collapse", lambda t: V.collapse_parents(hits(t).withColumn("mom_id", F.when(c("chunk_id") % 2 == 0, c("label").cast("long"))).withColumn("content", F.lit("own")), t.embeddings.select(c("vec_id").alias("chunk_id"), F.concat(F.lit("parent "), "vec_id").alias("content"))).select("query_id", "chunk_id", F.round("sim", 6).alias("sim"), "content", "children"), f"SELECT query_id, chunk_id, round(cosine, 6) AS sim, 'own' AS content, 1::BIGINT AS children FROM ({NEAR}) WHERE chunk_id % 2 <> 0 UNION ALL SELECT query_id, label, round(avg(cosine), 6), 'parent ' || label, count(*) FROM ({NEAR}) WHERE chunk_id % 2 = 0 GROUP BY query_id, label")
 TAGS = "tg AS (SELECT source AS tag, count(*) AS n FROM documents GROUP BY 1), pr AS (SELECT tag, n, (n + 1) / (sum(n) OVER () + 1000)::DOUBLE AS prior FROM tg)"
 
