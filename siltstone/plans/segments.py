@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import models
+from siltstone.operators import layout as O
 from siltstone.operators import segment as S
 from siltstone.plans.registry import add
 from siltstone.sources import readers, writers
@@ -31,7 +32,42 @@ def markdown(t):
 
 add("c01_naive_chunks", lambda t: S.per_document(t.documents, S.naive_chunks, "chunk string, tokens int"))
 add("c02_chunks_with_images", lambda t: S.per_document(t.documents, lambda x: ((a, len(b)) for a, b in S.chunks_with_images([(s, "img" if i % 5 == 0 else None) for i, s in enumerate(x.split("\n"))])), "chunk string, images int"))
-add("c03_media_context", lambda t: S.per_document(t.documents, lambda x: iter(S.with_context([("table" if "|" in s else "text", s) for s in x.split("\n")])), "kind string, body string"))
+def lines_as_blocks(t, media):
+    """Each line of a document is a block; ``media`` says which are tables."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("seq", "text"))
+    return lines.withColumn("kind", F.when(media, "table").otherwise("text"))
+
+
+def laid_out(t):
+    """Lines on pages of five, a quarter of them tables, whose extents overlap here and there."""
+    top = 40 * (c("seq") % 5) + c("doc_id") % 7
+    where = F.struct((F.floor(c("seq") / 5) + 1).cast("int").alias("page"), F.lit(0.0).alias("left"), F.lit(90.0).alias("right"), top.cast("double").alias("top"), (top + 10 + F.length("text") % 60).cast("double").alias("bottom"))
+    return lines_as_blocks(t, c("seq") % 4 == 2).withColumn("positions", F.array(where))
+
+
+def _lines_sql(media):
+    return f"""b AS (SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS seq, unnest(l) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+k AS (SELECT *, CASE WHEN {media} THEN 'table' ELSE 'text' END AS kind FROM b)"""
+
+
+TOKENS = r"len(regexp_extract_all({}, '[A-Za-z0-9_À-ɏ]+|[^\sA-Za-z0-9_À-ɏ]'))"
+
+
+def _surrounded_sql(media, budget):
+    return rf"""WITH {_lines_sql(media)}, p AS (SELECT *, coalesce(sum(CASE WHEN kind = 'text' THEN {TOKENS.format("text")} ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM k),
+q AS (SELECT doc_id, seq, p, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT *, list_filter(string_split(regexp_replace(text, '([。!?？；！\n]|\. )', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS x FROM p WHERE kind = 'text')),
+e AS (SELECT *, p + sum({TOKENS.format("s")}) OVER (PARTITION BY doc_id, seq ORDER BY i) AS e, {TOKENS.format("s")} AS n FROM q)
+SELECT m.doc_id, m.seq, (SELECT coalesce(string_agg(s, '' ORDER BY e.seq, i), '') FROM e WHERE e.doc_id = m.doc_id AND e.seq < m.seq AND m.p - e < {budget}) AS above,
+ (SELECT coalesce(string_agg(s, '' ORDER BY e.seq, i), '') FROM e WHERE e.doc_id = m.doc_id AND e.seq > m.seq AND e - n - m.p < {budget}) AS below FROM p m WHERE kind = 'table'"""
+
+
+add("c03_media_context", lambda t: O.surrounded(lines_as_blocks(t, c("text").contains("|") | (c("seq") % 9 == 4)), 64).select("doc_id", "seq", "above", "below"), _surrounded_sql("contains(text, '|') OR seq % 9 = 4", 64))
+add("c18_table_context", lambda t: O.surrounded(lines_as_blocks(t, c("seq") % 4 == 2), 32).select("doc_id", "seq", "above", "below"), _surrounded_sql("seq % 4 = 2", 32))
+add("c17_text_beside", lambda t: O.nearest_text(laid_out(t)), f"""WITH {_lines_sql("seq % 4 = 2")}, r AS (SELECT *, seq // 5 + 1 AS page, 40 * (seq % 5) + doc_id % 7 AS top, 40 * (seq % 5) + doc_id % 7 + 10 + length(text) % 60 AS bottom FROM k),
+o AS (SELECT m.doc_id, m.seq, arg_min(t.seq, abs((m.top + m.bottom) / 2.0 - (t.top + t.bottom) / 2.0) * 1000000 + t.seq) AS beside FROM r m JOIN r t ON t.doc_id = m.doc_id AND t.page = m.page AND t.kind = 'text' AND m.bottom >= t.top AND m.top <= t.bottom WHERE m.kind = 'table' GROUP BY 1, 2),
+f AS (SELECT *, seq = min(seq) OVER w AS is_first, seq = max(seq) OVER w AS is_last, min(CASE WHEN kind = 'text' THEN seq END) OVER w AS f, max(CASE WHEN kind = 'text' THEN seq END) OVER w AS l FROM r WINDOW w AS (PARTITION BY doc_id, page))
+SELECT f.doc_id, f.seq, coalesce(beside, CASE WHEN is_first THEN f WHEN is_last THEN l END)::INT AS beside FROM f LEFT JOIN o ON o.doc_id = f.doc_id AND o.seq = f.seq WHERE kind = 'table' AND coalesce(beside, CASE WHEN is_first THEN f WHEN is_last THEN l END) IS NOT NULL""")
+add("c17_page_context", lambda t: O.with_page_context(laid_out(t), 24, 24).select("doc_id", "seq", "kind", "text"))
 add("c04_parts_with_parent", lambda t: S.parts_with_parent(t.documents.select("doc_id", "text"), "text", "[.]").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("part")).alias("chars")), r"SELECT doc_id, count(*) AS n, sum(length(p))::BIGINT AS chars FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^.]*[.]|[^.]+')) AS p FROM documents) WHERE trim(p) <> '' GROUP BY 1")
 add("c06_table_batches", lambda t: S.table_batches(t.part.select("p_brand", "p_partkey", F.concat_ws(":", "p_name", "p_type").alias("line")), "p_brand", "p_partkey", "line"), "SELECT p_brand, (i - 1) // 10 AS batch, string_agg(p_name || ':' || p_type, '; ' ORDER BY i) AS content FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part) GROUP BY 1, 2")
 add("c07_markdown_blocks", lambda t: S.per_document(markdown(t), S.markdown_blocks, S.BLOCK_SCHEMA))

@@ -86,4 +86,3 @@ add("q08_error_report", lambda t: t.events.where("event_type = 'error'").groupBy
 add("q09_upload_pipeline", lambda t: S.per_document(t.pages.select(c("page_id").alias("doc_id"), text.html_text("html").alias("text")), S.naive_chunks, "chunk string, tokens int").withColumn("chunk_id", F.md5(F.concat_ws(":", "chunk", "doc_id"))).select("doc_id", "pos", "chunk_id", "tokens", F.size(models.embed(c("chunk"))).alias("dim")))
 add("q11_metadata_scan", lambda t: t.labels.join(t.documents.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")), "SELECT source, count(*) AS n, sum(toxic)::BIGINT AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY 1")
 add("c05_tokenised_chunks", lambda t: S.per_document(t.documents, S.naive_chunks, "chunk string, tokens int").select("doc_id", "pos", F.size(text.tokens(text.strip_table_tags("chunk"))).alias("n")))
-add("c18_table_context", lambda t: S.per_document(t.documents, lambda x: ((k, len(b)) for k, b in S.with_context([("table" if i % 4 == 2 else "text", s) for i, s in enumerate(x.split("\n"))], 32)), "kind string, chars int"))
