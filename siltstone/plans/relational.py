@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from siltstone.operators import folders
 from siltstone.operators import corpus as C
 from siltstone.operators import predicates as P
 from siltstone.operators import relational as R
@@ -113,7 +114,31 @@ add("a30_folder_sizes", lambda t: R.subtree_sizes(tree(t), "size"), f"WITH RECUR
 add("a31_has_child", lambda t: tree(t).alias("a").join(tree(t).where("id <> parent_id").select(c("parent_id").alias("p")).distinct(), c("id") == c("p"), "left").select("id", c("p").isNotNull().alias("has_child")), f"WITH RECURSIVE {TREE} SELECT id, id IN (SELECT parent_id FROM tree WHERE parent_id IS NOT NULL) AS has_child FROM tree")
 add("r6_children", lambda t: tree(t).where("parent_id = 'r1' AND id <> parent_id").select("id", "name"), f"WITH RECURSIVE {TREE} SELECT id, name FROM tree WHERE parent_id = 'r1'")
 add("q5_delete_subtree", lambda t: tree(t).join(R.ancestors(tree(t)).where("ancestor = 'r2'").select(c("node").alias("id")), "id", "left_anti").where("id <> 'r2'").select("id"), f"WITH RECURSIVE {TREE} SELECT id FROM tree WHERE id <> 'r2' AND id NOT IN (SELECT node FROM up WHERE ancestor = 'r2')")
-add("q4_move_folder", lambda t: tree(t).withColumn("parent_id", F.when(c("id") == "n5", "r0").otherwise(c("parent_id"))).select("id", "parent_id"), "SELECT 'r' || r_regionkey AS id, 'r' || r_regionkey AS parent_id FROM region UNION ALL SELECT 'n' || n_nationkey, CASE WHEN n_nationkey = 5 THEN 'r0' ELSE 'r' || n_regionkey END FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer")
+
+
+def filed(t):
+    """Regions, nations and customers as folders and files whose names collide."""
+    turn = F.row_number().over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy(F.concat(F.lit("c"), "c_custkey"))) - 1
+    rows = [
+        t.region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("root").alias("parent_id"), c("r_name").alias("name"), F.lit("folder").alias("kind"), F.lit("").alias("location")),
+        t.nation.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), F.concat(F.lit("f"), c("n_nationkey") % 7), F.lit("folder"), F.lit("")),
+        t.customer.select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"), "c_mktsegment", F.lit("file"), F.concat("c_mktsegment", F.repeat(F.lit("_"), turn))),
+    ]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+def merged_nations(t):
+    """All nations of other regions are moved into the first one; those of one name merge."""
+    return folders.move_into(filed(t), filed(t).where("id LIKE 'n%' AND parent_id <> 'r0'"), "r0")
+
+
+add("q4_move_folder", merged_nations, """
+WITH n AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS p, 'f' || n_nationkey % 7 AS name FROM nation), th AS (SELECT name, min(id) AS t FROM n WHERE p = 'r0' GROUP BY 1),
+m AS (SELECT n.id, n.name, t IS NULL AS fresh, coalesce(t, md5('r0/' || n.name)) AS dest FROM n LEFT JOIN th USING (name) WHERE p <> 'r0'),
+cu AS (SELECT 'c' || c_custkey AS id, 'n' || c_nationkey AS p, c_mktsegment AS name, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY 'c' || c_custkey) - 1 AS k FROM customer),
+x AS (SELECT cu.id, coalesce(m.dest, cu.p) AS parent_id, cu.name, k, dest FROM cu LEFT JOIN m ON m.id = cu.p), e AS (SELECT parent_id, name, count(*) AS e FROM x WHERE dest IS NULL GROUP BY 1, 2)
+SELECT 'r' || r_regionkey AS id, 'root' AS parent_id, r_name AS name, 'folder' AS kind, '' AS location FROM region UNION ALL SELECT id, p, name, 'folder', '' FROM n WHERE p = 'r0' UNION ALL SELECT DISTINCT dest, 'r0', name, 'folder', '' FROM m WHERE fresh
+UNION ALL SELECT x.id, x.parent_id, x.name, 'file', x.name || repeat('_', CASE WHEN dest IS NULL THEN k ELSE coalesce(e, 0) + row_number() OVER (PARTITION BY dest, x.name ORDER BY x.id) - 1 END) FROM x LEFT JOIN e ON e.parent_id = x.dest AND e.name = x.name""")
 
 # Aggregations
 add("a1_facets", lambda t: R.facet(chunks(t), "tag_kwd", True), f"SELECT key, count(*) AS n FROM (SELECT DISTINCT chunk_id, unnest(tag_kwd) AS key FROM {CHUNKS}) GROUP BY key")

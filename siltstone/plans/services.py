@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import models, text
 from siltstone.operators import corpus as C
 from siltstone.operators import lexical as L
+from siltstone.operators import lexicon
 from siltstone.operators import mutations as K
 from siltstone.operators import predicates as P
 from siltstone.operators import relational as R
@@ -39,7 +40,27 @@ add(
     lambda t: t.benchmark.select("item_id", F.array_join(L.joined_latin(F.concat(F.split(F.lit("heart failure 心 衰 mri a b c 1x"), " "), text.tokens("text"))), "|").alias("v")),
     rf"SELECT item_id, regexp_replace(regexp_replace(array_to_string(list_concat(['heart', 'failure', '心', '衰', 'mri', 'a', 'b', 'c', '1x'], {TOK}), '|'), '([a-zA-Z])\|([a-zA-Z])', '\1 \2', 'g'), '([a-zA-Z])\|([a-zA-Z])', '\1 \2', 'g') AS v FROM benchmark",
 )
-add("v23_segmented_terms", lambda t: L.segmented_terms(t.benchmark.select(c("item_id").alias("query_id"), F.concat(F.lit("儿科门诊 "), "text").alias("text")), F.array_distinct(text.tokens("text")), text.fine_tokens("text")).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("w")))
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SCRIPT = "".join(chr(0x4E00 + 101 * i) for i in range(26))
+
+
+def unblanked(df):
+    """Texts in a script without blanks: letters become ideographs, and what is between words goes."""
+    return df.withColumn("text", F.translate(F.regexp_replace(F.lower("text"), "[^a-z\n]", ""), LETTERS, SCRIPT))
+
+
+def segmented_questions(t):
+    """Questions cut into words that the corpus of all questions teaches."""
+    texts = unblanked(t.benchmark.select(c("item_id").alias("query_id"), "text"))
+    return lexicon.segmented(texts, lexicon.learn_words(texts, longest=6))
+
+
+add("x20_learned_words", lambda t: lexicon.learn_words(unblanked(t.benchmark), longest=6, cohesion=-99.0, freedom=-99.0).select("word", "n", F.round(F.greatest("freedom", F.lit(0.0)), 6).alias("freedom")), f"""
+WITH r AS (SELECT unnest(regexp_extract_all(translate(regexp_replace(lower(text), '[^a-z\n]', '', 'g'), '{LETTERS}', '{SCRIPT}'), '[一-鿿]+')) AS r FROM benchmark), i AS (SELECT r, unnest(range(1, length(r) + 1)) AS i FROM r), n AS (SELECT r, i, unnest(range(1, least(6, length(r) - i + 1) + 1)) AS n FROM i),
+g AS (SELECT r[i:i + n - 1] AS word, CASE WHEN i > 1 THEN r[i - 1:i - 1] ELSE '' END AS a, r[i + n:i + n] AS b FROM n), ca AS (SELECT word, a, count(*) AS c FROM g GROUP BY 1, 2), cb AS (SELECT word, b, count(*) AS c FROM g GROUP BY 1, 2),
+ha AS (SELECT word, sum(c)::BIGINT AS n, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM ca GROUP BY 1), hb AS (SELECT word, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM cb GROUP BY 1)
+SELECT word, n, round(greatest(least(ha.h, hb.h), 0), 6) AS freedom FROM ha JOIN hb USING (word) WHERE n >= 5 OR length(word) = 1""")
+add("v23_segmented_terms", lambda t: L.segmented_terms(segmented_questions(t), F.array_distinct("segments"), text.fine_tokens("text")).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("w")))
 SYNONYMS = [("儿科门诊", "小儿门诊"), ("门诊", "诊室"), ("the", "der")]
 
 
