@@ -153,7 +153,7 @@ class Mix:
         shape = "_source string, source_size long, target double, si int, chunks long"
         known = [(None if pd.isna(s) else s, int(z), float(t), i, min(CHUNKS, max(1, -(-int(n) // 1024)))) for i, (s, z, n, t) in enumerate(table.itertuples(index=False))]
         named = spark.createDataFrame(known, shape)
-        placed = sized.join(F.broadcast(named), sized["_source"].eqNullSafe(named["_source"])).drop(named["_source"]).withColumn("chunk", F.pmod("_h", "chunks"))
+        placed = sized.join(F.broadcast(named), sized["_source"].eqNullSafe(named["_source"])).drop(named["_source"]).withColumn("chunk", F.pmod(F.xxhash64("_h", "_t"), "chunks"))
         self.rows = placed.select("_row", *kept, "size", "source_size", "target")
         self.picks = None
         if not len(table) or not table["source_size"].sum():
