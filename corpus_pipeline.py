@@ -6,12 +6,15 @@ texts, n_chars is counted anew.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import classifier, linededup, minhash, mixing, packing
-from siltstone.llm.common import table, unused
+from siltstone.llm.common import release, table, unused
 from siltstone.llm.queries import tokenizer_path
+from siltstone.session import shared_folder
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -62,7 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage on what those before it have written, one after the other, into the shared folder: no stage is made twice."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        release()
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -36,13 +36,24 @@ def cut(df: DataFrame, rows: int | None = None, per_file: int = 1 << 18) -> Data
     return df.checkpoint(eager=True)
 
 
+_held: list[DataFrame] = []
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Hold what several plans read on the executors' disks. The lineage stays: parts that go with an executor are made anew.
 
-    ``spark.catalog.clearCache()`` frees them. Held data should not stem from other held data, as plans then repeat
-    each other's text; loops and long chains use ``cut``.
+    ``release`` frees what was held, once the results that read it are written. Held data should not stem from other held data, as
+    plans then repeat each other's text; loops and long chains use ``cut``.
     """
-    return df.persist(StorageLevel.DISK_ONLY)
+    held = df.persist(StorageLevel.DISK_ONLY)
+    _held.append(held)
+    return held
+
+
+def release() -> None:
+    """Frees what ``keep`` has held, and nothing else that is cached."""
+    while _held:
+        _held.pop().unpersist()
 
 
 def partitions(df: DataFrame, factor: int = 1) -> int:

@@ -288,7 +288,9 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, step_tokens: int = 1 << 16
         if rows:
             yield flush()
 
-    pieces = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, _FIELDS)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # A lost partition that is made anew may come in another order; in this one it is packed as before.
+    pieces = rows.sortWithinPartitions(F.xxhash64("doc_id", "text"), "doc_id").mapInArrow(run, _FIELDS)
     return with_steps(keep(pieces), step_tokens)
 
 

@@ -53,3 +53,24 @@ def test_empty_input(spark, data):
     nothing = spark.read.parquet(f"{data}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, data).count() == 0
+
+
+def test_no_stage_is_made_twice(spark, data, stages, monkeypatch):
+    seen = [spark.sparkContext.accumulator(0) for _ in corpus_pipeline.STAGES]
+
+    def counting(stage, seen):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        def wrapped(*args):
+            df = stage(*args)
+            return df.mapInArrow(run, df.schema)
+
+        return wrapped
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, counting(stage, s)) for (name, stage), s in zip(corpus_pipeline.STAGES, seen, strict=True)])
+    pieces = corpus_pipeline.run(spark, data).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert [s.value for s in seen] == [s.count() for s in stages]
+    assert {r["doc_id"]: r["n"] for r in pieces} == {r["doc_id"]: r["n"] for r in stages[4].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
