@@ -33,9 +33,15 @@ def first_occurrences(rows: DataFrame, key: Column, file: str, order: str) -> Da
 
 
 def distinct_rows(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """The first row of each key; rows are combined per task before the shuffle."""
-    least = rows.withColumn("_key", key).groupBy("_key").agg(F.min(F.struct(*order, *[c for c in rows.columns if c not in order])).alias("_r"))
-    return least.select(*[F.col(f"_r.{c}").alias(c) for c in rows.columns])
+    """The first row of each key; rows are combined per task before the shuffle.
+
+    ``order`` has to tell the rows of a key apart. Each other column is taken by its own aggregate, so those that nobody reads, texts
+    for example, are neither sorted nor shuffled.
+    """
+    first = F.struct(*order)
+    others = [F.min_by(F.col(f"`{c}`"), first).alias(c) for c in rows.columns if c not in order]
+    least = rows.withColumn("_key", key).groupBy("_key").agg(F.min(first).alias("_o"), *others)
+    return least.select(*[F.col(f"_o.{c}").alias(c) if c in order else F.col(f"`{c}`") for c in rows.columns])
 
 
 def bucketed(rows: DataFrame, major: str, label: str, default: int, overrides: dict[str, int] | None = None, clean: Column | None = None) -> DataFrame:

@@ -235,3 +235,11 @@ def json_schema(fields: list[dict]) -> dict:
         else:
             properties[f["key"]] = one
     return {"type": "object", "properties": properties, "additionalProperties": False}
+
+
+def schema_rows(fields: DataFrame) -> DataFrame:
+    """The properties of a JSON schema as rows (key, property): ``fields`` has key, description and value, a row for each value that a
+    field may have (null: any)."""
+    by = fields.groupBy("key").agg(F.max(F.coalesce("description", F.lit(""))).alias("description"), F.array_sort(F.collect_set(F.col("value").cast("string"))).alias("enum"))
+    many = F.struct(F.lit("array").alias("type"), F.struct(F.lit("string").alias("type"), F.col("enum")).alias("items"), F.col("description"))
+    return by.select("key", F.when(F.size("enum") > 0, F.to_json(many)).otherwise(F.to_json(F.struct(F.lit("string").alias("type"), "description"))).alias("property"))

@@ -36,19 +36,50 @@ def ts_match(column: Column, query: str, share: float = 0.3) -> Column:
     return found >= F.greatest(F.lit(1), F.floor(share * F.size(wanted)))
 
 
+_LITERAL = r"'(?:[^'\\]|\\.|'')*'"
+_NAME = r"(?:(?:\w+|`[^`]+`)\.)?(?:\b[a-z_]+_l?tks\b|`[a-z_]+_l?tks`)"
+_OTHER = rf'--[^\n]*|/\*.*?\*/|{_LITERAL}|"(?:[^"\\]|\\.)*"'
+_PREDICATE = re.compile(rf"(?is)(?P<field>{_NAME})\s*(?P<not>\bnot\s+)?(?:\blike\b|=(?!=))\s*(?P<said>{_LITERAL})|(?P<other>{_OTHER}|`[^`]*`)")
+
+
+def match_predicates(statement: str) -> str:
+    """The statement with ``ts_match`` in the place of ``LIKE`` and ``=`` on token fields.
+
+    Comments, other literals and quoted names are passed over; a negated predicate stays negated.
+    """
+
+    def put(m: re.Match) -> str:
+        return m[0] if m["other"] is not None else f"{'NOT ' if m['not'] else ''}ts_match({m['field']}, {m['said']})"
+
+    return _PREDICATE.sub(put, statement)
+
+
+def register_match(spark: SparkSession, share: float = 0.3) -> None:
+    """``ts_match(field, words)`` as a function of the session: a plain SQL expression, so statements with it stay compiled."""
+    tokens = r"regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}_]+', 0)"
+    wanted, found = f"array_distinct({tokens.format('words')})", tokens.format("field")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION ts_match(field STRING, words STRING) RETURNS BOOLEAN RETURN size(array_intersect({found}, {wanted})) >= greatest(1, floor({share}D * size({wanted})))")
+
+
+def search_sql(spark: SparkSession, statement: str, share: float = 0.3) -> DataFrame:
+    """Runs a statement whose token fields are matched by words."""
+    register_match(spark, share)
+    return spark.sql(match_predicates(statement))
+
+
 def answer(spark: SparkSession, question: str, model: Callable[[str, str | None], str], sources: tuple[str, ...] = ("doc_id", "docnm_kwd")) -> tuple[str, DataFrame]:
     """M8: runs the model's statement; an error is shown to the model once, and so are missing source columns of a statement
     that doesn't aggregate. Gives the statement and its lazy result."""
     sql = clean_sql(model(question, None))
     try:
-        result = spark.sql(sql)
+        result = search_sql(spark, sql)
     except Exception as e:
         sql = clean_sql(model(question, str(e)[:500]))
-        result = spark.sql(sql)
+        result = search_sql(spark, sql)
     if not is_aggregate(sql) and not set(sources) <= set(result.columns):
         fixed = clean_sql(model(question, f"missing columns: {', '.join(sources)}"))
         try:
-            result, sql = spark.sql(fixed), fixed
+            result, sql = search_sql(spark, fixed), fixed
         except Exception:
             return sql, result
     return sql, result

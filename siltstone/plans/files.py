@@ -11,7 +11,7 @@ from siltstone.operators import store, text_sql
 from siltstone.plans.registry import add
 from siltstone.plans.relational import CHUNKS, chunks
 from siltstone.sources import readers, writers
-from siltstone.streaming import tasks
+from siltstone.streaming import queues, tasks
 
 c = F.col
 
@@ -166,27 +166,69 @@ def drained(t, stream: DataFrame, mode: str = "append") -> DataFrame:
 
 def consumed(t):
     path = t.scratch()
-    log = logged(t, t.lineitem.select(c("l_orderkey").alias("task_id"), (c("l_orderkey") % 10).alias("priority")), 4)
-    run = tasks.consume(log, lambda batch: batch.withColumn("answer", c("task_id") * 2), f"{path}/done", f"{path}/state")
+    log = logged(t, t.lineitem.select(c("l_orderkey").alias("task_id"), (c("l_orderkey") % 10).alias("priority"), F.to_timestamp(F.lit("2024-01-01")).alias("at")), 4)
+    run = tasks.consume(log, lambda batch: batch.withColumn("answer", c("task_id") * 2), f"{path}/done", f"{path}/state", "at")
     run.awaitTermination()
-    return t.spark.read.parquet(f"{path}/done"), run
+    return t.spark.read.parquet(f"{path}/done")
 
 
 CONSUMED = "SELECT DISTINCT l_orderkey AS task_id, l_orderkey * 2 AS answer FROM lineitem"
-add("g01_task_queue", lambda t: consumed(t)[0].select("task_id", "answer"), CONSUMED)
-add("k19_idempotent_sink", lambda t: consumed(t)[0].groupBy().agg(F.count("*").alias("n"), F.countDistinct("task_id").alias("keys")), "SELECT count(DISTINCT l_orderkey) AS n, count(DISTINCT l_orderkey) AS keys FROM lineitem")
+add("g01_task_queue", lambda t: consumed(t).select("task_id", "answer"), CONSUMED)
+add("k19_idempotent_sink", lambda t: consumed(t).groupBy().agg(F.count("*").alias("n"), F.countDistinct("task_id").alias("keys")), "SELECT count(DISTINCT l_orderkey) AS n, count(DISTINCT l_orderkey) AS keys FROM lineitem")
 add("s22_task_log", lambda t: drained(t, logged(t, t.orders.select("o_orderkey", "o_orderstatus"))).select("o_orderkey", "o_orderstatus"), "SELECT o_orderkey, o_orderstatus FROM orders")
 
 
-def lagged(t):
-    seen = [p["numInputRows"] for p in consumed(t)[1].recentProgress]
-    return t.spark.range(1).select(F.lit(sum(seen)).cast("long").alias("rows"))
+def group_of_four(t):
+    """Customers as messages to four consumers, who acknowledge two of three."""
+    path, at = t.scratch(), F.to_timestamp(F.lit("2024-01-01"))
+    sent = t.customer.select(c("c_custkey").cast("string").alias("msg_id"), c("c_name").alias("payload"), at.alias("at"))
+    messages = logged(t, sent, 2)
+    t.spark.createDataFrame([], "msg_id string, at timestamp").write.json(f"{path}/acks")
+    acks = t.spark.readStream.schema("msg_id string, at timestamp").json(f"{path}/acks")
+    handle = lambda batch: batch.where(c("msg_id").cast("long") % 3 != 0).select("msg_id", F.upper("payload").alias("answer"))
+    queues.work(queues.deliveries(messages, acks, consumers=4), handle, f"{path}/out", f"{path}/acks", f"{path}/state").awaitTermination()
+    return queues.group_info(sent, queues.given_rows(t.spark, f"{path}/out"), t.spark.read.schema("msg_id string, at timestamp").json(f"{path}/acks"))
 
 
-add("g02_lag", lagged, "SELECT count(*) AS rows FROM lineitem")
-add("w14_consumer_progress", lambda t: t.spark.range(1).select(F.lit(sorted(tasks.lag(consumed(t)[1]))[0]).alias("field")), "SELECT 'batch' AS field")
+GROUPS = "SELECT (('0x' || left(md5(c_custkey::VARCHAR), 8))::BIGINT % 4)::INT AS consumer, count(*) FILTER (c_custkey % 3 = 0) AS pending, count(*) FILTER (c_custkey % 3 <> 0) AS acked, count(*) AS deliveries FROM customer GROUP BY 1"
+add("g02_lag", lambda t: group_of_four(t).select("consumer", "pending", "acked", "deliveries"), f"{GROUPS} UNION ALL SELECT NULL, 0, 0, 0")
+add("w14_consumer_progress", lambda t: group_of_four(t).where("consumer IS NOT NULL").select("consumer", F.round(F.try_divide("acked", "deliveries"), 6).alias("share")), f"SELECT consumer, round(acked / deliveries, 6) AS share FROM ({GROUPS})")
 add("g03_rate_limit", lambda t: drained(t, tasks.rate_limited(logged(t, t.events.select(c("user_id").alias("client"), "ts"), 1), 3, 0.0)).groupBy("client").agg(F.count_if("passed").alias("passed"), F.count("*").alias("n")), "SELECT user_id AS client, least(3, count(*)) AS passed, count(*) AS n FROM events GROUP BY 1")
-add("g05_expiring_keys", lambda t: drained(t, tasks.expiring(logged(t, t.events.select("user_id", c("ts").cast("timestamp").alias("ts")), 1), "user_id", "ts", "400 days")).select("user_id"), "SELECT DISTINCT user_id FROM events")
+
+
+def last_events(t):
+    """Each user's last event is kept for a day; every third event of a kind asks for it."""
+    asks = c("event_id") % 3 == 0
+    rows = t.events.select(c("user_id").alias("key"), c("event_id").alias("seq"), F.when(asks, "get").otherwise("set").alias("op"), c("event_type").alias("member"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), F.when(~asks, F.lit(86400.0)).alias("ttl_s"), c("ts").cast("timestamp").alias("at"))
+    return drained(t, queues.key_values(logged(t, rows, 1)))
+
+
+add("g05_expiring_keys", lambda t: last_events(t).select("key", "seq", "answer"), """
+WITH e AS (SELECT user_id, event_id, event_id % 3 = 0 AS asks, event_type, date_trunc('millisecond', ts) AS ts, ts AS moment FROM events), l AS (SELECT *, last_value(CASE WHEN NOT asks THEN event_type END IGNORE NULLS) OVER w AS v, last_value(CASE WHEN NOT asks THEN ts END IGNORE NULLS) OVER w AS s FROM e WINDOW w AS (PARTITION BY user_id ORDER BY moment, event_id))
+SELECT user_id AS key, event_id AS seq, CASE WHEN s IS NOT NULL AND ts < s + INTERVAL 1 DAY THEN '"' || v || '"' ELSE 'null' END AS answer FROM l WHERE asks""")
+TURNS = "(SELECT DISTINCT conv_id, turn FROM conversations)"
+
+
+def turn_progress(t):
+    """Each turn is a task of its conversation."""
+    rows = t.conversations.select(c("conv_id").alias("doc_id"), c("turn").alias("task_id"), c("turn").cast("long").alias("seq")).distinct().where("seq < 9 OR doc_id % 2 = 0")
+    rows = rows.withColumn("progress", F.when((c("task_id") % 4 == 1) & (c("doc_id") % 5 == 0), 0.5).when((c("task_id") % 4 == 2) & (c("doc_id") % 3 == 0), -1.0).otherwise(1.0))
+    return drained(t, queues.document_status(logged(t, rows, 1))).groupBy("doc_id").agg(F.max_by("status", "seq").alias("status"))
+
+
+add("g06_document_status", turn_progress, f"""
+WITH u AS (SELECT conv_id AS doc_id, turn, CASE WHEN conv_id % 5 <> 0 AND turn % 4 = 1 THEN 1.0 WHEN turn % 4 = 1 THEN 0.5 WHEN turn % 4 = 2 AND conv_id % 3 = 0 THEN -1.0 ELSE 1.0 END AS p FROM {TURNS} WHERE turn < 9 OR conv_id % 2 = 0)
+SELECT doc_id, CASE WHEN bool_or(p = 0.5) THEN 'run' WHEN bool_or(p = -1) THEN 'fail' ELSE 'done' END AS status FROM u GROUP BY 1""")
+
+
+def memories(t):
+    """Each turn adds a message to the memory of its conversation, or takes one of its size out."""
+    rows = t.conversations.select(c("conv_id").alias("memory_id"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), (c("turn") % 4 == 3).alias("evicted"))
+    sizes = drained(t, queues.memory_sizes(logged(t, rows, 3)), "update")
+    return sizes.groupBy("memory_id").agg(F.max_by(F.struct("size", "n"), "epoch").alias("r")).select("memory_id", "r.size", "r.n")
+
+
+add("g09_memory_sizes", memories, "SELECT conv_id AS memory_id, sum(CASE WHEN turn % 4 = 3 THEN -1 ELSE 1 END * coalesce(length(text), 0))::BIGINT AS size, sum(CASE WHEN turn % 4 = 3 THEN -1 ELSE 1 END)::BIGINT AS n FROM conversations GROUP BY 1")
 
 
 def progress_updates(t):
@@ -206,13 +248,12 @@ def pieces(t):
 add("g08_deltas", lambda t: drained(t, tasks.deltas(logged(t, pieces(t), 1), "conv_id", "seq", "piece")).select("conv_id", "n", "delta"), "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS n, CASE turn % 5 WHEN 1 THEN '<think>' WHEN 3 THEN '</think>' ELSE rpad('turn ' || turn, 20, '.') END AS delta FROM (SELECT DISTINCT conv_id, turn FROM conversations)")
 
 
-def schema_of_languages(t):
-    import json
-
-    langs = [r[0] for r in t.documents.select("lang").distinct().orderBy("lang").limit(64).collect()]
-    made = store.json_schema([{"key": "lang", "description": "Language", "enum": [*langs, *langs]}, {"key": "note"}])
-    rows = [(k, v["type"], ",".join(v.get("items", {}).get("enum", []))) for k, v in json.loads(json.dumps(made))["properties"].items()]
-    return t.spark.createDataFrame(rows, "key string, kind string, choices string")
+def schema_of_values(t):
+    """The languages and sources of the documents as choices, and a field that takes any text."""
+    each = t.documents.select(F.explode(F.array(F.struct(F.lit("lang").alias("key"), F.lit("Language").alias("description"), c("lang").alias("value")), F.struct(F.lit("source").alias("key"), F.lit(None).cast("string").alias("description"), c("source").alias("value")), F.struct(F.lit("note").alias("key"), F.lit("free").alias("description"), F.lit(None).cast("string").alias("value")))).alias("f"))
+    return store.schema_rows(each.select("f.*").distinct())
 
 
-add("x25_metadata_schema", schema_of_languages, "SELECT 'lang' AS key, 'array' AS kind, string_agg(lang, ',' ORDER BY lang) AS choices FROM (SELECT DISTINCT lang FROM documents) UNION ALL SELECT 'note', 'string', ''")
+add("x25_metadata_schema", schema_of_values, """
+WITH f AS (SELECT 'lang' AS key, 'Language' AS d, lang AS v FROM documents UNION SELECT 'source', '', source FROM documents UNION SELECT 'note', 'free', NULL FROM documents)
+SELECT key, CASE WHEN count(v) > 0 THEN '{"type":"array","items":{"type":"string","enum":[' || string_agg('"' || v || '"', ',' ORDER BY v) || ']},"description":"' || max(d) || '"}' ELSE '{"type":"string","description":"' || max(d) || '"}' END AS property FROM f GROUP BY key""")

@@ -64,7 +64,21 @@ add("f15_meta_or", lambda t: P.meta_filter(meta(t), [{"key": "brand", "op": "=",
 add("f15_meta_lenient_and", lambda t: P.meta_filter(meta(t), [{"key": "brand", "op": "=", "value": "none"}, {"key": "size", "op": ">=", "value": "45"}], strict=False), "SELECT p_partkey AS doc_id FROM part WHERE p_size >= 45")
 for i, (op, value, sql) in enumerate([("≠", "Brand#1", "lower(value) <> 'brand#1'"), ("not contains", "1", "NOT contains(lower(value), '1')"), ("in", "brand#1,brand#2", "contains('brand#1,brand#2', lower(value))"), ("not in", "brand#1,brand#2", "NOT contains('brand#1,brand#2', lower(value))"), ("start with", "BRAND#2", "starts_with(lower(value), 'brand#2')"), ("end with", "3", "suffix(lower(value), '3')"), ("empty", "", "value = ''"), ("not empty", "", "value <> ''")]):
     add(f"f15_meta_op_{i}_{op.replace(' ', '_').replace('≠', 'ne')}", lambda t, op=op, value=value: P.meta_filter(meta(t), [{"key": "brand", "op": op, "value": value}]), f"SELECT DISTINCT doc_id FROM {META_SQL} WHERE key = 'brand' AND {sql}")
-add("f16_f17_restriction", lambda t: P.restriction(None, P.meta_filter(meta(t), [{"key": "brand", "op": "is", "value": "nothing"}]).select(c("doc_id").cast("string")), "manual"), "SELECT '-999' AS doc_id")
+CASES = [("manual", "brand#12"), ("manual", "nothing"), ("auto", "nothing"), ("auto", "brand#13"), ("semi_auto", "nothing")]
+
+
+def restricted(t):
+    """Small parts, restricted further by the brand, in each mode: with matches and without."""
+    base, out = meta(t).where("key = 'size' AND value::int < 5").select(c("doc_id").cast("string")), None
+    for i, (mode, brand) in enumerate(CASES):
+        found = P.meta_filter(meta(t), [{"key": "brand", "op": "=", "value": brand}]).select(c("doc_id").cast("string"))
+        one = P.restriction(base, found, mode).select(F.lit(i).alias("case"), F.lit(mode).alias("mode"), "doc_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+add("f16_f17_restriction", restricted, " UNION ALL ".join(f"""SELECT {i} AS "case", '{mode}' AS mode, doc_id FROM (WITH f AS (SELECT p_partkey::VARCHAR AS doc_id FROM part WHERE lower(p_brand) = '{brand}') SELECT doc_id FROM f UNION ALL
+SELECT p_partkey::VARCHAR FROM part WHERE p_size < 5 AND (EXISTS (FROM f) OR '{mode}' <> 'manual') UNION ALL SELECT '-999' WHERE NOT EXISTS (FROM f) AND '{mode}' = 'manual')""" for i, (mode, brand) in enumerate(CASES)))
 add("f18_noise_lines", lambda t: t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "line"))).where(P.noise(F.lit("paragraph"), c("line"), c("n"))).select("doc_id", "line"), r"SELECT doc_id, line FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE regexp_full_match(line, '第?\s*[0-9]+\s*页') OR regexp_full_match(line, '[0-9]+') OR (length(line) <= 30 AND n >= 4)")
 add("f19_f20_valid_rows", lambda t: t.part.where((F.length(F.trim("p_name")) > 0)).select("p_partkey", P.clean_label("p_type").alias("clean")), "SELECT p_partkey, regexp_full_match(p_type, '[一-龥A-Za-z]+') AND length(p_type) <= 12 AS clean FROM part WHERE length(trim(p_name)) > 0")
 add("f21_length_range", lambda t: t.documents.where(F.length("text").between(50, 800)).select("doc_id"), "SELECT doc_id FROM documents WHERE length(text) BETWEEN 50 AND 800")

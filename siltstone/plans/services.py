@@ -85,6 +85,20 @@ add(
 add("v33_toc_boost", lambda t: V.boost_merge(hits(t), hits(t).join(V.best_document(hits(t), "label"), ["query_id", "label"]).select("query_id", "chunk_id", F.lit(0.1).alias("sim"))).groupBy("query_id").agg(F.round(F.sum("sim"), 5).alias("s")), f"WITH h AS ({NEAR}), b AS (SELECT query_id, label FROM (SELECT query_id, label, round(sum(cosine), 9) AS s FROM h GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, label) = 1) SELECT h.query_id, round(sum(cosine + CASE WHEN b.label IS NULL THEN 0 ELSE 0.1 END), 5) AS s FROM h LEFT JOIN b ON b.query_id = h.query_id AND b.label = h.label GROUP BY 1")
 add("v34_collapsed_tokens", lambda t: t.conversations.groupBy("conv_id").agg(F.size(F.flatten(F.collect_list(text.tokens("text")))).cast("long").alias("n")), rf"SELECT conv_id, sum(len({TOK}))::BIGINT AS n FROM conversations GROUP BY 1")
 add("v40_text_match", lambda t: t.documents.where(text_sql.ts_match(c("text"), "%the of and ingest%", 0.5)).select("doc_id"), f"SELECT doc_id FROM documents WHERE len(list_intersect(list_distinct({TOK}), ['the', 'of', 'and', 'ingest'])) >= 2")
+STATEMENT = """SELECT doc_id, `lang` FROM told_texts d WHERE (d.content_ltks LIKE '%the of, and ingest%' -- content_ltks = 'nothing'
+ OR `content_ltks`='le d''accord') AND note <> 'content_ltks = ''the''' /* title_tks = 'x' */ AND content_ltks NOT LIKE '%zweite%'"""
+
+
+def told_statement(t):
+    t.documents.select("doc_id", "lang", c("text").alias("content_ltks"), F.concat(F.lit("note "), "lang").alias("note")).createOrReplaceTempView("told_texts")
+    return text_sql.search_sql(t.spark, STATEMENT, 0.5)
+
+
+def _has(words, least):
+    return f"len(list_intersect(list_distinct({TOK}), {words})) >= {least}"
+
+
+add("v40_statement", told_statement, f"SELECT doc_id, lang FROM documents WHERE ({_has(['the', 'of', 'and', 'ingest'], 2)} OR {_has(['le', 'd', 'accord'], 1)}) AND NOT ({_has(['zweite'], 1)})")
 add("f23_scoped_sql", lambda t: _scoped(t), f"SELECT lang, count(*) AS n FROM {CHUNKS} WHERE kb_id IN ('src1', 'src2') GROUP BY 1")
 
 

@@ -6,6 +6,7 @@ State is kept by message or key and ends with it: no query here remembers for ev
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 
@@ -49,8 +50,8 @@ def deliveries(messages: DataFrame, acks: DataFrame, consumers: int = 1, lease_s
         state.update((payload, int(attempt), acked))
         state.setTimeoutTimestamp(now + int(1000 * (remember_s if acked else lease_s)) + 1)
         if given:
-            home = pd.util.hash_array(pd.Series([k[0]], dtype=object).to_numpy(), categorize=False)[0]
-            yield pd.DataFrame({"msg_id": [k[0]], "payload": [payload], "consumer": [int((int(home) + attempt - 1) % consumers)], "attempt": [int(attempt)], "at": [pd.Timestamp(now, unit="ms")]})
+            home = int(hashlib.md5(k[0].encode()).hexdigest()[:8], 16)
+            yield pd.DataFrame({"msg_id": [k[0]], "payload": [payload], "consumer": [(home + attempt - 1) % consumers], "attempt": [int(attempt)], "at": [pd.Timestamp(now, unit="ms")]})
 
     return both.withWatermark("at", late).groupBy("msg_id").applyInPandasWithState(fold, _DELIVERY, "payload string, attempt int, acked boolean", "append", GroupStateTimeout.EventTimeTimeout)
 

@@ -19,11 +19,11 @@ def task_log(spark: SparkSession, path: str, schema: str, per_trigger: int = 1)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)
 
 
-def consume(tasks: DataFrame, handle: Callable[[DataFrame], DataFrame], store: str, checkpoint: str, key: str = "task_id", time: str | None = None, ttl: str = "7 days"):
+def consume(tasks: DataFrame, handle: Callable[[DataFrame], DataFrame], store: str, checkpoint: str, time: str, key: str = "task_id", ttl: str = "7 days"):
     """At-least-once delivery with an idempotent sink: a batch's results are written to a folder of its own, and a
-    replayed batch overwrites it. Tasks that came before are known by the query's state, not by reading results: within ``ttl``
-    if ``time`` names a column of event times, else for ever."""
-    once = tasks.withWatermark(time, ttl).dropDuplicatesWithinWatermark([key]) if time else tasks.dropDuplicates([key])
+    replayed batch overwrites it. Tasks that came before are known by the query's state, within ``ttl`` of their event time
+    ``time``, and not by reading results."""
+    once = tasks.withWatermark(time, ttl).dropDuplicatesWithinWatermark([key])
 
     def run(batch: DataFrame, epoch: int) -> None:
         handle(batch).write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
@@ -68,17 +68,6 @@ def rate_limited(requests: DataFrame, capacity: float, per_second: float, key: s
     return requests.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, {time} timestamp, passed boolean, tokens double", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def lag(query) -> dict:
-    """Rows read and the batch of a running query's last progress."""
-    p = query.lastProgress or {}
-    return {"batch": p.get("batchId"), "rows": p.get("numInputRows"), "rate": p.get("processedRowsPerSecond")}
-
-
-def expiring(entries: DataFrame, key: str, time: str, ttl: str) -> DataFrame:
-    """The first entry of each key within its time to live."""
-    return entries.withWatermark(time, ttl).dropDuplicatesWithinWatermark([key])
-
-
 def deltas(stream: DataFrame, by: str, seq: str, piece: str, least: int = 16) -> DataFrame:
     """Pieces of an answer joined into deltas of ``least`` characters or more; markers of thinking stand alone."""
 

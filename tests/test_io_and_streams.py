@@ -72,7 +72,7 @@ def test_rate_limit_and_deltas(spark, tmp_path):
 
 def test_tasks_are_handled_once(spark, tmp_path):
     log = source(spark, tmp_path, "tl", [[{"task_id": "a"}, {"task_id": "b"}], [{"task_id": "b"}, {"task_id": "c"}]], "task_id string")
-    tasks.consume(log, lambda df: df, str(tmp_path / "done"), str(tmp_path / "cp")).awaitTermination()
+    tasks.consume(log.withColumn("at", F.to_timestamp(F.lit("2024-01-01"))), lambda df: df, str(tmp_path / "done"), str(tmp_path / "cp"), "at").awaitTermination()
     assert sorted(r["task_id"] for r in spark.read.parquet(str(tmp_path / "done")).collect()) == ["a", "b", "c"]
 
 
