@@ -73,41 +73,6 @@ def decoded(spark: SparkSession, path: str, codecs: tuple[str, ...] = ("utf-8",
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, codec string, text string")
 
 
-def spreadsheets(spark: SparkSession, path: str) -> DataFrame:
-    """The first two filled cells of each row of all sheets; needs openpyxl on the workers."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        from openpyxl import load_workbook
-
-        for pdf in parts:
-            for content in pdf["content"]:
-                rows = [[str(c) for c in r if c is not None][:2] for s in load_workbook(io.BytesIO(content)) for r in s.iter_rows(values_only=True)]
-                yield pd.DataFrame([r for r in rows if len(r) == 2], columns=["question", "answer"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "question string, answer string")
-
-
-def word_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Paragraphs under their headings as questions and answers; needs python-docx on the workers."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        from docx import Document
-
-        for pdf in parts:
-            for content in pdf["content"]:
-                marked = []
-                for p in Document(io.BytesIO(content)).paragraphs:
-                    level = p.style.name[8:] if p.style.name.startswith("Heading ") else ""
-                    marked.append("#" * int(level) + " " + p.text if level.isdigit() else p.text)
-                yield pd.DataFrame(list(segment.markdown_questions("\n".join(marked))), columns=["question", "answer"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "question string, answer string")
-
-
 def text_questions(spark: SparkSession, path: str) -> DataFrame:
     """Question and answer lines of whole text files."""
     whole = spark.read.text(path, wholetext=True)
