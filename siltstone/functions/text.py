@@ -200,6 +200,12 @@ def token_count(c: Column | str) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(r"[A-Za-z0-9_À-ɏ]+|[^\sA-Za-z0-9_À-ɏ]"), F.lit(0)))
 
 
+def first_tokens(c: Column | str, n: Column) -> Column:
+    """The text up to the end of its ``n``-th token, as ``token_count`` counts them."""
+    pieces = F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(r"\s*(?:[A-Za-z0-9_À-ɏ]+|[^\sA-Za-z0-9_À-ɏ])"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), n), "")
+
+
 def split_values(c: Column | str) -> Column:
     """A combined value's distinct trimmed parts, in order."""
     return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(_c(c), F.lit("")), VALUE_SEPARATORS), lambda y: F.trim(y)), lambda x: x != ""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions import text as X
+
 
 def message_rows(raw: DataFrame, memory: str, message: str) -> DataFrame:
     """K6: messages with their key and a status of 0 or 1."""
@@ -42,11 +44,25 @@ def insert_with_eviction(existing: DataFrame, new: DataFrame, by: str, size: Col
     return existing.join(gone, key, "left_anti").unionByName(new.join(fits.select(by), by, "left_semi").select(*existing.columns))
 
 
-def history_fit(messages: DataFrame, by: str, turn: str, role: str, tokens: Column, budget: int) -> DataFrame:
-    """The whole history if it fits the budget, else the system message and the last one."""
-    w = Window.partitionBy(by)
-    marked = messages.withColumn("_n", F.sum(tokens).over(w)).withColumn("_last", F.col(turn) == F.max(turn).over(w))
-    return marked.where((F.col("_n") <= budget) | F.col("_last") | (F.col(role) == "system")).drop("_n", "_last")
+def history_fit(messages: DataFrame, by: str, turn: str, role: str, content: str, budget: int) -> DataFrame:
+    """The whole history if it fits the budget of tokens, else the system messages and the last one, cut until they fit.
+
+    If the system messages are more than four fifths of what is left they give way to the last message, in their order; otherwise it gives
+    way to them. Of several messages of the last turn one is the last, by role and content. Null contents count as empty.
+    """
+    n, whole = F.col("_k"), Window.partitionBy(by)
+    said = F.coalesce(F.col(content), F.lit(""))
+    marked = messages.withColumn("_k", X.token_count(said)).withColumn("_all", F.sum(n).over(whole))
+    latest = F.row_number().over(whole.orderBy(F.desc(turn), F.desc_nulls_last(role), F.desc(said))) == 1
+    kept = marked.withColumn("_last", latest).withColumn("_sys", F.coalesce(F.col(role) == "system", F.lit(False))).where((F.col("_all") <= budget) | F.col("_last") | F.col("_sys"))
+    system, last = F.sum(F.when(F.col("_sys"), n).otherwise(0)).over(whole), F.sum(F.when(F.col("_last") & ~F.col("_sys"), n).otherwise(0)).over(whole)
+    counted = kept.withColumns({"_s": system, "_l": last, "_own": F.max(F.col("_last") & F.col("_sys")).over(whole)})
+    first = F.col("_own") | (F.col("_s") > 0.8 * (F.col("_s") + F.col("_l")))
+    before = F.coalesce(F.sum(F.when(F.col("_sys"), n).otherwise(0)).over(whole.orderBy(turn, said).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = F.when(F.col("_sys"), F.when(first, F.lit(budget) - F.col("_l") - F.col("_before")).otherwise(n)).otherwise(F.when(first & (F.col("_s") > 0), n).otherwise(F.lit(budget) - F.col("_s")))
+    over = (F.col("_all") > budget) & (F.col("_s") + F.col("_l") > budget)
+    cut = F.when(over, X.first_tokens(said, F.greatest(room, F.lit(0)).cast("int"))).otherwise(F.col(content))
+    return counted.withColumn("_before", before).withColumn(content, cut).select(*messages.columns)
 
 
 def within_budget(rows: DataFrame, by: str, order: list[Column], tokens: Column, budget: float) -> DataFrame:

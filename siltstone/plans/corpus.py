@@ -143,7 +143,18 @@ SELECT id FROM e LEFT JOIN n USING (memory_id) WHERE new IS NULL OR new > 2000 O
 add("j15_nested_messages", lambda t: M.nested(t.conversations.select((c("conv_id") * 100 + c("turn")).alias("message_id"), F.when(c("turn") == 0, "raw").otherwise(c("role")).alias("message_type"), (c("conv_id") * 100).alias("source_id"))).select("message_id", F.coalesce(F.size("extracted"), F.lit(0)).cast("long").alias("n")), "SELECT conv_id * 100 AS message_id, count(*) - 1 AS n FROM conversations GROUP BY conv_id HAVING min(turn) = 0")
 add("j16_latest_task", lambda t: t.customer.join(t.orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("task")), c("c_custkey") == c("o_custkey"), "left").select("c_custkey", F.coalesce(c("task").cast("string"), F.lit("Unknown")).alias("task")), "SELECT c_custkey, coalesce(task::VARCHAR, 'Unknown') AS task FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey AS task FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) ON c_custkey = o_custkey")
 add("w05_prompt_budget", lambda t: M.within_budget(messages(t), "memory_id", [c("message_id")], F.length("text"), 1500).select("id"), "SELECT conv_id || '_' || turn AS id FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r <= 1500")
-add("c26_history_fit", lambda t: M.history_fit(t.conversations, "conv_id", "turn", "role", F.length("text"), 2000).select("conv_id", "turn"), "SELECT conv_id, turn FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id) AS n, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE n <= 2000 OR last OR role = 'system'")
+
+def told_system(t):
+    """Conversations whose first turns, of every second one, are the system's."""
+    return t.conversations.select("conv_id", "turn", F.when((c("turn") == 0) & (c("conv_id") % 2 == 0), "system").otherwise(c("role")).alias("role"), "text")
+
+
+add("c26_history_fit", lambda t: M.history_fit(told_system(t), "conv_id", "turn", "role", "text", 40), r"""
+WITH m AS (SELECT conv_id, turn, CASE WHEN turn = 0 AND conv_id % 2 = 0 THEN 'system' ELSE role END AS role, text, coalesce(text, '') AS said FROM conversations), k AS (SELECT *, regexp_extract_all(said, '\s*(?:[A-Za-z0-9_À-ɏ]+|[^\sA-Za-z0-9_À-ɏ])') AS x FROM m),
+n AS (SELECT *, len(x) AS k, sum(len(x)) OVER (PARTITION BY conv_id) AS a, coalesce(role = 'system', false) AS sys, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC NULLS LAST, said DESC) = 1 AS latest FROM k), p AS (SELECT * FROM n WHERE a <= 40 OR latest OR sys),
+q AS (SELECT *, sum(CASE WHEN sys THEN k ELSE 0 END) OVER w AS s, sum(CASE WHEN latest AND NOT sys THEN k ELSE 0 END) OVER w AS l, bool_or(latest AND sys) OVER w AS own, coalesce(sum(CASE WHEN sys THEN k ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, said ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p WINDOW w AS (PARTITION BY conv_id)),
+r AS (SELECT *, own OR s > 0.8 * (s + l) AS first FROM q)
+SELECT conv_id, turn, role, CASE WHEN a > 40 AND s + l > 40 THEN array_to_string(x[1:greatest(0, CASE WHEN sys THEN CASE WHEN first THEN 40 - l - before ELSE k END WHEN first AND s > 0 THEN k ELSE 40 - s END)], '') ELSE text END AS text FROM r""")
 add("c27_prompt_blocks", lambda t: t.documents.select("doc_id", F.md5(M.prompt_block(c("doc_id"), c("source"), c("text"))).alias("md5")), "SELECT doc_id, md5(chr(10) || 'ID: ' || doc_id || chr(10) || '├── Title: ' || source || chr(10) || '└── Content:' || chr(10) || text) AS md5 FROM documents")
 add("g11_answer_accumulation", lambda t: M.accumulate(t.conversations.withColumn("final", (c("conv_id") % 2 == 0) & (c("role") == "assistant")), "conv_id", "turn", "text", "final").select("conv_id", F.md5("answer").alias("md5")), "SELECT conv_id, md5(CASE WHEN bool_or(f) THEN arg_max(text, turn) FILTER (f) ELSE string_agg(text, '' ORDER BY turn) END) AS md5 FROM (SELECT *, conv_id % 2 = 0 AND role = 'assistant' AS f FROM conversations) GROUP BY 1")
 add("r14_recent_messages", lambda t: messages(t).where("forget_at IS NULL").withColumn("_rn", F.row_number().over(Window.partitionBy("memory_id").orderBy(F.desc("message_id")))).where("_rn <= 2").select("id"), f"SELECT id FROM {MSG} WHERE forget_at IS NULL QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY message_id DESC) <= 2")
