@@ -84,3 +84,13 @@ def _merge(a, b):
 def deep_merge(a: pd.Series, b: pd.Series) -> pd.Series:
     """JSON objects merged key by key; lists are united, other values overwritten."""
     return pd.Series([json.dumps(_merge(json.loads(x or "{}"), json.loads(y or "{}")), sort_keys=True, ensure_ascii=False) for x, y in zip(a, b, strict=True)])
+
+
+def config_digest(config: Column, *parts: Column, ignored: tuple[str, ...] = ("raptor", "graphrag")) -> Column:
+    """A digest of a configuration (a map of strings) whatever the order of its keys, and of parts such as the document and its pages.
+
+    Keys that only later steps read are left out; values are told from keys and from absent ones by their lengths.
+    """
+    kept = F.array_sort(F.filter(F.map_entries(F.coalesce(config, F.create_map().cast("map<string,string>"))), lambda e: ~e["key"].isin(*ignored)))
+    said = F.transform(kept, lambda e: F.concat_ws(":", F.length(e["key"]).cast("string"), e["key"], F.length(e["value"]).cast("string"), e["value"]))
+    return F.md5(F.concat_ws("|", F.array_join(said, ";"), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))

@@ -36,6 +36,7 @@ add(
     "SELECT n_nationkey, trim(r_name) || ' > ' || trim(n_name) AS path FROM nation JOIN region ON n_regionkey = r_regionkey",
 )
 add("x06_stable_ids", lambda t: _docs(t, id=text.stable_id("source", "doc_id")), _sql(id="md5(source || ':' || doc_id)"))
+add("d09_config_digest", lambda t: t.part.select("p_partkey", identifiers.config_digest(F.map_from_arrays(F.when(F.col("p_partkey") % 2 == 0, F.array(*map(F.lit, ("type", "brand", "raptor", "size")))).otherwise(F.array(*map(F.lit, ("size", "raptor", "brand", "type")))), F.when(F.col("p_partkey") % 2 == 0, F.array("p_type", "p_brand", "p_name", F.col("p_size").cast("string"))).otherwise(F.array(F.col("p_size").cast("string"), F.lit("x"), "p_brand", "p_type"))), F.lit("doc"), F.col("p_size")).alias("digest")), "SELECT p_partkey, md5('5:brand:' || length(p_brand) || ':' || p_brand || ';4:size:' || length(p_size::VARCHAR) || ':' || p_size || ';4:type:' || length(p_type) || ':' || p_type || '|doc|' || p_size) AS digest FROM part")
 add("x06_chunk_ids", lambda t: t.documents.select("doc_id", identifiers.xxh64_id(F.concat_ws("\n", F.col("doc_id").cast("string"), "text")).alias("chunk_id")))
 add("x07_content_md5", lambda t: _docs(t, md5=F.md5("text"), bytes=F.octet_length("text").cast("long")), _sql(md5="md5(text)", bytes="strlen(text)::BIGINT"))
 add(
