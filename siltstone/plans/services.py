@@ -49,7 +49,7 @@ def unblanked(df):
     return df.withColumn("text", F.translate(F.regexp_replace(F.lower("text"), "[^a-z\n]", ""), LETTERS, SCRIPT))
 
 
-def segmented_questions(t):
+def questions_in_words(t):
     """Questions cut into words that the corpus of all questions teaches."""
     texts = unblanked(t.benchmark.select(c("item_id").alias("query_id"), "text"))
     return lexicon.segmented(texts, lexicon.learn_words(texts, longest=6))
@@ -60,7 +60,7 @@ WITH r AS (SELECT unnest(regexp_extract_all(translate(regexp_replace(lower(text)
 g AS (SELECT r[i:i + n - 1] AS word, CASE WHEN i > 1 THEN r[i - 1:i - 1] ELSE '' END AS a, r[i + n:i + n] AS b FROM n), ca AS (SELECT word, a, count(*) AS c FROM g GROUP BY 1, 2), cb AS (SELECT word, b, count(*) AS c FROM g GROUP BY 1, 2),
 ha AS (SELECT word, sum(c)::BIGINT AS n, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM ca GROUP BY 1), hb AS (SELECT word, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM cb GROUP BY 1)
 SELECT word, n, round(greatest(least(ha.h, hb.h), 0), 6) AS freedom FROM ha JOIN hb USING (word) WHERE n >= 5 OR length(word) = 1""")
-add("v23_segmented_terms", lambda t: L.segmented_terms(segmented_questions(t), F.array_distinct("segments"), text.fine_tokens("text")).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("w")))
+add("v23_segmented_terms", lambda t: L.segmented_terms(questions_in_words(t), F.array_distinct("segments"), text.fine_tokens("text")).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("w")))
 SYNONYMS = [("儿科门诊", "小儿门诊"), ("门诊", "诊室"), ("the", "der")]
 
 
