@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 PACK, PRODUCT = 4096, 512
 #: Packed rows of questions up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_PACKS = 32
-#: Chunks and questions of a block whose pairs are looked up together.
-PAIR_BLOCK = 2048
+#: Questions and chunks of a block whose pairs are looked up together: half a million pairs at most.
+PAIR_BLOCK, CHUNK_BLOCK = 2048, 256
 _PACKED = "ids binary, x binary"
 
 
@@ -112,7 +112,7 @@ def pair_cosines(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, vecto
     numbers of all its pairs. No vector is joined to a pair.
     """
     block = lambda key, n: F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(n))
-    n_c, n_q = (max(1, math.ceil(df.count() / PAIR_BLOCK)) for df in (vectors, queries))
+    n_c, n_q = (max(1, math.ceil(df.count() / most)) for df, most in ((vectors, CHUNK_BLOCK), (queries, PAIR_BLOCK)))
     asked = grouped(queries, "query_id", vector, n_q, "_bq").select("_bq", F.col("ids").alias("q_ids"), F.col("x").alias("q"))
     met = grouped(vectors, "chunk_id", vector, n_c, "_bc").withColumn("_bq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
     met = met.join(F.broadcast(asked) if n_q <= BROADCAST_PACKS else asked, "_bq").select("_bc", "_bq", "q_ids", "q", "ids", "x")

@@ -54,6 +54,7 @@ def test_plans_do_not_grow_with_the_questions(spark):
 
 def test_cosines_of_pairs_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(V, "PAIR_BLOCK", 16)
+    monkeypatch.setattr(V, "CHUNK_BLOCK", 16)
     x = made(90)
     queries, chunks = frames(spark, x)
     pairs = spark.createDataFrame([(q, c, f"{q}-{c}") for q in (0, 5, 9, 10, 85, 900, 901) for c in (3, 7, 9, 80, 900, 1000)] + [(None, 3, "n"), (5, None, "m")], "query_id long, chunk_id long, cosines string")
