@@ -100,7 +100,8 @@ class InvertedIndex:
     def _generation(self, forward: DataFrame) -> dict:
         """Writes the files of chunks; texts are tokenised once, into ``forward``."""
         folder = f"g{uuid.uuid4().hex}"
-        self._write(forward.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"), f"{folder}/forward")
+        # Rows of one id lie in one range, so they are told apart without another shuffle.
+        self._write(forward.repartitionByRange("chunk_id").dropDuplicates(["chunk_id"]).sortWithinPartitions("chunk_id"), f"{folder}/forward")
         stored = self.spark.read.schema(self._columns("forward")).parquet(f"{self.path}/{folder}/forward")
         order = ["bucket", "h", "token", "block", "chunk_id"]
         self._write(self._posted(stored).repartitionByRange(*order).sortWithinPartitions(*order), f"{folder}/postings", "bucket")
@@ -151,7 +152,7 @@ class InvertedIndex:
         """Adds chunks, with the tokens of each field; those of the same id give way. Of rows that repeat an id one counts."""
         if sorted(fields) != sorted(self.fields):
             raise ValueError(f"the index has the fields {self.fields}")
-        forward = chunks.select(F.col(chunk_id).cast("long").alias("chunk_id"), *[fields[f].alias(f"tokens_{f}") for f in self.fields]).where("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"])
+        forward = chunks.select(F.col(chunk_id).cast("long").alias("chunk_id"), *[fields[f].alias(f"tokens_{f}") for f in self.fields]).where("chunk_id IS NOT NULL")
         self._commit(forward, chunks.select(F.col(chunk_id).alias("chunk_id")))
 
     def withdraw(self, ids: DataFrame) -> None:

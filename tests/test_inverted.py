@@ -75,7 +75,7 @@ def test_changes_show_in_the_next_search(spark, tmp_path, monkeypatch):
     rows |= new
     assert not waiting and searched(index, terms, 5, 0.3) == everything(frame(spark, list(rows.values())), terms, 5, 0.3)
     index.withdraw(spark.createDataFrame([(100,)], "chunk_id long"))
-    index.add(frame(spark, [(100, "w0 w1 t1", "t1")]), fields())
+    index.add(frame(spark, [(100, "w0 w1 t1", "t1")] * 3), fields())
     rows[100] = (100, "w0 w1 t1", "t1")
     assert len(index.log.read()["generations"]) == 1  # folded
     index.vacuum()
