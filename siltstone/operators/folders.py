@@ -17,20 +17,24 @@ from siltstone.session import cut
 _COLUMNS = ["id", "parent_id", "name", "kind", "location"]
 
 
-def _free_locations(rows: pd.DataFrame) -> pd.DataFrame:
-    """Locations of the files of one folder whose names differ in underscores at their end, the moved ones in the order of their ids.
+def _free_turns(rows: pd.DataFrame) -> pd.DataFrame:
+    """Numbers of underscores of the moved files of one folder and family, in the order of their ids.
 
-    A location is longer than the number of those before it, so a folder can't hold many of one name.
+    ``jumps`` has, for each taken number, one that nothing free lies before; it is shortened by each walk, so no file steps through
+    the numbers that are taken one by one. Names and locations are numbers here, as a location is longer than the number of those before it.
     """
-    taken = set(rows.loc[~rows["moved"], "location"])
+    jumps = {int(k): int(k) + 1 for k in rows.loc[~rows["moved"], "turn"].dropna()}
     moved = rows[rows["moved"]].sort_values("id")
     found = []
-    for name in moved["name"]:
-        while name in taken:
-            name += "_"
-        taken.add(name)
-        found.append(name)
-    return pd.DataFrame({"id": moved["id"], "dest": moved["dest"], "location": pd.Series(found, index=moved.index, dtype=object)})
+    for turn in moved["turn"].fillna(0).astype(int):
+        walked = []
+        while turn in jumps:
+            walked.append(turn)
+            turn = jumps[turn]
+        jumps.update(dict.fromkeys(walked, turn + 1))
+        jumps[turn] = turn + 1
+        found.append(turn)
+    return moved[["id", "dest", "name", "family"]].assign(turn=pd.Series(found, index=moved.index, dtype="int32"))
 
 
 def move_into(tree: DataFrame, sources: DataFrame, target: str) -> DataFrame:
@@ -41,7 +45,8 @@ def move_into(tree: DataFrame, sources: DataFrame, target: str) -> DataFrame:
     """
     tree = tree.select(*_COLUMNS)
     asked = sources.select("id").distinct().join(tree.select("id", "parent_id", "name", "kind"), "id").where(F.coalesce("parent_id", F.lit("")) != target)
-    above = R.ancestors(tree.select("id", "parent_id", "name")).select(F.col("node").alias("id"), F.col("ancestor").alias("_over"))
+    nodes = tree.where("kind = 'folder'").select("id", "parent_id").unionByName(asked.where("kind <> 'folder'").select("id", "parent_id"))
+    above = R.ancestors(nodes).select(F.col("node").alias("id"), F.col("ancestor").alias("_over"))
     under = asked.select("id").join(above, "id").join(asked.select(F.col("id").alias("_over")), "_over", "left_semi").select("id")
     front = cut(asked.join(under, "id", "left_anti").select("id", "parent_id", "name", "kind", F.lit(target).alias("dest")))
     files, gone, new = [], [], []
@@ -63,11 +68,16 @@ def move_into(tree: DataFrame, sources: DataFrame, target: str) -> DataFrame:
         return tree
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     moved = union(files).dropDuplicates(["id"])
-    family = F.rtrim(F.col("name"), F.lit("_"))
-    settled = tree.where("kind = 'file'").join(moved.select("id"), "id", "left_anti").join(moved.select(F.col("dest").alias("parent_id")).distinct(), "parent_id", "left_semi")
-    both = moved.select("id", "dest", "name", F.lit("").alias("location"), F.lit(True).alias("moved"), family.alias("family")).unionByName(
-        settled.select("id", F.col("parent_id").alias("dest"), "name", "location", F.lit(False).alias("moved"), F.rtrim("location", F.lit("_")).alias("family"))
+    # A name or location is its family and a number of underscores: texts that grow with the files of a name are neither shuffled nor compared.
+    family = lambda name: F.rtrim(F.col(name), F.lit("_"))
+    turn = lambda name: (F.length(name) - F.length(family(name))).alias("turn")
+    short = tree.select("id", "parent_id", "name", "kind", family("location").alias("family"), turn("location"))
+    stay = short.join(moved.select("id").unionByName(union(gone)), "id", "left_anti")
+    settled = stay.where("kind = 'file'").join(moved.select(F.col("dest").alias("parent_id")).distinct(), "parent_id", "left_semi")
+    both = moved.select("id", "dest", "name", F.lit(True).alias("moved"), family("name").alias("family"), turn("name")).unionByName(
+        settled.select("id", F.col("parent_id").alias("dest"), "name", F.lit(False).alias("moved"), "family", "turn")
     )
-    placed = both.groupBy("dest", "family").applyInPandas(_free_locations, "id string, dest string, location string")
-    kept = tree.join(union(gone), "id", "left_anti").join(placed.withColumnRenamed("location", "_location"), "id", "left")
-    return kept.select("id", F.coalesce("dest", "parent_id").alias("parent_id"), "name", "kind", F.coalesce("_location", "location").alias("location")).unionByName(union(new).distinct())
+    placed = both.groupBy("dest", "family").applyInPandas(_free_turns, "id string, dest string, name string, family string, turn int")
+    put = stay.unionByName(placed.select("id", F.col("dest").alias("parent_id"), "name", F.lit("file").alias("kind"), "family", "turn"))
+    location = F.concat("family", F.repeat(F.lit("_"), F.col("turn"))).alias("location")
+    return put.select("id", "parent_id", "name", "kind", location).unionByName(union(new).distinct())
