@@ -93,15 +93,19 @@ def relaxed(matches: DataFrame, terms: DataFrame, first: float = 0.3, second: fl
     return strict.unionByName(loose)
 
 
-def phrases(positions: DataFrame, pairs: DataFrame, slop: int = 0) -> DataFrame:
+def phrases(chunks: DataFrame, tokens: Column, pairs: DataFrame, slop: int = 0, chunk_id: str = "chunk_id") -> DataFrame:
     """V9: chunks in which the pair's second token stands behind the first (``slop``: or so near), with the count.
 
-    ``positions``: chunk_id, token, pos; ``pairs``: query_id, a, b.
+    ``pairs``: query_id, a, b, distinct; ``chunk_id`` is a key. A chunk's neighbours are looked up where it is read, so only counts of
+    pairs that are asked for are shuffled.
     """
-    one = positions.select("chunk_id", F.col("token").alias("a"), F.col("pos").alias("pa")).join(pairs, "a")
-    two = positions.select("chunk_id", F.col("token").alias("b"), F.col("pos").alias("pb"))
-    near = F.col("pb") == F.col("pa") + 1 if not slop else (F.abs(F.col("pb") - F.col("pa")) <= 1 + slop) & (F.col("pb") != F.col("pa"))
-    return one.join(two, ["chunk_id", "b"]).where(near).groupBy("query_id", "chunk_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    flat = chunks.where(F.col(chunk_id).isNotNull()).select(F.col(chunk_id).alias("chunk_id"), tokens.alias("_t"))
+    n = F.size("_t")
+    shifted = lambda d: F.zip_with(F.slice("_t", 1, F.greatest(n - d, F.lit(0))), F.slice("_t", d + 1, F.greatest(n - d, F.lit(0))), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    ahead = [shifted(d) for d in range(1, slop + 2)]
+    behind = [F.transform(p, lambda x: F.struct(x["b"].alias("a"), x["a"].alias("b"))) for p in ahead] if slop else []
+    near = flat.select("chunk_id", F.explode(F.concat(*ahead, *behind) if slop else ahead[0]).alias("p")).select("chunk_id", "p.a", "p.b")
+    return near.join(small(pairs), ["a", "b"]).groupBy("query_id", "chunk_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _idf10(s: Column, n: float) -> Column:

@@ -94,10 +94,6 @@ add("v06_stored_index", lambda t: stored_index(t).search(questions(t), 10, 0.3,
 add("v08_stored_matches", lambda t: L.enough(stored_index(t).matches(questions(t), STORED_BOOSTS), questions(t), 0.6).groupBy("query_id").agg(F.count("*").alias("n")), f"WITH {BASE}, {BEST} SELECT query_id, count(*) AS n FROM b WHERE {_msm(0.6)} GROUP BY 1")
 
 
-def positions(t):
-    return t.documents.select(c("doc_id").alias("chunk_id"), F.posexplode(text.tokens("text")).alias("pos", "token"))
-
-
 def phrase_pairs(t):
     w = Window.partitionBy("query_id").orderBy("pos")
     flat = t.benchmark.select(c("item_id").alias("query_id"), F.posexplode(text.tokens("text")).alias("pos", "a"))
@@ -105,7 +101,7 @@ def phrase_pairs(t):
 
 
 POS = rf"p AS (SELECT doc_id AS chunk_id, unnest({TOK}) AS token, generate_subscripts({TOK}, 1) AS pos FROM documents), bq AS (SELECT item_id AS query_id, unnest({TOK}) AS a, generate_subscripts({TOK}, 1) AS pos FROM benchmark), pr AS (SELECT DISTINCT query_id, a, b FROM (SELECT query_id, a, lead(a) OVER (PARTITION BY query_id ORDER BY pos) AS b FROM bq) WHERE b IS NOT NULL)"
-add("v09_phrases", lambda t: L.phrases(positions(t), phrase_pairs(t)).groupBy("query_id", "chunk_id").agg(F.sum("n").alias("n")), f"WITH {POS} SELECT query_id, x.chunk_id, count(*) AS n FROM pr JOIN p x ON x.token = pr.a JOIN p y ON y.chunk_id = x.chunk_id AND y.token = pr.b AND y.pos = x.pos + 1 GROUP BY 1, 2")
+add("v09_phrases", lambda t: L.phrases(chunks_of(t), text.tokens("text"), phrase_pairs(t)).groupBy("query_id", "chunk_id").agg(F.sum("n").alias("n")), f"WITH {POS} SELECT query_id, x.chunk_id, count(*) AS n FROM pr JOIN p x ON x.token = pr.a JOIN p y ON y.chunk_id = x.chunk_id AND y.token = pr.b AND y.pos = x.pos + 1 GROUP BY 1, 2")
 
 WEIGHT = r"((0.3 * log10(10 + (1e7 - fr + 0.5) / (fr + 0.5)) + 0.7 * log10(10 + (1e9 - dfq + 0.5) / (dfq + 0.5))) * kind * pk)"
 KINDS = r"""(SELECT *, CASE WHEN regexp_full_match(token, '[0-9. -]{2,}') THEN 3.0 WHEN regexp_full_match(token, '[a-z. -]+') THEN 300.0 ELSE 10.0 END::DOUBLE AS fr, CASE WHEN regexp_full_match(token, '[0-9. -]{2,}') THEN 5.0 WHEN regexp_full_match(token, '[a-z. -]+') THEN 300.0 ELSE 3.0 END::DOUBLE AS dfq, CASE WHEN regexp_full_match(token, '[0-9,.]{2,}') THEN 2.0 WHEN regexp_full_match(token, '[a-z]{1,2}') THEN 0.01 ELSE 1.0 END::DOUBLE AS kind, CASE WHEN regexp_matches(token, '^[0-9-]+') THEN 2.0 ELSE 1.0 END::DOUBLE AS pk FROM (SELECT item_id AS query_id, unnest(""" + TOK + r""") AS token, generate_subscripts(""" + TOK + r""", 1) AS pos FROM benchmark))"""
