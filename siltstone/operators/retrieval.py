@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -273,21 +273,34 @@ CITATION_MARKS = [r"\(\s*ID\s*[: ]*\s*(\d+)\s*\)", r"\[\s*ID\s*[: ]*\s*(\d+)\s*\
 DIGITS = "".join(chr(i) for i in range(0x10000) if chr(i).isdecimal())
 
 
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _number(digits: Column) -> Column:
     """The number that digits of any script write; null from 10^9 on."""
-    plain = F.ltrim(F.translate(digits, DIGITS, "0123456789" * (len(DIGITS) // 10)), F.lit("0"))
-    return F.when(plain == "", F.lit(0)).when(plain.rlike("^[0-9]{1,9}$"), plain.cast("int"))
+    written = F.when(digits.rlike("^[0-9]*$"), digits).otherwise(F.translate(digits, DIGITS, "0123456789" * (len(DIGITS) // 10)))
+    return _with(F.ltrim(written, F.lit("0")), lambda x: F.when(x == "", F.lit(0)).when(x.rlike("^[0-9]{1,9}$"), x.cast("int")))
 
 
 def repair_citations(answer: Column, n_chunks: int | Column) -> Column:
     """Misshapen marks of the chunks 0 to ``n_chunks`` - 1 become [ID:n], their digits as they were written; marks of
-    other numbers stay as they are."""
+    other numbers stay as they are.
+
+    Each mark is mended in the answer that the one before has left, which is computed once; answers without the mark aren't taken apart.
+    """
+    good = lambda m, d: F.when(F.coalesce(_number(d) < n_chunks, F.lit(False)), F.concat(F.lit("[ID:"), d, F.lit("]"))).otherwise(m)
+
+    def mend(said: Column) -> Column:
+        found, digits = F.regexp_extract_all(said, pattern, F.lit(0)), F.regexp_extract_all(said, pattern, F.lit(1))
+        mended = F.concat(F.zip_with(found, digits, good), F.array(F.lit("")))
+        whole = F.array_join(F.flatten(F.zip_with(F.split(said, pattern, -1), mended, lambda a, b: F.array(a, b))), "")
+        return F.when(F.regexp_like(said, pattern), whole).otherwise(said)
+
     for mark in CITATION_MARKS:
         pattern = F.lit(f"(?U){mark}")
-        found, digits = F.regexp_extract_all(answer, pattern, F.lit(0)), F.regexp_extract_all(answer, pattern, F.lit(1))
-        good = lambda m, d: F.when(F.coalesce(_number(d) < n_chunks, F.lit(False)), F.concat(F.lit("[ID:"), d, F.lit("]"))).otherwise(m)
-        mended = F.concat(F.zip_with(found, digits, good), F.array(F.lit("")))
-        answer = F.array_join(F.flatten(F.zip_with(F.split(answer, pattern, -1), mended, lambda a, b: F.array(a, b))), "")
+        answer = _with(answer, mend)
     return answer
 
 

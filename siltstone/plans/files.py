@@ -236,7 +236,7 @@ def progress_updates(t):
     return t.lineitem.select(c("l_orderkey").alias("task_id"), c("l_linenumber").alias("seq"), value.alias("progress"))
 
 
-add("g07_progress_stream", lambda t: drained(t, tasks.progress(logged(t, progress_updates(t), 1)), "update").select("task_id", F.round("progress", 6).alias("progress")), "SELECT l_orderkey AS task_id, CASE WHEN bool_or(l_linenumber = 7) THEN 1.0 WHEN bool_or(l_linenumber = 5) THEN -1.0 ELSE round(max(l_discount), 6) END::DOUBLE AS progress FROM lineitem GROUP BY 1")
+add("g07_progress_stream", lambda t: drained(t, tasks.progress(logged(t, progress_updates(t), 8)), "update").select("task_id", F.round("progress", 6).alias("progress")), "SELECT l_orderkey AS task_id, CASE WHEN bool_or(l_linenumber = 7) THEN 1.0 WHEN bool_or(l_linenumber = 5) THEN -1.0 ELSE round(max(l_discount), 6) END::DOUBLE AS progress FROM lineitem GROUP BY 1")
 
 
 def pieces(t):

@@ -282,7 +282,9 @@ def marked_answers(t):
     n = c("p_size").cast("string")
     eastern = F.translate(n, "0123456789", "٠١٢٣٤٥٦٧٨٩")
     forms = [("(ID", n, ")"), ("( ID : ", n, " )"), ("【ID: ", n, "】"), ("[ ID", n, "]"), ("see REF ", n, "."), ("ref", n, ""), ("(id: ", n, ")"), ("[", n, "]"), ("(ID:", eastern, ")")]
-    return t.part.select("p_partkey", F.explode(F.array(*[F.struct(F.lit(i).alias("form"), F.concat(F.lit("so "), F.lit(a), x, F.lit(b)).alias("answer")) for i, (a, x, b) in enumerate(forms)])).alias("m")).select("p_partkey", "m.*")
+    # Many answers come from a file of few megabytes, so its rows are spread before they are worked on.
+    spread = t.part.select("p_partkey", "p_size").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    return spread.select("p_partkey", F.explode(F.array(*[F.struct(F.lit(i).alias("form"), F.concat(F.lit("so "), F.lit(a), x, F.lit(b)).alias("answer")) for i, (a, x, b) in enumerate(forms)])).alias("m")).select("p_partkey", "m.*")
 
 
 REPAIRED = """WITH p AS (SELECT p_partkey, p_size < 25 AS good, p_size::VARCHAR AS n, translate(p_size::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') AS e FROM part),

@@ -187,7 +187,7 @@ def document_status(updates: DataFrame) -> DataFrame:
         out = []
         for seq, task, value in pd.concat(list(parts)).sort_values("seq")[["seq", "task_id", "progress"]].itertuples(index=False):
             was = tasks.get(str(task), 0.0)
-            if value >= 1 or (was != -1 and (value == -1 or value > was)):
+            if value >= 1 or (was != -1 and was < 1 and (value == -1 or value > was)):
                 tasks[str(task)] = float(value)
             else:
                 tasks.setdefault(str(task), was)
