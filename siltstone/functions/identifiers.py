@@ -8,6 +8,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,11 +22,12 @@ _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 def xxh64_id(c: Column) -> Column:
     """Hexadecimal 64-bit xxHash of a text, seed 0."""
 
-    @F.pandas_udf("string")
-    def digest(s: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def digest(s: pa.Array) -> pa.Array:
         import xxhash
 
-        return s.map(lambda x: None if x is None else xxhash.xxh64(x.encode()).hexdigest())
+        # Texts are hashed where they lie in the batch.
+        return pa.array([xxhash.xxh64(x.as_buffer()).hexdigest() if x.is_valid else None for x in s], pa.string())
 
     return digest(c)
 
