@@ -53,11 +53,42 @@ def repeated(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def numbered_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], number: str, chunks: int = 64) -> DataFrame:
+    """Adds ``number``: 1, 2 ... by ``order`` (ascending) among the rows that share ``by``, without one task that sees all rows of a group.
+
+    Rows are numbered inside ranges of their order, and by the ranges before. The ranges part 16 * ``chunks`` rows picked by a hash,
+    the same ones whenever they are picked.
+    """
+    placed = df.withColumn("_at", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
+    picked = placed.groupBy(F.pmod(F.xxhash64("_at"), F.lit(16 * chunks)).alias("_h")).agg(F.min_by("_at", F.xxhash64(F.lit(1), "_at")).alias("_at"))
+    bounds = picked.agg(F.array_sort(F.collect_list("_at"))).first()[0][15::16]  # a row for each range at most
+    kinds = [f.dataType for f in placed.schema["_at"].dataType.fields]
+    bound = lambda row: F.struct(*[F.lit(v).cast(k).alias(f"o{i}") for i, (v, k) in enumerate(zip(row, kinds, strict=True))])
+
+    def below(first: int, last: int) -> Column:
+        """The number of bounds below a row's place, of which ``first`` are and those from ``last`` on aren't."""
+        if first == last:
+            return F.lit(first)
+        middle = (first + last) // 2
+        return F.when(F.col("_at") > bound(bounds[middle]), below(middle + 1, last)).otherwise(below(first, middle))
+
+    dealt = placed.withColumn("_c", below(0, len(bounds))).drop("_at")
+    counts = dealt.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Null groups count too, and their number of rows is small: a row for each group and range.
+    bases = counts.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_c").alias("_r"), before.alias("_b"))
+    same = F.col("_c") == F.col("_r")
+    for i, b in enumerate(by):
+        same &= F.col(b).eqNullSafe(F.col(f"_by{i}"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_c").orderBy(*order))
+    return dealt.join(bases, same).withColumn(number, F.col("_b") + inside).drop("_c", "_r", "_b", *[f"_by{i}" for i in range(len(by))])
+
+
 def rename_repeated(df: DataFrame, name: str, order: Sequence[Column]) -> DataFrame:
     """Repeated names get a number, the first stays as it is."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
     stem, suffix = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return df.withColumn("_n", n).withColumn(name, F.when(F.col("_n") > 0, F.concat(stem, F.lit("("), F.col("_n").cast("string"), F.lit(")"), suffix)).otherwise(F.col(name))).drop("_n")
+    n = F.col("_n") - 1
+    return numbered_within(df, [name], order, "_n").withColumn(name, F.when(n > 0, F.concat(stem, F.lit("("), n.cast("string"), F.lit(")"), suffix)).otherwise(F.col(name))).drop("_n")
 
 
 def ancestors(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
