@@ -20,6 +20,8 @@ FREQ_TOTAL, DF_TOTAL = 1e7, 1e9
 
 #: Question tokens up to this many are broadcast (about 50 bytes each); more are joined by a shuffle.
 BROADCAST_TOKENS = 500_000
+#: Chunks whose pairs with questions are summed in one task.
+PART_CHUNKS = 2000
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -61,15 +63,22 @@ def scaled_idf(tf: Column, df: Column, n: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5)) / F.log(1 + (n - 0.5) / 1.5) * F.least(tf, F.lit(1))
 
 
-def field_scores(index: DataFrame, stats: DataFrame, terms: DataFrame, similarity: str = "bm25", boosts: dict[str, float] | None = None) -> DataFrame:
-    """Score of each (query, chunk, field): the sum over terms of boost, weight and similarity; and the terms matched."""
+def field_scores(index: DataFrame, stats: DataFrame, terms: DataFrame, similarity: str = "bm25", boosts: dict[str, float] | None = None, n_chunks: int = 0) -> DataFrame:
+    """Score of each (query, chunk, field): the sum over terms of boost, weight and similarity; and the terms matched.
+
+    Postings are dealt by chunk before they meet the questions, so pairs are summed where they are made. ``n_chunks``, where it is known,
+    gives parts of ``PART_CHUNKS`` each, so that what a task holds doesn't grow with the corpus.
+    """
     boosts = boosts or {}
     boost = F.coalesce(*[F.when(F.col("field") == f, F.lit(b)) for f, b in boosts.items()], F.lit(1.0))
     s = {"bm25": bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("avgdl")), "idf": scaled_idf(F.col("tf"), F.col("df"), F.col("n")), "boolean": F.lit(1.0)}[similarity]
     # Statistics have a row for each field and token at most; only those of the questions' tokens are joined.
     asked = terms.select("token").distinct()
     n_tokens = asked.count()
-    hits = index.join(small(stats.join(small(asked, n_tokens), "token", "left_semi"), 8 * n_tokens), ["field", "token"]).join(small(terms), "token")
+    if similarity != "boolean":
+        index = index.join(small(stats.join(small(asked, n_tokens), "token", "left_semi"), 8 * n_tokens), ["field", "token"])
+    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_chunks // PART_CHUNKS))
+    hits = index.repartition(parts, "chunk_id").join(small(terms), "token")
     return hits.groupBy("query_id", "chunk_id", "field").agg(F.sum(boost * F.col("weight") * s).alias("score"), F.collect_set("token").alias("matched"))
 
 

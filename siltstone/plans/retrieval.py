@@ -71,8 +71,8 @@ TOP10 = f"SELECT query_id, chunk_id, score, n_matched::INT AS n_matched, n_terms
 add("v06_bm25_top10", lambda t: bm25_top(t), f"WITH {BASE}, {BEST} {TOP10}")
 add("v06_bm25_facets", lambda t: bm25_top(t).join(t.documents.select(c("doc_id").alias("chunk_id"), "source", "lang"), "chunk_id").groupingSets([["query_id", "source"], ["query_id", "lang"]], "query_id", "source", "lang").agg(F.count("*").alias("n")), f"WITH {BASE}, {BEST}, r AS ({TOP10}) SELECT query_id, source, lang, count(*) AS n FROM r JOIN documents d ON d.doc_id = r.chunk_id GROUP BY GROUPING SETS ((query_id, source), (query_id, lang))")
 add("v01_postings", lambda t: full_index(t).groupBy("field", "token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")), f"WITH {BASE} SELECT field, token, count(*) AS df, sum(tf)::BIGINT AS tf FROM f GROUP BY 1, 2")
-add("v05_scaled_idf", lambda t: L.field_scores(index(t), stats(t), questions(t), "idf").select("query_id", "chunk_id", "field", F.round("score", 6).alias("score")), f"WITH {BASE} SELECT query_id, chunk_id, field, round(sum({IDF}), 6) AS score FROM h GROUP BY 1, 2, 3")
-add("v06_boolean", lambda t: L.field_scores(index(t), stats(t), questions(t), "boolean", {"content_ltks": 2.0, "title_tks": 10.0}).select("query_id", "chunk_id", "field", "score"), f"WITH {BASE} SELECT query_id, chunk_id, field, sum({BOOST})::DOUBLE AS score FROM h GROUP BY 1, 2, 3")
+add("v05_scaled_idf", lambda t: L.field_scores(index(t), stats(t), questions(t), "idf", n_chunks=t.documents.count()).select("query_id", "chunk_id", "field", F.round("score", 6).alias("score")), f"WITH {BASE} SELECT query_id, chunk_id, field, round(sum({IDF}), 6) AS score FROM h GROUP BY 1, 2, 3")
+add("v06_boolean", lambda t: L.field_scores(index(t), stats(t), questions(t), "boolean", {"content_ltks": 2.0, "title_tks": 10.0}, t.documents.count()).select("query_id", "chunk_id", "field", "score"), f"WITH {BASE} SELECT query_id, chunk_id, field, sum({BOOST})::DOUBLE AS score FROM h GROUP BY 1, 2, 3")
 add("v07_best_fields", lambda t: L.enough(matches(t), questions(t), 0.0).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max(F.round("score", 6)), 5).alias("best")), f"WITH {BASE}, {BEST} SELECT query_id, count(*) AS n, round(max(score), 5) AS best FROM b GROUP BY 1")
 add("v08_min_should_match", lambda t: L.enough(matches(t), questions(t), 0.6).groupBy("query_id").agg(F.count("*").alias("n")), f"WITH {BASE}, {BEST} SELECT query_id, count(*) AS n FROM b WHERE {_msm(0.6)} GROUP BY 1")
 add("v11_relaxed_search", lambda t: L.relaxed(matches(t), questions(t), 0.95, 0.4).groupBy("query_id", "phase").agg(F.count("*").alias("n")), f"WITH {BASE}, {BEST}, a AS (SELECT query_id, chunk_id FROM b WHERE {_msm(0.95)}) SELECT query_id, 1 AS phase, count(*) AS n FROM a GROUP BY 1 UNION ALL SELECT query_id, 2, count(*) FROM b WHERE {_msm(0.4)} AND query_id NOT IN (SELECT query_id FROM a) GROUP BY 1")
