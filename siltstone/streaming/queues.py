@@ -10,7 +10,9 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -22,38 +24,72 @@ def _ms(t) -> int:
     return int(pd.Timestamp(t).timestamp() * 1000)
 
 
-def deliveries(messages: DataFrame, acks: DataFrame, consumers: int = 1, lease_s: float = 30.0, remember_s: float = 86_400.0, late: str = "0 seconds") -> DataFrame:
+#: Groups of messages whose state is held together: a batch has few calls of Python, and a group few messages (about 10,000 of five million).
+BUCKETS = 512
+_HELD = pa.schema([("msg_id", pa.string()), ("payload", pa.string()), ("attempt", pa.int32()), ("acked", pa.bool_()), ("until", pa.int64())])
+
+
+def _held(state: GroupState) -> pd.DataFrame:
+    """The messages of a bucket's state, by id."""
+    table = pa.ipc.open_stream(bytes(state.get[0])).read_all() if state.exists else _HELD.empty_table()
+    return table.to_pandas().set_index("msg_id")
+
+
+def _hold(messages: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _HELD) as out:
+        out.write_table(pa.Table.from_pandas(messages.reset_index(), _HELD, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def deliveries(messages: DataFrame, acks: DataFrame, consumers: int = 1, lease_s: float = 30.0, remember_s: float = 86_400.0, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """G1: what a group's consumers are given: each message once, and again each time its lease ends without an acknowledgement.
 
     ``messages``: msg_id, payload, at; ``acks``: msg_id, at. A message is pending from its delivery to its acknowledgement, on a consumer
     by its id; each new attempt goes to the next one. An acknowledged id is remembered for ``remember_s``, so that a message
-    that is sent again, or an acknowledgement that comes first, brings no delivery. State is by message, so no group is one task.
+    that is sent again, or an acknowledgement that comes first, brings no delivery. State is by bucket of messages, all of which a batch folds
+    at once, so no group is one task; ``buckets`` is fixed for a checkpoint.
     """
     both = messages.select("msg_id", "payload", "at", F.lit(False).alias("ack")).unionByName(acks.select("msg_id", F.lit(None).cast("string").alias("payload"), "at", F.lit(True).alias("ack")))
 
     def fold(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        payload, attempt, acked = state.get if state.exists else (None, 0, False)
-        given, now = False, state.getCurrentWatermarkMs()
-        if state.hasTimedOut:
-            if acked:
-                state.remove()
-                return
-            given = True
-        for pdf in filter(len, parts):
-            now = max(now, max(map(_ms, pdf["at"])))
-            sent = pdf.loc[~pdf["ack"]].sort_values("at")
-            if len(sent) and not attempt:
-                payload, given = sent["payload"].iloc[0], True
-            acked = acked or bool(pdf["ack"].any())
-        given = given and not acked
-        attempt += given
-        state.update((payload, int(attempt), acked))
-        state.setTimeoutTimestamp(now + int(1000 * (remember_s if acked else lease_s)) + 1)
-        if given:
-            home = int(hashlib.md5(k[0].encode()).hexdigest()[:8], 16)
-            yield pd.DataFrame({"msg_id": [k[0]], "payload": [payload], "consumer": [(home + attempt - 1) % consumers], "attempt": [int(attempt)], "at": [pd.Timestamp(now, unit="ms")]})
-
-    return both.withWatermark("at", late).groupBy("msg_id").applyInPandasWithState(fold, _DELIVERY, "payload string, attempt int, acked boolean", "append", GroupStateTimeout.EventTimeTimeout)
+        held, watermark = _held(state), state.getCurrentWatermarkMs()
+        came = [] if state.hasTimedOut else [p for p in parts if len(p)]
+        rows = pd.concat(came) if came else pd.DataFrame({"msg_id": [], "payload": [], "at": pd.to_datetime([]), "ack": np.zeros(0, bool)})
+        rows = rows.assign(_ms=rows["at"].astype("datetime64[ms]").astype("int64")).sort_values("_ms", kind="stable")
+        by = rows.groupby("msg_id", sort=False)
+        met = pd.DataFrame({"now": by["_ms"].max().clip(lower=watermark), "said": by["ack"].any()})
+        sent = rows.loc[~rows["ack"].astype(bool)].drop_duplicates("msg_id").set_index("msg_id")["payload"]
+        # Ids that neither come nor run out stay as they are; acknowledged ones that run out are forgotten.
+        late_ids = held.index[(held["until"] < watermark) & ~held.index.isin(met.index)]
+        gone = late_ids[held.loc[late_ids, "acked"].to_numpy(bool)]
+        again = late_ids.difference(gone, sort=False)
+        todo = pd.concat([met, pd.DataFrame({"now": watermark, "said": False}, index=again)]) if len(again) else met
+        stay = held.drop(index=todo.index.intersection(held.index).union(gone))
+        now = held.reindex(todo.index)
+        attempt, was = now["attempt"].fillna(0).astype(int), now["acked"].eq(True)
+        new = todo.index.isin(sent.index) & (attempt == 0).to_numpy()
+        acked = was | todo["said"].astype(bool)
+        payload = now["payload"].where(~new, sent.reindex(todo.index))
+        given = (new | todo.index.isin(again)) & ~acked
+        attempt = attempt + given
+        moment = todo["now"].astype("int64")
+        until = moment + np.where(acked, int(1000 * remember_s), int(1000 * lease_s)) + 1
+        # An acknowledged message isn't given again, so its payload isn't kept.
+        done = pd.DataFrame({"payload": payload.where(~acked, None), "attempt": attempt, "acked": acked, "until": until})
+        kept = pd.concat([x for x in (stay, done) if len(x)]).rename_axis("msg_id") if len(stay) or len(done) else stay
+        if len(kept):
+            state.update((_hold(kept),))
+            state.setTimeoutTimestamp(max(int(kept["until"].min()), watermark + 1))
+        elif state.exists:
+            state.remove()
+        if given.any():
+            ids = todo.index[given]
+            home = np.array([int(hashlib.md5(i.encode()).hexdigest()[:8], 16) for i in ids])
+            yield pd.DataFrame({"msg_id": ids, "payload": payload[given].to_numpy(), "consumer": (home + attempt[given].to_numpy() - 1) % consumers, "attempt": attempt[given].to_numpy(), "at": pd.to_datetime(moment[given].to_numpy(), unit="ms")})
+
+    dealt = both.where("msg_id IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("msg_id"), F.lit(buckets)))
+    return dealt.withWatermark("at", late).groupBy("bucket").applyInPandasWithState(fold, _DELIVERY, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def work(given: DataFrame, handle: Callable[[DataFrame], DataFrame], out: str, acks: str, checkpoint: str):
@@ -65,16 +101,17 @@ def work(given: DataFrame, handle: Callable[[DataFrame], DataFrame], out: str, a
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
+        batch.persist()  # before its first use, or the fold runs once more
+        whole = batch
         if not batch.where("attempt > 1").isEmpty():
             known = batch.sparkSession.read.schema("msg_id string").json(acks).join(batch.where("attempt > 1").select("msg_id"), "msg_id", "left_semi")
             batch = batch.join(known.distinct(), "msg_id", "left_anti")
-        batch.persist()
         batch.write.mode("overwrite").json(f"{out}/given/epoch={epoch}")
         done = handle(batch)
         done.write.mode("overwrite").parquet(f"{out}/done/epoch={epoch}")
         stored = batch.sparkSession.read.schema(done.schema).parquet(f"{out}/done/epoch={epoch}")
         stored.join(batch.select("msg_id", "at"), "msg_id").select("msg_id", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("at")).distinct().write.mode("append").json(acks)
-        batch.unpersist()
+        whole.unpersist()
 
     return given.writeStream.foreachBatch(run).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
