@@ -2,12 +2,13 @@
 
 Both work on blocks, a row for each piece of a document: doc_id, seq, kind (text, table or image), text. Sentences and tokens of text
 blocks are laid on one line of coordinates for each document, so what lies within a budget of a table is a range of that line,
-whatever the number of blocks it takes; the range join is an equi-join on (document, bin of the budget's size). No document is
-folded in one piece, and a hot document is as many rows as it has sentences.
+whatever the number of blocks it takes: a frame of a window by document. No document is one value.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,30 +29,40 @@ def sentences(c: Column, end: str = SENTENCE_END) -> Column:
 def surrounded(blocks: DataFrame, budget: int, doc_id: str = "doc_id") -> DataFrame:
     """Tables and images with ``above`` and ``below``: the nearest sentences of text blocks on each side until ``budget`` tokens are full.
 
-    The sentence that fills it is whole. Null texts are empty; documents without text blocks give empty contexts.
+    The sentence that fills it is whole. Null texts are empty; documents without text blocks give empty contexts. Texts are cut and
+    their tokens counted once, where they are read; only sentences within ``budget`` of an end of their block are shuffled, once, and the
+    blocks before and behind a table are a window's frame.
     """
-    own = F.when(F.col("kind") == "text", F.col("text"))
-    whole = Window.partitionBy(doc_id).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.withColumn("_n", F.coalesce(X.token_count(own), F.lit(0)).cast("long")).withColumn("_p", F.coalesce(F.sum("_n").over(whole), F.lit(0)))
-    parts = placed.where("kind = 'text'").select(doc_id, "seq", "_p", F.posexplode(sentences(F.col("text"))).alias("_i", "_s"))
-    inside = Window.partitionBy(doc_id, "seq").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = parts.withColumn("_k", X.token_count("_s").cast("long")).withColumn("_end", F.col("_p") + F.sum("_k").over(inside)).withColumn("_start", F.col("_end") - F.col("_k"))
-    media = placed.where("kind IN ('table', 'image')").select(F.col(doc_id).alias("_d"), F.col("seq").alias("_m"), F.col("_p").alias("_at"))
-    b = F.lit(budget)
-    # Of the bins of a budget's width those of a table's place and beside it hold all that can be in reach.
-    near = media.withColumn("_o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("_bin", F.floor(F.col("_at") / b) + F.col("_o")).drop("_o")
-
-    def side(edge: str, before: bool) -> DataFrame:
-        there = parts.withColumn("_bin", F.floor(F.col(edge) / b))
-        reach = (F.col("seq") < F.col("_m")) & (F.col("_at") - F.col(edge) < b) if before else (F.col("seq") > F.col("_m")) & (F.col(edge) - F.col("_at") < b)
-        met = near.join(there, (F.col("_d") == F.col(doc_id)) & (near["_bin"] == there["_bin"])).where(reach)
-        said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "_i", "_s"))), lambda x: x["_s"]), "")
-        return met.groupBy("_d", "_m").agg(said.alias("above" if before else "below"))
-
-    out = blocks.where("kind IN ('table', 'image')").withColumns({"_d": F.col(doc_id), "_m": F.col("seq")})
-    for part in (side("_end", True), side("_start", False)):
-        out = out.join(part, ["_d", "_m"], "left")
-    return out.drop("_d", "_m").withColumns({"above": F.coalesce("above", F.lit("")), "below": F.coalesce("below", F.lit(""))})
+    is_media, is_text, b = F.col("kind").isin("table", "image"), F.col("kind") == "text", F.lit(budget)
+    # A table has no sentences. The marks at which texts are cut count as tokens of a block that are in no sentence.
+    cut = F.when(is_text, F.transform(sentences(F.col("text")), lambda x: F.struct(x.alias("s"), X.token_count(x).cast("long").alias("k"))))
+    marks = F.when(is_text, F.length("text") - F.length(F.replace("text", F.lit(_CUT), F.lit(""))))
+    rows = blocks.where(is_media | is_text).select(F.col(doc_id).alias("_d"), F.col("seq").alias("_m"), F.when(is_media, F.struct(*[F.col(f"`{x}`") for x in blocks.columns])).alias("_row"), cut.alias("_cut"), F.coalesce(marks, F.lit(0)).alias("_marks"))
+    rows = rows.withColumn("_k", F.coalesce(F.aggregate("_cut", F.lit(0).cast("long"), lambda n, x: n + x["k"]), F.lit(0).cast("long")))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<o:bigint,r:bigint,s:string>>").alias("a"))
+
+    def keep(held: Column, x: Column) -> Column:
+        """``o`` tokens of the block are before a sentence, ``r`` behind it."""
+        o, r = held["n"], F.col("_k") - held["n"] - x["k"]
+        kept = F.when((o < b) | (r < b), F.concat(held["a"], F.array(F.struct(o.alias("o"), r.alias("r"), x["s"].alias("s"))))).otherwise(held["a"])
+        return F.struct((o + x["k"]).alias("n"), kept.alias("a"))
+
+    rows = rows.withColumn("_s", F.aggregate("_cut", none, keep, lambda held: held["a"])).drop("_cut")
+    doc = Window.partitionBy("_d")
+    before = doc.orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_p", F.coalesce(F.sum(F.col("_k") + F.col("_marks")).over(before), F.lit(0))).withColumn("_end", F.col("_p") + F.col("_k"))
+    said = F.collect_list(F.when(F.size("_s") > 0, F.struct(F.col("_m").alias("m"), F.col("_p").alias("p"), F.col("_end").alias("e"), F.col("_s").alias("s"))))
+    near = rows.withColumn("_above", said.over(doc.orderBy("_end").rangeBetween(1 - budget, 0))).withColumn("_below", said.over(doc.orderBy("_p").rangeBetween(0, budget - 1)))
+    near = near.where(F.col("_row").isNotNull())
+
+    def joined(side: str, there: Callable[[Column], Column], far: Callable[[Column, Column], Column]) -> Column:
+        blocks = F.sort_array(F.filter(side, there))
+        found = F.flatten(F.transform(blocks, lambda x: F.transform(F.filter(x["s"], lambda y: far(x, y) < b), lambda y: y["s"])))
+        return F.when(F.col("_d").isNotNull(), F.array_join(found, "")).otherwise(F.lit(""))
+
+    above = joined("_above", lambda x: x["m"] < F.col("_m"), lambda x, y: F.col("_p") - x["e"] + y["r"])
+    below = joined("_below", lambda x: x["m"] > F.col("_m"), lambda x, y: x["p"] + y["o"] - F.col("_p"))
+    return near.select("_row.*", above.alias("above"), below.alias("below"))
 
 
 def nearest_text(blocks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
