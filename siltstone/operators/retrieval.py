@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 
 #: Vectors of one packed row (2 MB at 64 dimensions), and of one matrix product.
-PACK, PRODUCT = 4096, 512
+PACK, PRODUCT = 4096, 256
+#: Rows of the best so far that a task holds in Python.
+HELD = 1 << 18
 #: Packed rows of questions up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_PACKS = 32
 #: Questions and chunks of a block whose pairs are looked up together: half a million pairs at most.
@@ -26,7 +28,7 @@ def _pack(ids: np.ndarray, x: np.ndarray) -> dict:
     return {"ids": ids.astype("<i8").tobytes(), "x": np.ascontiguousarray(x).tobytes()}
 
 
-def _unpack(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(ids: bytes | pa.Buffer, x: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(ids, "<i8")
     return ids, np.frombuffer(x).reshape(len(ids), -1)
 
@@ -81,8 +83,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_cosine: float =
     def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[pd.DataFrame] = []
         size = 0
-        for row in (r for batch in rows for r in batch.to_pylist()):
-            (ids, q), (c, x) = _unpack(row["q_ids"], row["q"]), _unpack(row["ids"], row["x"])
+        for batch, at_row in ((b, i) for b in rows for i in range(b.num_rows)):
+            # A batch has up to 64 MB of packs, which are looked at where they lie.
+            (ids, q), (c, x) = (_unpack(*(batch.column(n)[at_row].as_buffer() for n in names)) for names in (("q_ids", "q"), ("ids", "x")))
             for first in range(0, len(q), PRODUCT):
                 products = q[first : first + PRODUCT] @ x.T
                 near = np.round(products, digits)
@@ -91,12 +94,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_cosine: float =
                 i, at = np.nonzero(near >= floor[:, None])
                 best.append(pd.DataFrame({"query_id": ids[first + i], "chunk_id": c[at], "cosine": products[i, at]}))
                 size += len(i)
-            if size > 1 << 20:
-                best = [_top(pd.concat(best), k, digits)]
-                # What is merged already stays below the bound, or it is handed on.
-                if (size := len(best[0])) > 1 << 19:
-                    yield pa.RecordBatch.from_pandas(best[0], preserve_index=False)
-                    best, size = [], 0
+                if size > HELD:
+                    best = [_top(pd.concat(best), k, digits)]
+                    # What is merged already stays below the bound, or it is handed on.
+                    if (size := len(best[0])) > HELD // 2:
+                        yield pa.RecordBatch.from_pandas(best[0], preserve_index=False)
+                        best, size = [], 0
         if best:
             yield pa.RecordBatch.from_pandas(_top(pd.concat(best), k, digits), preserve_index=False)
 
