@@ -22,10 +22,13 @@ chunks that match enough distinct tokens.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 from operator import add, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +38,8 @@ from siltstone.session import cut
 
 #: Digests of up to this many distinct tokens are compared in the scan, which skips pages by them; more are joined only.
 PUSHED_TOKENS = 256
+#: Tokens of the chunks whose postings are listed together.
+LISTED_TOKENS = 500_000
 #: Scores are compared after rounding to six digits.
 _MARGIN = 2e-6
 
@@ -78,12 +83,42 @@ class InvertedIndex:
                 out = part if out is None else out.unionByName(part)
         return self.spark.createDataFrame([], self._columns(kind) + ", _at int") if out is None else out
 
-    def _posted(self, forward: DataFrame) -> DataFrame:
-        """Postings of chunks with an array of tokens for each field."""
-        parts = F.array(*[F.struct(F.lit(f).alias("f"), F.coalesce(F.col(f"tokens_{f}"), F.array().cast("array<string>")).alias("t")) for f in self.fields])
-        flat = forward.select("chunk_id", F.explode(parts).alias("p")).select("chunk_id", "p.f", F.size("p.t").alias("length"), F.explode("p.t").alias("token"))
-        here = {f: F.col("f") == f for f in self.fields}
-        wide = flat.groupBy("chunk_id", "token").agg(*[F.count_if(w).cast("int").alias(f"tf_{f}") for f, w in here.items()], *[F.max(F.when(w, F.col("length"))).alias(f"len_{f}") for f, w in here.items()])
+    def _listed(self, forward: DataFrame) -> DataFrame:
+        """Postings of chunks with an array of tokens for each field, as lists by token of some chunks each: a chunk's tokens lie in one
+        row, so they are counted there, and the lists are what is shuffled."""
+        fields = self.fields
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = np.array([pc.list_value_length(batch.column(f"tokens_{f}")).fill_null(0).to_numpy(zero_copy_only=False) for f in fields])
+                part = np.cumsum(sizes.sum(axis=0)) // LISTED_TOKENS
+                for at in np.unique(part):
+                    first, last = np.searchsorted(part, [at, at + 1])
+                    yield listed(batch.slice(first, last - first), sizes[:, first:last])
+
+        def listed(batch: pa.RecordBatch, sizes: np.ndarray) -> pa.RecordBatch:
+            parts = [batch.column(f"tokens_{f}") for f in fields]
+            flat = [pa.table({"token": pc.list_flatten(x), "at": pc.list_parent_indices(x), "f": pa.array(np.full(n.sum(), i, "int32"))}) for i, (x, n) in enumerate(zip(parts, sizes, strict=True))]
+            table = pa.concat_tables(flat)
+            for i in range(len(fields)):
+                table = table.append_column(f"n{i}", pc.cast(pc.equal(table["f"], i), pa.int32()))
+            counts = table.group_by(["token", "at"]).aggregate([(f"n{i}", "sum") for i in range(len(fields))]).sort_by([("token", "ascending"), ("at", "ascending")])
+            codes = counts["token"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+            starts = np.flatnonzero(np.diff(codes, prepend=-2))
+            ends = pa.array(np.append(starts, len(codes)), pa.int32())
+            rows = counts["at"].to_numpy()
+            lists = [pa.ListArray.from_arrays(ends, pa.array(batch.column("chunk_id").to_numpy()[rows]))]
+            tfs = [counts[f"n{i}_sum"].to_numpy().astype("int32") for i in range(len(fields))]
+            lists += [pa.ListArray.from_arrays(ends, pa.array(tf)) for tf in tfs]
+            lists += [pa.ListArray.from_arrays(ends, pa.array(n[rows].astype("int32"), mask=tf == 0)) for n, tf in zip(sizes, tfs, strict=True)]
+            return pa.RecordBatch.from_arrays([counts["token"].combine_chunks().take(pa.array(starts)), *lists], ["token", "chunk_id", *[f"tf_{f}" for f in fields], *[f"len_{f}" for f in fields]])
+
+        shape = ["token string, chunk_id array<long>", *[f"tf_{f} array<int>" for f in fields], *[f"len_{f} array<int>" for f in fields]]
+        return forward.select("chunk_id", *[f"tokens_{f}" for f in fields]).mapInArrow(run, ", ".join(shape))
+
+    def _posted(self, lists: DataFrame) -> DataFrame:
+        """Postings of these lists, one by one."""
+        wide = lists.select("token", F.inline(F.arrays_zip("chunk_id", *[f"{x}_{f}" for x in ("tf", "len") for f in self.fields])))
         # Counts by powers of two, lengths by half powers: up to 64 classes a field.
         classes = [F.when(F.col(f"tf_{f}") > 0, 1 + 32 * F.least(F.floor(F.log2(f"tf_{f}")), F.lit(3)) + F.least(F.floor(2 * F.log2(f"len_{f}")), F.lit(31))).otherwise(0) * F.lit(130**i) for i, f in enumerate(self.fields)]
         wide = wide.withColumns({"h": F.xxhash64("token"), "block": reduce(add, classes).cast("long")})
@@ -104,7 +139,9 @@ class InvertedIndex:
         self._write(forward.repartitionByRange("chunk_id").dropDuplicates(["chunk_id"]).sortWithinPartitions("chunk_id"), f"{folder}/forward")
         stored = self.spark.read.schema(self._columns("forward")).parquet(f"{self.path}/{folder}/forward")
         order = ["bucket", "h", "token", "block", "chunk_id"]
-        self._write(self._posted(stored).repartitionByRange(*order).sortWithinPartitions(*order), f"{folder}/postings", "bucket")
+        h = F.xxhash64("token")
+        lists = self._listed(stored).repartitionByRange(F.pmod(h, F.lit(self.buckets)), h, "token", F.get("chunk_id", F.lit(0)))
+        self._write(self._posted(lists).sortWithinPartitions(*order), f"{folder}/postings", "bucket")
         postings = self.spark.read.schema(self._columns("postings")).parquet(f"{self.path}/{folder}/postings")
         self._write(self._heads(postings).repartitionByRange("bucket", "h", "block").sortWithinPartitions("bucket", "h", "block"), f"{folder}/heads", "bucket")
         return {"folder": folder, "kinds": ["forward", "postings", "heads"], **self._totals(stored)}
@@ -124,14 +161,17 @@ class InvertedIndex:
         stored = self._read(m, "forward")
         if len(few) <= PUSHED_TOKENS:
             stored = stored.where(_or([F.col("chunk_id") == r[0] for r in few]))
-        found = cut(self._alive(stored.join(L.small(ids), "chunk_id", "left_semi"), m).drop("_at"))
-        totals = self._totals(found)
-        if not totals["n"]:
+        # Only ids and lengths are joined and held; tokens are read again for those that are found.
+        lengths = stored.select("chunk_id", "_at", *[F.greatest(F.size(f"tokens_{f}"), F.lit(0)).alias(f"n_{f}") for f in self.fields])
+        found = cut(self._alive(lengths.join(L.small(ids), "chunk_id", "left_semi"), m))
+        n, *sums = found.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(f"n_{f}"), F.lit(0)) for f in self.fields]).first()
+        if not n:
             return None
         folder = f"g{uuid.uuid4().hex}"
         self._write(found.select("chunk_id"), f"{folder}/gone")
-        self._write(self._heads(self._posted(found), -1), f"{folder}/heads", "bucket")
-        return {"folder": folder, "kinds": ["gone", "heads"], "n": -totals["n"], "lengths": {f: -v for f, v in totals["lengths"].items()}}
+        there = stored.join(L.small(found.select("chunk_id", "_at"), n), ["chunk_id", "_at"], "left_semi")
+        self._write(self._heads(self._posted(self._listed(there)), -1), f"{folder}/heads", "bucket")
+        return {"folder": folder, "kinds": ["gone", "heads"], "n": -n, "lengths": {f: -v for f, v in zip(self.fields, sums, strict=True)}}
 
     def _commit(self, forward: DataFrame | None, ids: DataFrame) -> None:
         """A withdrawal and an addition in one version; the withdrawal is made anew on what another writer has added."""
