@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
+from siltstone.operators import matching
 
 # Boosts of the fields, BM25's constants, weights of word kinds.
 BOOSTS = {"title_tks": 10.0, "title_sm_tks": 5.0, "important_kwd": 30.0, "important_tks": 20.0, "question_tks": 20.0, "content_ltks": 2.0, "content_sm_ltks": 1.0}
@@ -217,6 +218,23 @@ def token_similarity(query: DataFrame, docs: DataFrame, pairs: DataFrame | None
     return hit.join(small(total.withColumnRenamed("key", "query_id")), "query_id").select("query_id", "chunk_id", ((F.coalesce("m", F.lit(0.0)) + 1e-9) / (F.col("total") + 1e-9)).alias("tksim"))
 
 
+def term_book(query: DataFrame) -> matching.Book | None:
+    """The terms of ``similarity_terms`` as a book, None for more than ``BROADCAST_TOKENS``."""
+    return matching.book(query.select(F.col("key").alias("query_id"), F.col("term").alias("token"), "weight"), BROADCAST_TOKENS)
+
+
+def text_similarity(query: DataFrame, texts: DataFrame, tokens: Column, key: str, most: int = 0, digits: int = 6) -> DataFrame:
+    """``token_similarity`` of texts, each pair summed where its text is read: query_id, chunk_id, tksim.
+
+    With ``most``, only the pairs that may be among so many best ones of their question, rounded to ``digits``, ties included. More than
+    ``BROADCAST_TOKENS`` terms of questions are joined as rows, and then all pairs are given.
+    """
+    asked = term_book(query)
+    if asked is None:
+        return token_similarity(query, similarity_keys(texts, tokens, key))
+    return matching.covered(texts.select(key, tokens), asked, most, 10.0**-digits)
+
+
 def expand_synonyms(terms: DataFrame, synonyms: DataFrame, most: int = 8, share: float = 0.25) -> DataFrame:
     """Up to ``most`` synonyms of each term at a share of its weight; ``synonyms``: token, synonym, rank."""
     found = terms.join(small(synonyms.where(F.col("rank") <= most)), "token").select("query_id", F.col("synonym").alias("token"), (F.col("weight") * share).alias("weight"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators import lexical, matching
 
 #: Vectors of one packed row (2 MB at 64 dimensions), and of one matrix product.
 PACK, PRODUCT = 4096, 256
@@ -172,6 +173,32 @@ def hybrid(cosine: Column, tokens: Column, vector_weight: float, query_id: str =
     return F.when(silent, tokens).otherwise(vector_weight * cosine + (1 - vector_weight) * tokens)
 
 
+def hybrid_sums(query: DataFrame, texts: DataFrame, tokens: Column, key: str, queries: DataFrame, vectors: DataFrame, vector_weight: float, vector: str = "embedding") -> DataFrame:
+    """The number of pairs with a common term of each question, and the sum of their ``hybrid``: query_id, n, s.
+
+    ``query``: terms as of ``similarity_terms``; ``queries``: query_id and vector; ``vectors``: chunk_id and vector. Texts meet the vector of
+    their chunk, one row each, and a task sums its pairs; whether all cosines of a question are zero is added up too. More questions than
+    ``BROADCAST_PACKS`` packs, or terms than ``BROADCAST_TOKENS``, are joined as rows.
+    """
+    asked = lexical.term_book(query)
+    if asked is None or len(asked.ids) > BROADCAST_PACKS * PACK:
+        pairs = pair_cosines(lexical.text_similarity(query, texts, tokens, key), queries, vectors, vector)
+        mixed = vector_weight * F.col("cosine") + (1 - vector_weight) * F.col("tksim")
+        sums = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("cosine")).alias("cosines"), F.sum("tksim").alias("tksim"), F.sum(mixed).alias("mixed"))
+    else:
+        one = lambda df, name: df.select(F.col(name).alias("_i"), F.col(vector).alias("_v")).where("_i IS NOT NULL AND _v IS NOT NULL").groupBy("_i").agg(F.first("_v").alias("_v"))
+        rows = one(queries, "query_id").limit(BROADCAST_PACKS * PACK).toArrow()
+        known = {i: at for at, i in enumerate(rows["_i"].to_pylist())}
+        at = np.array([known.get(i, -1) for i in asked.ids.to_pylist()], dtype=int)
+        x = np.zeros((len(at), 0))
+        if len(known) and len(at):
+            q = _matrix(rows["_v"], rows.num_rows)
+            x = np.where(at[:, None] >= 0, (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300))[at], 0.0)
+        named = texts.withColumn("_i", F.col(key)).join(one(vectors, "chunk_id").hint("shuffle_hash"), "_i", "left")
+        sums = matching.mixed_sums(named.select(key, tokens, "_v"), asked, x, vector_weight)
+    return sums.select("query_id", "n", F.when(F.col("cosines") == 0, F.col("tksim")).otherwise(F.col("mixed")).alias("s"))
+
+
 def rerank_tokens(content: Column, title: Column, important: Column, question: Column) -> Column:
     """Distinct content tokens, title twice, important words five and questions six times."""
     return F.concat(F.array_distinct(content), F.flatten(F.array_repeat(title, 2)), F.flatten(F.array_repeat(important, 5)), F.flatten(F.array_repeat(question, 6)))
@@ -182,6 +209,12 @@ def window_size(page_size: int) -> int:
     return 30 if page_size <= 1 else max(30, math.ceil(64 / page_size) * page_size)
 
 
+def window_end(page: int, page_size: int) -> int:
+    """How many of each question's best rows reach to the end of the window of a page."""
+    limit = window_size(page_size)
+    return ((page - 1) // max(1, limit // page_size) + 1) * limit
+
+
 def page_window(scored: DataFrame, page: int, page_size: int) -> DataFrame:
     """The rows of each question by ``score`` that are reranked for a page; only these need similarities."""
     limit = window_size(page_size)

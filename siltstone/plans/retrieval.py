@@ -146,10 +146,12 @@ s AS (SELECT t.token, r.synonym FROM (SELECT DISTINCT token FROM q) t JOIN r ON
 e AS (SELECT query_id, 1.0 AS w FROM q UNION ALL SELECT query_id, 0.25 FROM q JOIN s USING (token)) SELECT query_id, count(*) AS n, round(sum(w), 6)::DOUBLE AS weight FROM e GROUP BY 1""")
 
 
-def similar(t):
-    q = L.similarity_terms(t.benchmark, text.tokens("text"), "item_id")
-    d = L.similarity_keys(t.documents, text.tokens("text"), "doc_id")
-    return L.token_similarity(q, d)
+def similarity_terms(t):
+    return L.similarity_terms(t.benchmark, text.tokens("text"), "item_id")
+
+
+def similar(t, most=0):
+    return L.text_similarity(similarity_terms(t), t.documents, text.tokens("text"), "doc_id", most)
 
 
 SIM = f"""w AS (SELECT query_id, pos, token, {WEIGHT} / sum({WEIGHT}) OVER (PARTITION BY query_id) AS w FROM {KINDS}),
@@ -198,9 +200,8 @@ add("v18_tag_similarity", lambda t: t.part.select("p_partkey", F.round(V.tag_sim
 
 
 def reranked(t):
-    """Token similarity and a cosine of chunk vectors for pairs with a common term."""
-    pairs = V.pair_cosines(similar(t), asked(t), indexed(t))
-    return pairs.withColumn("sim", V.hybrid(c("cosine"), c("tksim"), 0.3)).withColumn("score", c("tksim"))
+    """Token similarity and a cosine of chunk vectors for pairs with a common term, mixed and summed."""
+    return V.hybrid_sums(similarity_terms(t), t.documents, text.tokens("text"), "doc_id", asked(t), indexed(t), 0.3)
 
 
 def reranked_page(t, page, size):
@@ -212,7 +213,7 @@ def reranked_page(t, page, size):
 
 ALLCOS = f"SELECT query_id, chunk_id, cosine FROM {COS}"
 HYB = f"{SIM}, cs AS ({ALLCOS}), hy AS (SELECT query_id, chunk_id, tksim, coalesce(cosine, 0) AS cosine FROM ts LEFT JOIN cs USING (query_id, chunk_id)), hs AS (SELECT *, CASE WHEN sum(abs(cosine)) OVER (PARTITION BY query_id) = 0 THEN tksim ELSE 0.3 * cosine + 0.7 * tksim END AS sim FROM hy)"
-add("v17_hybrid_similarity", lambda t: reranked(t).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("sim"), 4).alias("s")), f"WITH {HYB} SELECT query_id, count(*) AS n, round(sum(sim), 4) AS s FROM hs GROUP BY 1")
+add("v17_hybrid_similarity", lambda t: reranked(t).withColumn("s", F.round("s", 4)), f"WITH {HYB} SELECT query_id, count(*) AS n, round(sum(sim), 4) AS s FROM hs GROUP BY 1")
 PAGE = "pg AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(tksim, 6) DESC, chunk_id) AS w FROM hs QUALIFY w <= 70), pk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, chunk_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM pg WHERE round(sim, 6) >= 0.2)"
 add("v13_retrieval_page", lambda t: reranked_page(t, 2, 10).select("query_id", "chunk_id", "rank", "total", F.round("sim", 5).alias("sim")), f"WITH {HYB}, {PAGE} SELECT query_id, chunk_id, rank::INT AS rank, total, round(round(sim, 6), 5) AS sim FROM pk WHERE rank BETWEEN 11 AND 20")
 add("a14_document_facets", lambda t: V.document_hits(reranked_page(t, 1, 10).join(t.documents.select(c("doc_id").alias("chunk_id"), "source"), "chunk_id"), "source"), f"WITH {HYB}, {PAGE} SELECT query_id, source, count(*) AS n FROM pk JOIN documents ON doc_id = chunk_id WHERE rank <= 10 GROUP BY 1, 2")
