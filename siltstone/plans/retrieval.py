@@ -205,8 +205,8 @@ def reranked(t):
 
 
 def reranked_page(t, page, size):
-    """A page of which only the rows of its window have met their vectors."""
-    window = V.page_window(similar(t).withColumn("score", F.round("tksim", 6)), page, size)
+    """A page of which only the rows of its window have met their vectors, and only those that may be in it have been ranked."""
+    window = V.page_window(similar(t, V.window_end(page, size)).withColumn("score", F.round("tksim", 6)), page, size)
     sim = F.round(V.hybrid(c("cosine"), c("tksim"), 0.3), 6)
     return V.ranked_page(V.pair_cosines(window, asked(t), indexed(t)).withColumn("sim", sim), page, size)
 

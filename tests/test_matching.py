@@ -76,3 +76,13 @@ def test_hybrid_sums(spark, tables, monkeypatch):
     assert "Window" not in plan and "CoGroup" not in plan and "hashpartitioning(_b" not in plan
     none = V.hybrid_sums(terms_of(asked), texts, text.tokens("text"), "chunk_id", queries.limit(0), vectors.limit(0), 0.3)
     assert none.count() == len(want)
+
+
+def test_only_rows_that_may_be_in_the_window_are_ranked(spark, tables, monkeypatch):
+    texts, asked, *_ = tables
+    monkeypatch.setattr(matching, "PACK_TEXTS", 40)
+    scored = lambda most: lexical.text_similarity(terms_of(asked), texts.where("chunk_id IS NOT NULL").coalesce(1), text.tokens("text"), "chunk_id", most).withColumn("score", F.round("tksim", 6))
+    assert [V.window_end(p, 10) for p in (1, 7, 8)] == [70, 70, 140] and V.window_end(31, 1) == 60
+    best = lambda df: {tuple(r) for r in lexical.top(df, 5).select("query_id", "chunk_id", "rank", "score").collect()}
+    assert best(scored(5)) == best(scored(0))
+    assert scored(5).count() < scored(0).count() / 2
