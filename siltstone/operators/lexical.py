@@ -7,6 +7,7 @@ a batch of questions is one plan and no pair of question and chunk without a com
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -325,9 +326,30 @@ def segment_clauses(segments: DataFrame, weights: DataFrame, synonyms: DataFrame
     return boosted.where(F.trim("text") != "").unionByName(whole)
 
 
+def _bm25(tf: np.ndarray, df: np.ndarray, n: float, length: np.ndarray, avgdl: float) -> np.ndarray:
+    return np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + K1 * (1 - B + B * length / avgdl))
+
+
 def match_scores(chunks: DataFrame, fields: dict[str, Column], terms: DataFrame, boosts: dict[str, float] | None = None, chunk_id: str = "chunk_id") -> DataFrame:
     """V6-V8 for a batch of questions: query_id, chunk_id, the best field's BM25 score and the number of terms matched.
 
+    Texts are read and tokenised once: the postings of the questions' tokens go on in packs of many chunks, which are counted, and then
+    scored and summed where they lie. ``chunk_id`` is a key. More than ``BROADCAST_TOKENS`` terms are joined as rows.
+    """
+    boosts = boosts or {}
+    asked = matching.book(terms, BROADCAST_TOKENS)
+    if asked is None:
+        return joined_scores(chunks, fields, terms, boosts, chunk_id)
+    packs = matching.posted(chunks.select(chunk_id, *[tokens.alias(f) for f, tokens in fields.items()]), list(fields), asked)
+    # A stated number, so that counting and scoring read the same parts, which are made once.
+    packs = packs.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = matching.posted_counts(packs, len(fields), len(asked.tokens))
+    return matching.scored(packs, counts, [boosts.get(f, 1.0) for f in fields], asked, _bm25)
+
+
+def joined_scores(chunks: DataFrame, fields: dict[str, Column], terms: DataFrame, boosts: dict[str, float] | None = None, chunk_id: str = "chunk_id") -> DataFrame:
+    """``match_scores`` by joins, for any number of terms.
+
     Postings of the questions' tokens are dealt by chunk once; counting, scoring and summing then stay where they are,
     and only document frequencies, one row a token, are shuffled besides. A posting is scored before it meets the questions
     that ask for it.

@@ -7,7 +7,7 @@ nor an addend is a row, and nothing is shuffled to add pairs up. What a task hol
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -153,3 +153,83 @@ def mixed_sums(texts: DataFrame, asked: Book, vectors: np.ndarray, vector_weight
 
     parts = texts.mapInArrow(run, f"query_id {asked.kind}, n long, cosines double, tksim double, mixed double")
     return parts.groupBy("query_id").agg(*[F.sum(x).alias(x) for x in ("n", "cosines", "tksim", "mixed")])
+
+
+_POSTED = "row binary, term binary, tf binary, len binary"
+
+
+def posted(chunks: DataFrame, names: list[str], asked: Book) -> DataFrame:
+    """Postings of the book's tokens by the thousand chunks: ids, and row, term, tf and len as packed numbers.
+
+    ``chunks``: key and an array of tokens for each of ``names``. A posting is a (row, term), in order, with its count in each field; ``len`` is
+    the length of each chunk's fields, -1 for null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = max(1, len(asked.tokens))
+        for part in _slices(batches):
+            columns = [part.column(1 + i) for i in range(len(names))]
+            keys = [row * n + term for row, term in (found(c, asked.tokens) for c in columns)]
+            every = np.unique(np.concatenate(keys))
+            tf = np.stack([np.bincount(np.searchsorted(every, k), minlength=len(every)) for k in keys])
+            length = np.stack([c.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) for c in columns])
+            row, term = np.divmod(every, n)
+            numbers = [pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (row, term, tf, length)]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column(0)])), *numbers], ["ids", "row", "term", "tf", "len"])
+
+    return chunks.mapInArrow(run, f"ids array<{chunks.schema[0].dataType.simpleString()}>, {_POSTED}")
+
+
+def _unposted(batch: pa.RecordBatch, at: int, n_fields: int) -> list[np.ndarray]:
+    row, term, tf, length = (np.frombuffer(batch.column(name)[at].as_buffer(), "<i4").astype(np.int64) for name in ("row", "term", "tf", "len"))
+    return [row, term, tf.reshape(n_fields, -1), length.reshape(n_fields, -1)]
+
+
+def posted_counts(packs: DataFrame, n_fields: int, n_tokens: int) -> DataFrame:
+    """One row of arrays for all packs: ``df`` of each field and token, as n_fields * n_tokens numbers, and chunks and length of each field;
+    and the number n of chunks with any field."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, sums, n = np.zeros((n_fields, n_tokens), np.int64), np.zeros((2, n_fields), np.int64), 0
+        for batch in batches:
+            for at in range(batch.num_rows):
+                _, term, tf, length = _unposted(batch, at, n_fields)
+                for f in range(n_fields):
+                    df[f] += np.bincount(term[tf[f] > 0], minlength=n_tokens)
+                sums += np.stack([(length >= 0).sum(1), length.clip(0).sum(1)])
+                n += int((length >= 0).any(0).sum())
+        flat = np.concatenate([df.ravel(), sums.ravel(), [n]])
+        some = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], ["at", "n"])
+
+    # All columns, as for scoring, so that the packs are made once for both.
+    each = packs.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    return each.agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+
+
+def scored(packs: DataFrame, counts: DataFrame, boosts: list[float], asked: Book, similarity: Callable[..., np.ndarray]) -> DataFrame:
+    """V6-V8: query_id, chunk_id, score (the best field's sum) and n_matched of each pair with a common token.
+
+    ``similarity``: of tf, df, n, length and mean length of a field.
+    """
+    n_fields, n_tokens = len(boosts), len(asked.tokens)
+    kind = packs.schema["ids"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = batch.column("ids")[i].values
+                row, term, tf, length = _unposted(batch, i, n_fields)
+                flat = np.zeros(n_fields * (n_tokens + 2) + 1)
+                flat[batch.column("c_at")[i].values.to_numpy()] = batch.column("c_n")[i].values.to_numpy()
+                df, (chunks, total), n = flat[: n_fields * n_tokens].reshape(n_fields, -1), flat[n_fields * n_tokens : -1].reshape(2, -1), flat[-1]
+                values = []
+                for f, boost in enumerate(boosts):
+                    value, has = np.zeros(len(row)), tf[f] > 0
+                    value[has] = boost * similarity(tf[f][has], df[f][term[has]], n, length[f][row[has]], total[f] / max(1.0, chunks[f]))
+                    values.append(value)
+                for at, q, sums, shared in summed(row, term, values, asked, len(ids)):
+                    yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(q)), ids.take(pa.array(at)), pa.array(np.max(sums, axis=0)), pa.array(shared.astype(np.int32))], ["query_id", "chunk_id", "score", "n_matched"])
+
+    met = packs.crossJoin(F.broadcast(counts.select(F.col("at").alias("c_at"), F.col("n").alias("c_n"))))
+    return met.mapInArrow(run, f"query_id {asked.kind}, chunk_id {kind}, score double, n_matched int")

@@ -86,3 +86,23 @@ def test_only_rows_that_may_be_in_the_window_are_ranked(spark, tables, monkeypat
     best = lambda df: {tuple(r) for r in lexical.top(df, 5).select("query_id", "chunk_id", "rank", "score").collect()}
     assert best(scored(5)) == best(scored(0))
     assert scored(5).count() < scored(0).count() / 2
+
+
+@pytest.mark.parametrize("few", [1 << 20, 30])
+def test_scores_of_packs_equal_scores_of_rows(spark, tables, monkeypatch, few):
+    texts, asked, *_ = tables
+    monkeypatch.setattr(matching, "SUMMED", few)
+    monkeypatch.setattr(matching, "PACK_TEXTS", 1024 if few > 30 else 7)
+    chunks = texts.where("chunk_id IS NOT NULL").withColumn("title", F.when(F.col("chunk_id") % 5 != 0, F.concat(F.lit("a t"), F.col("chunk_id") % 3)))
+    # A text that is null has no tokens, here as a null array: field and chunk then don't count.
+    fields = {"body": F.when(F.col("text").isNotNull(), text.tokens("text")), "title": F.when(F.col("title").isNotNull(), F.split("title", " "))}
+    terms = asked.select("query_id", F.explode(F.array_distinct(F.concat(text.tokens("text"), F.array(F.lit("t1"), F.lit(None))))).alias("token")).withColumn("weight", 1.0 + F.col("query_id") / 7)
+    df = lexical.match_scores(chunks, fields, terms, {"title": 3.0})
+    by_pair = lambda df: {(r["query_id"], r["chunk_id"]): (round(r["score"], 9), r["n_matched"]) for r in df.collect()}
+    want = by_pair(lexical.joined_scores(chunks, fields, terms, {"title": 3.0}))
+    assert by_pair(df) == want and len(want) > 500
+    assert df.dtypes == [("query_id", "int"), ("chunk_id", "bigint"), ("score", "double"), ("n_matched", "int")]
+    # Neither tokens nor addends are rows: nothing is dealt by chunk or by pair.
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "hashpartitioning(chunk_id" not in plan and "hashpartitioning(query_id" not in plan
+    assert lexical.match_scores(chunks, fields, terms.limit(0)).count() == 0 and lexical.match_scores(chunks.limit(0), fields, terms).count() == 0
