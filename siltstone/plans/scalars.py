@@ -134,7 +134,7 @@ add(
 )
 add("v28_emphasise", lambda t: t.part.select("p_partkey", text.emphasise(F.concat("p_brand", F.lit(" is a Brand, brand!")), F.array(F.lit("brand"))).alias("v")), "SELECT p_partkey, p_brand || ' is a <em>Brand</em>, <em>brand</em>!' AS v FROM part WHERE p_brand NOT LIKE '%brand%'")
 add("v29_highlight", lambda t: t.part.select("p_partkey", text.highlight(F.concat(F.lit("No word here. The cat "), "p_brand", F.lit(" sat? Dogs; cat.")), F.array(F.lit("cat"))).alias("v")), "SELECT p_partkey, 'The <em>cat</em> ' || p_brand || ' sat...<em>cat</em>' AS v FROM part")
-add("c25_sentences", lambda t: _docs(t, n=F.size(text.sentences("text")).cast("long"), longest=F.array_max(F.transform(text.sentences("text"), F.length)).cast("long")), _sql(n=r"len(list_filter(regexp_extract_all(text, '[^。？！!?;；:\n]*[。？！!?;；:\n]?'), lambda x: x <> ''))::BIGINT", longest=r"list_max(list_transform(regexp_extract_all(text, '[^。？！!?;；:\n]*[。？！!?;；:\n]?'), lambda x: length(x)))::BIGINT"))
+add("c25_sentences", lambda t: _docs(t, n=F.size(text.sentences("text")).cast("long"), longest=F.array_max(F.transform(text.sentences("text"), F.length)).cast("long")), _sql(n=r"len(list_filter(regexp_extract_all(text, '[^。？！!?;；:\n]*[。？！!?;；:\n]?'), lambda x: x <> ''))::BIGINT", longest=r"list_max(list_transform(list_filter(regexp_extract_all(text, '[^。？！!?;；:\n]*[。？！!?;；:\n]?'), lambda x: x <> ''), lambda x: length(x)))::BIGINT"))
 add(
     "x35_vector_and_set_scores",
     lambda t: t.embeddings.alias("a").join(t.embeddings.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select(F.col("a.vec_id"), F.round(vectors.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cos"), F.round(vectors.jaccard(F.array("a.label", "b.label"), F.array("b.label")), 6).alias("jac"), F.round(vectors.token_f1(F.array("a.label", "b.label"), F.array("b.label")), 6).alias("f1")),
