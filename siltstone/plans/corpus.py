@@ -37,7 +37,7 @@ def buckets(t):
 BUCKETS = "(SELECT *, CASE WHEN count(*) OVER (PARTITION BY lang, label) >= CASE WHEN lang = 'en' THEN 14 ELSE 12 END THEN label ELSE 'misc' END AS bucket FROM (SELECT *, source || '_' || doc_id % 2 AS label FROM documents))"
 add("d02_threshold_buckets", lambda t: buckets(t).groupBy("lang", "bucket").agg(F.count("*").alias("n")), f"SELECT lang, bucket, count(*) AS n FROM {BUCKETS} GROUP BY 1, 2")
 add("w02_shard_parts", lambda t: C.sharded(buckets(t), ["lang", "bucket"], ["doc_id"], 20).groupBy("lang", "bucket", "part_index").agg(F.count("*").alias("n")), f"SELECT lang, bucket, p::INT AS part_index, least(20, n - 20 * (p - 1)) AS n FROM (SELECT lang, bucket, count(*) AS n FROM {BUCKETS} GROUP BY 1, 2), range(1, 1000) r(p) WHERE p <= ceil(n / 20.0)")
-add("w03_shard_plan", lambda t: C.shard_plan(t.documents.groupBy("lang").agg(F.count("*").alias("n")), "n", 100), "SELECT lang, n, p::INT AS part_index, least(100, n - 100 * (p - 1)) AS planned FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1), range(1, 1000) r(p) WHERE p <= ceil(n / 100.0)")
+add("w03_shard_plan", lambda t: C.shard_plan(t.documents.groupBy("lang").agg(F.count("*").alias("n")), "n", 100), "SELECT lang, n, p::INT AS part_index, least(100, n - 100 * (p - 1)) AS planned FROM (SELECT lang, n, unnest(range(1, ceil(n / 100.0)::BIGINT + 1)) AS p FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1))")
 add("d03_plan_mismatches", lambda t: C.plan_mismatches(C.shard_plan(buckets(t).groupBy("lang", "bucket").agg(F.count("*").alias("n")), "n", 20).select("lang", "bucket", "part_index", "planned"), C.sharded(buckets(t), ["lang", "bucket"], ["doc_id"], 20).groupBy("lang", "bucket", "part_index").agg(F.count("*").alias("written")), ["lang", "bucket", "part_index"]).agg(F.count("*").alias("n")), "SELECT 0::BIGINT AS n")
 add("k17_shard_digests", lambda t: C.shard_digests(C.sharded(t.documents, ["source"], ["doc_id"], 50), ["source", "part_index"], c("text"), ["doc_id"]), "SELECT source, part_index, count(*) AS written, (sum(strlen(text)) + count(*))::BIGINT AS bytes, md5(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS md5 FROM (SELECT *, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 50 + 1)::INT AS part_index FROM documents) GROUP BY 1, 2")
 add("j19_pending_shards", lambda t: C.pending(t.documents.select("doc_id", F.md5("text").alias("content_hash")), t.documents.where("doc_id % 3 = 0").select("doc_id", F.md5(F.when(c("doc_id") % 2 == 0, c("text")).otherwise(F.lit("old"))).alias("content_hash"), F.lit("done").alias("status"))).select("doc_id"), "SELECT doc_id FROM documents WHERE NOT (doc_id % 6 = 0)")
