@@ -43,8 +43,8 @@ PUSHED_TOKENS = 256
 LISTED_TOKENS = 1_000_000
 #: Postings of a list, about, by which the rows of a page are reckoned.
 LIST_POSTINGS = 20
-#: Parts in which a segment's lists of a bucket are shuffled, and lists that are worth a part.
-SLICES, SLICE_LISTS = 8, 500
+#: Parts in which a segment's lists of a bucket are shuffled, lists that are worth a part, and tasks whose parts go to one place.
+SLICES, SLICE_LISTS, SLICE_TASKS = 8, 500, 64
 #: Terms of questions whose pairs with a segment are summed together, and pairs that are handed on together.
 PACK_TERMS, PAIRS = 20_000, 200_000
 LAYOUT = 2
@@ -261,7 +261,8 @@ class InvertedIndex:
             name = hashlib.blake2b(f"{folder} {TaskContext.get().partitionId()} {nth} ".encode() + ids.tobytes(), digest_size=8).digest()
             segment = int.from_bytes(name) >> 1
             own = pa.table({"segment": [segment], "chunk_id": pa.array([ids], pa.list_(pa.int64())), **{f"len_{f}": pa.array([n], pa.list_(pa.int32())) for f, n in zip(fields, sizes, strict=True)}})
-            rows = [(-1, 0, pack(own))]
+            more = TaskContext.get().partitionId() // SLICE_TASKS * SLICES
+            rows = [(-1, more, pack(own))]
             if len(code):
                 starts = np.flatnonzero(np.diff(code, prepend=-1))
                 n = np.diff(np.append(starts, len(code)))
@@ -279,7 +280,7 @@ class InvertedIndex:
                 order = np.lexsort((h, part))
                 table, part = pa.table(lists).take(pa.array(order)), part[order]
                 for a, b in pairwise([*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]):
-                    rows.append((int(part[a]) // slices, int(part[a]) % slices, pack(table.slice(a, b - a))))
+                    rows.append((int(part[a]) // slices, int(part[a]) % slices + more, pack(table.slice(a, b - a))))
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "slice", "pack"])
 
         return run
